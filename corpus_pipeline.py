@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strideway.llm import common, minmax_dedup, winnowing
+from strideway.llm import common, minmax_dedup, toxicity, winnowing
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxic_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minmax_dedup.keep_one(docs)
 
@@ -20,6 +24,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxic_text),
     ("near_duplicates", near_duplicates),
     ("decontamination", decontamination),
 ]
