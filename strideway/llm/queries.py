@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minmax_dedup, toxicity, winnowing
+from . import minmax_dedup, token_store, toxicity, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,14 @@ def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.write_blocks(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_winnowing": op7_winnowing,
     "op8_minmax_dedup": op8_minmax_dedup,
+    "op10_token_store": op10_token_store,
 }
 ORACLES: dict[str, str] = {}
