@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strideway.llm import common, minmax_dedup, token_store, toxicity, winnowing
+from strideway.llm import common, entropy_balance, minmax_dedup, token_store, toxicity, winnowing
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -23,6 +23,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return winnowing.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return entropy_balance.mix(docs)
+
+
 def token_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_store.write_blocks(docs)
 
@@ -31,6 +35,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("toxicity", toxic_text),
     ("near_duplicates", near_duplicates),
     ("decontamination", decontamination),
+    ("mixture", mixture),
     ("token_blocks", token_blocks),
 ]
 #: Min-max hashing, Newton steps and range coding are beyond SQL; the tests compare the stages with brute force.

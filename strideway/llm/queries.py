@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minmax_dedup, token_store, toxicity, winnowing
+from . import entropy_balance, minmax_dedup, token_store, toxicity, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entropy_balance.rates(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -28,6 +32,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_entropy_balance": op1_entropy_balance,
     "op6_toxicity": op6_toxicity,
     "op7_winnowing": op7_winnowing,
     "op8_minmax_dedup": op8_minmax_dedup,
