@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import entropy_balance, minmax_dedup, token_store, toxicity, winnowing
+from . import context_tree, entropy_balance, minmax_dedup, token_store, toxicity, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_balance.rates(table(spark, sf_dir, "documents"))
 
 
+def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.code_lengths(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,6 +37,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_entropy_balance": op1_entropy_balance,
+    "op5_context_tree": op5_context_tree,
     "op6_toxicity": op6_toxicity,
     "op7_winnowing": op7_winnowing,
     "op8_minmax_dedup": op8_minmax_dedup,
