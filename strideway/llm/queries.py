@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_tree, entropy_balance, minmax_dedup, token_store, toxicity, winnowing
+from . import chat_masks, context_tree, cover_tree, entropy_balance, minmax_dedup, token_store, toxicity, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,14 @@ def op1_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_balance.rates(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_masks.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_pairs(table(spark, sf_dir, "embeddings"))
+
+
 def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.code_lengths(table(spark, sf_dir, "documents"))
 
@@ -37,10 +45,19 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_entropy_balance": op1_entropy_balance,
+    "op3_chat_masks": op3_chat_masks,
+    "op4_cover_tree": op4_cover_tree,
     "op5_context_tree": op5_context_tree,
     "op6_toxicity": op6_toxicity,
     "op7_winnowing": op7_winnowing,
     "op8_minmax_dedup": op8_minmax_dedup,
     "op10_token_store": op10_token_store,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_cover_tree": """
+        WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL)
+        SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(max(list_cosine_similarity(a.v, b.v)), 6) AS cosine
+        FROM e a JOIN e b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v)
+        WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+        GROUP BY 1, 2""",
+}
