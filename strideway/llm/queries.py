@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_masks, context_tree, cover_tree, entropy_balance, minmax_dedup, token_store, toxicity, winnowing
+from . import chat_masks, context_tree, cover_tree, entropy_balance, guess_cost, minmax_dedup, token_store, toxicity, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_balance.rates(table(spark, sf_dir, "documents"))
 
 
+def op2_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guess_cost.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_masks.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -45,6 +49,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_entropy_balance": op1_entropy_balance,
+    "op2_guess_cost": op2_guess_cost,
     "op3_chat_masks": op3_chat_masks,
     "op4_cover_tree": op4_cover_tree,
     "op5_context_tree": op5_context_tree,
