@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_masks, context_tree, cover_tree, entropy_balance, guess_cost, minmax_dedup, token_store, toxicity, winnowing
+from . import chat_masks, context_tree, cover_tree, entropy_balance, guess_cost, minmax_dedup, token_store, toxicity, winnowing, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op9_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.write_blocks(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_winnowing": op7_winnowing,
     "op8_minmax_dedup": op8_minmax_dedup,
+    "op9_wrappers": op9_wrappers,
     "op10_token_store": op10_token_store,
 }
 ORACLES: dict[str, str] = {
