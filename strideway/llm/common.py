@@ -1,16 +1,13 @@
-"""Helpers shared by the corpus operators: shared-folder tables and vectorised word hashing."""
+"""Helpers shared by the corpus operators: vectorised word hashing, chunks of texts, names; and the shared-folder tables."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+
+from strideway.storage import BROADCAST_BYTES, saved, shared_dir, small, stored_bytes  # noqa: F401
 
 U64 = np.uint64
 _TABLE = np.random.Generator(np.random.PCG64(20240917)).integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
@@ -23,29 +20,12 @@ for _c in b"0123456789abcdefghijklmnopqrstuvwxyz_":
 CHUNK_CHARS = 400_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where a local session sets none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="strideway-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def stored_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate, exact in bytes on disk for a table just read from files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def fresh(columns: list[str]) -> str:
+    """A name with which no column's name begins."""
+    mark = "__"
+    while any(c.lower().startswith(mark) for c in columns):
+        mark += "_"
+    return mark
 
 
 def mix(x: np.ndarray) -> np.ndarray:

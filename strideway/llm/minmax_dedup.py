@@ -157,12 +157,14 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each group of near duplicates; all other rows and columns stay as they are."""
-    found = common.saved(groups(docs, threshold), "groups")
-    kept = docs.join(found.where("doc_id <> group_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    gone = common.saved(groups(docs, threshold).where("doc_id <> group_id").select("doc_id"), "gone")
+    kept = docs.join(common.small(gone), "doc_id", "left_anti").select(docs.columns)
     twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     twice = common.saved(twice, "twice")
     if twice.isEmpty():
         return kept
     again = kept.join(twice, "doc_id", "left_semi").select(docs.columns)
-    again = again.withColumn("__n", F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("text").desc_nulls_last()))).where("__n = 1").drop("__n")
+    n = common.fresh(docs.columns)
+    order = [F.col("text").desc_nulls_last(), *(F.col(f"`{c}`").asc_nulls_last() for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith(("map", "variant")))]
+    again = again.withColumn(n, F.row_number().over(W.partitionBy("doc_id").orderBy(*order))).where(F.col(n) == 1).drop(n)
     return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(again)

@@ -24,8 +24,6 @@ GRAM = 6
 WINDOW = 8
 #: Test fingerprints up to this number are sent to all tasks; more are joined by shuffle.
 SEND_LIMIT = 4_000_000
-#: Hit tables up to this size are broadcast to fetch the texts; larger ones are joined by shuffle.
-BROADCAST_BYTES = 32 << 20
 _MAX = np.uint64(2**64 - 1)
 
 
@@ -107,10 +105,6 @@ def _extend(least: int):
     return run
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if common.stored_bytes(df) <= BROADCAST_BYTES else df
-
-
 def hits(docs: DataFrame, benchmark: DataFrame, send_limit: int = SEND_LIMIT) -> DataFrame:
     """The longest shared span of each contaminated document and item: (doc_id, item_id, doc_word, item_word, span_words, item_words)."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("item_text"))
@@ -120,11 +114,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, send_limit: int = SEND_LIMIT) ->
         known = np.unique(np.array([r.h for r in test.select("h").distinct().collect()], np.int64).view(np.uint64))
     train = common.saved(fingerprints(docs, "doc_id", known), "seeds") if known is not None else fingerprints(docs, "doc_id")
     other = test.select("h", F.col("id").alias("item_id"), F.col("at").alias("item_at"))
-    pairs = train.join(_small(other), "h").groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.collect_set(F.struct("at", "item_at")).alias("seeds"))
+    pairs = train.join(common.small(other), "h").groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.collect_set(F.struct("at", "item_at")).alias("seeds"))
     pairs = common.saved(pairs, "seeded")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text IS NOT NULL")
-    full = _small(pairs).join(_small(common.saved(items.where("item_text IS NOT NULL"), "item_texts")), "item_id")
-    full = texts.join(F.broadcast(full) if common.stored_bytes(pairs) <= BROADCAST_BYTES else full, "doc_id").select("doc_id", "text", "item_id", "item_text", "seeds")
+    full = common.small(pairs).join(common.small(common.saved(items.where("item_text IS NOT NULL"), "item_texts")), "item_id")
+    full = texts.join(F.broadcast(full) if common.stored_bytes(pairs) <= common.BROADCAST_BYTES else full, "doc_id").select("doc_id", "text", "item_id", "item_text", "seeds")
     spans = full.mapInArrow(_extend(GRAM + WINDOW - 1), "doc_id bigint, item_id bigint, doc_word int, item_word int, span_words int, item_words int")
     best = F.max(F.struct("span_words", (-F.col("doc_word")).alias("d"), (-F.col("item_word")).alias("i"), "item_words")).alias("m")
     return spans.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("m.d")).alias("doc_word"), (-F.col("m.i")).alias("item_word"), "m.span_words", "m.item_words")
@@ -133,4 +127,4 @@ def hits(docs: DataFrame, benchmark: DataFrame, send_limit: int = SEND_LIMIT) ->
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without contaminated documents; rows with a null id or text stay."""
     found = common.saved(hits(docs, benchmark).select("doc_id").distinct(), "contaminated")
-    return docs.join(_small(found), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(common.small(found), "doc_id", "left_anti").select(docs.columns)

@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BROADCAST_BYTES = 32 << 20
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>?|<(/?[a-z][a-z0-9:-]*)([^>]*)>|([^<]+|<)", re.I | re.S)
 _CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _MARKS = re.compile(r"[#~()<>+]")
@@ -347,8 +346,7 @@ def extract(pages: DataFrame) -> DataFrame:
     layouts = full.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min("skeleton").alias("skeleton"))
     by_host = layouts.groupBy("host").agg(F.collect_list(F.struct("layout", "skeleton", "n")).alias("layouts"))
     wrappers = common.saved(by_host.mapInArrow(_infer, WRAPPERS), "wrappers")
-    small = common.stored_bytes(wrappers) <= BROADCAST_BYTES
-    side = F.broadcast(wrappers) if small else wrappers
+    side = common.small(wrappers)
 
     seen = full.select("host", "layout", "page", F.inline("texts")).groupBy("host", "layout", "place")
     span = lambda d: d.agg(*(f(c).alias(f"{c}_{k}") for c in ("h", "page") for k, f in (("lo", F.min), ("hi", F.max))))
@@ -357,7 +355,7 @@ def extract(pages: DataFrame) -> DataFrame:
     fixed = again(placed.groupBy("host", "slot")).where("h_lo = h_hi AND page_lo <> page_hi").groupBy("host").agg(F.collect_set("slot").alias("fixed"))
     plan = wrappers.join(fixed, "host", "left").select("host", "layout", F.size("slots").alias("n_slots"), F.zip_with("slots", "chrome", lambda s, c: F.named_struct(F.lit("fixed"), F.coalesce(F.array_contains("fixed", s), F.lit(False)), F.lit("chrome"), c)).alias("flags"))
     plan = common.saved(plan, "flags")
-    out = cut.join(F.broadcast(plan) if small else plan, ["host", "layout"], "left")
+    out = cut.join(common.small(plan), ["host", "layout"], "left")
     flag = lambda x: F.element_at("flags", x["place"] + 1)
     kept = F.filter("texts", lambda x: ~flag(x)["fixed"] & ~flag(x)["chrome"])
     text = F.array_join(F.transform(kept, lambda x: x["text"]), "\n")
