@@ -5,7 +5,8 @@ Document rates stay as near to 1 as the token constraints allow: with ``n`` the
 the log length. The solution tilts each document exponentially, ``r = exp(a[source] + b[language] + c z)``, and its
 multipliers are the optimum of a convex dual, found by damped Newton steps. Each step is one distributed aggregation of the
 gradient's and Hessian's sums by (source, language), the constraints' categories, so that what reaches the driver does not grow
-with the documents. Rates are rounded to copies: the whole part, and one more where a hash of the id falls below the rest.
+with the documents. Targets that no rates can meet (a source whose only language is wanted less, say) are moved half-way to the
+present totals until some can. Rates are rounded to copies: the whole part, and one more where a hash of the id falls below the rest.
 
 Defined results: null sources and languages are categories of their own. Null and empty texts have no words, hence no part
 in the constraints; their rate follows their categories with ``z = 0``. Rows that repeat an id get the same number of copies.
@@ -23,7 +24,11 @@ from . import common
 #: A category's target share is its share of tokens to this power, rescaled to sum to 1.
 TEMPERATURE = 0.7
 STEPS = 60
-TOLERANCE = 1e-10
+TOLERANCE = 1e-9
+#: A solution meets its constraints to this share of all tokens, with logarithms of rates below ``LARGEST``.
+MET, LARGEST = 1e-7, 10.0
+#: How often targets that no such rates meet are moved half-way to the present totals; then the present ones are kept.
+HALVINGS = 8
 
 
 def words(text):
@@ -66,11 +71,12 @@ def solve(cells, sums, temperature: float = TEMPERATURE, source_weights: dict |
         return w / w.sum() * total
 
     goal = np.concatenate([want(s, sources, source_weights), want(lg, langs, lang_weights), [0.0]]) / total
+    present = np.concatenate([np.bincount(s, tokens, p), np.bincount(lg, tokens, q), [0.0]]) / total
     x = np.zeros((len(cells), p + q + 1))
     x[np.arange(len(cells)), s] = 1
     x[np.arange(len(cells)), p + lg] = 1
 
-    def dual(theta: np.ndarray):
+    def dual(theta: np.ndarray, goal: np.ndarray):
         tilt = np.exp(np.clip(theta[s] + theta[p + lg], -50, 50))
         m = np.asarray(sums(theta[-1], mean), float) * tilt[:, None] / total
         value = m[:, 0].sum() - theta @ goal
@@ -82,22 +88,31 @@ def solve(cells, sums, temperature: float = TEMPERATURE, source_weights: dict |
         hess[-1, -1] = m[:, 2].sum()
         return value, grad, hess
 
-    theta = np.zeros(p + q + 1)
-    value, grad, hess = dual(theta)
-    for _ in range(STEPS):
-        if np.abs(grad).max() < TOLERANCE:
-            break
-        step = -np.linalg.lstsq(hess + 1e-14 * np.eye(len(hess)), grad, rcond=1e-12)[0]
-        size = 1.0
-        while True:
-            after = dual(theta + size * step)
-            if after[0] <= value + 1e-4 * size * (grad @ step) or size < 1e-6:
+    def newton(goal: np.ndarray) -> tuple[np.ndarray, bool]:
+        theta = np.zeros(p + q + 1)
+        value, grad, hess = dual(theta, goal)
+        for _ in range(STEPS):
+            if np.abs(grad).max() < TOLERANCE or np.abs(theta).max() > 2 * LARGEST:
                 break
-            size /= 2
-        theta = theta + size * step
-        if after[0] >= value and np.abs(after[1]).max() >= np.abs(grad).max():
-            break  # as near as the numbers allow
-        value, grad, hess = after
+            step = -np.linalg.lstsq(hess + 1e-14 * np.eye(len(hess)), grad, rcond=1e-12)[0]
+            size = 1.0
+            while True:
+                after = dual(theta + size * step, goal)
+                # near the optimum values differ by less than their rounding, so that a smaller gradient counts too
+                if after[0] <= value + 1e-4 * size * (grad @ step) or np.abs(after[1]).max() < np.abs(grad).max() / 2 or size < 1e-6:
+                    break
+                size /= 2
+            if np.abs(after[1]).max() >= np.abs(grad).max() and (after[0] >= value or size < 1e-6):
+                break  # as near as the numbers allow
+            theta = theta + size * step
+            value, grad, hess = after
+        tilt = np.abs(theta[s] + theta[p + lg]).max() + np.log(1e6) * abs(theta[-1])
+        return theta, bool(np.abs(grad).max() < MET and tilt < LARGEST)
+
+    for share in (*(0.5**k for k in range(HALVINGS)), 0.0):
+        theta, met = newton(present + share * (goal - present))
+        if met:
+            break
     return {v: float(theta[i]) for v, i in si.items()}, {v: float(theta[p + i]) for v, i in li.items()}, float(theta[-1]), mean
 
 
@@ -152,9 +167,7 @@ def rates(docs: DataFrame, **how) -> DataFrame:
 def mix(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with each row as often as its copies; columns as before. The texts are not shuffled."""
     found = fit(common.saved(features(docs).drop("doc_id"), "features"), **how)
-    mark = "__"
-    while any(c.startswith(mark) for c in docs.columns):
-        mark += "_"
+    mark = common.fresh(docs.columns)
     name = {c: mark + c for c in ("doc_id", "source", "lang", "n", "rate", "copies")}
     own = docs.withColumns({name["doc_id"]: F.col("doc_id").cast("bigint"), name["source"]: F.col("source").cast("string"), name["lang"]: F.col("lang").cast("string"), name["n"]: words(F.col("text"))})
     out = _priced(own, name, found).where(F.col(name["copies"]) > 0)
