@@ -13,6 +13,7 @@ different vectors is in a pair if one of them is, with the highest cosine. An id
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ STRIPE = 1024
 _SLACK = 2e-3  # distances near 0 in single precision
 
 ROWS = "id bigint, dim int, vec binary"
-BLOCKS = "dim int, block bigint, root array<float>, radius double, ids binary, vecs binary"
+BLOCKS = "dim int, block bigint, root array<float>, radius double, ids binary, vecs binary, tree binary"
 
 
 def clean(df: DataFrame) -> DataFrame:
@@ -85,10 +86,21 @@ def _assign(centres: dict[int, np.ndarray]):
 class Tree:
     """Level ``k`` has the first ``sizes[k]`` of ``order`` as centres; ``up[k]`` is every point's centre there, ``radius[k]`` each centre's covering radius."""
 
+    def stored(self) -> bytes:
+        """The tree without its vectors."""
+        return pickle.dumps({k: v for k, v in self.__dict__.items() if k != "x"})
+
+    @classmethod
+    def read(cls, stored: bytes, x: np.ndarray) -> Tree:
+        out = cls.__new__(cls)
+        out.__dict__.update(pickle.loads(stored))
+        out.x = x
+        return out
+
     def __init__(self, x: np.ndarray, least: float = LEAST_RADIUS) -> None:
         n = len(x)
         self.x = x
-        near, gap = np.zeros(n, np.int64), apart(x, x[:1])[:, 0]
+        near, gap = np.zeros(n, np.int32), apart(x, x[:1])[:, 0]
         order = [0]
         self.sizes, chains = [], []
         radius = float(gap.max())
@@ -106,7 +118,7 @@ class Tree:
             if radius <= least or len(order) == n:
                 break
             radius /= 2
-        self.order = np.array(order)
+        self.order = np.array(order, np.int32)
         # every point's chain of centres runs through its centre's own, so that nodes are nested
         self.up = chains
         for k in range(len(chains) - 2, -1, -1):
@@ -120,7 +132,7 @@ class Tree:
         self.below = []  # the nodes (at the last level points) under each node
         for k, m in enumerate(self.sizes):
             child = self.up[k][self.order[: self.sizes[k + 1]]] if k + 1 < len(self.sizes) else self.up[k]
-            by = np.argsort(child, kind="stable")
+            by = np.argsort(child, kind="stable").astype(np.int32)
             self.below.append((by, np.searchsorted(child[by], np.arange(m + 1))))
 
     def children(self, k: int, nodes: np.ndarray) -> np.ndarray:
@@ -140,17 +152,21 @@ def dual(a: Tree, b: Tree, reach: float) -> tuple[np.ndarray, np.ndarray]:
         ka, kb, own, other = stack.pop()
         bottom_a, bottom_b = ka == len(a.sizes), kb == len(b.sizes)
         theirs = b.points(kb, other)
-        room_b = reach + _SLACK + (0 if bottom_b else b.radius[kb][other])
+        room_b = reach + _SLACK + (np.zeros(len(other)) if bottom_b else b.radius[kb][other])
         for s in range(0, len(own), STRIPE):
             mine = own[s : s + STRIPE]
-            d = apart(a.points(ka, mine), theirs)
-            i, j = np.nonzero(d <= room_b + (0 if bottom_a else a.radius[ka][mine][:, None]))
+            room_a = np.zeros(len(mine)) if bottom_a else a.radius[ka][mine]
+            cos = a.points(ka, mine) @ theirs.T
+            i, j = np.nonzero(cos >= np.float32(1 - (room_a.max() + room_b.max()) ** 2 / 2))  # no distances but of these
+            if not (bottom_a and bottom_b):
+                near = np.sqrt(np.maximum(2 - 2 * cos[i, j], 0)) <= room_a[i] + room_b[j]
+                i, j = i[near], j[near]
             if not len(i):
                 continue
             if bottom_a and bottom_b:
                 found.append((mine[i], other[j]))
                 continue
-            if len(i) > 0.25 * d.size:  # little was pruned: go on with the whole block
+            if len(i) > 0.25 * cos.size:  # little was pruned: go on with the whole block
                 rows, cols = mine[np.unique(i)], other[np.unique(j)]
                 stack.append((ka + (not bottom_a), kb + (not bottom_b), rows if bottom_a else a.children(ka, rows), cols if bottom_b else b.children(kb, cols)))
                 continue
@@ -170,9 +186,9 @@ def _build(key, table):
     raw, x = raw[by], unit(raw[by])
     root = x[0]
     r = float(apart(x, x[:1]).max()) + _SLACK
-    cols = [[d], [table["block"][0].as_py()], [root.tolist()], [r], [table["id"].to_numpy()[by].tobytes()], [raw.tobytes()]]
-    kinds = [pa.int32(), pa.int64(), pa.list_(pa.float32()), pa.float64(), pa.binary(), pa.binary()]
-    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], ["dim", "block", "root", "radius", "ids", "vecs"])
+    cols = [[d], [table["block"][0].as_py()], [root.tolist()], [r], [table["id"].to_numpy()[by].tobytes()], [raw.tobytes()], [Tree(x).stored()]]
+    kinds = [pa.int32(), pa.int64(), pa.list_(pa.float32()), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], ["dim", "block", "root", "radius", "ids", "vecs", "tree"])
 
 
 def _compare(threshold: float):
@@ -183,7 +199,7 @@ def _compare(threshold: float):
         for side in sorted({*table["side"].to_pylist()}):
             r = table.filter(pa.array([s == side for s in table["side"].to_pylist()])).slice(0, 1)
             raw = np.frombuffer(r["vecs"][0].as_py(), np.float32).reshape(-1, r["dim"][0].as_py())
-            sides.append((np.frombuffer(r["ids"][0].as_py(), np.int64), raw, Tree(unit(raw))))
+            sides.append((np.frombuffer(r["ids"][0].as_py(), np.int64), raw, Tree.read(r["tree"][0].as_py(), unit(raw))))
         (ia, ra, ta), (ib, rb, tb) = sides[0], sides[-1]
         i, j = dual(ta, tb, reach)
         keep = ia[i] < ib[j] if len(sides) == 1 else ia[i] != ib[j]
@@ -221,6 +237,6 @@ def near_pairs(df: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK)
     left = heads.join(other, "dim").where("block <= other").where(gap <= F.col("radius") + F.col("other_radius") + F.lit(reach))
     pairs = left.select(F.xxhash64("block", "other").alias("pair"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("block")), F.struct(F.lit(1).alias("side"), F.col("other").alias("block")))).alias("x")).select("pair", "x.side", "x.block")
     pairs = pairs.groupBy("pair", "block").agg(F.min("side").alias("side"))  # a block with itself is shipped once
-    full = pairs.join(blocks.select("block", "dim", "ids", "vecs"), "block").select("pair", "side", "dim", "ids", "vecs")
+    full = pairs.join(blocks.select("block", "dim", "ids", "vecs", "tree"), "block").select("pair", "side", "dim", "ids", "vecs", "tree")
     found = full.groupBy("pair").applyInArrow(_compare(threshold), "a bigint, b bigint, cosine double")
     return found.groupBy(F.col("a").alias("vec_a"), F.col("b").alias("vec_b")).agg(F.round(F.max("cosine"), 6).alias("cosine"))
