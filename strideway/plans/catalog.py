@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strideway import schemas as S
 from strideway.functions import text
 from strideway.operators import graph, joins, layout, merge, ranking, setdiff, stats
+from strideway.plans import catalog_facts, reduce
+from strideway.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -460,6 +463,56 @@ def fp_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.fp_clusters(e, "label", ["vec_id"], "features", radius=1.3)
 
 
+def lineitem_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings made of the rows of ``lineitem``: rules by flag and status, places by part, types by supplier."""
+    li = table(spark, sf_dir, "lineitem")
+    rule = F.element_at(F.array(*map(F.lit, ("FL001", "FL002", "FL011", "FL012", "FL020", "FL060"))), (F.ascii("l_returnflag") + F.ascii("l_linestatus")) % 6 + 1)
+    text_of = lambda c: F.col(c).cast("string")
+    evidence = F.create_map(F.lit("type_name"), F.concat(F.lit("S"), text_of("l_suppkey")), F.lit("thread_escape"), F.when(F.col("l_tax") > 0.02, "true").otherwise("false"), F.lit("sizeof"), F.concat(text_of("l_quantity"), F.lit("B")))
+    claims = F.array(S.claim("m", "p", F.col("l_discount") > 0.02, (F.col("l_linenumber") % 4)), S.claim("g", "p", True, (F.col("l_quantity").cast("int") % 3) + 1, gating=True))
+    return li.select(
+        rule.alias("rule"), F.lit("row").alias("title"), (F.col("l_linenumber") % 4).cast("int").alias("severity"), F.round(0.3 + F.col("l_quantity") / 100, 4).alias("confidence"), (F.col("l_suppkey") % 3).cast("int").alias("tier"), F.lit(False).alias("suppressed"),
+        F.concat(F.lit("src/p"), text_of("l_partkey")).alias("file"), F.col("l_linenumber").alias("line"), F.lit(1).alias("col"), F.lit("").alias("fn"), F.lit("").alias("reasoning"), evidence.alias("evidence"), F.lit("").alias("mitigation"),
+        F.array(F.concat(F.lit("order "), text_of("l_orderkey"))).alias("escalations"), F.lit(S.COLD).alias("hotness"), claims.alias("claims"),
+    )
+
+
+@query()
+def reduce_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reduce steps over findings made of ``lineitem``, with suppliers as types."""
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("type"), *((F.col("s_suppkey") % (3 + i) == 0).alias(f) for i, f in enumerate(S.SIGNAL_FLAGS)), F.lit(1).alias("accessors"))
+    out = reduce.run(lineitem_findings(spark, sf_dir), reduce.Facts(signals=s))
+    return out.select("rule", "severity", F.round("confidence", 6).alias("confidence"), "tier", "file", "line", F.size("escalations").alias("notes"))
+
+
+_CLAIMED = """SELECT {key}, l_linenumber % 4 AS severity, CASE WHEN l_discount > 0.02 THEN l_linenumber % 4 ELSE 0 END AS own, CAST(l_quantity AS INTEGER) % 3 + 1 AS cap FROM lineitem"""
+
+
+@query(f"""SELECT l_suppkey, CAST(count(*) FILTER (WHERE severity > least(own, cap)) AS BIGINT) AS bound, CAST(max(least(severity, own, cap)) AS INTEGER) AS top FROM ({_CLAIMED.format(key='l_suppkey')}) GROUP BY 1""")
+def claim_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = lineitem_findings(spark, sf_dir).select(F.substring(reduce.ev("type_name"), 2, 99).cast("bigint").alias("l_suppkey"), "severity", S.supported_severity(F.col("claims")).alias("most"))
+    return f.groupBy("l_suppkey").agg(F.count(F.when(F.col("severity") > F.col("most"), 1)).alias("bound"), F.max(F.least("severity", "most")).alias("top"))
+
+
+@query()
+def hazard_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all rules and reduce steps make of literal facts."""
+    raw, facts = catalog_facts.canary(spark)
+    return reduce.run(raw, facts).select("rule", "severity", F.round("confidence", 6).alias("confidence"), "tier", "file", "line")
+
+
+@query("""SELECT page_id, '/root/' || url AS path FROM pages WHERE url IS NOT NULL""")
+def absolute_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").where("url IS NOT NULL")
+    return p.select("page_id", text.absolute(F.col("url"), F.lit("/root/")).alias("path"))
+
+
+@query("""SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2""")
+def windowed_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = watch.rule_rates(table(spark, sf_dir, "events"), "event_type", "ts")
+    return out.select(F.unix_timestamp("start").alias("start"), "event_type", "n")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked survivors within a budget: dedup, budget and canonical order over rows of ``lineitem``."""
     left = survivor_dedup(spark, sf_dir)
