@@ -18,7 +18,7 @@ def share_filter(df: DataFrame, key: list[str], weight: Column, percent: float)
     """(key, weight, pct) of the keys with at least ``percent`` of all weight; the total is one row, so it is broadcast."""
     own = df.groupBy(*key).agg(F.sum(weight).alias("weight"))
     total = F.broadcast(df.agg(F.sum(weight).alias("__total")))
-    pct = 100.0 * F.col("weight") / F.col("__total")
+    pct = F.try_divide(100.0 * F.col("weight"), F.col("__total"))
     return own.crossJoin(total).withColumn("pct", pct).where((F.col("__total") > 0) & (F.col("pct") >= percent)).drop("__total")
 
 
@@ -46,7 +46,7 @@ def welch(df: DataFrame, group: str, control: str, treated: str, value: str, lea
     own = lambda g: F.when(F.col(group) == g, F.col(value))
     aggs = [f(own(g)).alias(f"{n}_{k}") for g, k in ((control, "c"), (treated, "t")) for n, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_pop))]
     one = df.where(F.col(group).isin(control, treated)).agg(*aggs)
-    se = F.sqrt(F.col("sd_c") ** 2 / F.col("n_c") + F.col("sd_t") ** 2 / F.col("n_t"))
+    se = F.sqrt(F.try_divide(F.col("sd_c") ** 2, F.col("n_c")) + F.try_divide(F.col("sd_t") ** 2, F.col("n_t")))
     pooled = F.sqrt((F.col("sd_c") ** 2 + F.col("sd_t") ** 2) / 2)
     enough = (F.col("n_c") >= least) & (F.col("n_t") >= least)
     diff = F.col("mean_t") - F.col("mean_c")
@@ -76,7 +76,7 @@ def achieved_power(df: DataFrame, mean_c: str, sd_c: str, n_c: str, sd_t: str, n
     def phi(x: pd.Series) -> pd.Series:
         return x.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)))
 
-    se = F.sqrt(F.col(sd_c) ** 2 / F.col(n_c) + F.col(sd_t) ** 2 / F.col(n_t))
+    se = F.sqrt(F.try_divide(F.col(sd_c) ** 2, F.col(n_c)) + F.try_divide(F.col(sd_t) ** 2, F.col(n_t)))
     df = df.withColumn("__se", se).withColumn("__x", F.coalesce(F.when(F.col("__se") > 1e-12, effect * F.abs(mean_c) / F.col("__se") - z), F.lit(0.0)))
     none = (F.coalesce(F.col(n_c), F.lit(0)) == 0) | (F.coalesce(F.col(n_t), F.lit(0)) == 0)
     out = F.when(none, 0.0).when(F.col("__se") <= 1e-12, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), phi("__x"))))
@@ -122,10 +122,11 @@ def blended(confidence: Column, prior: Column, n: Column) -> Column:
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """The bounds of the score interval of a proportion; (0, 1) without data."""
+    n = F.nullif(n, F.lit(0))
     p = k / n
     mid, half = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    low = F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), (mid - half) / (1 + z * z / n)))
-    return low, F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), (mid + half) / (1 + z * z / n)))
+    low = F.when(n.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), (mid - half) / (1 + z * z / n)))
+    return low, F.when(n.isNull(), 1.0).otherwise(F.least(F.lit(1.0), (mid + half) / (1 + z * z / n)))
 
 
 def precision_by(df: DataFrame, rule: str, mark: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strideway import schemas as S
-from strideway.functions import text
+from strideway.functions import text, time
 from strideway.operators import graph, joins, layout, merge, ranking, setdiff, stats
 from strideway.plans import catalog_facts, reduce
 from strideway.streaming import watch
@@ -272,7 +272,7 @@ def role_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH b AS (SELECT TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (h) HOUR AS s FROM range(0, 744) t(h))
   SELECT epoch(s)::BIGINT AS bin, CAST(count(*) AS BIGINT) AS n FROM events JOIN b ON ts < s + INTERVAL 1 HOUR AND ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT)) > s GROUP BY s""")
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t0"), F.round(F.col("value") * 1000000).cast("bigint").alias("d"))
+    e = table(spark, sf_dir, "events").select("event_id", time.epoch_micros(F.col("ts")).alias("t0"), F.round(F.col("value") * 1000000).cast("bigint").alias("d"))
     bins = spark.range(0, 744).select((F.lit(1704067200) + F.col("id") * 3600).alias("bin"))
     hour = 3_600_000_000
     out = joins.interval_join(e, F.col("t0"), F.col("t0") + F.col("d"), bins, F.col("bin") * 1_000_000, (F.col("bin") + 3600) * 1_000_000, hour)
@@ -510,7 +510,7 @@ def absolute_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2""")
 def windowed_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = watch.rule_rates(table(spark, sf_dir, "events"), "event_type", "ts")
-    return out.select(F.unix_timestamp("start").alias("start"), "event_type", "n")
+    return out.select((time.epoch_micros(F.col("start")) / 1_000_000).cast("bigint").alias("start"), "event_type", "n")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

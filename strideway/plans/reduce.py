@@ -349,7 +349,8 @@ def interactions(df: DataFrame) -> DataFrame:
     entries = one.select(sites.alias("sites"), "cls", keep.alias("d")).select(F.explode("sites").alias("site"), "cls", "d")
     best = entries.groupBy("site", "cls").agg(F.max_by("d", F.struct(F.col("d.confidence"), -F.col("d.stage"), -F.col("d.ord"))).alias("d"))
     best = best.withColumn("__c", F.count("*").over(W.partitionBy("site"))).where("__c > 1").drop("__c")
-    per_site = best.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("cls", "d"))).alias("by"))
+    # read once for each template
+    per_site = storage.saved(best.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("cls", "d"))).alias("by")), "sites")
     found = None
     for ident, classes in S.INTERACTIONS:
         legs = [F.try_element_at("by", F.lit(c)) for c in classes]
