@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-from strideway.storage import BROADCAST_BYTES, saved, shared_dir, small, stored_bytes  # noqa: F401
+from strideway.storage import BROADCAST_BYTES, discard, saved, shared_dir, small, stored_bytes  # noqa: F401
 
 U64 = np.uint64
 _TABLE = np.random.Generator(np.random.PCG64(20240917)).integers(1, 2**63, 256, dtype=np.uint64) | U64(1)

@@ -128,14 +128,16 @@ def components(edges: DataFrame) -> DataFrame:
     number of rounds logarithmic in the longest chain. Each round is a table in the shared folder.
     """
     both = common.saved(edges.union(edges.select("b", "a")).distinct(), "edges")
-    labels = common.saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
+    held = labels = common.saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
     while True:
         seen = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("n")).agg(F.min("label").alias("near"))
         step = labels.join(seen, F.col("node") == F.col("n")).select("node", "label", F.least("label", "near").alias("new"))
         up = step.select(F.col("node").alias("p"), F.col("new").alias("of_p"))
         after = common.saved(step.join(up, F.col("new") == F.col("p")).select("node", "label", F.least("new", "of_p").alias("new")), "labels")
-        labels = after.select("node", F.col("new").alias("label"))
+        common.discard(held)
+        held, labels = after, after.select("node", F.col("new").alias("label"))
         if after.where("new <> label").isEmpty():
+            common.discard(both)
             return labels
 
 
