@@ -97,6 +97,17 @@ def test_graph_caps_are_errors(spark):
         graph.reachable(e, spark.createDataFrame([(0, 1)], "node int, mask int"), rounds=2)
 
 
+def test_one_task_and_rounds_agree(spark):
+    e = spark.createDataFrame([((i * 7) % 50, (i * 11 + 3) % 50, i % 3) for i in range(90)] + [(5, 5, 0)], "src int, dst int, weight int")
+    roots = spark.createDataFrame([(0, 1), (9, 2), (9, 4), (77, 8)], "node int, mask int")
+    seeds = spark.createDataFrame([(0, 0), (77, 9)], "node int, depth int")
+    for f, start, args in ((graph.reachable, roots, ()), (graph.max_relax, seeds, (4,))):
+        one, many = f(e, start, *args), f(e, start, *args, rounds=100)
+        assert one.schema.simpleString() == many.schema.simpleString()
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+        assert f(e.where("false"), start.where("false"), *args).count() == 0
+
+
 def test_calls(spark):
     args = frame(spark, "callee string, slot int, fn string, caller string, in_loop boolean", ("pthread_create", 2, "w", "main", False), ("std::thread", 0, "p", "main", True), ("std::async", 0, "twice", "a", False), ("std::async", 1, "twice", "b", False), ("spawn", 1, "late", "a", False), ("spawn", 1, "late", "b", False), ("pthread_create", 1, "no", "m", False))
     assert {r.fn: r.pool for r in calls.thread_entries(args).collect()} == {"w": False, "p": True, "twice": True}
