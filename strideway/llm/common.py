@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 from strideway.storage import BROADCAST_BYTES, discard, saved, shared_dir, small, stored_bytes  # noqa: F401
 
@@ -99,5 +102,29 @@ def chunks(texts: Iterable[str | None], limit: int = CHUNK_CHARS) -> Iterator[tu
         yield begin, i + 1
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, so that few texts are Python strings at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def trimmed(run):
+    """A task's function that gives freed memory back when it ends: workers are used again and would keep each stage's peak."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library
+
+    return task
+
+
 def env_path(name: str, default: str) -> str:
     return os.environ.get(name, default)

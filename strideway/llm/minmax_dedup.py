@@ -70,6 +70,7 @@ def signatures(texts: list[str]) -> np.ndarray:
     return out
 
 
+@common.trimmed
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
@@ -79,6 +80,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in sig], pa.binary())], ["doc_id", "sig"])
 
 
+@common.trimmed
 def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
@@ -107,6 +109,7 @@ def forest(sig: np.ndarray, need: float) -> list[tuple[int, int]]:
 
 
 def _link(need: float):
+    @common.trimmed
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []

@@ -245,6 +245,7 @@ def encoder(path: str = VOCAB):
 
 
 def _write(path: str):
+    @common.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, vocab = encoder(path)
         task = TaskContext.get()
@@ -271,7 +272,7 @@ def _write(path: str):
             ready.clear()
             return pa.RecordBatch.from_arrays(cols, ["block_id", "doc_ids", "lengths", "continued", "n_tokens", "payload", "crc32"])
 
-        for batch in batches:
+        for batch in common.slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 doc_ids.append(doc_id)
                 if not text:

@@ -148,6 +148,7 @@ class Matcher:
         return words, hits, weight
 
 
+@common.trimmed
 def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         count: dict[tuple[str, int], list[int]] = {}
@@ -194,6 +195,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS) -> dict[st
 
 
 def _score(learned: dict[str, float]):
+    @common.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = Matcher(LEXICON, learned)
         for batch in batches:
@@ -222,6 +224,7 @@ def reject(docs: DataFrame, labels: DataFrame | None = None, threshold: float =
     """``docs`` without the rows whose text scores ``threshold`` or more, in one pass over them."""
     learned = learn(docs, labels) if labels is not None else {}
 
+    @common.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = Matcher(LEXICON, learned)
         for batch in batches:

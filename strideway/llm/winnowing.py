@@ -48,6 +48,7 @@ def winnow(words: np.ndarray, offsets: np.ndarray, gram: int = GRAM, window: int
 
 
 def _fingerprints(known: np.ndarray | None):
+    @common.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
@@ -82,6 +83,7 @@ def extend(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int, int]
 
 
 def _extend(least: int):
+    @common.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
