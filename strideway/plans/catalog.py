@@ -222,26 +222,32 @@ def path_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setdiff.without_common_prefix(p, "url", "rest").select("page_id", "rest")
 
 
+#: The least modulus of the graph of parts, also that of the SQL; a larger table takes its number of rows.
 GRAPH_NODES = 2000
 
 
+def part_edges(p: DataFrame) -> DataFrame:
+    """(src, dst) of all parts: p to (7p + 3) mod N and to p // 2, N being the number of parts, ``GRAPH_NODES`` at least."""
+    total = F.broadcast(p.agg(F.greatest(F.count("*"), F.lit(GRAPH_NODES)).alias("total")))  # one row
+    jumps = p.crossJoin(total).select(F.col("p_partkey").alias("src"), ((7 * F.col("p_partkey") + 3) % F.col("total")).alias("dst"))
+    return jumps.union(p.select("p_partkey", F.floor(F.col("p_partkey") / 2)))
+
+
 @query(f"""WITH RECURSIVE e AS (SELECT p_partkey AS src, (7 * p_partkey + 3) % {GRAPH_NODES} AS dst FROM part WHERE p_partkey < {GRAPH_NODES} UNION SELECT p_partkey, p_partkey // 2 FROM part WHERE p_partkey < {GRAPH_NODES}),
   r(node, bit) AS (SELECT p_partkey, 1 FROM part WHERE p_partkey < 5 UNION SELECT p_partkey, 2 FROM part WHERE p_partkey BETWEEN 100 AND 104 UNION SELECT dst, bit FROM r JOIN e ON src = node)
   SELECT node, CAST(bit_or(bit) AS INTEGER) AS mask FROM r GROUP BY node""")
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where(F.col("p_partkey") < GRAPH_NODES).select("p_partkey")
-    edges = p.select(F.col("p_partkey").alias("src"), ((7 * F.col("p_partkey") + 3) % GRAPH_NODES).alias("dst")).union(p.select("p_partkey", F.floor(F.col("p_partkey") / 2)))
+    p = table(spark, sf_dir, "part").select("p_partkey")
     roots = p.where("p_partkey < 5").select(F.col("p_partkey").alias("node"), F.lit(1).alias("mask")).union(p.where("p_partkey BETWEEN 100 AND 104").select("p_partkey", F.lit(2)))
-    return graph.reachable(edges, roots)
+    return graph.reachable(part_edges(p), roots)
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT p_partkey AS src, (7 * p_partkey + 3) % {GRAPH_NODES} AS dst FROM part WHERE p_partkey < {GRAPH_NODES} UNION SELECT p_partkey, p_partkey // 2 FROM part WHERE p_partkey < {GRAPH_NODES}),
   r(node, hops) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey < 5 UNION SELECT dst, hops + 1 FROM r JOIN e ON src = node WHERE hops < 5)
   SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY node""")
 def bounded_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where(F.col("p_partkey") < GRAPH_NODES).select("p_partkey")
-    edges = p.select(F.col("p_partkey").alias("src"), ((7 * F.col("p_partkey") + 3) % GRAPH_NODES).alias("dst")).union(p.select("p_partkey", F.floor(F.col("p_partkey") / 2)))
-    return graph.within(edges, p.where("p_partkey < 5").select(F.col("p_partkey").alias("node")), 5)
+    p = table(spark, sf_dir, "part").select("p_partkey")
+    return graph.within(part_edges(p), p.where("p_partkey < 5").select(F.col("p_partkey").alias("node")), 5)
 
 
 @query("""WITH RECURSIVE e AS (SELECT p_partkey AS src, 2 * p_partkey + k AS dst, CAST(p_size % 10 = 0 AS INTEGER) AS w FROM part, (VALUES (1), (2)) t(k) WHERE 2 * p_partkey + k < (SELECT count(*) FROM part)),
