@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strideway import schemas as S
+from strideway import storage
 from strideway.functions import text
-from strideway.operators import graph
+from strideway.operators import graph, joins
 
 #: Argument slots that a spawned function is passed in.
 SPAWNERS = [("pthread_create", 2), ("thrd_create", 1), ("std::async", 0), ("std::async", 1), ("std::thread", 0), ("std::jthread", 0)]
@@ -140,32 +142,110 @@ def ir_profiles(instructions: DataFrame) -> DataFrame:
     return instructions.groupBy("fn").agg(F.max("block").alias("blocks"), F.sum(F.when(F.col("kind") == "alloca", F.col("bytes")).otherwise(0)).alias("frame"), k("heap_call"), k("call"), k("indirect_call"), k("atomic"), F.bool_or(F.coalesce((F.col("kind") == "atomic") & (F.col("ordering") == "seq_cst"), F.lit(False))).alias("seq_cst"))
 
 
+#: Rules whose findings lowered code speaks for or against.
+REFINED = ("FL010", "FL011", "FL012", "FL020", "FL021", "FL030", "FL031")
+ANONYMOUS = "(anonymous namespace)::"
+
+
+def _pieces(demangled: Column) -> Column:
+    """What the last component of a name that matches ``demangled`` can be: its components up to each ``(`` or ``<``, and the last as a whole."""
+    parts = F.filter(F.split(demangled, "::"), lambda c: c != "")
+    cut = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.when(c.substr(i, F.lit(1)).isin("(", "<"), c.substr(F.lit(1), i - 1)))
+    return F.array_distinct(F.filter(F.concat(F.flatten(F.transform(parts, cut)), F.array(F.substring_index(demangled, "::", -1))), lambda c: c.isNotNull() & (c != "")))
+
+
+def _within(demangled: Column, name: Column) -> Column:
+    """Whether the name stands in a demangled one from its start or a ``::`` up to its end, a ``(`` or a ``<``."""
+    return F.rlike(demangled, F.concat(F.lit(r"(?:\A|(?<=::))\Q"), name, F.lit(r"\E(?:\z|(?=[(<]))")))
+
+
+def resolved_profiles(wanted: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Each distinct (name, file, line) with the measures of its profile, nulls without one.
+
+    By mangled name, else exact demangled name, else component match, else that of the name without anonymous namespaces, else a line in
+    a file of which one path ends with the other; of equals the lowest mangled name. Only the last component of names is joined on.
+    """
+    bare = F.replace("name", F.lit(ANONYMOUS), F.lit(""))
+    last = lambda c: F.substring_index(c, "::", -1)
+    own = storage.saved(wanted.withColumn("bare", bare).withColumns({"piece": last("name"), "bare_piece": last("bare"), "base": text.base_name(F.col("file"))}), "wanted")
+    p = storage.saved(profiles.withColumn("base", text.base_name(F.col("file"))), "profiles")
+    pieces = storage.saved(p.withColumn("piece", F.explode(_pieces(F.col("demangled")))), "pieces")
+    left, right = (lambda c, side=side: F.col(f"{side}.{c}") for side in "lr")
+    named = left("name") != ""
+    ends = lambda a, b: F.endswith(a, F.concat(F.lit("/"), b))
+    same_file = (left("file") == right("file")) | ends(left("file"), right("file")) | ends(right("file"), left("file"))
+    candidates = [
+        (0, p, named & (left("name") == right("mangled"))),
+        (1, p, named & (left("name") == right("demangled"))),
+        (2, pieces, (left("piece") == right("piece")) & _within(right("demangled"), left("name"))),
+        (3, pieces, (left("bare") != left("name")) & (left("bare_piece") == right("piece")) & _within(right("demangled"), left("bare"))),
+        (4, p, (left("base") == right("base")) & (left("line") == right("line")) & (left("line") > 0) & (left("file") != "") & (right("file") != "") & same_file),
+    ]
+    measures = [c for c in profiles.columns if c not in ("demangled", "file", "line")]
+    out = joins.ranked_lookup(own, ["name", "file", "line"], candidates, [F.col("mangled")], measures)
+    return out.select("name", "file", "line", *measures)
+
+
 def refined(findings: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Confidences moved by what lowered code keeps of a finding (``site`` where its line has the operation), clamped; frames below the threshold are suppressed.
+    """Confidences, tiers and notes by what lowered code keeps of a finding, clamped; frames below the threshold are suppressed.
 
-    ``profiles`` has one row a finding's function: fn, site_lines array, seq_csts, heap_calls, calls, indirect_calls, atomics, locks, frame.
+    ``profiles`` is S.PROFILE, a row a lowered function: its names, where it is declared, the lines of its sequentially consistent atomics
+    and of its compare-exchanges, and counts. Columns that are missing are taken as unknown; ``fn`` may stand for ``mangled``.
     """
-    p = profiles.withColumnRenamed("fn", "__fn")
-    out = findings.join(p, F.col("fn") == F.col("__fn"), "left")
-    there = F.col("__fn").isNotNull() & ~F.col("suppressed")
-    site = F.coalesce(F.array_contains("site_lines", F.col("line")), F.lit(False))
-    r, c = F.col("rule"), F.col("confidence")
-    up = lambda d, most: F.least(c + d, F.greatest(F.lit(most), c))
-    down = lambda d, least: F.greatest(c - d, F.least(F.lit(least), c))
-    new = (
-        F.when(~there, c)
-        .when(r == "FL010", F.when(site, up(0.10, 0.98)).when(F.col("seq_csts") > 0, up(0.05, 0.95)).otherwise(down(0.20, 0.30)))
-        .when((r == "FL011") & (F.col("atomics") > 0), up(0.10, 0.95))
-        .when((r == "FL012") & (F.col("locks") > 0), up(0.05, 0.92))
-        .when(r == "FL020", F.when(F.col("heap_calls") > 0, up(0.05, 0.92)).otherwise(down(0.15, 0.40)))
-        .when((r == "FL021") & (F.col("frame") > 0), up(0.10, 0.98))
-        .when(r == "FL030", F.when(F.col("indirect_calls") > 0, up(0.10, 0.95)).otherwise(down(0.25, 0.30)))
-        .when(r == "FL031", F.when(F.col("indirect_calls") > 0, up(0.10, 0.95)).otherwise(down(0.20, 0.35)))
-        .otherwise(c)
-    )
-    small = there & (r == "FL021") & (F.col("frame") > 0) & (F.col("frame") < text.leading_number(F.try_element_at("evidence", F.lit("threshold"))))
-    proven = there & (((r == "FL010") & site) | ((r == "FL011") & (F.col("atomics") > 0) & site) | ((r == "FL021") & (F.col("frame") > 0) & ~small))
-    return out.withColumns({"confidence": F.when(small, c).otherwise(new), "tier": F.when(F.coalesce(proven, F.lit(False)), S.PROVEN).otherwise(F.col("tier")), "suppressed": F.col("suppressed") | F.coalesce(small, F.lit(False))}).select(findings.columns)
+    from strideway.plans import reduce as R
+
+    known = {"mangled": F.col("fn") if "fn" in profiles.columns else None, "atomic_writes": F.col("atomics"), "located_writes": F.size("site_lines").cast("bigint")}
+    fill = {f.name: known.get(f.name, F.lit(None).cast(f.dataType)) for f in T._parse_datatype_string(S.PROFILE) if f.name not in profiles.columns}
+    p = profiles.withColumns(fill).select(*(f.name for f in T._parse_datatype_string(S.PROFILE)))
+    name = F.coalesce(F.nullif("fn", F.lit("")), F.nullif(R.ev("function"), F.lit("")), F.nullif(R.ev("caller"), F.lit("")), F.lit(""))
+    mine = findings.where(F.col("rule").isin(*REFINED)).withColumns({"__name": name, "__file": F.coalesce("file", F.lit("")), "__line": F.coalesce("line", F.lit(0))})
+    found = resolved_profiles(mine.select(F.col("__name").alias("name"), F.col("__file").alias("file"), F.col("__line").alias("line")).distinct(), p)
+    found = found.select(*(F.col(c).alias(f"__{c}") for c in found.columns))
+    m = lambda k: F.coalesce(f"__{k}", F.lit(0))
+    out = mine.join(found, ["__name", "__file", "__line"], "left")
+    there = F.col("__mangled").isNotNull() & ~F.col("suppressed")
+    at = lambda k: F.coalesce(F.array_contains(f"__{k}", F.col("line")) & (F.col("line") > 0), F.lit(False))
+    r, c, frame = F.col("rule"), F.col("confidence"), m("frame")
+    moved = lambda d, least, most: F.greatest(F.lit(least), F.least(F.lit(most), c + d))
+    say = lambda n, what: F.concat(F.lit("lowered code: "), n.cast("string"), F.lit(f" {what}"))
+    small = (frame > 0) & (frame < text.leading_number(R.ev("threshold")))
+    # rule, condition, confidence, note, proven; the first that holds counts
+    steps = [
+        ("FL010", at("site_lines"), moved(0.10, 0.10, 0.98), F.lit("lowered code: sequentially consistent at this line"), F.lit(True)),
+        ("FL010", m("seq_csts") > 0, moved(0.05, 0.10, 0.92), say(m("seq_csts"), "sequentially consistent, none at this line"), F.lit(False)),
+        ("FL010", m("atomics") > 0, moved(-0.20, 0.30, 0.98), F.lit("lowered code: nothing sequentially consistent is left"), F.lit(False)),
+        ("FL011", m("atomic_writes") > 0, moved(0.10, 0.10, 0.95), say(m("atomic_writes"), "atomic writes"), m("located_writes") > 0),
+        ("FL012", m("locks") > 0, moved(0.05, 0.10, 0.95), say(m("locks"), "locks"), at("lock_lines")),
+        ("FL020", m("heap_calls") > 0, moved(0.05, 0.10, 0.98), say(m("heap_calls"), "heap calls"), F.lit(False)),
+        ("FL020", F.lit(True), moved(-0.15, 0.40, 0.98), F.lit("lowered code: no heap calls are left"), F.lit(False)),
+        ("FL021", small, c, say(frame, "bytes of frame, below the threshold"), F.lit(False)),
+        ("FL021", frame > 0, moved(0.10, 0.10, 0.95), say(frame, "bytes of frame"), F.lit(True)),
+        ("FL021", F.lit(True), c, say(frame, "bytes of frame"), F.lit(False)),
+        ("FL030", m("indirect_calls") > 0, moved(0.10, 0.10, 0.95), say(m("indirect_calls"), "indirect calls"), F.lit(False)),
+        ("FL030", m("calls") > 0, moved(-0.25, 0.30, 0.98), F.lit("lowered code: all calls are direct"), F.lit(False)),
+        ("FL031", m("indirect_calls") > 0, moved(0.10, 0.10, 0.95), say(m("indirect_calls"), "indirect calls"), F.lit(False)),
+        ("FL031", F.lit(True), moved(-0.20, 0.35, 0.98), F.lit("lowered code: no indirect calls are left"), F.lit(False)),
+    ]
+    did = F.lit(None).cast("struct<confidence:double,note:string,proven:boolean>")
+    for rule, cond, new, note, proven in reversed(steps):
+        did = F.when(there & (r == rule) & cond, F.struct(new.alias("confidence"), note.alias("note"), proven.alias("proven"))).otherwise(did)
+    out = out.withColumn("__did", did)
+    hit, framed = F.col("__did").isNotNull(), (r == "FL021") & (frame > 0)
+    out = out.withColumns(
+        {
+            "confidence": F.coalesce("__did.confidence", "confidence"),
+            "tier": F.when(F.coalesce("__did.proven", F.lit(False)), S.PROVEN).otherwise(F.col("tier")),
+            "escalations": R.noted(hit, F.col("__did.note")),
+            "suppressed": F.col("suppressed") | (hit & (r == "FL021") & small),
+            "evidence": F.when(hit & framed & ~small, R.put(F.col("evidence"), ir_frame=F.concat(frame.cast("string"), F.lit("B")))).otherwise(F.col("evidence")),
+        }
+    ).select(findings.columns)
+    # compound findings of records only note what the whole program keeps
+    whole = p.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(f"__{k}") for k in ("atomic_writes", "fences", "indirect_calls")))
+    rest = findings.where(~F.col("rule").isin(*REFINED)).crossJoin(F.broadcast(whole))  # one row
+    told = ~F.col("suppressed") & F.col("rule").isin("FL090", "FL091") & ((F.col("__atomic_writes") > 0) | (F.col("__fences") > 0))
+    note = F.concat(F.lit("lowered code: "), "__atomic_writes", F.lit(" atomic writes, "), "__fences", F.lit(" fences, "), "__indirect_calls", F.lit(" indirect calls in all"))
+    return out.unionByName(rest.withColumn("escalations", R.noted(told, note)).select(findings.columns))
 
 
 #: What an experiment on a class measures.

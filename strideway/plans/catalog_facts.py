@@ -52,7 +52,12 @@ def canary(spark: SparkSession) -> tuple[DataFrame, reduce.Facts]:
     shared = ("atomics", "published", "thread_writers", "standing")
     signals = spark.createDataFrame([(t, *flags(*shared), 2) for t in ("AmplifiedCounters", "PoolCounters", "OrderQueue", "Stats", "SharedRegistry")] + [("CompactOrder", *flags("layout"), 1)], S.SIGNAL)
     fn = lambda *names: spark.createDataFrame([(n,) for n in names], "fn string")
+    lowered = [
+        ("_Z7publishv", "publish()", "core.cpp", 1, [1], 1, 2, 2, 2, 0, 0, 1, 0, 0, [], 0), ("_Z6decodePKc", "decode(char const*)", "core.cpp", 11, [], 0, 0, 0, 0, 0, 0, 1, 0, 0, [], 8256),
+        ("_Z8dispatchRK5Order", "dispatch(Order const&)", "core.cpp", 12, [], 0, 0, 0, 0, 0, 0, 1, 3, 0, [], 0), ("_Z5routev", "route()", "core.cpp", 4, [], 0, 0, 0, 0, 0, 1, 4, 0, 2, [], 0),
+    ]
     facts = reduce.Facts(
+        profiles=spark.createDataFrame(lowered, S.PROFILE),
         signals=signals,
         edges=spark.createDataFrame([("main", "mainSide", 0), ("workerEntry", "dispatch", 1), ("dispatch", "match", 1)], "src string, dst string, loop_depth int"),
         own_depth=spark.createDataFrame([("match", 2)], "fn string, depth int"),

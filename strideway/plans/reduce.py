@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from strideway import schemas as S
 from strideway import storage
 from strideway.functions import text
-from strideway.operators import graph, joins, merge, ranking
+from strideway.operators import calls, graph, joins, merge, ranking
 
 HOT_EFFECT = "this code runs often"
 RECEIVER_EFFECT = "receiver type varies"
@@ -37,6 +37,7 @@ class Facts:
     overridden: DataFrame | None = None  # fn
     striped: DataFrame | None = None  # S.STRIPED
     failures: DataFrame | None = None  # file, error
+    profiles: DataFrame | None = None  # S.PROFILE
     units: int = 2
     main_patterns: list[str] = field(default_factory=list)
     entry_patterns: list[str] = field(default_factory=list)
@@ -104,6 +105,13 @@ def global_writes(df: DataFrame) -> DataFrame:
     ).drop("__w", "__l", "__i")
 
 
+def ir_refinement(df: DataFrame, f: Facts) -> DataFrame:
+    """Findings moved by the lowered code of their functions."""
+    if f.profiles is None:
+        return df
+    return calls.refined(storage.saved(df, "unrefined"), f.profiles)
+
+
 def merged_signals(signals: DataFrame) -> DataFrame:
     return merge.merge_facts(signals, ["type"], any_of=S.SIGNAL_FLAGS, sums=["accessors"])
 
@@ -513,7 +521,7 @@ def status(n_findings: int, n_failures: int) -> int:
 def run(findings: DataFrame, f: Facts, root: str | None = None, severity: int = S.INFO, tier: int = S.SPECULATIVE, registry: DataFrame | None = None, priors: DataFrame | None = None, policies: dict | None = None) -> DataFrame:
     """All steps in order; the result has the findings' columns, in output order."""
     columns = findings.columns
-    df = global_writes(canonical(findings))
+    df = ir_refinement(global_writes(canonical(findings)), f)
     df = sharing_verdict(escape_suppression(df, f), f)
     roles = storage.saved(r, "roles") if f.edges is not None and (r := thread_roles(f)) is not None else None
     df = role_escalation(df, f, roles)

@@ -23,6 +23,11 @@ FINDING = (
 SIGNAL_FLAGS = "atomics sync shared_owner volatiles published thread_writers global_instance thread_borne standing layout".split()
 SIGNAL = "type string, " + ", ".join(f"{f} boolean" for f in SIGNAL_FLAGS) + ", accessors int"
 STRIPED = "key string, name string, type string, file string, line int, elem_size bigint, elem_count bigint, decl_align bigint, atomic boolean, volatile boolean, static boolean, tls boolean, head_pad boolean, writer_tier int, writers array<string>, aggregators array<string>"
+#: Lowered code of a function: the lines of sequentially consistent atomics and of compare-exchanges are those of its own file; locks are calls and compare-exchanges.
+PROFILE = (
+    "mangled string, demangled string, file string, line int, site_lines array<int>, seq_csts bigint, atomics bigint, atomic_writes bigint, located_writes bigint, "
+    "fences bigint, heap_calls bigint, calls bigint, indirect_calls bigint, locks bigint, lock_lines array<int>, frame bigint"
+)
 
 #: Hazard class by rule; rules without one take no part in interactions.
 CLASSES = {
