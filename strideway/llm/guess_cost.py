@@ -34,10 +34,17 @@ JOIN = math.log10(2)
 LONGEST_UNIT, LEAST_WORD, LEAST_WALK = 64, 3, 3
 
 _KEY = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth(?:orization)?|credentials?)"
-_SIGN = r"[\"']?[ \t]{0,8}(?::=|=>|=|:)"
+_SIGN = r"[\"']?[ \t]*(?::=|=>|=|:)"
 #: Cheap test of whole texts, without captures, so that most rows never leave Arrow.
 HINT = f"(?i){_KEY}{_SIGN}"
-CONTEXT = re.compile(rf"({_KEY}){_SIGN}[ \t]{{0,8}}(?:(?:bearer|basic)[ \t]+)?(?:\"([^\"\n]+)\"|'([^'\n]+)'|([^\s\"'<>,;]+))", re.I)
+#: A bare value ends at a blank, at a closing tag or line break, or where punctuation leads to the next key and sign.
+_BARE = rf"(?:(?![\"'<>,;&][^\s\"'<>,;&]*?{_KEY}{_SIGN}|</[a-z][a-z0-9]*>|<br */?>)\S)+"
+#: A value that is itself a key and a sign, with a value after them; it is passed over before it is read.
+_ITSELF = rf"[\"'(\[{{<]*[\w.-]*?{_KEY}{_SIGN}[ \t]*+\S"
+CONTEXT = re.compile(rf"({_KEY}){_SIGN}[ \t]*+(?:(?:bearer|basic)[ \t]+)?+(?!{_ITSELF})(?:\"([^\"\n]+)\"|'([^'\n]+)'|[\"']?({_BARE}))", re.I)
+_OPEN = {'"': re.compile('"'), "'": re.compile(r"(?<!\w)'|'(?!\w)")}
+#: What is not a bare value's own at its end.
+_TRAILING = ",;\"'<>"
 
 #: Well-known passwords and placeholders, the commonest first.
 KNOWN = (
@@ -195,10 +202,23 @@ def cheapest(value: str, auto: ahocorasick.Automaton, units: dict[str, float] |
 
 
 def values(text: str) -> Iterator[tuple[int, str, str]]:
-    """(place, key, value) of the credential contexts of a text."""
-    for m in CONTEXT.finditer(text):
-        k = m.lastindex
-        yield m.start(k), m.group(1).lower(), m.group(k)
+    """(place, key, value) of the credential contexts of a text.
+
+    A bare value runs to the next blank without punctuation at its end, or to the quote that was open before its key. A value that is
+    itself a key and a sign is none; the search goes on inside it.
+    """
+    at = 0
+    while m := CONTEXT.search(text, at):
+        k, at = m.lastindex, m.end()
+        start, value = m.start(k), m.group(k)
+        if k == 4:
+            line = text.rfind("\n", 0, m.start()) + 1
+            for q, marks in _OPEN.items():
+                if (cut := value.find(q)) >= 0 and sum(1 for _ in marks.finditer(text, line, m.start())) % 2:
+                    value, at = value[:cut], start + cut
+            value = value.rstrip(_TRAILING)
+        if value:
+            yield start, m.group(1).lower(), value
 
 
 SCHEMA = "doc_id bigint, place int, context string, n_chars int, log10_guesses double, segments string, secret boolean"
