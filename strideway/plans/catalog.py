@@ -460,7 +460,7 @@ def achieved_power(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where("event_type IN ('view', 'click')").withColumn("half", F.col("user_id") % 2)
-    return stats.bootstrap_ci(e, ["half"], "event_type", "value", "view", "click", 0.05, reps=500)
+    return stats.bootstrap_ci(e, ["half"], "event_type", "value", "view", "click", 0.05)
 
 
 @query()
