@@ -24,7 +24,7 @@ def op3_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cover_tree.near_pairs(table(spark, sf_dir, "embeddings"))
+    return cover_tree.classes(table(spark, sf_dir, "embeddings"))
 
 
 def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,9 +65,10 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op4_cover_tree": """
-        WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL)
-        SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(max(list_cosine_similarity(a.v, b.v)), 6) AS cosine
-        FROM e a JOIN e b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v)
-        WHERE list_cosine_similarity(a.v, b.v) >= 0.95
-        GROUP BY 1, 2""",
+        WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+        p AS (SELECT DISTINCT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+          WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+        r(node, label) AS (SELECT DISTINCT vec_id, vec_id FROM embeddings WHERE vec_id IS NOT NULL
+          UNION SELECT p.b, r.label FROM r JOIN p ON p.a = r.node WHERE r.label < p.b)
+        SELECT node AS vec_id, min(label) AS class_id, (SELECT count(*) FROM p WHERE p.a = node) AS links FROM r GROUP BY node""",
 }
