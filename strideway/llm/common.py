@@ -43,7 +43,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 _POW: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers, at least, of an odd base and of its inverse."""
     if not _POW or len(_POW[0]) < n:
         size = max(1 << 20, 1 << (n - 1).bit_length())
         both = []
@@ -67,7 +68,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     is_word = _WORD[a]
     edge = np.flatnonzero(np.diff(is_word, prepend=False))
     s, e = edge[::2], edge[1::2]
-    power, inverse = _powers(len(a) + 1)
+    power, inverse = powers(len(a) + 1)
     total = np.zeros(len(a) + 1, U64)
     np.cumsum(_TABLE[a] * power[: len(a)], out=total[1:])
     return mix((total[e] - total[s]) * inverse[s]), np.searchsorted(s, starts)
@@ -89,6 +90,77 @@ def gram_hashes(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     return mix(g[keep]), out
 
 
+def runs_of(a: np.ndarray, least: int = 1) -> np.ndarray:
+    """(start, end, period) of the maximal repetitions in ``a`` that hold their period, of ``least`` or more, at least twice; of one stretch the least period.
+
+    For periods from 2 L to 4 L, L a power of two, every L-th run of L numbers is looked up among all runs of L numbers: a repetition has
+    one of them in its first round, and the same a period later. Hashes find how far a match extends; matches are then compared number by number.
+    """
+    n = len(a)
+    none = np.zeros((0, 3), np.int64)
+    if n < 2 * least:
+        return none
+    power, inverse = powers(n + 1)
+    upto = np.zeros(n + 1, U64)
+    np.cumsum(mix(a.astype(U64) + U64(1)) * power[:n], out=upto[1:])
+    of = lambda i, size: (upto[i + size] - upto[i]) * inverse[i]
+    found = [none]
+    size = 1
+    while 4 * size <= least:
+        size *= 2
+    while size == 1 or 4 * size <= n:
+        first = least if size == 1 else max(2 * size, least)
+        every = of(np.arange(n - size + 1), size)
+        order = np.argsort(every, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        ends = np.searchsorted(every[order], every[order], "right")
+        # inside a known repetition nothing else repeats
+        inside = np.zeros(n, np.int64)
+        known = np.concatenate(found)
+        np.maximum.at(inside, known[:, 0], known[:, 1])
+        inside = np.maximum.accumulate(inside)
+        p = np.arange(0, n - size + 1, size)
+        p = p[inside[p] < np.minimum(p + 5 * size, n)]
+        k, last = rank[p] + 1, ends[rank[p]]
+        pairs = []
+        while len(p):
+            there = k < last
+            p, k, last = p[there], k[there], last[there]
+            gap = order[k] - p
+            near = gap < 4 * size
+            hit = near & (gap >= first)
+            pairs.append(np.stack([p[hit], gap[hit]], axis=1))
+            p, k, last = p[near], k[near] + 1, last[near]
+        both = np.concatenate([*pairs, none[:, :2]])
+        size *= 2
+        p, u = both[:, 0], both[:, 1]
+        q = p + u
+        fore, back = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+        step = 1 << int(n).bit_length()
+        while step and len(p):
+            ok = np.flatnonzero(q + fore + step <= n)
+            ok = ok[of(p[ok] + fore[ok], step) == of(q[ok] + fore[ok], step)]
+            fore[ok] += step
+            ok = np.flatnonzero(p - back - step >= 0)
+            ok = ok[of(p[ok] - back[ok] - step, step) == of(q[ok] - back[ok] - step, step)]
+            back[ok] += step
+            step >>= 1
+        runs = np.unique(np.stack([p - back, q + fore, u], axis=1)[fore + back >= u], axis=0)
+        known = np.unique(np.concatenate([known, runs]), axis=0)  # by stretch, then period
+        fresh = np.ones(len(known), bool)
+        fresh[1:] = (known[1:, :2] != known[:-1, :2]).any(axis=1)
+        found = [known[fresh]]
+    runs = found[0]
+    keep = [bool((a[s : e - w] == a[s + w : e]).all()) for s, e, w in runs.tolist()]
+    return runs[np.array(keep, bool)]
+
+
+def quoted(columns: list[str]) -> list[str]:
+    """Names that ``select`` takes as they are, whatever is in them."""
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
+
+
 def chunks(texts: Iterable[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Index ranges of about ``limit`` characters, so that work arrays stay in cache; a longer text is a range of its own."""
     begin = size = i = 0

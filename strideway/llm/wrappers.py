@@ -12,6 +12,8 @@ Only skeletons reach one place, once for a host and layout; texts are counted by
 
 Defined results: a null html has null text and no slots, an empty one empty text. Pages of null or hostless urls share the
 empty host. The slots of a host with one page are all content. Repeated rows give repeated results and no evidence of template.
+Layouts that equally many pages have are aligned in the order of their text. Very long pages are read in whole, in time that grows
+little faster than they do. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,40 +38,73 @@ _SPACE = re.compile(r"\s+")
 #: Elements whose texts are not content.
 CHROME = frozenset("nav header footer aside title noscript button select form menu template".split())
 CHROME_CLASSES = frozenset("ad ads advert advertisement banner sidebar breadcrumb breadcrumbs nav navbar menu footer header cookie share social".split())
+#: Of these, elements that may also enclose a page's content.
+WRAPS = frozenset("form header aside menu template".split())
+NEVER_WRAPS = frozenset("nav navbar footer breadcrumb breadcrumbs".split())
 TEXT = "#"
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
 def tokens(page: str) -> tuple[list[str], list[str]]:
-    """The symbols of a page, tags (with their class) or ``#``, ``~#`` inside chrome; and the texts in order."""
+    """The symbols of a page, tags (with their class) or ``#``, ``~#`` inside chrome; and the texts in order.
+
+    A form, header, aside or the like that holds more than half of the page's text is no chrome: it encloses the content.
+    """
     symbols: list[str] = []
     texts: list[str] = []
-    chrome: list[str] = []
+    where: list[int] = []  # each text's innermost open element of such a name, -1 for none
+    outer: list[int] = []  # by element, the one around it
+    wraps: list[bool] = []  # by element, whether it may enclose the content
+    chrome: list[tuple[str, int]] = []
+    names: dict[str, int] = {}
     for m in TOKEN.finditer(page):
         tag, text = m.group(2), m.group(4)
         if text is not None:
             text = _SPACE.sub(" ", html.unescape(text) if "&" in text else text).strip()
             if not text:
                 continue
-            if symbols and symbols[-1][-1:] == TEXT:
+            if symbols and symbols[-1] == TEXT:
                 texts[-1] += " " + text
             else:
-                symbols.append("~" + TEXT if chrome else TEXT)
+                symbols.append(TEXT)
                 texts.append(text)
+                where.append(chrome[-1][1] if chrome else -1)
         elif tag is not None:
             tag = tag.lower()
             if tag[0] == "/":
-                if tag[1:] in chrome:
-                    while chrome.pop() != tag[1:]:
-                        pass  # what it leaves open ends with it
+                if names.get(tag[1:]):
+                    while True:  # what it leaves open ends with it
+                        name, _ = chrome.pop()
+                        names[name] -= 1
+                        if name == tag[1:]:
+                            break
             else:
                 kinds: list[str] = []
                 if "class" in m.group(3).lower() and (c := _CLASS.search(m.group(3))):
                     kinds = sorted({*(c.group(1) or c.group(2) or c.group(3) or "").split()})
-                if tag in CHROME or tag in chrome or (tag not in VOID and not CHROME_CLASSES.isdisjoint(kinds)):
-                    chrome.append(tag)  # inside, elements of its name count up to its own end
+                named = tag in CHROME or (tag not in VOID and not CHROME_CLASSES.isdisjoint(kinds))
+                if named or names.get(tag):  # inside, elements of its name count up to its own end
+                    chrome.append((tag, len(outer) if named else chrome[-1][1]))
+                    names[tag] = names.get(tag, 0) + 1
+                    if named:
+                        outer.append(chrome[-2][1] if len(chrome) > 1 else -1)
+                        wraps.append(tag in WRAPS if tag in CHROME else NEVER_WRAPS.isdisjoint(kinds))
                 tag = ".".join([tag, *kinds])
             symbols.append("<" + _MARKS.sub("_", tag) + ">")
+    if outer:
+        held = [0] * len(outer)
+        for k, t in zip(where, texts):
+            if k >= 0:
+                held[k] += len(t)
+        for k in range(len(outer) - 1, -1, -1):  # an element comes after the one around it
+            if outer[k] >= 0:
+                held[outer[k]] += held[k]
+        most = sum(map(len, texts)) / 2
+        is_chrome = [False] * len(outer)
+        for k in range(len(outer)):
+            is_chrome[k] = not wraps[k] or held[k] <= most or (outer[k] >= 0 and is_chrome[outer[k]])
+        marks = iter(where)
+        symbols = ["~" + TEXT if x == TEXT and (k := next(marks)) >= 0 and is_chrome[k] else x for x in symbols]
     return symbols, texts
 
 
@@ -88,56 +123,65 @@ def _opens(x: Node) -> str:
     return x
 
 
-def _element(body: tuple) -> bool:
-    """Whether tokens could be an item: they begin with a tag that their end, if it closes anything, closes."""
-    head, tail = _opens(body[0]), body[-1]
-    if head[0] != "<" or head[1] == "/":
+def _element(head: Node, tail: Node) -> bool:
+    """Whether nodes from ``head`` to ``tail`` could be an item: they begin with a tag that their end, if it closes anything, closes."""
+    first = _opens(head)
+    if first[0] != "<" or first[1] == "/":
         return False
     if isinstance(tail, Group) or tail[0] != "<":
         return True
-    return tail[1] != "/" or tail[2:-1] == head[1:-1].split(".")[0]
+    return tail[1] != "/" or tail[2:-1] == first[1:-1].split(".")[0]
 
 
 def fold(symbols: list[str]) -> tuple[list[Node], list[list[list[int]]]]:
     """The nodes of a page with repeated groups folded, and each node's texts as places among the symbols.
 
-    Texts are listed by slot of the node, so that all rounds of a group share one.
+    Texts are listed by slot of the node, so that all rounds of a group share one. Each round finds all maximal repetitions and folds those
+    that no foldable one of a shorter period overlaps; what they become is looked at in the next.
     """
     nodes: list[Node] = list(symbols)
     held: list[list[list[int]]] = [[[i]] if s[-1] == TEXT else [] for i, s in enumerate(symbols)]
-    unit = 1
     known: dict = {}
     a = np.array([known.setdefault(x, len(known)) for x in nodes], np.int64)
-    while 2 * unit <= len(a):
-        same = a[:-unit] == a[unit:]
-        edge = np.flatnonzero(np.diff(same, prepend=False, append=False))
-        changed = False
-        for s, e in zip(edge[-2::-2].tolist(), edge[::-2].tolist()):  # from the right, so that places to the left stay
-            if e - s < unit:
-                continue
-            start = next((x for x in range(s, min(s + unit, e - unit + 1)) if _element(tuple(nodes[x : x + unit]))), -1)
-            if start < 0 or start + 2 * unit > len(nodes) or nodes[start : start + unit] != nodes[start + unit : start + 2 * unit]:
+    while True:
+        found = common.runs_of(a)
+        taken = np.zeros(len(a) + 1, bool)
+        folds = []
+        for s, e, unit in sorted(found.tolist(), key=lambda x: (x[2], x[0])):
+            start = next((x for x in range(s, min(s + unit, e - 2 * unit + 1)) if _element(nodes[x], nodes[x + unit - 1])), -1)
+            if start < 0:
                 continue
-            times = 2
-            while nodes[start + times * unit : start + (times + 1) * unit] == nodes[start : start + unit]:
-                times += 1
-            body = tuple(nodes[start : start + unit])
+            times = (e - start) // unit
+            if not taken[start : start + times * unit].any():
+                folds.append((start, unit, times))
+            taken[start : start + times * unit] = True
+        if not folds:
+            return nodes, held
+        new_nodes: list[Node] = []
+        new_held: list[list[list[int]]] = []
+        new_a: list[int] = []
+        at = 0
+        own = a.tolist()
+        for start, unit, times in [*sorted(folds), (len(nodes), 0, 0)]:
+            new_nodes += nodes[at:start]
+            new_held += held[at:start]
+            new_a += own[at:start]
+            at = start + unit * times
+            if not times:
+                break
             slots: list[list] = [[] for _ in range(sum(len(h) for h in held[start : start + unit]))]
             for t in range(times):
                 k = 0
                 for h in held[start + t * unit : start + (t + 1) * unit]:
-                    for own in h:
-                        slots[k] += own
+                    for x in h:
+                        slots[k] += x
                         k += 1
-            nodes[start : start + times * unit] = [body[0] if unit == 1 and isinstance(body[0], Group) else Group(body)]
-            held[start : start + times * unit] = [slots]
-            changed = True
-        if changed:
-            unit = 1
-            a = np.array([known.setdefault(x, len(known)) for x in nodes], np.int64)
-        else:
-            unit += 1
-    return nodes, held
+            body = tuple(nodes[start : start + unit])
+            again = unit == 1 and isinstance(body[0], Group)
+            new_nodes.append(body[0] if again else Group(body))
+            new_held.append(slots)
+            new_a.append(own[start] if again else known.setdefault(tuple(own[start : start + unit]), len(known)))
+        nodes, held, a = new_nodes, new_held, np.array(new_a, np.int64)
 
 
 def slots_of(nodes) -> int:
