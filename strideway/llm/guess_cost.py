@@ -9,7 +9,8 @@ is a placeholder, a sample or ordinary words.
 Words are ranked by the ids of a public vocabulary file of ranks (the commoner, the lower), after well-known passwords.
 
 Defined results: null and empty texts have no values; rows with a null id are scanned like others. Repeated rows repeat their
-values. Values are not given out, only their place (in characters), length and segmentation by kind.
+values. Of segmentations of equal cost one is shown; the cost is the same. A very long text is scanned, and a very long value
+costed, in whole. Other columns are not read. An empty table gives an empty result. Values are not given out, only their place (in characters), length and segmentation by kind.
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import token_store
+from . import common, token_store
 
 THRESHOLD = 8.0
 JOIN = math.log10(2)
-#: The longest unit that counts as repeated, and the shortest word and walk.
-LONGEST_UNIT, LEAST_WORD, LEAST_WALK = 64, 3, 3
+#: Units of more characters are taken only from the two ends of their run, not from every place in it; the shortest word and walk.
+LONG_UNIT, LEAST_WORD, LEAST_WALK = 64, 3, 3
 
 _KEY = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth(?:orization)?|credentials?)"
 _SIGN = r"[\"']?[ \t]*(?::=|=>|=|:)"
@@ -145,16 +146,21 @@ def dates(value: str) -> list[tuple[int, int, float]]:
 
 
 def repeats(value: str, cost_of) -> list[tuple[int, int, float]]:
-    """(start, end, cost) of units of at most ``LONGEST_UNIT`` characters that follow one another at least twice."""
+    """(start, end, cost) of units of any length that follow one another at least twice."""
     a = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
     out = []
-    for u in range(1, min(LONGEST_UNIT, len(a) // 2) + 1):
+    for u in range(1, min(LONG_UNIT, len(a) // 2) + 1):
         same = a[:-u] == a[u:]
         edge = np.flatnonzero(np.diff(same, prepend=False, append=False))
         for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
             for x in range(s, min(s + u, e - u + 1)):
                 times = (e + u - x) // u
                 out.append((x, x + times * u, cost_of(value[x : x + u]) + math.log10(times)))
+    for s, e, u in common.runs_of(a, LONG_UNIT + 1).tolist():
+        times = (e - s) // u
+        unit = value[s : s + u]
+        for x in {s, e - times * u} if (unit + unit).find(unit, 1) == u else ():  # a unit that itself repeats is found by its own
+            out.append((x, x + times * u, cost_of(value[x : x + u]) + math.log10(times)))
     return out
 
 

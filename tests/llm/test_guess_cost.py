@@ -61,6 +61,15 @@ def test_secrets_of_the_table(spark, data):
     assert all(r.secret == (r.log10_guesses >= guess_cost.THRESHOLD) for r in out)
 
 
+def test_long_units():
+    import random
+
+    unit = "".join(random.Random(4).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=90))
+    auto = guess_cost.dictionary()
+    cost, parts = guess_cost.cheapest(unit * 3, auto)
+    assert parts == [("repeat", 0, 270)] and cost == pytest.approx(guess_cost.cheapest(unit, auto, char=math.log10(36))[0] + math.log10(3))
+
+
 def test_long_values_end():
     auto = guess_cost.dictionary()
     assert guess_cost.cheapest("ab12" * 5000, auto)[1] == [("repeat", 0, 20000)]
