@@ -5,8 +5,10 @@ matched by an Aho-Corasick automaton. A hit counts at word borders and outside e
 the hits per 100 words. Terms of other vocabularies are learned: word beginnings that mark documents labelled toxic, from a
 sample of at most ``LABEL_ROWS`` labelled rows of each class (the only bounded part; scoring covers all texts in whole).
 
-Defined results: null and empty texts score 0. Null ids are scored like others. Repeated rows score alike. Other columns of
-any name pass through the filter untouched.
+Defined results: null and empty texts score 0. Null ids are scored like others. Repeated rows score alike. A text that scores
+exactly the threshold is rejected; of overlapping hits of equal weight and length the first counts. Very long texts are scored in
+whole. Other columns of any name pass through the filter untouched. An empty table gives an empty result; without labels nothing
+is learned.
 """
 
 from __future__ import annotations
@@ -133,9 +135,11 @@ class Matcher:
         b, e, w = (np.array(x) for x in zip(*spans))
         keep = np.ones(len(b), bool)
         if safe:
-            sb, se = np.array([x[0] for x in safe]), np.array([x[1] for x in safe])
-            near = np.searchsorted(np.maximum.accumulate(se), e)
-            keep = np.array([not any(sb[k] <= x and se[k] >= y for k in range(i, min(i + 4, len(sb)))) for i, x, y in zip(near, b, e)])
+            # inside an exception: of those that begin no later, the one that ends last ends no earlier
+            safe.sort()
+            sb, reach = np.array([x[0] for x in safe]), np.maximum.accumulate([x[1] for x in safe])
+            before = np.searchsorted(sb, b, "right") - 1
+            keep = (before < 0) | (reach[np.maximum(before, 0)] < e)
         # of overlapping hits the heaviest, then the longest counts
         order = np.lexsort((b - e, -w))
         taken = np.zeros(len(text), bool)
