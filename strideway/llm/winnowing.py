@@ -2,11 +2,13 @@
 
 Of the hashes of all ``GRAM``-word runs, the smallest of every ``WINDOW`` consecutive ones is kept (the rightmost of equals),
 so any shared span of at least ``GRAM + WINDOW - 1`` words has a fingerprint in both texts. Fingerprints of training and test
-texts are joined, and each hit is extended in both directions over equal words. A document is contaminated if a span reaches
-``GRAM + WINDOW - 1`` words.
+texts are joined, and the hits of a pair of texts are extended to the longest run of equal words. A document is contaminated if a
+span reaches ``GRAM + WINDOW - 1`` words.
 
 Defined results: null texts, null ids and texts of fewer than ``GRAM`` words give no fingerprints. Case and punctuation do
-not matter. Repeated rows repeat nothing: a (doc_id, item_id) pair is reported once, with its longest span.
+not matter. Repeated rows repeat nothing: a (doc_id, item_id) pair is reported once, with its longest span; of equally long ones
+the first in the document, then in the item. Very long texts are compared in whole, and repetitive ones cost no more than others.
+Other columns of any name stay. Where either table is empty nothing is found and every document is kept.
 """
 
 from __future__ import annotations
@@ -47,9 +49,10 @@ def winnow(words: np.ndarray, offsets: np.ndarray, gram: int = GRAM, window: int
     return text[at], at - to[text[at]], grams[at]
 
 
-def _fingerprints(known: np.ndarray | None):
+def _fingerprints(sent):
     @common.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if sent is None else sent.value
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for i, j in common.chunks(texts):
@@ -63,43 +66,50 @@ def _fingerprints(known: np.ndarray | None):
     return run
 
 
-def fingerprints(df: DataFrame, key: str, known: np.ndarray | None = None) -> DataFrame:
-    """(id, at, h) of the texts' fingerprints; with ``known`` (sorted), only of those hashes."""
+def fingerprints(df: DataFrame, key: str, known=None) -> DataFrame:
+    """(id, at, h) of the texts' fingerprints; with ``known`` (sorted and broadcast), only of those hashes."""
     own = df.select(F.col(key).cast("bigint").alias("id"), F.col("text")).where(f"`{key}` IS NOT NULL AND text IS NOT NULL")
     return own.mapInArrow(_fingerprints(known), "id bigint, at int, h bigint")
 
 
-def extend(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int, int]:
-    """The maximal run of equal words through ``a[i]`` and ``b[j]``: start in a, start in b, length (0 if they differ)."""
-    ahead = min(len(a) - i, len(b) - j)
-    if ahead <= 0 or a[i] != b[j]:
-        return i, j, 0
-    differ = np.flatnonzero(a[i : i + ahead] != b[j : j + ahead])
-    fore = int(differ[0]) if len(differ) else ahead
-    back = min(i, j)
-    differ = np.flatnonzero(a[i - back : i] != b[j - back : j])
-    back = back - 1 - int(differ[-1]) if len(differ) else back
-    return i - back, j - back, fore + back
+def longest_run(a: np.ndarray, b: np.ndarray, least: int) -> tuple[int, int, int]:
+    """The longest run of at least ``least`` words that a and b share: length, start in a, start in b, the first in a, then in b; 0 without one.
+
+    A hit is extended to all sizes at once: texts that share a run of n words share one of every smaller size, so that the longest is found by
+    halving. A size is tested by the hashes of all runs of that size.
+    """
+    if min(len(a), len(b)) < least:
+        return 0, 0, 0
+    both = np.concatenate([a, b])
+    power, inverse = common.powers(len(both) + 1)
+    upto = np.zeros(len(both) + 1, np.uint64)
+    np.cumsum(common.mix(both) * power[: len(both)], out=upto[1:])
+    of = lambda begin, n, size: (upto[begin + size : begin + n + 1] - upto[begin : begin + n - size + 1]) * inverse[begin : begin + n - size + 1]
+
+    def shared(size: int) -> np.ndarray:
+        return np.flatnonzero(np.isin(of(0, len(a), size), of(len(a), len(b), size)))
+
+    if not len(shared(least)):
+        return 0, 0, 0
+    low, high = least, min(len(a), len(b)) + 1
+    while high - low > 1:
+        size = (low + high) // 2
+        low, high = (size, high) if len(shared(size)) else (low, size)
+    i = int(shared(low)[0])
+    j = int(np.flatnonzero(of(len(a), len(b), low) == of(0, len(a), low)[i])[0])
+    return low, i, j
 
 
 def _extend(least: int):
     @common.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches, 64):
             rows = []
-            for r in batch.to_pylist():
-                a, b = common.word_hashes([r["text"]])[0], common.word_hashes([r["item_text"]])[0]
-                spans, done = [], {}
-                for x in sorted(r["seeds"], key=lambda x: x["at"]):
-                    i, j = x["at"], x["item_at"]
-                    if done.get(i - j, -1) > i:
-                        continue
-                    start, item_start, n = extend(a, b, i, j)
-                    done[i - j] = start + n
-                    spans.append((n, -start, -item_start))
-                n, start, item_start = max(spans)
-                if n >= least:
-                    rows.append((r["doc_id"], r["item_id"], -start, -item_start, n, len(b)))
+            for doc_id, item_id, text, item_text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "text", "item_text"))):
+                a, b = common.word_hashes([text])[0], common.word_hashes([item_text])[0]
+                n, i, j = longest_run(a, b, least)
+                if n:
+                    rows.append((doc_id, item_id, i, j, n, len(b)))
             cols = list(zip(*rows)) or [()] * 6
             kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "item_id", "doc_word", "item_word", "span_words", "item_words"])
@@ -109,18 +119,18 @@ def _extend(least: int):
 
 def hits(docs: DataFrame, benchmark: DataFrame, send_limit: int = SEND_LIMIT) -> DataFrame:
     """The longest shared span of each contaminated document and item: (doc_id, item_id, doc_word, item_word, span_words, item_words)."""
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("item_text"))
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("item_text")).where("item_id IS NOT NULL AND item_text IS NOT NULL")
     test = common.saved(fingerprints(benchmark, "item_id"), "items")
     known = None
     if test.count() <= send_limit:
-        known = np.unique(np.array([r.h for r in test.select("h").distinct().collect()], np.int64).view(np.uint64))
-    train = common.saved(fingerprints(docs, "doc_id", known), "seeds") if known is not None else fingerprints(docs, "doc_id")
-    other = test.select("h", F.col("id").alias("item_id"), F.col("at").alias("item_at"))
-    pairs = train.join(common.small(other), "h").groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.collect_set(F.struct("at", "item_at")).alias("seeds"))
-    pairs = common.saved(pairs, "seeded")
+        held = test.select("h").distinct().toArrow()["h"].to_numpy().view(np.uint64)
+        known = docs.sparkSession.sparkContext.broadcast(np.sort(held))
+    # a pair of texts is compared once, however many fingerprints they share
+    train = fingerprints(docs, "doc_id", known).select(F.col("id").alias("doc_id"), "h").distinct()
+    train = common.saved(train, "seeds") if known is not None else train
+    pairs = common.saved(train.join(common.small(test.select("h", F.col("id").alias("item_id")).distinct()), "h").select("doc_id", "item_id").distinct(), "pairs")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text IS NOT NULL")
-    full = common.small(pairs).join(common.small(common.saved(items.where("item_text IS NOT NULL"), "item_texts")), "item_id")
-    full = texts.join(F.broadcast(full) if common.stored_bytes(pairs) <= common.BROADCAST_BYTES else full, "doc_id").select("doc_id", "text", "item_id", "item_text", "seeds")
+    full = texts.join(common.small(pairs), "doc_id").join(common.small(common.saved(items, "item_texts")), "item_id").select("doc_id", "text", "item_id", "item_text")
     spans = full.mapInArrow(_extend(GRAM + WINDOW - 1), "doc_id bigint, item_id bigint, doc_word int, item_word int, span_words int, item_words int")
     best = F.max(F.struct("span_words", (-F.col("doc_word")).alias("d"), (-F.col("item_word")).alias("i"), "item_words")).alias("m")
     return spans.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("m.d")).alias("doc_word"), (-F.col("m.i")).alias("item_word"), "m.span_words", "m.item_words")
@@ -129,4 +139,4 @@ def hits(docs: DataFrame, benchmark: DataFrame, send_limit: int = SEND_LIMIT) ->
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without contaminated documents; rows with a null id or text stay."""
     found = common.saved(hits(docs, benchmark).select("doc_id").distinct(), "contaminated")
-    return docs.join(common.small(found), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(common.small(found), "doc_id", "left_anti").select(*common.quoted(docs.columns))

@@ -38,6 +38,28 @@ def test_against_all_runs(spark, data, limit):
     assert want and got == want
 
 
+def test_longest_run_against_all_runs():
+    rng = np.random.default_rng(8)
+    for _ in range(400):
+        a, b = (rng.integers(0, 3, rng.integers(0, 40)).astype(np.uint64) for _ in "ab")
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                if n >= 4 and n > best[0]:
+                    best = (n, i, j)
+        assert winnowing.longest_run(a, b, 4) == best
+
+
+def test_repetitive_texts(spark):
+    """Pairs of texts that share one fingerprint at very many places are compared once."""
+    docs = spark.createDataFrame([(1, "again and " * 60_000 + "end")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, "start " + "again and " * 5000)], "item_id bigint, text string")
+    assert [tuple(r) for r in winnowing.hits(docs, bench).collect()] == [(1, 1, 0, 1, 10_000, 10_001)]
+
+
 def test_guarantee():
     rng = np.random.default_rng(5)
     shared = [f"s{i}" for i in range(LEAST)]
