@@ -7,11 +7,13 @@ been compared, so that no partner is capped; components are then closed over all
 
 Defined results: a null text or null id has no signature and never groups. Texts without words form one group; a text of
 fewer than ``SHINGLE`` words is one shingle. Rows that repeat an id count as one document. The kept document of a group is
-the one with the smallest id.
+the one with the smallest id. Very long texts are hashed in whole. Texts of equal similarity to several groups join them all.
+Other columns of any name stay. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -161,15 +163,19 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates; all other rows and columns stay as they are."""
+    """``docs`` with one document of each group of near duplicates.
+
+    Of rows that repeat an id one stays, that of the last text; other rows, null ids and texts among them, stay with all columns as they are.
+    """
     gone = common.saved(groups(docs, threshold).where("doc_id <> group_id").select("doc_id"), "gone")
-    kept = docs.join(common.small(gone), "doc_id", "left_anti").select(docs.columns)
+    own = common.quoted(docs.columns)
+    kept = docs.join(common.small(gone), "doc_id", "left_anti").select(*own)
     twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     twice = common.saved(twice, "twice")
     if twice.isEmpty():
         return kept
-    again = kept.join(twice, "doc_id", "left_semi").select(docs.columns)
+    again = kept.join(twice, "doc_id", "left_semi").select(*own)
     n = common.fresh(docs.columns)
-    order = [F.col("text").desc_nulls_last(), *(F.col(f"`{c}`").asc_nulls_last() for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith(("map", "variant")))]
+    order = [F.col("text").desc_nulls_last(), *(F.col(q).asc_nulls_last() for q, (c, kind) in zip(own, docs.dtypes) if c not in ("doc_id", "text") and not re.search("map<|variant|interval", kind))]
     again = again.withColumn(n, F.row_number().over(W.partitionBy("doc_id").orderBy(*order))).where(F.col(n) == 1).drop(n)
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(again)
+    return kept.join(twice, "doc_id", "left_anti").select(*own).unionByName(again)
