@@ -6,11 +6,12 @@ the log length. The solution tilts each document exponentially, ``r = exp(a[sour
 multipliers are the optimum of a convex dual, found by damped Newton steps. Each step is one distributed aggregation of the
 gradient's and Hessian's sums by (source, language), the constraints' categories, so that what reaches the driver does not grow
 with the documents. Targets that no rates can meet (a source whose only language is wanted less, say) are moved half-way to the
-present totals until some can. Rates are rounded to copies: the whole part, and one more where a hash of the id falls below the rest.
+present totals until some can; the result says how far it went. Rates are rounded to copies: the whole part, and one more where a hash of the id falls below the rest.
 
 Defined results: null sources and languages are categories of their own. Null and empty texts have no words, hence no part
-in the constraints; their rate follows their categories with ``z = 0``. Rows that repeat an id get the same number of copies.
-An empty table gives an empty result.
+in the constraints; their rate follows their categories with ``z = 0``. Rows that repeat an id get the same number of copies if
+their rates are equal. Very long texts count with all their words. Other columns of any name stay. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -48,8 +49,8 @@ def targets(tokens: np.ndarray, temperature: float = TEMPERATURE) -> np.ndarray:
     return w / w.sum() * tokens.sum()
 
 
-def solve(cells, sums, temperature: float = TEMPERATURE, source_weights: dict | None = None, lang_weights: dict | None = None) -> tuple[dict, dict, float, float]:
-    """Multipliers by source and by language, that of z, and the mean of z that z is taken from.
+def solve(cells, sums, temperature: float = TEMPERATURE, source_weights: dict | None = None, lang_weights: dict | None = None) -> tuple[dict, dict, float, float, float]:
+    """Multipliers by source and by language, that of z, the mean of z that z is taken from, and how far towards the targets it went (1: all the way).
 
     ``cells``: rows (source, lang, tokens, tokens * z); ``sums(c, mean)``: for each cell its sums of ``n e^(c (z - mean))`` times
     1, z - mean and its square.
@@ -72,21 +73,30 @@ def solve(cells, sums, temperature: float = TEMPERATURE, source_weights: dict |
 
     goal = np.concatenate([want(s, sources, source_weights), want(lg, langs, lang_weights), [0.0]]) / total
     present = np.concatenate([np.bincount(s, tokens, p), np.bincount(lg, tokens, q), [0.0]]) / total
-    x = np.zeros((len(cells), p + q + 1))
-    x[np.arange(len(cells)), s] = 1
-    x[np.arange(len(cells)), p + lg] = 1
+    rest = np.stack([lg, np.full(len(cells), q)], axis=1)  # a cell's constraints besides its source
 
     def dual(theta: np.ndarray, goal: np.ndarray):
+        """Value, gradient and Hessian; of this the sources' part is a diagonal, as a cell has one source."""
         tilt = np.exp(np.clip(theta[s] + theta[p + lg], -50, 50))
         m = np.asarray(sums(theta[-1], mean), float) * tilt[:, None] / total
         value = m[:, 0].sum() - theta @ goal
-        grad = x.T @ m[:, 0] - goal
-        grad[-1] += m[:, 1].sum()
-        hess = (x * m[:, :1]).T @ x
-        cross = x[:, :-1].T @ m[:, 1]
-        hess[-1, :-1] = hess[:-1, -1] = cross
-        hess[-1, -1] = m[:, 2].sum()
-        return value, grad, hess
+        grad = np.concatenate([np.bincount(s, m[:, 0], p), np.bincount(lg, m[:, 0], q), [m[:, 1].sum()]]) - goal
+        own = np.bincount(s, m[:, 0], p)
+        cross, other = np.zeros((p, q + 1)), np.zeros((q + 1, q + 1))
+        for k, w in enumerate((m[:, 0], m[:, 1])):
+            np.add.at(cross, (s, rest[:, k]), w)
+        other[np.arange(q), np.arange(q)] = np.bincount(lg, m[:, 0], q)
+        other[-1, :-1] = other[:-1, -1] = np.bincount(lg, m[:, 1], q)
+        other[-1, -1] = m[:, 2].sum()
+        return value, grad, (own, cross, other)
+
+    def downhill(hess, grad: np.ndarray) -> np.ndarray:
+        """Newton's step: the sources are eliminated, so that what is solved is as small as the languages."""
+        own, cross, other = hess
+        own = np.maximum(own, 1e-300)
+        left = other - cross.T @ (cross / own[:, None])
+        small = np.linalg.lstsq(left + 1e-14 * np.eye(q + 1), grad[p:] - cross.T @ (grad[:p] / own), rcond=1e-12)[0]
+        return -np.concatenate([(grad[:p] - cross @ small) / own, small])
 
     def newton(goal: np.ndarray) -> tuple[np.ndarray, bool]:
         theta = np.zeros(p + q + 1)
@@ -94,7 +104,7 @@ def solve(cells, sums, temperature: float = TEMPERATURE, source_weights: dict |
         for _ in range(STEPS):
             if np.abs(grad).max() < TOLERANCE or np.abs(theta).max() > 2 * LARGEST:
                 break
-            step = -np.linalg.lstsq(hess + 1e-14 * np.eye(len(hess)), grad, rcond=1e-12)[0]
+            step = downhill(hess, grad)
             size = 1.0
             while True:
                 after = dual(theta + size * step, goal)
@@ -113,16 +123,16 @@ def solve(cells, sums, temperature: float = TEMPERATURE, source_weights: dict |
         theta, met = newton(present + share * (goal - present))
         if met:
             break
-    return {v: float(theta[i]) for v, i in si.items()}, {v: float(theta[p + i]) for v, i in li.items()}, float(theta[-1]), mean
+    return {v: float(theta[i]) for v, i in si.items()}, {v: float(theta[p + i]) for v, i in li.items()}, float(theta[-1]), mean, share
 
 
-def fit(table: DataFrame, **how) -> tuple[dict, dict, float, float]:
+def fit(table: DataFrame, **how) -> tuple[dict, dict, float, float, float]:
     """``solve`` over a table of ``features``."""
     n, z = F.col("n"), F.col("z")
     full = table.where("n > 0")
     cells = [tuple(r) for r in full.groupBy("source", "lang").agg(F.sum("n"), F.sum(n * z)).collect()]
     if not cells:
-        return {}, {}, 0.0, 0.0
+        return {}, {}, 0.0, 0.0, 1.0
     place = {c[:2]: i for i, c in enumerate(cells)}
 
     def sums(c: float, mean: float) -> np.ndarray:
@@ -136,16 +146,16 @@ def fit(table: DataFrame, **how) -> tuple[dict, dict, float, float]:
     return solve(cells, sums, **how)
 
 
-def _priced(df: DataFrame, columns: dict[str, str], found: tuple[dict, dict, float, float]) -> DataFrame:
+def _priced(df: DataFrame, columns: dict[str, str], found: tuple[dict, dict, float, float, float]) -> DataFrame:
     """``df`` with columns ``rate`` and ``copies`` under the given names; ``columns`` names its doc_id, source, lang and n too."""
     spark = df.sparkSession
-    by_source, by_lang, c, mean = found
+    by_source, by_lang, c, mean, _ = found
     name = dict(columns)
 
     def joined(df: DataFrame, key: str, values: dict) -> DataFrame:
         k, m = f"{name['rate']}_{key}", f"{name['rate']}_{key}_value"
         side = spark.createDataFrame(list(values.items()), f"`{k}` string, `{m}` double")
-        return df.join(F.broadcast(side), F.col(name[key]).eqNullSafe(F.col(k)), "left").drop(k)
+        return df.join(common.small(common.saved(side, key)), F.col(name[key]).eqNullSafe(F.col(k)), "left").drop(k)
 
     out = joined(joined(df, "source", by_source), "lang", by_lang)
     extra = [f"{name['rate']}_{key}_value" for key in ("source", "lang")]
@@ -158,10 +168,11 @@ def _priced(df: DataFrame, columns: dict[str, str], found: tuple[dict, dict, flo
 
 
 def rates(docs: DataFrame, **how) -> DataFrame:
-    """(doc_id, source, lang, tokens, rate, copies) of every row."""
+    """(doc_id, source, lang, tokens, rate, copies, reached) of every row; ``reached`` is below 1 where targets that no rates meet were moved."""
     table = common.saved(features(docs), "features")
-    out = _priced(table, {c: c for c in ("doc_id", "source", "lang", "n", "rate", "copies")}, fit(table, **how))
-    return out.select("doc_id", "source", "lang", F.col("n").cast("bigint").alias("tokens"), "rate", "copies")
+    found = fit(table, **how)
+    out = _priced(table, {c: c for c in ("doc_id", "source", "lang", "n", "rate", "copies")}, found)
+    return out.select("doc_id", "source", "lang", F.col("n").cast("bigint").alias("tokens"), "rate", "copies", F.lit(found[-1]).alias("reached"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
@@ -171,4 +182,4 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     name = {c: mark + c for c in ("doc_id", "source", "lang", "n", "rate", "copies")}
     own = docs.withColumns({name["doc_id"]: F.col("doc_id").cast("bigint"), name["source"]: F.col("source").cast("string"), name["lang"]: F.col("lang").cast("string"), name["n"]: words(F.col("text"))})
     out = _priced(own, name, found).where(F.col(name["copies"]) > 0)
-    return out.withColumn(mark, F.explode(F.sequence(F.lit(1), F.col(name["copies"])))).select(docs.columns)
+    return out.withColumn(mark, F.explode(F.sequence(F.lit(1), F.col(name["copies"])))).select(*common.quoted(docs.columns))
