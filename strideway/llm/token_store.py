@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -322,3 +323,42 @@ def read_blocks(blocks: list[dict], path: str = VOCAB) -> list[tuple[int | None,
                 rows.append([doc_id, None if n < 0 else ids[at : at + n].tolist()])
             at += max(n, 0)
     return [(d, None if x is None else enc.decode(x)) for d, x in rows]
+
+
+def _read(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, vocab = encoder(path)
+        for batch in batches:
+            out: list[tuple] = []
+            for b in batch.to_pylist():
+                ids = decode_block(b["payload"], b["n_tokens"], vocab, b["crc32"])
+                at = 0
+                for k, (doc_id, n) in enumerate(zip(b["doc_ids"], b["lengths"])):
+                    part = b"".join(enc.decode_tokens_bytes(ids[at : at + n].tolist())) if n >= 0 else None
+                    out.append((b["block_id"], k, k == 0 and b["continued"], doc_id, part))
+                    at += max(n, 0)
+            cols = list(zip(*out)) or [()] * 5
+            kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["block_id", "place", "continued", "doc_id", "part"])
+
+    return run
+
+
+def read_table(blocks: DataFrame, path: str = VOCAB) -> DataFrame:
+    """(doc_id, text) of all rows of a table of blocks, every block decoded by itself; only texts cut by a block's end are put together."""
+    parts = blocks.mapInArrow(_read(path), "block_id bigint, place int, continued boolean, doc_id bigint, part binary")
+    parts = common.saved(parts, "parts")
+    # a text that goes on over whole blocks begins in the last block with one that does not
+    ends = parts.groupBy("block_id").agg(F.max("place").alias("last"), F.bool_or("continued").alias("goes_on"))
+    nexts = ends.where("goes_on").select((F.col("block_id") - 1).alias("block_id"), F.lit(True).alias("cut"))
+    ends = ends.join(nexts, "block_id", "left")
+    chained = ends.where("goes_on OR cut").withColumn("partition", F.shiftright("block_id", 33))
+    w = W.partitionBy("partition").orderBy("block_id")
+    begins = F.when(~F.col("goes_on") | (F.col("last") > 0), F.col("block_id"))
+    chained = chained.withColumn("first", F.when(F.col("cut"), F.last(begins, ignorenulls=True).over(w))).withColumn("head", F.lag("first").over(w))
+    marked = parts.join(chained.select("block_id", "last", "goes_on", "cut", "first", "head"), "block_id", "left")
+    at_end, at_start = (F.col("place") == F.col("last")) & F.coalesce("cut", F.lit(False)), F.col("continued")
+    text = F.when(at_start, F.col("head")).when(at_end, F.col("first"))
+    whole = marked.where(text.isNull()).select("doc_id", F.col("part").cast("string").alias("text"))
+    joined = marked.where(text.isNotNull()).withColumn("text_of", text).groupBy("text_of").agg(F.array_sort(F.collect_list(F.struct("block_id", "doc_id", F.hex("part").alias("part")))).alias("p"))
+    return whole.unionByName(joined.select(F.col("p")[0]["doc_id"].alias("doc_id"), F.unhex(F.array_join(F.transform("p", lambda x: x["part"]), "")).cast("string").alias("text")))

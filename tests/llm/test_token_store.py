@@ -27,6 +27,17 @@ def test_blocks_stand_alone_and_shrink(blocks):
     assert sum(len(r["payload"]) for r in rows) < 0.6 * 2 * sum(r["n_tokens"] for r in rows)
 
 
+def test_distributed_reader(spark, data):
+    rows = [(1, "word " * 90_000), (2, None), (None, ""), (3, "ü€ x " * 30_000), (3, "again"), (4, "tail " * 40_000)]
+    for parts in (1, 3):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+        stored = token_store.write_blocks(docs)
+        got = [tuple(r) for r in token_store.read_table(stored).collect()]
+        assert sorted(got, key=str) == sorted(rows, key=str)
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    assert token_store.read_table(token_store.write_blocks(docs)).exceptAll(docs.select("doc_id", "text")).isEmpty()
+
+
 def test_damage_is_seen(blocks):
     rows, _ = blocks
     _, vocab = token_store.encoder()
