@@ -90,9 +90,11 @@ def gram_hashes(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     return mix(g[keep]), out
 
 
-def runs_of(a: np.ndarray, least: int = 1) -> np.ndarray:
+def runs_of(a: np.ndarray, least: int = 1, most: int | None = None) -> np.ndarray:
     """(start, end, period) of the maximal repetitions in ``a`` that hold their period, of ``least`` or more, at least twice; of one stretch the least period.
 
+    ``most``: no repetition has a longer period; as numbers that occur once part several sequences in ``a``, say.
+
     For periods from 2 L to 4 L, L a power of two, every L-th run of L numbers is looked up among all runs of L numbers: a repetition has
     one of them in its first round, and the same a period later. Hashes find how far a match extends; matches are then compared number by number.
     """
@@ -108,7 +110,8 @@ def runs_of(a: np.ndarray, least: int = 1) -> np.ndarray:
     size = 1
     while 4 * size <= least:
         size *= 2
-    while size == 1 or 4 * size <= n:
+    most = n // 2 if most is None else most
+    while size == 1 or (4 * size <= n and 2 * size <= most):
         first = least if size == 1 else max(2 * size, least)
         every = of(np.arange(n - size + 1), size)
         order = np.argsort(every, kind="stable")
@@ -137,7 +140,7 @@ def runs_of(a: np.ndarray, least: int = 1) -> np.ndarray:
         p, u = both[:, 0], both[:, 1]
         q = p + u
         fore, back = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
-        step = 1 << int(n).bit_length()
+        step = 1 << int(min(n, 2 * most + 2 * size)).bit_length() if most < n // 4 else 1 << int(n).bit_length()
         while step and len(p):
             ok = np.flatnonzero(q + fore + step <= n)
             ok = ok[of(p[ok] + fore[ok], step) == of(q[ok] + fore[ok], step)]

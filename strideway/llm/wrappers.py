@@ -136,52 +136,74 @@ def _element(head: Node, tail: Node) -> bool:
 def fold(symbols: list[str]) -> tuple[list[Node], list[list[list[int]]]]:
     """The nodes of a page with repeated groups folded, and each node's texts as places among the symbols.
 
-    Texts are listed by slot of the node, so that all rounds of a group share one. Each round finds all maximal repetitions and folds those
-    that no foldable one of a shorter period overlaps; what they become is looked at in the next.
+    Texts are listed by slot of the node, so that all rounds of a group share one.
+    """
+    return fold_all([symbols])[0]
+
+
+def fold_all(pages: list[list[str]]) -> list[tuple[list[Node], list[list[list[int]]]]]:
+    """``fold`` for many pages at once.
+
+    Each round finds all maximal repetitions and folds those that no foldable one of a shorter period overlaps; what they become is looked
+    at in the next. All pages are one sequence, parted by numbers that occur once.
     """
-    nodes: list[Node] = list(symbols)
-    held: list[list[list[int]]] = [[[i]] if s[-1] == TEXT else [] for i, s in enumerate(symbols)]
     known: dict = {}
-    a = np.array([known.setdefault(x, len(known)) for x in nodes], np.int64)
-    while True:
-        found = common.runs_of(a)
-        taken = np.zeros(len(a) + 1, bool)
-        folds = []
-        for s, e, unit in sorted(found.tolist(), key=lambda x: (x[2], x[0])):
-            start = next((x for x in range(s, min(s + unit, e - 2 * unit + 1)) if _element(nodes[x], nodes[x + unit - 1])), -1)
+    nodes: list[list[Node]] = [list(p) for p in pages]
+    held = [[[[i]] if s[-1] == TEXT else [] for i, s in enumerate(p)] for p in pages]
+    ids = [[known.setdefault(x, len(known)) for x in p] for p in pages]
+    active = list(range(len(pages)))
+    while active:
+        starts = np.zeros(len(active) + 1, np.int64)
+        np.cumsum([len(ids[k]) + 1 for k in active], out=starts[1:])
+        a = np.concatenate([np.array([*ids[k], len(known) + j], np.int64) for j, k in enumerate(active)])
+        found = common.runs_of(a, most=max(len(ids[k]) for k in active) // 2)
+        found = found[np.lexsort((found[:, 0], found[:, 2]))]
+        page = np.searchsorted(starts, found[:, 0], "right") - 1
+        folds: dict[int, list[tuple[int, int, int]]] = {}
+        taken = bytearray(len(a) + 1)
+        for j, (s, e, unit) in zip(page.tolist(), found.tolist()):
+            base = int(starts[j])
+            own = nodes[active[j]]
+            s, e = s - base, e - base
+            start = next((x for x in range(s, min(s + unit, e - 2 * unit + 1)) if _element(own[x], own[x + unit - 1])), -1)
             if start < 0:
                 continue
             times = (e - start) // unit
-            if not taken[start : start + times * unit].any():
-                folds.append((start, unit, times))
-            taken[start : start + times * unit] = True
-        if not folds:
-            return nodes, held
-        new_nodes: list[Node] = []
-        new_held: list[list[list[int]]] = []
-        new_a: list[int] = []
-        at = 0
-        own = a.tolist()
-        for start, unit, times in [*sorted(folds), (len(nodes), 0, 0)]:
-            new_nodes += nodes[at:start]
-            new_held += held[at:start]
-            new_a += own[at:start]
-            at = start + unit * times
-            if not times:
-                break
-            slots: list[list] = [[] for _ in range(sum(len(h) for h in held[start : start + unit]))]
-            for t in range(times):
-                k = 0
-                for h in held[start + t * unit : start + (t + 1) * unit]:
-                    for x in h:
-                        slots[k] += x
-                        k += 1
-            body = tuple(nodes[start : start + unit])
-            again = unit == 1 and isinstance(body[0], Group)
-            new_nodes.append(body[0] if again else Group(body))
-            new_held.append(slots)
-            new_a.append(own[start] if again else known.setdefault(tuple(own[start : start + unit]), len(known)))
-        nodes, held, a = new_nodes, new_held, np.array(new_a, np.int64)
+            lo, hi = base + start, base + start + times * unit
+            if taken.find(1, lo, hi) < 0:
+                folds.setdefault(j, []).append((start, unit, times))
+            taken[lo:hi] = b"\1" * (hi - lo)
+        for j, cuts in folds.items():
+            _fold_at(active[j], sorted(cuts), nodes, held, ids, known)
+        active = [active[j] for j in folds]
+    return list(zip(nodes, held))
+
+
+def _fold_at(page: int, cuts: list[tuple[int, int, int]], nodes: list, held: list, ids: list, known: dict) -> None:
+    """Puts groups in the place of (start, unit, times) of one page."""
+    old, old_held, old_ids = nodes[page], held[page], ids[page]
+    new: list[Node] = []
+    new_held: list[list[list[int]]] = []
+    new_ids: list[int] = []
+    at = 0
+    for start, unit, times in cuts:
+        new += old[at:start]
+        new_held += old_held[at:start]
+        new_ids += old_ids[at:start]
+        at = start + unit * times
+        slots: list[list] = [[] for _ in range(sum(len(h) for h in old_held[start : start + unit]))]
+        for t in range(times):
+            k = 0
+            for h in old_held[start + t * unit : start + (t + 1) * unit]:
+                for x in h:
+                    slots[k] += x
+                    k += 1
+        body = tuple(old[start : start + unit])
+        again = unit == 1 and isinstance(body[0], Group)
+        new.append(body[0] if again else Group(body))
+        new_held.append(slots)
+        new_ids.append(old_ids[start] if again else known.setdefault(tuple(old_ids[start : start + unit]), len(known)))
+    nodes[page], held[page], ids[page] = new + old[at:], new_held + old_held[at:], new_ids + old_ids[at:]
 
 
 def slots_of(nodes) -> int:
@@ -343,27 +365,42 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
+#: Symbols of pages that are folded together.
+TOGETHER = 50_000
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
+    for batch in common.slices(batches):
+        rows: list[list] = []
+        waiting: dict[tuple, list[tuple[int, list[str]]]] = {}  # rows and texts by symbols
+        size = 0
+
+        def finish() -> None:
+            for symbols, (nodes, held) in zip(list(waiting), fold_all([list(x) for x in waiting])):
+                skeleton = shown(nodes)
+                order = {s: k for k, s in enumerate(i for i, s in enumerate(symbols) if s[-1] == TEXT)}
+                place = [0] * len(order)
+                for k, own in enumerate(x for h in held for x in h):
+                    for i in own:
+                        place[order[i]] = k
+                for at, texts in waiting[symbols]:
+                    found = [{"place": p, "text": t, "h": _hash(t)} for p, t in zip(place, texts)]
+                    rows[at] += [_hash(skeleton), skeleton, _hash("\0".join(texts)), found]
+            waiting.clear()
+
         for page_id, url, page in zip(*(c.to_pylist() for c in batch.columns)):
-            host = host_of(url)
+            rows.append([page_id, url, host_of(url)])
             if page is None:
-                rows.append((page_id, url, host, None, None, None, None))
+                rows[-1] += [None] * 4
                 continue
             symbols, texts = tokens(page)
-            nodes, held = fold(symbols)
-            order = {s: k for k, s in enumerate(i for i, s in enumerate(symbols) if s[-1] == TEXT)}
-            found: list = [None] * len(texts)
-            k = 0
-            for h in held:
-                for own in h:
-                    for i in own:
-                        t = texts[order[i]]
-                        found[order[i]] = {"place": k, "text": t, "h": _hash(t)}
-                    k += 1
-            skeleton = shown(nodes)
-            rows.append((page_id, url, host, _hash(skeleton), skeleton, _hash("\0".join(texts)), found))
+            key = tuple(symbols)
+            size += len(key) if key not in waiting else 0
+            waiting.setdefault(key, []).append((len(rows) - 1, texts))
+            if size > TOGETHER:
+                finish()
+                size = 0
+        finish()
         cols = list(zip(*rows)) or [()] * 7
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), _KIND]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["page_id", "url", "host", "layout", "skeleton", "page", "texts"])
