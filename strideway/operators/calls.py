@@ -15,10 +15,19 @@ from strideway.operators import graph, joins
 
 #: Argument slots that a spawned function is passed in.
 SPAWNERS = [("pthread_create", 2), ("thrd_create", 1), ("std::async", 0), ("std::async", 1), ("std::thread", 0), ("std::jthread", 0)]
-THREAD_NAMES = "tid thread_id threadid thread_idx threadidx thread_index worker_id workerid cpu cpu_id core core_id lcore_id shard".split()
-THREAD_SUFFIXES = ("_tid", "_thread", "_cpu")
-POOLS = ("pool", "arena", "slab", "freelist")
-MAPPED = ("mmap", "mremap", "VirtualAlloc")
+#: What an index of a thread is called, in any case, and how such a name ends.
+THREAD_NAMES = "tid thread_id thread_index thread_idx thread_num thd_id cur_tid running_tid core_id cpu_id shard_id gettid sched_getcpu omp_get_thread_num".split()
+THREAD_SUFFIXES = ("_tid", "_thread_id", "_thread_index")
+#: Calls whose memory comes from a pool; further ones are given.
+POOLS = [f"{kind}_{verb}" for kind in ("arena", "slab", "pool") for verb in ("alloc", "allocate")] + [
+    f"std::pmr::{x}" for x in ("polymorphic_allocator", "monotonic_buffer_resource", "unsynchronized_pool_resource", "synchronized_pool_resource")
+] + [f"boost::{x}" for x in ("pool_allocator", "fast_pool_allocator", "object_pool", "singleton_pool")]
+SYSTEM_CALLS = ("mmap", "mmap64", "munmap", "brk", "sbrk")
+#: Calls that go to the linked allocator, and the containers whose names begin so.
+STANDARD = "malloc calloc realloc free aligned_alloc posix_memalign".split() + ["operator new", "operator delete"] + [f"std::make_{x}{y}" for x in ("shared", "unique") for y in ("", "_for_overwrite")]
+CONTAINERS = [f"std::{x}" for x in ("vector", "map", "unordered_map", "list", "deque", "set", "unordered_set", "basic_string", "__cxx11::basic_string", "shared_ptr", "function")]
+#: Linked allocators that serve small requests from a cache of the thread.
+CACHING = ("tcmalloc", "jemalloc", "mimalloc")
 
 
 def call_edges(sites: DataFrame) -> DataFrame:
@@ -91,23 +100,37 @@ def opaque_callers(sites: DataFrame, functions: DataFrame) -> DataFrame:
     return sites.join(functions.select(F.col("fn").alias("dst")), "dst", "left_anti").select(F.col("src").alias("fn")).distinct()
 
 
+def effective_align(record_align: Column, offset: Column, type_align: Column, line: int = 64) -> Column:
+    """The alignment of an array inside a record: the line's if record and place in it are so aligned, else that of its type."""
+    return F.when((record_align >= line) & (offset % line == 0), F.lit(line).cast("bigint")).otherwise(type_align.cast("bigint"))
+
+
 def striped_catalogue(arrays: DataFrame, line: int = 64) -> DataFrame:
-    """Arrays of at least two elements smaller than a line."""
-    return arrays.where((F.col("elem_count") >= 2) & (F.col("elem_size") > 0) & (F.col("elem_size") < line))
+    """Arrays of at least two elements smaller than a line that are not constant.
+
+    With columns ``record_align``, ``offset`` and ``type_align``, of which the first is null outside records, ``decl_align`` is worked out.
+    """
+    out = arrays.where((F.col("elem_count") >= 2) & (F.col("elem_size") > 0) & (F.col("elem_size") < line))
+    out = out.where(~F.coalesce("const", F.lit(False))).drop("const") if "const" in arrays.columns else out
+    if "record_align" in arrays.columns:
+        inside = effective_align(F.col("record_align"), F.col("offset"), F.col("type_align"), line)
+        out = out.withColumn("decl_align", F.when(F.col("record_align").isNull(), F.col("type_align").cast("bigint")).otherwise(inside)).drop("record_align", "offset", "type_align")
+    return out
 
 
 def index_provenance(constant: Column, induction: Column, tls: Column, name: Column) -> Column:
-    """What an array is indexed by."""
-    n = F.lower(name)
-    ident = n.isin(*THREAD_NAMES)
+    """What an array is indexed by: a constant, else the variable of a loop, else a thread's variable or what is named like a thread's index."""
+    ident = F.lower(name).isin(*THREAD_NAMES)
     for s in THREAD_SUFFIXES:
-        ident = ident | n.endswith(s)
-    return F.when(constant, "constant").when(tls | ident, "thread").when(induction, "loop").otherwise("unknown")
+        ident = ident | name.endswith(s)
+    return F.when(constant, "constant").when(induction, "loop").when(tls | F.coalesce(ident, F.lit(False)), "thread").otherwise("unknown")
 
 
 def write_tier(fn: Column, hot: Column, dispatch: Sequence[str], tick: Sequence[str]) -> Column:
-    """How often a function writes, by globs of its name, then heat."""
-    return F.when(text.matches_glob(fn, list(dispatch)), S.HOT_RATE).when(text.matches_glob(fn, list(tick)), S.TICK_RATE).when(hot, S.HOT_RATE).otherwise(S.UNKNOWN_RATE)
+    """How often a function writes: by globs of its qualified or bare name, which say more than heat, else by heat."""
+    bare = F.substring_index(fn, "::", -1)
+    named = lambda globs: text.matches_glob(bare, list(globs)) | text.matches_glob(fn, list(globs))
+    return F.when(named(dispatch), S.DISPATCH_RATE).when(named(tick), S.TICK_RATE).when(hot, S.HOT_RATE).otherwise(S.UNKNOWN_RATE)
 
 
 def through_aliases(writes: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -117,18 +140,26 @@ def through_aliases(writes: DataFrame, aliases: DataFrame) -> DataFrame:
     return out.withColumn("target", F.coalesce("__t", "target")).withColumn("shifted", F.coalesce(F.col("origin") != 0, F.lit(False))).drop("__a", "__t", "origin")
 
 
+def head_padded(arrays: DataFrame, aliases: DataFrame, line: int = 64) -> DataFrame:
+    """``arrays`` (key, decl_align ...) with ``head_pad``: a pointer to an element beyond the first of an array that begins on a line."""
+    shifted = aliases.where("origin > 0").select(F.col("target").alias("key"), F.lit(True).alias("__h")).distinct()
+    return arrays.join(shifted, "key", "left").withColumn("head_pad", F.coalesce("__h", F.lit(False)) & (F.col("decl_align") >= line)).drop("__h")
+
+
 def placements(instances: DataFrame) -> DataFrame:
     """(type, placement) from instances (type, tls, is_global)."""
     out = instances.groupBy("type").agg(F.bool_or("tls").alias("t"), F.bool_or("is_global").alias("g"))
     return out.select("type", F.when(F.col("t"), "local-init").when(F.col("g"), "main-thread").otherwise("any-thread").alias("placement"))
 
 
-def allocator_class(callee: Column, bytes_: Column, linked: str = "arena-lock") -> Column:
-    """The kind of allocator behind a call."""
-    low = F.lower(callee)
-    pool = low.rlike("|".join(POOLS))
-    std = low.rlike(r"^(std::|operator new|malloc|calloc|realloc|aligned_alloc|posix_memalign|strdup)")
-    return F.when(pool, "pool-slab").when((bytes_ >= 128 * 1024) | callee.isin(*MAPPED), "syscall-mmap").when(std, linked).otherwise("unknown")
+def allocator_class(callee: Column, bytes_: Column, linked: str = "", pools: Sequence[str] = ()) -> Column:
+    """The kind of allocator behind a call; ``linked`` names the program's allocator, ``pools`` further calls to pools."""
+    pool = callee.isin(*POOLS, *pools) | callee.startswith("std::pmr::") | F.contains(callee, F.lit("boost::pool")) | F.contains(callee, F.lit("boost::object_pool"))
+    system = (F.coalesce(bytes_, F.lit(0)) >= 128 * 1024) | callee.isin(*SYSTEM_CALLS)
+    std = callee.isin(*STANDARD)
+    for c in CONTAINERS:
+        std = std | callee.startswith(c)
+    return F.when(pool, "pool-slab").when(system, "syscall-mmap").when(std, "thread-local-cache" if linked in CACHING else "arena-lock").otherwise("unknown")
 
 
 def configured_atomics(spellings: Column, names: Sequence[str]) -> Column:
@@ -136,10 +167,28 @@ def configured_atomics(spellings: Column, names: Sequence[str]) -> Column:
     return F.arrays_overlap(spellings, F.array(*map(F.lit, names))) if names else F.lit(False)
 
 
+LOCK_CALLS = ("pthread_mutex_lock", "pthread_mutex_trylock", "pthread_spin_lock", "pthread_rwlock_rdlock", "pthread_rwlock_wrlock")
+
+
 def ir_profiles(instructions: DataFrame) -> DataFrame:
-    """One row a function of lowered code: blocks, frame, heap, direct and indirect calls, atomics."""
-    k = lambda c: F.count(F.when(F.col("kind") == c, 1)).alias(f"{c}s")
-    return instructions.groupBy("fn").agg(F.max("block").alias("blocks"), F.sum(F.when(F.col("kind") == "alloca", F.col("bytes")).otherwise(0)).alias("frame"), k("heap_call"), k("call"), k("indirect_call"), k("atomic"), F.bool_or(F.coalesce((F.col("kind") == "atomic") & (F.col("ordering") == "seq_cst"), F.lit(False))).alias("seq_cst"))
+    """One row a function of lowered code: blocks, frame, heap, direct and indirect calls, atomics by kind and order, fences, locks.
+
+    ``instructions``: fn, block, kind, bytes, ordering, and callee, line where known. A compare-exchange and a call to a lock are locks.
+    """
+    d = instructions
+    for c, kind in (("callee", "string"), ("line", "int")):
+        d = d if c in d.columns else d.withColumn(c, F.lit(None).cast(kind))
+    count = lambda cond: F.count(F.when(cond, 1))
+    k = lambda c: count(F.col("kind") == c).alias(f"{c}s")
+    atomic = F.col("kind").isin("atomic", "atomic_load", "atomic_store", "rmw", "cmpxchg")
+    write = F.col("kind").isin("atomic_store", "rmw", "cmpxchg")
+    strong = atomic & F.coalesce(F.col("ordering") == "seq_cst", F.lit(False))
+    lock = (F.col("kind") == "cmpxchg") | F.coalesce((F.col("kind") == "call") & F.col("callee").isin(*LOCK_CALLS), F.lit(False))
+    lines = lambda cond: F.array_sort(F.collect_set(F.when(cond & (F.col("line") > 0), F.col("line"))))
+    return d.groupBy("fn").agg(
+        F.max("block").alias("blocks"), F.sum(F.when(F.col("kind") == "alloca", F.col("bytes")).otherwise(0)).alias("frame"), k("heap_call"), k("call"), k("indirect_call"), count(atomic).alias("atomics"), F.bool_or(strong).alias("seq_cst"),
+        count(strong).alias("seq_csts"), count(write).alias("atomic_writes"), count(write & (F.col("line") > 0)).alias("located_writes"), k("fence"), count(lock).alias("locks"), lines(strong).alias("site_lines"), lines(F.col("kind") == "cmpxchg").alias("lock_lines"),
+    )
 
 
 #: Rules whose findings lowered code speaks for or against.

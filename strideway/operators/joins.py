@@ -39,7 +39,7 @@ def source_filter(df: DataFrame, path: str, order: str, include: Sequence[str] =
             long = side.where(F.contains("changed", F.lit("/")))
             short = side.where(~F.contains("changed", F.lit("/"))).select("changed")
             own = out.withColumn("__base", text.base_name(F.col(path)))
-            hit = own.join(long, "__base").where(F.endswith(path, "changed")).select(path).unionByName(own.join(F.broadcast(short), F.endswith("__base", "changed")).select(path))
+            hit = own.join(long, "__base").where(F.endswith(path, "changed")).select(path).unionByName(own.join(storage.small(storage.saved(short, "short")), F.endswith("__base", "changed")).select(path))
             out = out.join(hit.distinct(), path, "left_semi").select(df.columns)
     if include:
         out = out.where(text.matches_glob(F.col(path), list(include)))
@@ -90,14 +90,28 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def radius_join(a: DataFrame, b: DataFrame, key: list[str], left: str, right: str, radius: float, how: str = "inner") -> DataFrame:
-    """Pairs of one class whose vectors are at most ``radius`` apart; ``how`` may be ``left_anti`` to drop what has a neighbour."""
-    near = squared_distance(F.col(f"l.{left}"), F.col(f"r.{right}")) <= radius * radius
-    on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in key]
-    cond = near
-    for c in on:
-        cond = cond & c
-    return a.alias("l").join(b.alias("r"), cond, how)
+def radius_join(a: DataFrame, b: DataFrame, key: list[str], left: str, right: str, radius: float, how: str = "inner", axes: int = 2) -> DataFrame:
+    """Pairs of one class whose vectors are at most ``radius`` apart; ``how`` may be ``left_anti`` to drop what has a neighbour.
+
+    Vectors meet in the cells of a grid as wide as the radius: near vectors have near lengths, and near coordinates on the first ``axes``
+    axes. The right side is listed in the cells next to its own too, so that the join is an equality, and each pair meets once.
+    """
+    if radius <= 0:
+        radius = 0.0
+    wide = max(float(radius), 1e-12)
+    step = lambda v: F.floor(v / F.lit(wide)).cast("bigint")
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    at = lambda c: [step(norm(F.col(c))), *(step(F.coalesce(F.get(F.col(c), F.lit(k)), F.lit(0.0)).cast("double")) for k in range(axes))]
+    cells = [f"__g{k}" for k in range(axes + 1)]
+    l_side, r_side = a, b
+    for c, v in zip(cells, at(left)):
+        l_side = l_side.withColumn(c, v)
+    for c, v in zip(cells, at(right)):
+        r_side = r_side.withColumn(c, F.explode(F.array(v - 1, v, v + 1)))
+    cond = squared_distance(F.col(f"l.{left}"), F.col(f"r.{right}")) <= radius * radius
+    for k in [*key, *cells]:
+        cond = cond & (F.col(f"l.{k}") == F.col(f"r.{k}"))
+    return l_side.alias("l").join(r_side.alias("r"), cond, how)
 
 
 def ranked_lookup(df: DataFrame, key: list[str], candidates: Sequence[tuple[int, DataFrame, Column]], tie: list[Column], columns: list[str]) -> DataFrame:
@@ -129,14 +143,39 @@ def verdicts(predicted: DataFrame, observed: DataFrame, key: list[str]) -> DataF
     """(key, verdict) of predictions against observations.
 
     ``observed`` may have a boolean ``hit``. CONFIRMED: predicted and hit; REFUTED: predicted and seen without a hit; UNOBSERVED:
-    predicted only; MISSED: hit only. What was seen without a hit and without a prediction has no row.
+    predicted only; MISSED: hit only. What was seen without a hit and without a prediction has no row. NO-GLOBAL-INSTANCE: predicted
+    without a key, so that nothing observed by key can speak for or against it; one row each.
     """
     seen = observed if "hit" in observed.columns else observed.withColumn("hit", F.lit(True))
-    p = predicted.select(*key).distinct().withColumn("__p", F.lit(True))
-    o = seen.groupBy(*key).agg(F.bool_or("hit").alias("__hit"))
+    keyless = F.lit(False)
+    for k in key:
+        keyless = keyless | F.col(k).isNull()
+    unknown = predicted.where(keyless).select(*key, F.lit("NO-GLOBAL-INSTANCE").alias("verdict"))
+    p = predicted.where(~keyless).select(*key).distinct().withColumn("__p", F.lit(True))
+    o = seen.where(~keyless).groupBy(*key).agg(F.bool_or("hit").alias("__hit"))
     both = p.join(o, key, "full_outer")
     said = F.when(F.col("__p") & F.col("__hit"), "CONFIRMED").when(F.col("__p") & ~F.col("__hit"), "REFUTED").when(F.col("__p"), "UNOBSERVED").when(F.col("__hit"), "MISSED")
-    return both.select(*key, said.alias("verdict")).where("verdict IS NOT NULL")
+    return both.select(*key, said.alias("verdict")).where("verdict IS NOT NULL").unionByName(unknown)
+
+
+def symbol_recall(hot: DataFrame, findings: DataFrame, most: int | None = 40) -> DataFrame:
+    """(symbol, weight, found) of the ``most`` heaviest symbols (all if None): whether a finding names one, by function or in its evidence.
+
+    ``hot``: symbol, weight. Of names the last component counts, of symbols what stands before ``+`` or ``@``; only equal names match.
+    """
+    bare = F.substring_index(F.substring_index("symbol", "+", 1), "@", 1)
+    by = hot.groupBy("symbol").agg(F.sum("weight").alias("weight"))
+    by = by if most is None else by.orderBy(F.col("weight").desc(), "symbol").limit(most)  # the feature: the first N
+    names = F.concat(F.array(F.col("fn")), F.map_values("evidence"))
+    flagged = findings.select(F.explode(F.transform(names, lambda n: F.substring_index(n, "::", -1))).alias("__name")).where("__name <> ''").distinct().withColumn("__f", F.lit(True))
+    out = by.withColumn("symbol", bare).join(flagged, F.col("symbol") == F.col("__name"), "left")
+    return out.select("symbol", "weight", F.coalesce("__f", F.lit(False)).alias("found"))
+
+
+def recall_summary(recall: DataFrame) -> DataFrame:
+    """One row: symbols found and in all, and the share of weight found (null without weight)."""
+    found = recall.agg(F.count(F.when(F.col("found"), 1)).alias("hits"), F.count("*").alias("symbols"), F.coalesce(F.sum(F.when(F.col("found"), F.col("weight"))), F.lit(0)).alias("__w"), F.sum("weight").alias("__t"))
+    return found.select("hits", "symbols", F.try_divide(F.col("__w").cast("double"), F.col("__t").cast("double")).alias("by_weight"))
 
 
 def any_shared(df: DataFrame, key: list[str], joined: str, separator: str, known: DataFrame, token: str, flag: str) -> DataFrame:

@@ -20,12 +20,26 @@ def survivors(df: DataFrame, key: list[str], order: list[Column], count: str | N
 
 
 def running_budget(df: DataFrame, key: list[str], order: list[Column], limit: Column | int, running: str = "running", demoted: str = "demoted", counted: Column | None = None) -> DataFrame:
-    """Counts the rows of a key in order; those beyond the limit are marked. Rows not ``counted`` take no part."""
+    """Counts the rows of a key in order; those beyond the limit are marked. Rows not ``counted`` take no part.
+
+    All rows are sorted by key and order into ranges and written; each range counts its own rows of a key and adds those of the ranges before,
+    so that a key of very many rows is never in one task.
+    """
     one = F.lit(1) if counted is None else F.when(counted, 1).otherwise(0)
-    n = F.sum(one).over(W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)).cast("bigint")
+    part = F.shiftright("__id", 33)
+    sorted_ = storage.saved(df.withColumn("__one", one).orderBy(*key, *order).withColumn("__id", F.monotonically_increasing_id()), "ordered").withColumn("__part", part)
+    before = W.partitionBy(*key).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    sums = sorted_.groupBy("__part", *key).agg(F.sum("__one").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    sums = sums.select(F.col("__part").alias("__p"), *(F.col(k).alias(f"__k_{k}") for k in key), "__before")
+    same = F.col("__part") == F.col("__p")
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    within = W.partitionBy("__part", *key).orderBy("__id").rowsBetween(W.unboundedPreceding, 0)
+    out = sorted_.withColumn("__upto", F.sum("__one").over(within)).join(storage.small(storage.saved(sums, "sums")), same)
     limit = limit if isinstance(limit, Column) else F.lit(limit)
+    out = out.withColumn(running, (F.col("__upto") + F.col("__before")).cast("bigint"))
     over = F.coalesce(F.col(running) > limit, F.lit(False))
-    return df.withColumn(running, n).withColumn(demoted, over if counted is None else over & counted)
+    return out.withColumn(demoted, over & (F.col("__one") == 1)).select(*df.columns, running, demoted)
 
 
 def islands(df: DataFrame, key: list[str], order: list[Column], same: list[str], run: str = "run") -> DataFrame:

@@ -31,12 +31,12 @@ def trace_verdicts(findings: DataFrame, trace: DataFrame) -> DataFrame:
 
 
 def updated_priors(verdicts: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """A10: (cls, prior, n, confirmed, refuted) with counts added to those before."""
-    own = verdicts.where("verdict <> 'Unlabeled'").groupBy("cls").agg(F.count(F.when(F.col("verdict") == "Positive", 1)).alias("confirmed"), F.count(F.when(F.col("verdict") == "Negative", 1)).alias("refuted"))
+    """A10: (cls, prior, fpr, tpr, n, confirmed, refuted) with counts added to those before; n counts undecided traces too."""
+    own = verdicts.groupBy("cls").agg(F.count("*").alias("n"), F.count(F.when(F.col("verdict") == "Positive", 1)).alias("confirmed"), F.count(F.when(F.col("verdict") == "Negative", 1)).alias("refuted"))
     if before is not None:
-        own = own.unionByName(before.select("cls", "confirmed", "refuted")).groupBy("cls").agg(F.sum("confirmed").alias("confirmed"), F.sum("refuted").alias("refuted"))
-    n = F.col("confirmed") + F.col("refuted")
-    return own.select("cls", ((F.col("confirmed") + 1.0) / (n + 2.0)).alias("prior"), n.alias("n"), "confirmed", "refuted")
+        own = own.unionByName(before.select("cls", "n", "confirmed", "refuted")).groupBy("cls").agg(*(F.sum(c).alias(c) for c in ("n", "confirmed", "refuted")))
+    share = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), F.col("n").cast("double")), F.lit(0.0))
+    return own.select("cls", ((F.col("confirmed") + 1.0) / (F.col("n") + 2.0)).alias("prior"), share("refuted").alias("fpr"), share("confirmed").alias("tpr"), "n", "confirmed", "refuted")
 
 
 def refuted_clusters(labelled: DataFrame, radius: float = 0.25) -> DataFrame:

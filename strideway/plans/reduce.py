@@ -38,6 +38,7 @@ class Facts:
     striped: DataFrame | None = None  # S.STRIPED
     failures: DataFrame | None = None  # file, error
     profiles: DataFrame | None = None  # S.PROFILE
+    lines: DataFrame | None = None  # file, line, text of sources that may suppress findings
     units: int = 2
     main_patterns: list[str] = field(default_factory=list)
     entry_patterns: list[str] = field(default_factory=list)
@@ -274,7 +275,7 @@ def stripe_findings(f: Facts, roles: DataFrame | None) -> DataFrame:
     head = F.col("head_pad")
     yes = lambda c: F.when(c, "yes").otherwise("no")
     evidence = F.create_map(
-        *(x for k, v in {"symbol": F.col("name"), "elem_size": F.col("elem_size"), "elem_count": F.col("elem_count"), "slots_per_line": F.col("slots"), "contended_lines": F.ceil(F.col("elem_count") / F.col("slots")), "striped_writers": F.col("n_writers"), "tls_indexed": yes(F.col("tls")), "atomic_elem": yes(F.col("atomic")), "scope": F.when(F.col("static"), "file-static").otherwise("member"), "write_frequency": S.name_of(["unknown", "cold", "tick", "hot"], F.col("writer_tier")), "fix_shape": fix, "footprint_current": now, "footprint_padded": padded, "l1d_cost_pct": F.floor(cost * 100)}.items() for x in (F.lit(k), v.cast("string")))
+        *(x for k, v in {"symbol": F.col("name"), "elem_size": F.col("elem_size"), "elem_count": F.col("elem_count"), "slots_per_line": F.col("slots"), "contended_lines": F.ceil(F.col("elem_count") / F.col("slots")), "striped_writers": F.col("n_writers"), "tls_indexed": yes(F.col("tls")), "atomic_elem": yes(F.col("atomic")), "scope": F.when(F.col("static"), "file-static").otherwise("member"), "write_frequency": S.name_of(S.RATES, F.col("writer_tier")), "fix_shape": fix, "footprint_current": now, "footprint_padded": padded, "l1d_cost_pct": F.floor(cost * 100)}.items() for x in (F.lit(k), v.cast("string")))
     )
     evidence = F.when(F.coalesce(F.col("type"), F.lit("")) != "", F.map_concat(evidence, F.create_map(F.lit("type_name"), F.col("type")))).otherwise(evidence)
     claims = F.array(
@@ -324,17 +325,16 @@ def deduplicate(df: DataFrame) -> DataFrame:
 
     If nothing repeats, notes keep their order. A group takes the place of its first member.
     """
-    keyed = storage.saved(df.withColumn("__key", dedup_key()), "keyed")
-    w = W.partitionBy("__key")
-    order = [F.col("confidence").desc(), F.col("tier"), F.length("file"), F.col("file"), F.col("line"), F.col("col"), F.col("fn"), *content(), F.col("stage"), F.col("ord")]
-    ranked = keyed.withColumns({"__n": F.count("*").over(w), "__rn": F.row_number().over(w.orderBy(*order)), "__first": F.min(F.struct("stage", "ord")).over(w), "__all": F.array_distinct(F.flatten(F.collect_list("escalations").over(w)))}).where("__rn = 1")
-    ranked = storage.saved(ranked, "ranked")
-    any_repeat = F.broadcast(ranked.agg(F.coalesce(F.max("__n") > 1, F.lit(False)).alias("__any")))  # one row
-    own = F.concat("__all", F.when(F.col("__n") > 1, F.array(F.concat(F.lit("cross-TU: deduplicated from "), F.col("__n").cast("string"), F.lit(" translation unit(s)")))).otherwise(F.array().cast("array<string>")))
+    order = F.struct(-F.col("confidence"), F.col("tier"), F.length("file"), F.col("file"), F.col("line"), F.col("col"), F.col("fn"), *content(), F.col("stage"), F.col("ord"))
+    best = F.min_by(F.struct(*df.columns), order).alias("__best")
+    notes = F.array_distinct(F.flatten(F.collect_set("escalations"))).alias("__all")
+    groups = df.groupBy(dedup_key().alias("__key")).agg(best, F.count("*").alias("__n"), F.min(F.struct("stage", "ord")).alias("__first"), notes)
+    groups = storage.saved(groups.select("__best.*", "__n", "__first", "__all"), "ranked")
+    repeats = bool(groups.agg(F.coalesce(F.max("__n") > 1, F.lit(False))).first()[0])
     # the survivor keeps its own repeats of a note
-    own = F.when(F.col("__n") == 1, F.col("escalations")).otherwise(own)
-    out = ranked.crossJoin(any_repeat).withColumn("escalations", F.when(F.col("__any"), F.array_sort(own)).otherwise(F.col("escalations")))
-    return out.withColumns({"stage": F.col("__first.stage"), "ord": F.col("__first.ord")}).select(df.columns)
+    merged = F.concat("__all", F.array(F.concat(F.lit("cross-TU: deduplicated from "), F.col("__n").cast("string"), F.lit(" translation unit(s)"))))
+    said = F.array_sort(F.when(F.col("__n") == 1, F.col("escalations")).otherwise(merged)) if repeats else F.col("escalations")
+    return groups.withColumns({"escalations": said, "stage": F.col("__first.stage"), "ord": F.col("__first.ord")}).select(df.columns)
 
 
 def participant() -> Column:
@@ -444,18 +444,17 @@ def inferred_tier() -> Column:
 def calibration_suppression(df: DataFrame, registry: DataFrame, radius: float = 0.25, least: int = 3) -> DataFrame:
     """Findings near what was refuted ``least`` times in their class go; never what is proven and at least High."""
     safe = (F.col("severity") >= S.HIGH) & (F.col("tier") == S.PROVEN)
-    a = df.withColumn("__f", features()).withColumn("cls", hazard_class(False)).withColumn("__safe", safe)
-    r = registry.where(F.col("refutations") >= least).select("cls", "features")
-    near = joins.squared_distance(F.col("__f"), F.col("features")) <= radius * radius
-    hit = a.where(~F.col("__safe")).join(storage.small(storage.saved(r, "registry")), "cls").where(near).select("stage", "ord").distinct()
-    return df.join(hit, ["stage", "ord"], "left_anti").select(df.columns)
+    a = df.withColumn("__f", F.when(~safe, features())).withColumn("__cls", hazard_class(False))
+    r = registry.where(F.col("refutations") >= least).select(F.col("cls").alias("__cls"), "features")
+    return joins.radius_join(a, storage.small(storage.saved(r, "registry")), ["__cls"], "__f", "features", radius, "left_anti").select(df.columns)
 
 
 def blended_confidence(df: DataFrame, priors: DataFrame) -> DataFrame:
     """Confidences moved to their class's prior (cls, prior, n) by its evidence."""
     from strideway.operators import stats
 
-    out = df.withColumn("cls", hazard_class(False)).join(F.broadcast(priors.select("cls", "prior", "n")), "cls", "left")  # one row a class
+    known = storage.small(storage.saved(priors.select("cls", "prior", "n"), "priors"))  # one row a class
+    out = df.withColumn("cls", hazard_class(False)).join(known, "cls", "left")
     return out.withColumn("confidence", stats.blended(F.col("confidence"), F.col("prior"), F.col("n"))).select(df.columns)
 
 
@@ -521,6 +520,8 @@ def status(n_findings: int, n_failures: int) -> int:
 def run(findings: DataFrame, f: Facts, root: str | None = None, severity: int = S.INFO, tier: int = S.SPECULATIVE, registry: DataFrame | None = None, priors: DataFrame | None = None, policies: dict | None = None) -> DataFrame:
     """All steps in order; the result has the findings' columns, in output order."""
     columns = findings.columns
+    if f.lines is not None:
+        findings = inline_suppression(findings, f.lines)
     df = ir_refinement(global_writes(canonical(findings)), f)
     df = sharing_verdict(escape_suppression(df, f), f)
     roles = storage.saved(r, "roles") if f.edges is not None and (r := thread_roles(f)) is not None else None

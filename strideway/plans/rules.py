@@ -20,13 +20,21 @@ from strideway.schemas import CRITICAL, HIGH, INFO, LIKELY, MEDIUM, PROVEN, SPEC
 RULES: dict[str, Callable[..., DataFrame]] = {}
 NEEDS: dict[str, str] = {}
 
-REFCOUNTS = "refcount ref_count refcnt ref_cnt refs usecount use_count usecnt nref nrefs rc".split()
+REFCOUNTS = "ref refs refcount refcnt count cnt nref nrefs rc usecount refcountandflags".split()
 HEAD = ("head", "front", "dequeue", "cons", "pop")
 TAIL = ("tail", "back", "enqueue", "prod", "push")
-QUEUES = ("queue", "ring", "buffer", "fifo", "channel")
+QUEUES = ("queue", "buffer", "ring", "channel", "spsc", "mpmc", "mpsc")
+#: Names of a queue's ends among atomic fields, where a looser sign will do.
+ENDS = (*HEAD, *TAIL, "read", "write")
 PLACEMENT = {"local-init": 0.3, "main-thread": 0.8, "any-thread": 1.0, "interleaved": 0.4, "explicit-bind": 0.1, "unknown": 1.0}
 ALLOCATOR_FACTOR = {"thread-local-cache": 0.3, "arena-lock": 1.0, "syscall-mmap": 1.5, "pool-slab": 0.2, "unknown": 1.0}
-RELAX = ["*pause*", "*relax*", "*yield*", "*wait*", "*sleep*", "*backoff*"]
+#: Calls that pause, yield or wait: bare names, their beginnings, and qualified names.
+RELAX = (
+    "_mm_pause sched_yield pthread_yield nanosleep usleep sleep cpu_relax futex syscall _umwait _tpause _umonitor _mm_monitor _mm_mwait wait wait_for wait_until "
+    "rte_pause rte_delay_us rte_delay_us_block epoll_wait epoll_pwait ppoll poll select pselect"
+).split()
+RELAX_STARTS = [f"__builtin_ia32_{x}" for x in ("umwait", "tpause", "monitor", "mwait")]
+RELAX_QUALIFIED = [f"std::this_thread::{x}" for x in ("yield", "sleep_for", "sleep_until")]
 PAGE, HUGE = 4096, 2 << 20
 
 
@@ -69,9 +77,32 @@ def hot(df: DataFrame) -> DataFrame:
     return df.where(F.col("hotness") > S.COLD)
 
 
-def record_summary(records: DataFrame, fields: DataFrame, escapes: DataFrame, line: int = 64) -> DataFrame:
+def distinct_writers(pairs: DataFrame, writers: DataFrame) -> DataFrame:
+    """``pairs`` (type, a, b ...) with ``apart``: whether two functions write the pair, or one that several threads run.
+
+    ``writers``: type, field, writer, pool. A field that nothing writes tells nothing.
+    """
+    w = writers.groupBy("type", "field").agg(F.count_distinct("writer").alias("n"), F.min("writer").alias("w"), F.bool_or("pool").alias("pool"))
+    a, b = (w.select("type", F.col("field").alias(c), F.col("n").alias(f"{c}_n"), F.col("w").alias(f"{c}_w"), F.col("pool").alias(f"{c}_pool")) for c in ("a", "b"))
+    out = pairs.join(a, ["type", "a"], "left").join(b, ["type", "b"], "left")
+    two = (F.col("a_n") > 1) | (F.col("b_n") > 1) | (F.col("a_w") != F.col("b_w")) | F.col("a_pool") | F.col("b_pool")
+    known = F.col("a_n").isNotNull() & F.col("b_n").isNotNull()
+    return out.withColumn("apart", known & F.coalesce(two, F.lit(False))).drop("a_n", "a_w", "a_pool", "b_n", "b_w", "b_pool")
+
+
+def mixed_lines(fields: DataFrame, line: int = 64) -> DataFrame:
+    """(type, line_index) of the lines that an atomic shares with plain mutable fields, at any start of the record."""
+    at = layout.buckets(fields.where(F.col("mutable") | F.col("atomic")), ["type"], line)
+    by = at.groupBy("type", "line_index").agg(F.count(F.when(F.col("atomic"), 1)).alias("a"), F.count("*").alias("m"))
+    return by.where("a > 0 AND m > a").select("type", "line_index")
+
+
+def record_summary(records: DataFrame, fields: DataFrame, escapes: DataFrame, line: int = 64, writers: DataFrame | None = None) -> DataFrame:
     """One row a record: geometry, field pairs and sharing evidence.
 
+    With ``writers`` (type, field, writer, pool) a record counts as written by several where a pair of its fields is (G15), and of an array
+    with itself only those pairs that are; without, ``escapes`` says so of the whole record.
+
     ``records``: type, file, line, size, align; ``fields``: type, field, ord, offset, size, granule, atomic, mutable, n_elements,
     char_array; ``escapes``: type, escapes, contention, multi_writer, sync, writes, signals beyond atomics and placement, where known.
     """
@@ -83,21 +114,26 @@ def record_summary(records: DataFrame, fields: DataFrame, escapes: DataFrame, li
         F.count_distinct(F.when(F.col("atomic"), layout.first_line(F.col("offset"), line))).alias("atomic_lines"), F.count_distinct(F.when(F.col("mutable") | F.col("atomic"), layout.first_line(F.col("offset"), line))).alias("writer_lines"),
         F.max_by(F.col("char_array") & (F.col("offset") + F.col("size") >= F.col("record_size")) & (F.col("record_size") % line == 0), F.col("ord")).alias("padded"),
         F.max(F.when(F.col("atomic"), F.lower(F.regexp_replace("field", "^_+|_+$", "")).isin(*REFCOUNTS))).alias("counts"),
-        F.bool_or(F.lower("field").rlike("|".join(HEAD + TAIL))).alias("head_tail"),
+        F.bool_or(F.col("atomic") & F.lower("field").rlike("|".join(ENDS))).alias("head_tail"),
     )
     can = f.where(F.col("mutable") | F.col("atomic"))
+    mixed = mixed_lines(f, line).groupBy("type").agg(F.count("*").alias("mixed_lines"))
     flag = can.select("type", F.col("field").alias("name"), F.col("atomic").alias("is_atomic"), F.col("ord").alias("place"))
     pairs = layout.line_pairs(can.withColumn("n_elements", F.coalesce("n_elements", F.lit(1))), ["type"], "ord", line)
     a, b = (flag.select("type", F.col("name").alias(n), F.col("is_atomic").alias(f"{n}_atomic"), F.col("place").alias(f"{n}_ord")) for n in ("a", "b"))
     pairs = pairs.join(a, ["type", "a"]).join(b, ["type", "b"])
+    pairs = distinct_writers(pairs, writers) if writers is not None else pairs.withColumn("apart", F.lit(True))
     looks = lambda c, names: F.lower(c).rlike("|".join(names))
     queue = (looks(F.col("a"), HEAD) & looks(F.col("b"), TAIL)) | (looks(F.col("a"), TAIL) & looks(F.col("b"), HEAD))
     paired = pairs.groupBy("type").agg(
-        F.count(F.when(F.col("a") != F.col("b"), 1)).alias("pairs"), F.count(F.when(F.col("a") == F.col("b"), 1)).alias("own_pairs"), F.count(F.when(F.col("a_atomic") & F.col("b_atomic"), 1)).alias("atomic_pairs"), F.bool_or(queue).alias("queue_pair"),
+        F.count(F.when(F.col("a") != F.col("b"), 1)).alias("pairs"), F.count(F.when((F.col("a") == F.col("b")) & F.col("apart"), 1)).alias("own_pairs"), F.bool_or("apart").alias("pair_writers"), F.count(F.when(F.col("a_atomic") & F.col("b_atomic"), 1)).alias("atomic_pairs"), F.bool_or(queue).alias("queue_pair"),
         F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("a_ord", "b_ord", "a", "b"))), lambda p: F.concat(p["a"], F.lit("|"), p["b"])), 1, 64), ";").alias("pair_fields"),
     )
-    out = records.join(per, "type").join(paired, "type", "left").join(escapes, "type", "left")
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("pairs", "own_pairs", "atomic_pairs")}
+    out = records.join(per, "type").join(paired, "type", "left").join(mixed, "type", "left").join(escapes, "type", "left")
+    if writers is not None:
+        out = out.withColumn("multi_writer", F.coalesce("pair_writers", F.lit(False)))
+    out = out.drop("pair_writers")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("pairs", "own_pairs", "atomic_pairs", "mixed_lines")}
     flags = {c: F.coalesce(c, F.lit(False)) for c in ("escapes", "multi_writer", "sync", "padded", "queue_pair", "beyond_atomics")}
     out = out.withColumns(zero | flags | {"contention": F.coalesce("contention", F.lit(0.0)), "writes": F.coalesce("writes", F.lit(0)), "placement": F.coalesce("placement", F.lit("unknown"))})
     return out.withColumns({"lines": layout.lines_worst(F.col("size"), F.col("align"), line), "min_lines": layout.lines_best(F.col("size"), line), "deliberate": (F.col("align") >= line) | F.col("padded"), "refcount_only": (F.col("atomic_fields") == 1) & F.coalesce("counts", F.lit(False))})
@@ -175,9 +211,16 @@ def hot_locks(sites: DataFrame, **_) -> DataFrame:
     return finding(hot(sites), "FL012", "Lock in Hot Path", sev, 0.75, PROVEN, ev, claims, gated=True)
 
 
+def relaxes(calls: Column, patterns: list[str] | tuple = ()) -> Column:
+    """Whether any of the calls, separated by spaces, pauses, yields or waits; ``patterns`` are globs for further ones."""
+    bare = lambda c: F.substring_index(c, "::", -1)
+    one = lambda c: bare(c).isin(*RELAX) | c.isin(*RELAX_QUALIFIED) | bare(c).rlike("^(" + "|".join(RELAX_STARTS) + ")") | text.matches_glob(bare(c), list(patterns)) | text.matches_glob(c, list(patterns))
+    return F.exists(F.split(F.coalesce(calls, F.lit("")), " "), lambda c: (c != "") & one(c))
+
+
 @rule("FL013", "spin_site")
-def bare_spins(sites: DataFrame, smt: bool = True, **_) -> DataFrame:
-    d = hot(sites).where((F.col("body_stmts") <= 4) & ~text.matches_glob(F.lower(F.coalesce("calls", F.lit(""))), RELAX) & ~F.col("relaxed"))
+def bare_spins(sites: DataFrame, smt: bool = True, relax: list[str] | tuple = (), **_) -> DataFrame:
+    d = hot(sites).where((F.col("body_stmts") <= 4) & ~relaxes(F.col("calls"), relax) & ~F.col("relaxed"))
     conf = F.when(F.col("form") == "tas", 0.78).when(F.col("form") == "cas", 0.62).otherwise(0.75)
     ev = {"polled": F.col("polled"), "form": F.concat("form", F.lit("-spin")), "body_stmts": F.col("body_stmts"), "smt_model": "on" if smt else "off"}
     claims = [S.claim("the pipeline is cleared when the awaited write lands", "a tight poll without a pause", True, MEDIUM), S.claim("the sibling thread starves", "two threads a core", smt, HIGH), S.claim("the line stays in the spinner's cache", "a spin that writes each round", F.col("form") == "tas", HIGH)]

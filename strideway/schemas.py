@@ -13,7 +13,9 @@ PROVEN, LIKELY, SPECULATIVE = range(3)
 HOTNESS = ["none", "cross-tu-candidate", "inferred-shallow", "inferred-deep", "declared", "profile"]
 COLD, CANDIDATE, SHALLOW, DEEP, DECLARED, PROFILED = range(6)
 MAIN, WORKER = 1, 2
-UNKNOWN_RATE, COLD_RATE, TICK_RATE, HOT_RATE = range(4)
+#: How often a function writes: unknown, now and then, for each connection or assignment, for each command.
+UNKNOWN_RATE, TICK_RATE, DISPATCH_RATE, HOT_RATE = range(4)
+RATES = ["unknown", "tick", "dispatch", "hot"]
 
 CLAIM = "struct<effect:string,precondition:string,established:boolean,supports:int,gating:boolean>"
 FINDING = (

@@ -74,8 +74,11 @@ def test_wilson_without_data(spark):
 
 def test_bootstrap(spark):
     rows = [("a", "c", 100 + i % 7) for i in range(400)] + [("a", "t", 200 + i % 7) for i in range(400)] + [("b", "c", 100 + i % 7) for i in range(400)] + [("b", "t", 100 + i % 7) for i in range(400)]
-    df = frame(spark, "key string, g string, v double", *((k, g, float(v)) for k, g, v in rows))
-    out = {r.key: r for r in stats.bootstrap_ci(df, ["key"], "g", "v", "c", "t", 0.1, reps=200).collect()}
+    # a later control that is twice as slow cannot be told from an effect
+    rows += [("d", "c", (100 if i < 200 else 200) + i % 7) for i in range(400)] + [("d", "t", 200 + i % 7) for i in range(400)]
+    df = frame(spark, "key string, i bigint, g string, v double", *((k, i, g, float(v)) for i, (k, g, v) in enumerate(rows)))
+    out = {r.key: r for r in stats.bootstrap_ci(df, ["key"], ["i"], "g", "v", "c", "t", 0.1, reps=200).collect()}
+    assert out["d"].verdict == "CONFOUNDED" and out["d"].drift > 0.9 and out["d"].drift_low > 0
     assert out["a"].verdict == "CONFIRMED" and out["b"].verdict == "REFUTED" and out["a"].low <= out["a"].effect <= out["a"].high
 
 
@@ -97,15 +100,63 @@ def test_graph_caps_are_errors(spark):
         graph.reachable(e, spark.createDataFrame([(0, 1)], "node int, mask int"), rounds=2)
 
 
-def test_one_task_and_rounds_agree(spark):
-    e = spark.createDataFrame([((i * 7) % 50, (i * 11 + 3) % 50, i % 3) for i in range(90)] + [(5, 5, 0)], "src int, dst int, weight int")
-    roots = spark.createDataFrame([(0, 1), (9, 2), (9, 4), (77, 8)], "node int, mask int")
-    seeds = spark.createDataFrame([(0, 0), (77, 9)], "node int, depth int")
-    for f, start, args in ((graph.reachable, roots, ()), (graph.max_relax, seeds, (4,))):
-        one, many = f(e, start, *args), f(e, start, *args, rounds=100)
-        assert one.schema.simpleString() == many.schema.simpleString()
-        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
-        assert f(e.where("false"), start.where("false"), *args).count() == 0
+@pytest.mark.parametrize("hops", [1, 4])
+def test_fixpoints_against_brute_force(spark, monkeypatch, hops):
+    """Cycles, a long chain, and ends that are null, which lead nowhere."""
+    monkeypatch.setattr(graph, "HOPS", hops)
+    rows = [((i * 7) % 50, (i * 11 + 3) % 50, i % 3) for i in range(90)] + [(5, 5, 0), (2, None, 1), (None, 49, 1)] + [(100 + i, 101 + i, i % 2) for i in range(25)]
+    roots, seeds = [(0, 1), (9, 2), (9, 4), (77, 8), (100, 16), (None, 32)], [(0, 0), (77, 9), (100, 0)]
+    mask: dict = {}
+    depth: dict = {}
+    for n, m in roots:
+        if n is not None:
+            mask[n] = mask.get(n, 0) | m
+    for n, d in seeds:
+        depth[n] = min(d, 4)
+    for _ in range(200):
+        for s, d, w in rows:
+            if s is None or d is None:
+                continue
+            if s in mask:
+                mask[d] = mask.get(d, 0) | mask[s]
+            if s in depth:
+                depth[d] = max(depth.get(d, -1), min(depth[s] + (1 if s == d and not w else w), 4))
+    e = spark.createDataFrame(rows, "src int, dst int, weight int")
+    assert {r.node: r.mask for r in graph.reachable(e, spark.createDataFrame(roots, "node int, mask int")).collect()} == mask
+    assert {r.node: r.depth for r in graph.max_relax(e, spark.createDataFrame(seeds, "node int, depth int"), 4).collect()} == depth
+    assert graph.reachable(e.where("false"), spark.createDataFrame([], "node int, mask int")).count() == 0
+
+
+def test_running_budget_of_one_hot_key(spark):
+    df = spark.createDataFrame([(None if i % 9 == 0 else "hot" if i % 3 else "cold", i, i % 4 != 0) for i in range(3000)], "k string, i int, c boolean").repartition(7)
+    out = ranking.running_budget(df, ["k"], [F.col("i")], 100, counted=F.col("c")).collect()
+    run: dict = {}
+    for r in sorted(out, key=lambda r: r.i):
+        run[r.k] = run.get(r.k, 0) + r.c
+        assert (r.running, r.demoted) == (run[r.k], r.c and run[r.k] > 100)
+    assert len(out) == 3000
+
+
+def test_radius_join_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, "ab"[i % 2], [rng.uniform(-1, 1) for _ in range(rng.choice((2, 3)))]) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, cls string, v array<double>")
+    near = lambda x, y, r: len(x) == len(y) and sum((a - b) ** 2 for a, b in zip(x, y)) <= r * r
+    for radius in (0.0, 0.3, 5.0):
+        want = {(a, b) for a, c, v in rows for b, d, w in rows if c == d and near(v, w, radius)}
+        got = [tuple(r) for r in joins.radius_join(df, df, ["cls"], "v", "v", radius).select(F.col("l.id"), F.col("r.id")).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_recall(spark):
+    hot = frame(spark, "symbol string, weight bigint", ("f+0x1", 90), ("g@plt", 10), ("free", 1))
+    found = frame(spark, "fn string, evidence map<string,string>", ("ns::f", {"v": "x::kfree"}), ("", {}))
+    out = joins.symbol_recall(hot, found)
+    assert {(r.symbol, r.found) for r in out.collect()} == {("f", True), ("g", False), ("free", False)}
+    assert tuple(joins.recall_summary(out).first()) == (1, 3, 90 / 101)
+    assert joins.recall_summary(out.where("false")).first().by_weight is None
 
 
 def test_calls(spark):

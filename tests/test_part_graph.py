@@ -29,12 +29,11 @@ def hops(roots):
     return out
 
 
-@pytest.mark.parametrize("together", [graph.TOGETHER_BYTES, 0])
-def test_all_parts_are_nodes(spark, parts, monkeypatch, together):
-    monkeypatch.setattr(graph, "TOGETHER_BYTES", together)
+@pytest.mark.parametrize("hops_", [graph.HOPS, 1])
+def test_all_parts_are_nodes(spark, parts, monkeypatch, hops_):
+    monkeypatch.setattr(graph, "HOPS", hops_)
     a, b = hops(range(5)), hops(range(100, 105))
     want = {n: (n in a) + 2 * (n in b) for n in a.keys() | b.keys()}
-    assert max(want) >= catalog.GRAPH_NODES
     assert {r.node: r.mask for r in catalog.reachability(spark, parts).collect()} == want
 
 
