@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Sequence
+import re
+import warnings
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,9 +56,64 @@ def shards(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parsed.where("ok").select("r.*"), parsed.where("NOT ok").select(F.col("value").alias("line"), F.lit("the record does not parse").alias("reason"))
 
 
+def records_of(findings: DataFrame, tables: dict[str, DataFrame], units: DataFrame | None = None) -> DataFrame:
+    """Unit records (``SHARD``) from findings and fact tables that carry their unit in ``src``; the inverse of ``findings_of`` and ``facts_of``.
+
+    ``tables``: signals, edges, own_depth, entries, writers, overridden, striped, failures, coverage, any of them missing. ``units`` (src,
+    exitCode) lists units that may have neither.
+    """
+    spark = findings.sparkSession
+    flag = lambda c: F.when(F.col(c), 1).otherwise(0)
+    claims = F.transform("claims", lambda c: F.struct(c["effect"].alias("e"), c["precondition"].alias("p"), c["established"].cast("int").alias("k"), c["gating"].cast("int").alias("g"), S.name_of(S.SEVERITIES, c["supports"]).alias("s")))
+    place = F.struct("file", "line", F.col("col").alias("column"))
+    one = F.struct(
+        F.col("rule").alias("ruleID"), "title", S.name_of(S.SEVERITIES, F.col("severity")).alias("severity"), "confidence", S.name_of(S.TIERS, F.col("tier")).alias("evidenceTier"), "suppressed", place.alias("location"), F.col("fn").alias("functionName"),
+        F.col("reasoning").alias("hardwareReasoning"), F.col("evidence").alias("structuralEvidence"), "mitigation", "escalations", F.col("hotness").alias("hot"), claims.alias("mc"),
+    )
+    parts = [findings.groupBy("src").agg(F.collect_list(one).alias("diagnostics"))]
+    short = dict(zip(S.SIGNAL_FLAGS, ["a", "s", "o", "v", "p", "tw", "gi", "tb", "sw", "l"]))
+    as_map = lambda key, value: F.map_from_entries(F.collect_list(F.struct(key, value)))
+    names = lambda c: F.array_sort(F.collect_set(c))
+    t = tables
+    if "signals" in t:
+        parts.append(t["signals"].groupBy("src").agg(as_map(F.col("type"), F.struct(*(flag(f).alias(k) for f, k in short.items()), F.col("accessors").alias("n"))).alias("escapeSummary")))
+    if "edges" in t:
+        deep = F.map_from_entries(F.collect_list(F.when(F.col("loop_depth") > 0, F.struct("dst", "loop_depth"))))
+        by = t["edges"].groupBy("src", F.col("caller")).agg(names("dst").alias("dsts"), deep.alias("deep"))
+        parts.append(by.groupBy("src").agg(as_map(F.col("caller"), F.col("dsts")).alias("__edges"), F.map_from_entries(F.collect_list(F.when(F.size("deep") > 0, F.struct("caller", "deep")))).alias("__depths")))
+    for name, column, alias in (("entries", "fn", "__entries"), ("overridden", "fn", "__overridden")):
+        if name in t:
+            parts.append(t[name].groupBy("src").agg(names(column).alias(alias)))
+    if "own_depth" in t:
+        parts.append(t["own_depth"].groupBy("src").agg(as_map(F.col("fn"), F.col("depth")).alias("__own")))
+    if "writers" in t:
+        by = t["writers"].groupBy("src", "field").agg(names("writer").alias("ws"))
+        parts.append(by.groupBy("src").agg(as_map(F.col("field"), F.col("ws")).alias("__writers")))
+    if "striped" in t:
+        x = F.struct(
+            F.col("name").alias("n"), F.col("type").alias("t"), F.col("file").alias("f"), F.col("line").alias("l"), F.col("elem_size").alias("es"), F.col("elem_count").alias("ec"), F.col("decl_align").alias("al"), flag("atomic").alias("at"), flag("volatile").alias("vo"),
+            flag("static").alias("st"), flag("tls").alias("tls"), flag("head_pad").alias("hp"), F.col("writer_tier").alias("wt"), F.col("writers").alias("w"), F.col("aggregators").alias("ag"),
+        )
+        parts.append(t["striped"].groupBy("src").agg(as_map(F.col("key"), x).alias("striped")))
+    if "failures" in t:
+        parts.append(t["failures"].groupBy("src").agg(F.collect_list(F.struct("file", "error")).alias("failedTUs")))
+    if "coverage" in t:
+        parts.append(t["coverage"].groupBy("src").agg(F.struct(F.sum("functions").alias("fs"), F.sum("hot").alias("fh"), F.sum("records").alias("rs")).alias("cov")))
+    out = units.select("src", "exitCode") if units is not None else None
+    for p in parts:
+        out = p if out is None else out.join(p, "src", "full_outer")
+    kinds = {f.name: f.dataType for f in spark.createDataFrame([], SHARD).schema}
+    roles = kinds["threadRoles"]
+    held = {"entries": "__entries", "edges": "__edges", "fieldWriters": "__writers", "edgeDepth": "__depths", "ownDepth": "__own", "overridden": "__overridden"}
+    col = lambda c, kind: (F.col(c) if c in out.columns else F.lit(None)).cast(kind)
+    thread_roles = F.struct(*(col(c, roles[n].dataType).alias(n) for n, c in held.items()))
+    exit_code = F.coalesce(col("exitCode", "int"), F.lit(0))
+    return out.select(*(exit_code.alias(n) if n == "exitCode" else thread_roles.alias(n) if n == "threadRoles" else col(n, k).alias(n) for n, k in kinds.items()))
+
+
 def write_shards(records: DataFrame, path: str) -> None:
-    """S6."""
-    records.write.json(path)
+    """One line a record, with short keys."""
+    records.write.mode("overwrite").json(path)
 
 
 def findings_of(diagnostics: DataFrame) -> DataFrame:
@@ -168,13 +227,28 @@ class CalibrationStore:
         os.replace(fresh, self.path)
 
 
+#: Pairs of ticks that are decoded and passed on together.
+PAIRS = 1 << 19
+
+
 def latency_samples(spark: SparkSession, path: str) -> DataFrame:
     """(path, t0, t1) of pairs of 64-bit little-endian ticks, where time passed; a trailing partial pair is dropped."""
-    raw = spark.read.format("binaryFile").load(path).select("path", F.hex("content").alias("h"))
-    n = F.floor(F.length("h") / 32)
-    pairs = raw.where(n > 0).select("path", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("i"), "h")
-    word = lambda at: F.conv(F.concat(*(F.substring("h", F.col("i") * 32 + at + 2 * k + 1, F.lit(2)) for k in range(7, -1, -1))), 16, 10).cast("decimal(20,0)")
-    return pairs.select("path", word(0).alias("t0"), word(16).alias("t1")).where("t1 > t0")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1)):
+                raw = content.as_buffer()
+                pairs = np.frombuffer(raw, "<u8", count=2 * (len(raw) // 16)).reshape(-1, 2)
+                for i in range(0, len(pairs), PAIRS):
+                    part = pairs[i : i + PAIRS]
+                    part = part[part[:, 1] > part[:, 0]]
+                    high, low = [(part[:, k] >> np.uint64(32)).astype(np.int64) for k in (0, 1)], [(part[:, k] & np.uint64(0xFFFFFFFF)).astype(np.int64) for k in (0, 1)]
+                    cols = [pa.array([name.as_py()] * len(part), pa.string()), *(pa.array(x) for k in (0, 1) for x in (high[k], low[k]))]
+                    yield pa.RecordBatch.from_arrays(cols, ["path", "h0", "l0", "h1", "l1"])
+
+    halves = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, h0 bigint, l0 bigint, h1 bigint, l1 bigint")
+    word = lambda k: (F.col(f"h{k}").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col(f"l{k}")).cast("decimal(20,0)")
+    return halves.select("path", word(0).alias("t0"), word(1).alias("t1"))
 
 
 def write_trace(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -214,33 +288,86 @@ def changed_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("changed")).where("changed <> ''")
 
 
-def config(path: str, defaults: dict | None = None) -> dict:
-    """Settings of a JSON file, or of ``key: value`` lines with ``- item`` lists. The line size is a power of two from 8 to 4096."""
-    with open(path, encoding="utf-8") as f:
-        raw = f.read()
-    if raw.lstrip().startswith("{"):
-        found = json.loads(raw)
-    else:
-        found, key = {}, None
-        for row in raw.splitlines():
-            row = row.split(" #")[0].rstrip()
-            if not row or row.lstrip().startswith("#"):
-                continue
-            if row.lstrip().startswith("- ") and key:
-                found.setdefault(key, [])
-                if found[key] in (None, ""):
-                    found[key] = []
-                found[key].append(_scalar(row.lstrip()[2:]))
-            elif ":" in row:
-                key, _, value = row.strip().partition(":")
-                found[key] = _scalar(value.strip())
-    out = dict(defaults or {"cache_line_bytes": 64}) | found
-    line = out.get("cache_line_bytes", 64)
-    if not isinstance(line, int) or not 8 <= line <= 4096 or line & (line - 1):
+#: All settings with their defaults; a list may be given as one item.
+DEFAULTS: dict = {
+    "cache_line_bytes": 64, "cache_line_span_warn": 64, "cache_line_span_crit": 128, "stack_frame_warn_bytes": 2048, "alloc_size_escalation": 256, "branch_depth_warn": 4, "json_output": False, "output_file": "", "infer_hot_paths": True,
+    "hot_function_patterns": [], "hot_file_patterns": [], "vendor_path_patterns": [f"*/{d}/*" for d in "deps third_party thirdparty third-party vendor external extern contrib node_modules subprojects".split()], "skip_vendored": True, "numa_sockets": 0,
+    "disabled_rules": [], "page_size": 4096, "perf_profile_path": "", "hotness_threshold_pct": 1.0, "linked_allocator": "", "target_arch": "x86-64", "atomic_type_names": [], "thread_entry_patterns": [], "main_function_patterns": [], "smt_enabled": True,
+    "l1d_size_bytes": 32768, "dispatch_path_patterns": [], "tick_path_patterns": [], "relax_function_patterns": [],
+}
+ARCHITECTURES = {"x86-64": "x86-64", "x86_64": "x86-64", "arm64": "arm64", "arm64-apple": "arm64-apple"}
+
+
+def _checked(found: dict) -> dict:
+    """Settings over the defaults; raises ValueError for unknown keys and values of another kind."""
+    out = {k: list(v) if isinstance(v, list) else v for k, v in DEFAULTS.items()}
+    for key, value in found.items():
+        if key not in DEFAULTS:
+            raise ValueError(f"unknown setting {key}")
+        kind = type(DEFAULTS[key])
+        if kind is list:
+            value = [] if value in (None, "") else [str(x) for x in (value if isinstance(value, list) else [value])]
+        elif kind is float and isinstance(value, int) and not isinstance(value, bool):
+            value = float(value)
+        elif kind is str and value is not None and not isinstance(value, (list, dict)):
+            value = str(value)
+        if type(value) is not kind or (kind is int and value < 0):
+            raise ValueError(f"{key} is not of its kind: {value!r}")
+        if not (kind is list and not value):  # an empty list keeps the default
+            out[key] = value
+    if out["target_arch"] not in ARCHITECTURES:
+        raise ValueError(f"unknown target_arch {out['target_arch']}")
+    out["target_arch"] = ARCHITECTURES[out["target_arch"]]
+    if out["target_arch"] == "arm64-apple":
+        for key, value in (("cache_line_bytes", 128), ("cache_line_span_warn", 128), ("cache_line_span_crit", 256)):
+            if out[key] == DEFAULTS[key]:
+                out[key] = value
+    return out
+
+
+def config(path: str) -> dict:
+    """The settings of a JSON file, or of ``key: value`` lines with lists of ``- item`` lines or in brackets, over the defaults.
+
+    A file that cannot be read or holds what is no setting gives the defaults, with a warning. A line size that is no power of two from 8 to
+    4096 raises ValueError, as every layout is divided by it.
+    """
+    try:
+        with open(path, encoding="utf-8") as f:
+            out = _checked(_parsed(f.read()))
+    except (OSError, ValueError) as e:
+        warnings.warn(f"{path}: {e}; using the defaults", stacklevel=2)
+        out = _checked({})
+    line = out["cache_line_bytes"]
+    if not 8 <= line <= 4096 or line & (line - 1):
         raise ValueError("cache_line_bytes is a power of two from 8 to 4096")
     return out
 
 
+def _parsed(raw: str) -> dict:
+    if raw.lstrip().startswith("{"):
+        return json.loads(raw)
+    found: dict = {}
+    key = None
+    for row in raw.splitlines():
+        row = re.sub(r"(^|\s)#.*$", "", row).rstrip()
+        text_ = row.strip()
+        if not text_ or text_ in ("---", "..."):
+            continue
+        if text_.startswith("- ") and key:
+            if not isinstance(found[key], list):
+                if found[key] != "":
+                    raise ValueError(f"{key} has both a value and items")
+                found[key] = []
+            found[key].append(_scalar(text_[2:]))
+        elif ":" in text_:
+            key, _, value = (x.strip() for x in text_.partition(":"))
+            inline = value.startswith("[") and value.endswith("]")
+            found[key] = [_scalar(x) for x in value[1:-1].split(",") if x.strip()] if inline else _scalar(value)
+        else:
+            raise ValueError(f"no setting: {text_}")
+    return found
+
+
 def _scalar(value: str):
     value = value.strip()
     if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'":

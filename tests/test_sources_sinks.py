@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strideway import schemas as S
-from strideway.operators import merge
+from strideway.operators import calls, merge
 from strideway.plans import catalog_facts as C
 from strideway.plans import feedback
 from strideway.plans import reduce as R
@@ -68,7 +68,8 @@ def test_traces_and_priors(spark, tmp_path):
     assert {(r.cls, r.verdict) for r in feedback.trace_verdicts(found, trace).collect()} == {("CacheGeometry", "Positive")}
     priors = feedback.updated_priors(feedback.trace_verdicts(found, trace))
     assert [(r.cls, round(r.prior, 4), r.n) for r in priors.collect()] == [("CacheGeometry", 0.6667, 1)]
-    facts.write_priors(priors.withColumns({"fpr": F.lit(0.1), "tpr": F.lit(0.9)}), str(tmp_path / "p"))
+    assert [(r.tpr, r.fpr) for r in priors.collect()] == [(1.0, 0.0)]
+    facts.write_priors(priors, str(tmp_path / "p"))
     assert facts.priors(spark, str(tmp_path / "p")).first().confirmed == 1
 
 
@@ -96,11 +97,75 @@ def test_store(tmp_path):
 
 
 def test_config(tmp_path):
-    path = write(tmp_path / "c.yaml", "# x", "cache_line_bytes: 128", "hot_function_patterns:", "  - 'on*'", '  - "x"', "smt: true", "ratio: 0.5")
-    assert facts.config(path) == {"cache_line_bytes": 128, "hot_function_patterns": ["on*", "x"], "smt": True, "ratio": 0.5}
+    path = write(tmp_path / "c.yaml", "# x", "cache_line_bytes: 128", "hot_function_patterns:", "  - 'on*'", '  - "x"', "smt_enabled: false", "hotness_threshold_pct: 2", "tick_path_patterns: [a*, b]", "disabled_rules:")
+    want = {"cache_line_bytes": 128, "hot_function_patterns": ["on*", "x"], "smt_enabled": False, "hotness_threshold_pct": 2.0, "tick_path_patterns": ["a*", "b"]}
+    assert facts.config(path) == facts.DEFAULTS | want
+    assert facts.config(write(tmp_path / "c.json", '{"page_size": 8192}'))["page_size"] == 8192
+    apple = facts.config(write(tmp_path / "a.yaml", "target_arch: arm64-apple", "cache_line_span_crit: 512"))
+    assert (apple["cache_line_bytes"], apple["cache_line_span_warn"], apple["cache_line_span_crit"]) == (128, 128, 512)
     for bad in ("65", "4", "8192"):
         with pytest.raises(ValueError):
             facts.config(write(tmp_path / "bad", f"cache_line_bytes: {bad}"))
+    for odd in ("smt: true", "page_size: many", "target_arch: vax", "json_output: 3", "just words"):
+        with pytest.warns(UserWarning):
+            assert facts.config(write(tmp_path / "odd", odd)) == facts.DEFAULTS
+    with pytest.warns(UserWarning):
+        assert facts.config(str(tmp_path / "nowhere")) == facts.DEFAULTS
+
+
+def test_records_round_trip(spark, tmp_path):
+    """Findings and facts written as unit records give the same ones when read."""
+    raw, merged = C.canary(spark)
+    unit = lambda df, u="u.cpp": df.withColumn("src", F.lit(u))
+    edges = merged.edges.select(F.lit("u.cpp").alias("src"), F.col("src").alias("caller"), "dst", "loop_depth")
+    tables = {"signals": unit(merged.signals), "edges": edges, "own_depth": unit(merged.own_depth), "entries": unit(merged.entries), "writers": unit(merged.writers), "overridden": unit(merged.overridden), "striped": unit(merged.striped), "failures": unit(merged.failures)}
+    units = spark.createDataFrame([("u.cpp", 0), ("empty.cpp", 2)], "src string, exitCode int")
+    facts.write_shards(facts.records_of(unit(raw), tables, units), str(tmp_path / "r"))
+    records, bad = facts.shards(spark, str(tmp_path / "r"))
+    assert bad.count() == 0 and {(r.src, r.exitCode) for r in records.collect()} == {("u.cpp", 0), ("empty.cpp", 2)}
+    rows = lambda df: sorted((str(sorted(r.asDict(recursive=True).items(), key=str)) for r in df.collect()))
+    assert rows(facts.findings_of(records)) == rows(raw)
+    again = facts.facts_of(records)
+    for name, df in (("signals", merged.signals), ("edges", merged.edges), ("own_depth", merged.own_depth), ("entries", merged.entries), ("writers", merged.writers), ("overridden", merged.overridden), ("striped", merged.striped), ("failures", merged.failures)):
+        assert rows(again[name]) == rows(df), name
+
+
+def test_a_million_samples(spark, tmp_path):
+    import time
+
+    import numpy as np
+
+    t0 = np.arange(1_000_000, dtype="<u8") * 10
+    (tmp_path / "many.bin").write_bytes(np.stack([t0, t0 + 1 + t0 % 3], axis=1).tobytes())
+    began = time.perf_counter()
+    got = facts.latency_samples(spark, str(tmp_path / "many.bin")).agg(F.count("*"), F.sum(F.col("t1") - F.col("t0"))).first()
+    assert got[0] == 1_000_000 and int(got[1]) == int((1 + t0 % 3).sum()) and time.perf_counter() - began < 30
+
+
+def test_hypothesis_sinks(spark):
+    raw, _ = C.canary(spark)
+    h = calls.hypotheses(raw)
+    doc = json.loads(sinks._text(sinks.hypothesis_rows(h, raw.count())))
+    known = h.where("metric IS NOT NULL")
+    assert doc["totalDiagnostics"] == raw.count() and doc["hypothesesGenerated"] == len(doc["hypotheses"]) == known.count()
+    files = sinks.experiment_rows(h).collect()
+    assert {r.file for r in files} == {"plan.txt", "hypothesis.json"} and len(files) == 2 * known.count()
+
+
+def test_documents_in_parts(spark, tmp_path):
+    """What several tasks write is the document, file after file."""
+    raw, _ = C.canary(spark)
+    sinks.write_rows(sinks.json_rows(raw.repartition(5)), str(tmp_path / "doc"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "doc").glob("part-*")))
+    assert len(json.loads(text)["diagnostics"]) == raw.count()
+
+    @sinks.sink("count")
+    def count(df):
+        return df.agg(F.lit(0).cast("bigint").alias("ord"), F.count("*").cast("string").alias("value"))
+
+    assert sinks.written(raw, "count") == str(raw.count())
+    with pytest.raises(ValueError):
+        sinks.written(raw, "none")
 
 
 def test_results(spark, tmp_path):
@@ -132,9 +197,9 @@ def test_formats(spark):
     seen = list(dict.fromkeys(r["ruleId"] for r in run["results"]))
     assert seen == ids
     assert json.loads(sinks.sarif(odd))["runs"][0]["results"][0]["locations"][0]["physicalLocation"]["region"] == {"startLine": 1, "startColumn": 1}
-    lines = sinks.SINKS["tidy"](odd).split("\n")
+    lines = sinks.written(odd, "tidy").split("\n")
     assert lines[0].endswith(f"error: First. [{odd.first().rule}]") and [x.split("note: ")[1] for x in lines[1:]] == ["one", "two"]
-    assert sinks.SINKS["cli"](raw.where("rule = 'FL012'").limit(1)).endswith("(75%, proven)")
+    assert sinks.written(raw.where("rule = 'FL012'").limit(1), "cli").endswith("(75%, proven)")
 
 
 def test_missing_units_are_not_clean(spark):
