@@ -5,38 +5,16 @@ The tables stand in for facts: a query shows an operator over a whole table, its
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strideway import schemas as S
 from strideway.functions import text, time
 from strideway.operators import graph, joins, layout, merge, ranking, setdiff, stats
 from strideway.plans import catalog_facts, reduce
+from strideway.plans.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from strideway.streaming import watch
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    """Registers a function under its name, with its oracle."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 LINE_COLUMNS = "l_discount l_extendedprice l_linenumber l_linestatus l_orderkey l_partkey l_quantity l_returnflag l_shipdate l_suppkey l_tax".split()
 
 
@@ -74,16 +52,6 @@ def keep_greatest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.keep_greatest(o, ["o_custkey"], "o_totalprice", "o_orderkey")
 
 
-@query("""WITH c AS (SELECT o_orderkey, o_custkey, CAST(count(*) OVER (PARTITION BY o_custkey) AS BIGINT) AS n,
-  CAST(count(*) FILTER (WHERE o_orderstatus = 'F') OVER (PARTITION BY o_custkey) AS BIGINT) AS done FROM orders)
-  SELECT o_orderkey, n, done, CASE WHEN n = 1 THEN 'Informational' WHEN done = 0 AND n < 4 THEN 'High' WHEN done = 0 THEN 'Medium' ELSE 'Critical' END AS grade FROM c""")
-def grouped_reclassify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = W.partitionBy("o_custkey")
-    o = table(spark, sf_dir, "orders").withColumn("n", F.count("*").over(w)).withColumn("done", F.count(F.when(F.col("o_orderstatus") == "F", 1)).over(w))
-    grade = F.when(F.col("n") == 1, "Informational").when((F.col("done") == 0) & (F.col("n") < 4), "High").when(F.col("done") == 0, "Medium").otherwise("Critical")
-    return o.select("o_orderkey", "n", "done", grade.alias("grade"))
-
-
 @query("""SELECT user_id, CAST(count(*) AS BIGINT) AS weight, round(100.0 * count(*) / (SELECT count(*) FROM events), 6) AS pct
   FROM events GROUP BY user_id HAVING 100.0 * count(*) / (SELECT count(*) FROM events) >= 0.7""")
 def share_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,12 +65,6 @@ def canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ordinal(o, [F.col("grade"), F.col("o_orderdate"), F.col("o_orderkey")]).select("o_orderkey", "ord")
 
 
-@query("""SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')""")
-def escape_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(done, "c_custkey", "left_anti").select("c_custkey", "c_name")
-
-
 @query("""SELECT o_orderkey, 'no line item' AS reason FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
 def coverage_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
@@ -139,11 +101,6 @@ def evidence_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", text.leading_number(F.replace("props", F.lit('{"k": '), F.lit(""))).alias("k"), text.leading_number(F.col("event_type")).alias("none"))
 
 
-@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events""")
-def json_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
-
-
 @query("""SELECT event_id, 'k=' || json_extract_string(props, '$.k') || '; type=' || event_type || '; user=' || user_id AS evidence FROM events""")
 def evidence_serialise(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
@@ -162,14 +119,6 @@ def entity_pair_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("joint", F.least("a_l_quantity", "b_l_quantity"))
 
 
-@query("""WITH good AS (SELECT s_nationkey, min(s_name) AS exemplar, CAST(count(*) AS BIGINT) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY 1)
-  SELECT s_suppkey, exemplar, n FROM supplier JOIN good USING (s_nationkey) WHERE s_acctbal < 0""")
-def precedent_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier")
-    good = s.where("s_acctbal > 5000").groupBy("s_nationkey").agg(F.min("s_name").alias("exemplar"), F.count("*").alias("n"))
-    return s.where("s_acctbal < 0").join(good, "s_nationkey").select("s_suppkey", "exemplar", "n")
-
-
 @query("""WITH l AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') ELSE 'Nation#' || (o_custkey % 40) END AS name FROM orders),
   c AS (SELECT o_orderkey, 0 AS rank, c_name AS found FROM l JOIN customer ON c_name = name
     UNION ALL SELECT o_orderkey, 1, n_name FROM l JOIN nation ON 'Nation#' || n_nationkey = name)
@@ -183,16 +132,6 @@ def rank_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.ranked_lookup(o, ["o_orderkey"], [(0, exact, same), (1, F.broadcast(near), same)], [F.col("found")], ["found"]).select("o_orderkey", "rank", "found")
 
 
-@query("""WITH c AS (SELECT l_orderkey, l_discount > 0.04 AS established, l_returnflag = 'R' AS gating, CAST(l_quantity AS INTEGER) % 4 AS supports FROM lineitem),
-  g AS (SELECT l_orderkey, max(supports) FILTER (WHERE established AND NOT gating) AS own, min(supports) FILTER (WHERE gating) AS cap, count(*) FILTER (WHERE NOT gating) AS n FROM c GROUP BY 1)
-  SELECT l_orderkey, CAST(CASE WHEN n = 0 THEN cap ELSE least(coalesce(own, 0), coalesce(cap, 3)) END AS INTEGER) AS ceiling FROM g""")
-def claim_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    c = li.select("l_orderkey", (F.col("l_discount") > 0.04).alias("established"), (F.col("l_returnflag") == "R").alias("gating"), (F.col("l_quantity").cast("int") % 4).alias("supports"))
-    g = c.groupBy("l_orderkey").agg(F.max(F.when(F.col("established") & ~F.col("gating"), F.col("supports"))).alias("own"), F.min(F.when(F.col("gating"), F.col("supports"))).alias("cap"), F.count(F.when(~F.col("gating"), 1)).alias("n"))
-    return g.select("l_orderkey", F.when(F.col("n") == 0, F.col("cap")).otherwise(F.least(F.coalesce("own", F.lit(0)), F.coalesce("cap", F.lit(3)))).alias("ceiling"))
-
-
 @query("""WITH a AS (SELECT l_partkey, l_returnflag FROM lineitem WHERE year(l_shipdate) = 1997), b AS (SELECT l_partkey, l_returnflag FROM lineitem WHERE year(l_shipdate) = 1998)
   SELECT *, 'new' AS change FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) UNION ALL SELECT *, 'resolved' FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)""")
 def multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,24 +155,17 @@ def distribution_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setdiff.distribution_shift(li.where("l_orderkey % 2 = 0"), li.where("l_orderkey % 2 = 1"), ["l_returnflag", "l_linestatus"])
 
 
-@query("""SELECT page_id, substr(url, 8) AS rest FROM pages WHERE url LIKE 'http://%'""")
-def path_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").where("url LIKE 'http://%'").select("page_id", "url")
-    return setdiff.without_common_prefix(p, "url", "rest").select("page_id", "rest")
-
-
-#: The least modulus of the graph of parts, also that of the SQL; a larger table takes its number of rows.
-GRAPH_NODES = 2000
-
-
 def part_edges(p: DataFrame) -> DataFrame:
-    """(src, dst) of all parts: p to (7p + 3) mod N and to p // 2, N being the number of parts, ``GRAPH_NODES`` at least."""
-    total = F.broadcast(p.agg(F.greatest(F.count("*"), F.lit(GRAPH_NODES)).alias("total")))  # one row
+    """(src, dst) of all parts: p to (7p + 3) mod N and to p // 2, N being the number of parts."""
+    total = F.broadcast(p.agg(F.count("*").alias("total")))  # one row
     jumps = p.crossJoin(total).select(F.col("p_partkey").alias("src"), ((7 * F.col("p_partkey") + 3) % F.col("total")).alias("dst"))
     return jumps.union(p.select("p_partkey", F.floor(F.col("p_partkey") / 2)))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT p_partkey AS src, (7 * p_partkey + 3) % {GRAPH_NODES} AS dst FROM part WHERE p_partkey < {GRAPH_NODES} UNION SELECT p_partkey, p_partkey // 2 FROM part WHERE p_partkey < {GRAPH_NODES}),
+_PART_EDGES = "e AS (SELECT p_partkey AS src, (7 * p_partkey + 3) % (SELECT count(*) FROM part) AS dst FROM part UNION SELECT p_partkey, p_partkey // 2 FROM part)"
+
+
+@query(f"""WITH RECURSIVE {_PART_EDGES},
   r(node, bit) AS (SELECT p_partkey, 1 FROM part WHERE p_partkey < 5 UNION SELECT p_partkey, 2 FROM part WHERE p_partkey BETWEEN 100 AND 104 UNION SELECT dst, bit FROM r JOIN e ON src = node)
   SELECT node, CAST(bit_or(bit) AS INTEGER) AS mask FROM r GROUP BY node""")
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,7 +174,7 @@ def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable(part_edges(p), roots)
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT p_partkey AS src, (7 * p_partkey + 3) % {GRAPH_NODES} AS dst FROM part WHERE p_partkey < {GRAPH_NODES} UNION SELECT p_partkey, p_partkey // 2 FROM part WHERE p_partkey < {GRAPH_NODES}),
+@query(f"""WITH RECURSIVE {_PART_EDGES},
   r(node, hops) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey < 5 UNION SELECT dst, hops + 1 FROM r JOIN e ON src = node WHERE hops < 5)
   SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY node""")
 def bounded_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,20 +199,14 @@ def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.islands(table(spark, sf_dir, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], ["event_type"]).select("event_id", "run")
 
 
-@query("""WITH m AS (SELECT user_id, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 4 WHEN 'error' THEN CASE WHEN value > 100 THEN NULL ELSE 8 END ELSE 0 END AS role FROM events)
-  SELECT user_id, CAST(CASE WHEN bool_or(role IS NULL) THEN 0 ELSE bit_or(role) END AS INTEGER) AS mask FROM m GROUP BY user_id""")
-def role_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    role = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 2).when(F.col("event_type") == "purchase", 4).when((F.col("event_type") == "error") & (F.col("value") > 100), None).when(F.col("event_type") == "error", 8).otherwise(0)
-    m = table(spark, sf_dir, "events").select("user_id", role.alias("role"))
-    return m.groupBy("user_id").agg(F.when(F.bool_or(F.col("role").isNull()), 0).otherwise(F.bit_or("role")).alias("mask"))
-
-
-@query("""WITH b AS (SELECT TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (h) HOUR AS s FROM range(0, 744) t(h))
-  SELECT epoch(s)::BIGINT AS bin, CAST(count(*) AS BIGINT) AS n FROM events JOIN b ON ts < s + INTERVAL 1 HOUR AND ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT)) > s GROUP BY s""")
+@query("""WITH t AS (SELECT ts AS a, ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT)) AS z FROM events), r AS (SELECT date_trunc('hour', min(a)) AS lo, max(z) AS hi FROM t), b AS (SELECT lo + INTERVAL (h) HOUR AS s FROM r, range(0, 1000000) x(h) WHERE h <= date_diff('hour', lo, hi))
+  SELECT epoch(s)::BIGINT AS bin, CAST(count(*) AS BIGINT) AS n FROM t JOIN b ON a < s + INTERVAL 1 HOUR AND z > s GROUP BY s""")
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", time.epoch_micros(F.col("ts")).alias("t0"), F.round(F.col("value") * 1000000).cast("bigint").alias("d"))
-    bins = spark.range(0, 744).select((F.lit(1704067200) + F.col("id") * 3600).alias("bin"))
+    """Events by the hours that they touch, all hours from the first start to the last end."""
     hour = 3_600_000_000
+    e = table(spark, sf_dir, "events").select("event_id", time.epoch_micros(F.col("ts")).alias("t0"), F.round(F.col("value") * 1000000).cast("bigint").alias("d"))
+    span = e.agg(F.floor(F.min("t0") / hour).alias("lo"), F.floor(F.max(F.col("t0") + F.col("d")) / hour).alias("hi")).where("lo IS NOT NULL")
+    bins = span.select(F.explode(F.sequence("lo", "hi")).alias("h")).select((F.col("h") * 3600).alias("bin"))
     out = joins.interval_join(e, F.col("t0"), F.col("t0") + F.col("d"), bins, F.col("bin") * 1_000_000, (F.col("bin") + 3600) * 1_000_000, hour)
     return out.groupBy("bin").agg(F.count("*").alias("n"))
 
@@ -378,12 +304,6 @@ def divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.verdicts(p, o, ["key"])
 
 
-@query("""SELECT regexp_extract(html, 'lang="([^"]*)"', 1) AS fingerprint, CAST(count(*) AS BIGINT) AS n FROM pages WHERE regexp_matches(html, 'lang="([^"]*)"') GROUP BY 1 HAVING count(*) >= 30""")
-def header_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select(F.regexp_extract("html", 'lang="([^"]*)"', 1).alias("fingerprint")).where("fingerprint <> ''")
-    return p.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n >= 30")
-
-
 @query("""SELECT doc_id, quality, toxic FROM (SELECT *, row_number() OVER (PARTITION BY quality, toxic ORDER BY md5('s1|' || quality || '|' || toxic || '|' || doc_id), doc_id) AS rn FROM labels) WHERE rn <= 8""")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.stratified_sample(table(spark, sf_dir, "labels"), ["quality", "toxic"], "doc_id", 8, "s1").select("doc_id", "quality", "toxic")
@@ -460,7 +380,7 @@ def achieved_power(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where("event_type IN ('view', 'click')").withColumn("half", F.col("user_id") % 2)
-    return stats.bootstrap_ci(e, ["half"], "event_type", "value", "view", "click", 0.05)
+    return stats.bootstrap_ci(e, ["half"], ["ts", "event_id"], "event_type", "value", "view", "click", 0.05)
 
 
 @query()
@@ -469,25 +389,10 @@ def fp_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.fp_clusters(e, "label", ["vec_id"], "features", radius=1.3)
 
 
-def lineitem_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings made of the rows of ``lineitem``: rules by flag and status, places by part, types by supplier."""
-    li = table(spark, sf_dir, "lineitem")
-    rule = F.element_at(F.array(*map(F.lit, ("FL001", "FL002", "FL011", "FL012", "FL020", "FL060"))), (F.ascii("l_returnflag") + F.ascii("l_linestatus")) % 6 + 1)
-    text_of = lambda c: F.col(c).cast("string")
-    evidence = F.create_map(F.lit("type_name"), F.concat(F.lit("S"), text_of("l_suppkey")), F.lit("thread_escape"), F.when(F.col("l_tax") > 0.02, "true").otherwise("false"), F.lit("sizeof"), F.concat(text_of("l_quantity"), F.lit("B")))
-    claims = F.array(S.claim("m", "p", F.col("l_discount") > 0.02, (F.col("l_linenumber") % 4)), S.claim("g", "p", True, (F.col("l_quantity").cast("int") % 3) + 1, gating=True))
-    return li.select(
-        rule.alias("rule"), F.lit("row").alias("title"), (F.col("l_linenumber") % 4).cast("int").alias("severity"), F.round(0.3 + F.col("l_quantity") / 100, 4).alias("confidence"), (F.col("l_suppkey") % 3).cast("int").alias("tier"), F.lit(False).alias("suppressed"),
-        F.concat(F.lit("src/p"), text_of("l_partkey")).alias("file"), F.col("l_linenumber").alias("line"), F.lit(1).alias("col"), F.lit("").alias("fn"), F.lit("").alias("reasoning"), evidence.alias("evidence"), F.lit("").alias("mitigation"),
-        F.array(F.concat(F.lit("order "), text_of("l_orderkey"))).alias("escalations"), F.lit(S.COLD).alias("hotness"), claims.alias("claims"),
-    )
-
-
 @query()
 def reduce_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All reduce steps over findings made of ``lineitem``, with suppliers as types."""
-    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("type"), *((F.col("s_suppkey") % (3 + i) == 0).alias(f) for i, f in enumerate(S.SIGNAL_FLAGS)), F.lit(1).alias("accessors"))
-    out = reduce.run(lineitem_findings(spark, sf_dir), reduce.Facts(signals=s))
+    """All reduce steps over findings made of ``lineitem``, with facts of every kind."""
+    out = reduce.run(catalog_facts.pipeline_findings(spark, sf_dir), **catalog_facts.pipeline_facts(spark, sf_dir))
     return out.select("rule", "severity", F.round("confidence", 6).alias("confidence"), "tier", "file", "line", F.size("escalations").alias("notes"))
 
 
@@ -496,7 +401,7 @@ _CLAIMED = """SELECT {key}, l_linenumber % 4 AS severity, CASE WHEN l_discount >
 
 @query(f"""SELECT l_suppkey, CAST(count(*) FILTER (WHERE severity > least(own, cap)) AS BIGINT) AS bound, CAST(max(least(severity, own, cap)) AS INTEGER) AS top FROM ({_CLAIMED.format(key='l_suppkey')}) GROUP BY 1""")
 def claim_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = lineitem_findings(spark, sf_dir).select(F.substring(reduce.ev("type_name"), 2, 99).cast("bigint").alias("l_suppkey"), "severity", S.supported_severity(F.col("claims")).alias("most"))
+    f = catalog_facts.lineitem_findings(spark, sf_dir).select(F.substring(reduce.ev("type_name"), 2, 99).cast("bigint").alias("l_suppkey"), "severity", S.supported_severity(F.col("claims")).alias("most"))
     return f.groupBy("l_suppkey").agg(F.count(F.when(F.col("severity") > F.col("most"), 1)).alias("bound"), F.max(F.least("severity", "most")).alias("top"))
 
 
@@ -519,6 +424,10 @@ def windowed_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select((time.epoch_micros(F.col("start")) / 1_000_000).cast("bigint").alias("start"), "event_type", "n")
 
 
+# the other queries register themselves
+from strideway.plans import catalog_calls, catalog_rules, catalog_steps  # noqa: E402, F401
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked survivors within a budget: dedup, budget and canonical order over rows of ``lineitem``."""
     left = survivor_dedup(spark, sf_dir)
