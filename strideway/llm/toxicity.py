@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon.
 
 Texts are folded (look-alike letters of other scripts, accents, digit and symbol substitutions, invisible characters) and
-matched by an Aho-Corasick automaton. A hit counts at word borders and outside exception phrases; the score is the weight of
+matched by an Aho-Corasick automaton. Learned terms weigh by their odds. A hit counts at word borders and outside exception phrases; the score is the weight of
 the hits per 100 words. Terms of other vocabularies are learned: word beginnings that mark documents labelled toxic, from a
 sample of at most ``LABEL_ROWS`` labelled rows of each class (the only bounded part; scoring covers all texts in whole).
 
@@ -30,7 +30,8 @@ THRESHOLD = 0.8
 LABEL_ROWS = 6000
 #: A learned term begins at least so many sampled toxic documents' words, and its rate in words there is so many times (as a logarithm) that in others; the last is the same for documents.
 LEAST_DOCS, LEAST_ODDS, LEAST_DOC_ODDS = 8, 3.0, 1.9
-LEARNED_WEIGHT = 1.0
+#: A learned term weighs its logarithm of odds over this one, at most so much.
+UNIT_ODDS, MOST_LEARNED = 3.8, 2.0
 PREFIXES = range(4, 10)
 
 #: Insults by weight.
@@ -187,15 +188,18 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS) -> dict[st
         return {}
     odds = F.log((F.col("a") + 0.5) / whole.a) - F.log((F.col("b") + 0.5) / whole.b)
     in_docs = F.log((F.col("d") + 0.5) / whole.d) - F.log((F.col("e") + 0.5) / whole.e)
-    found = sorted(r.term for r in seen.where("term <> ''").where((odds >= LEAST_ODDS) & (in_docs >= LEAST_DOC_ODDS)).select("term").collect())
+    told = seen.where("term <> ''").where((odds >= LEAST_ODDS) & (in_docs >= LEAST_DOC_ODDS)).select("term", odds.alias("odds")).collect()
     given = [folded(t) for t in LEXICON]  # these match as whole words
-    kept: list[str] = []
-    for t in found:
-        if any(x.startswith(t) for x in given):
+    kept: dict[str, float] = {}
+    last = None
+    for r in sorted(told, key=lambda r: r.term):
+        if any(x.startswith(r.term) for x in given):
             continue
-        if not kept or not t.startswith(kept[-1]):
-            kept.append(t)
-    return dict.fromkeys(kept, LEARNED_WEIGHT)
+        weight = min(r.odds / UNIT_ODDS, MOST_LEARNED)
+        if last is None or not r.term.startswith(last):
+            last = r.term
+            kept[last] = weight
+    return kept
 
 
 def _score(learned: dict[str, float]):
@@ -227,12 +231,13 @@ def toxic(docs: DataFrame, labels: DataFrame | None = None, threshold: float = T
 def reject(docs: DataFrame, labels: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose text scores ``threshold`` or more, in one pass over them."""
     learned = learn(docs, labels) if labels is not None else {}
+    at = docs.columns.index("text")
 
     @common.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = Matcher(LEXICON, learned)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            texts = batch.column(at).to_pylist()
             keep = []
             for i, j in common.chunks(texts):
                 words, _, weight = match(texts[i:j])
@@ -240,4 +245,5 @@ def reject(docs: DataFrame, labels: DataFrame | None = None, threshold: float =
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names of any kind
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
