@@ -6,7 +6,7 @@ the mean of that and the product of its children's, so all depths are mixed. The
 halves by a hash of the id: each document is scored by the tree of the half without it, so that no document predicts itself.
 
 The corpus is reduced to its runs of ``DEPTH + 1`` bytes with counts; the trees are worked out in partitions by the last two
-bytes of the context (all deeper nodes are inside one), and only the nodes of depth 0 and 1, at most 65,535, meet on the driver.
+bytes of the context (all deeper nodes are inside one; a pair has 2^24 runs at most, however large the corpus), and only the nodes of depth 0 and 1, at most 65,535, meet on the driver.
 A table of up to ``SEND_LIMIT`` runs is sent to the tasks that score; a larger one is joined by shuffle.
 
 Defined results: a null text has null lengths; an empty one has 0 bytes, 0 bits and a null rate. Before its first byte a text
@@ -159,11 +159,29 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, list[np.ndarr
     return cols[0].view(_U), cols[1:]
 
 
+#: Runs of which trees are held at a time; those of one pair of nearest bytes, 2^24 at most, stay together.
+HELD = 1 << 19
+
+
+def _by_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """A partition's runs and counts, cut between pairs of nearest context bytes."""
+    run_, counts = _whole(batches)
+    pair = run_ >> _U(8) & _U(65535)
+    order = np.argsort(pair, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(pair[order])) + 1, len(order))
+    at = 0
+    while at < len(order):
+        k = np.searchsorted(ends, at + HELD, "right")
+        end = int(ends[k - 1]) if k and ends[k - 1] > at else int(ends[np.searchsorted(ends, at, "right")])
+        part = order[at:end]
+        yield run_[part], [n[part] for n in counts]
+        at = end
+
+
 def _near_roots(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run_, counts = _whole(batches)
-        for h, n in enumerate(counts):
-            if len(run_):
+        for run_, counts in _by_pair(batches):
+            for h, n in enumerate(counts):
                 t = Trees(run_, n, depth, 2)
                 yield pa.RecordBatch.from_arrays([pa.array((t.keys[2] >> _U(16) << _U(8) | t.keys[2] & _U(255)).view(np.int64)), pa.array(np.full(len(t.log[2]), h, np.int32)), pa.array(t.zeros[2]), pa.array(t.ones[2]), pa.array(t.log[2])], ["node", "half", "zeros", "ones", "log"])
 
@@ -190,8 +208,7 @@ def _roots(rows: list, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _price(depth: int, roots):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run_, counts = _whole(batches)
-        if len(run_):
+        for run_, counts in _by_pair(batches):
             bits = []
             for (mixed, left), n in zip(roots.value, counts):
                 place = lambda key, m=mixed, w=left: (m[i := (key >> _U(16) << _U(8) | key & _U(255)).astype(np.int64)], w[i])
