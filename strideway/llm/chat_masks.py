@@ -6,7 +6,8 @@ search among the sorted span starts. Marks inside a text are ordinary text, as s
 
 Defined results: turns go by number, then role, then text, nulls first; repeated rows are rendered as often as they occur. A
 null role is rendered as ``unknown``; a null or empty text as empty content. Rows with a null conv_id belong to no
-conversation and are left out. A token that reaches over a border of a trained span is not trained on.
+conversation and are left out. A token that reaches over a border of a trained span is not trained on. Very long conversations
+are rendered and encoded in whole. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ counts and weights are brought up to date after at most ``STEP`` ids. A block's
 in step, so that both model and coder are array operations.
 
 Defined results: a null text has length -1 and no ids, an empty one length 0. A text longer than a block goes on in the next.
-Rows with null or repeated ids are stored like others, in their order.
+Rows with null or repeated ids are stored like others, in their order. Very long texts are stored in whole. Which rows share a block
+follows the partitions, and so does ``block_id``, which orders the blocks of one. Other columns are not stored. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
