@@ -12,22 +12,27 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def toxic_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts whose weighted toxic terms reach the threshold; rows with null or empty texts stay. Terms are learned from ``labels``, if any. An empty table gives an empty one; other columns stay."""
     return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates, that of the smallest id; of rows that repeat an id one stays. Null ids and texts stay. An empty table gives an empty one; other columns stay."""
     return minmax_dedup.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that share a long span with an item of ``benchmark``; null ids and texts stay. An empty table gives an empty one; other columns stay."""
     return winnowing.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or drops rows so that sources and languages meet their target weights; null categories count as their own. Texts without words follow their categories. An empty table gives an empty one; other columns stay."""
     return entropy_balance.mix(docs)
 
 
 def token_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stores the token ids of all rows in compressed blocks; null and empty texts are kept apart. An empty table gives no blocks."""
     return token_store.write_blocks(docs)
 
 
