@@ -251,7 +251,7 @@ def refined(findings: DataFrame, profiles: DataFrame) -> DataFrame:
     found = resolved_profiles(mine.select(F.col("__name").alias("name"), F.col("__file").alias("file"), F.col("__line").alias("line")).distinct(), p)
     found = found.select(*(F.col(c).alias(f"__{c}") for c in found.columns))
     m = lambda k: F.coalesce(f"__{k}", F.lit(0))
-    out = mine.join(found, ["__name", "__file", "__line"], "left")
+    out = mine.join(storage.small(storage.saved(found, "refining")), ["__name", "__file", "__line"], "left")
     there = F.col("__mangled").isNotNull() & ~F.col("suppressed")
     at = lambda k: F.coalesce(F.array_contains(f"__{k}", F.col("line")) & (F.col("line") > 0), F.lit(False))
     r, c, frame = F.col("rule"), F.col("confidence"), m("frame")

@@ -102,9 +102,15 @@ def finding_rows(df: DataFrame, ident: Column, **columns: Column) -> DataFrame:
     return df.select(*(own[c].cast(kinds[c]).alias(c) if c in kinds else own[c].alias(c) for c in plain), ident.cast("bigint").alias("ord"), F.lit(0).alias("stage"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than there are cores, dealt to all of them; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def lineitem_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings made of the rows of ``lineitem``: rules by flag and status, places by part, types by supplier."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     rule = F.element_at(F.array(*map(F.lit, ("FL001", "FL002", "FL011", "FL012", "FL020", "FL060"))), (F.ascii("l_returnflag") + F.ascii("l_linestatus")) % 6 + 1)
     evidence = F.create_map(F.lit("type_name"), F.concat(F.lit("S"), text_of("l_suppkey")), F.lit("thread_escape"), F.when(F.col("l_tax") > 0.02, "true").otherwise("false"), F.lit("sizeof"), F.concat(text_of("l_quantity"), F.lit("B")))
     claims = F.array(S.claim("m", "p", F.col("l_discount") > 0.02, (F.col("l_linenumber") % 4)), S.claim("g", "p", True, (F.col("l_quantity").cast("int") % 3) + 1, gating=True))

@@ -66,9 +66,18 @@ def noted(when: Column, note: Column | str) -> Column:
 
 
 def side_join(df: DataFrame, side: DataFrame, key: Column, name: str) -> DataFrame:
-    """Left join on a key that is often null: rows without one keep their own and never meet in one partition."""
+    """Left join on a key that is often null: rows without one keep their own and never meet in one partition.
+
+    The side is written first; if it is small the findings are not shuffled.
+    """
     own = F.coalesce(key, F.concat(F.lit("\0"), F.col("stage"), F.lit(":"), F.col("ord")))
-    return df.withColumn("__k", own).join(side.withColumnRenamed(name, "__k"), "__k", "left").drop("__k")
+    held = storage.small(storage.saved(side.withColumnRenamed(name, "__k"), "side"))
+    return df.withColumn("__k", own).join(held, "__k", "left").drop("__k")
+
+
+def place_join(df: DataFrame, side: DataFrame) -> DataFrame:
+    """Left join of what was found for some findings, by their place; written first, so that findings are not shuffled if it is small."""
+    return df.join(storage.small(storage.saved(side, "found")), ["ord", "stage"], "left")
 
 
 def content() -> list[Column]:
@@ -142,10 +151,10 @@ def sharing_verdict(df: DataFrame, f: Facts) -> DataFrame:
     if f.signals is None:
         return df
     mine = ~F.col("suppressed") & F.col("rule").isin("FL002", "FL041") & (F.coalesce(ev("type_name"), F.lit("")) != "")
-    known = merged_signals(f.signals).select("type", sharing_route().alias("shared"))
+    known = storage.small(storage.saved(merged_signals(f.signals).select("type", sharing_route().alias("shared")), "routes"))
     verdict = joins.any_shared(df.where(mine).select("ord", "stage", ev("type_name").alias("types")), ["ord", "stage"], "types", ";", known, "type", "shared")
     capped = verdict.where("known > 0 AND NOT shared").select("ord", "stage", F.lit(True).alias("__c"))
-    out = df.join(capped, ["ord", "stage"], "left")
+    out = place_join(df, capped)
     gate = S.claim("two threads reach the same instance", "a unit shows a shared instance and a thread that writes it", False, S.MEDIUM, gating=True)
     hit = F.coalesce("__c", F.lit(False))
     return out.withColumn("escalations", noted(hit, "no unit shows a thread at a shared instance: contention is not established")).withColumn("claims", F.when(hit, F.concat("claims", F.array(gate))).otherwise(F.col("claims"))).drop("__c")
@@ -189,7 +198,7 @@ def role_escalation(df: DataFrame, f: Facts, roles: DataFrame | None) -> DataFra
     flagged = pairs.join(a, ["type", "a"]).join(b, ["type", "b"]).where(disjoint).groupBy("ord", "stage").agg(F.min_by(F.struct("a", "b", "ma", "mb"), "pos").alias("__p"))
     per_type = a.join(b, "type").where((F.col("a") < F.col("b")) & disjoint).groupBy("type").agg(F.min(F.struct("a", "b", "ma", "mb")).alias("__p"))
     by_type = df.where(mine & (F.col("rule") == "FL090")).select("ord", "stage", ev("type_name").alias("type")).join(per_type, "type").select("ord", "stage", "__p")
-    out = df.join(flagged.unionByName(by_type), ["ord", "stage"], "left")
+    out = place_join(df, flagged.unionByName(by_type))
     hit = F.col("__p").isNotNull()
     role = lambda m: F.when(m == S.MAIN, "main").when(m == S.WORKER, "worker").otherwise("mixed")
     note = F.concat(F.lit(f"{ROLES_NOTE}: "), F.col("__p.a"), F.lit(" by "), role(F.col("__p.ma")), F.lit(", "), F.col("__p.b"), F.lit(" by "), role(F.col("__p.mb")))
@@ -293,7 +302,8 @@ def stripe_findings(f: Facts, roles: DataFrame | None) -> DataFrame:
 
 
 def appended(df: DataFrame, more: DataFrame, stage: int, order: list[Column]) -> DataFrame:
-    """``more`` after all findings so far, in its own order."""
+    """``more`` after all findings so far, in its own order; it is worked out once, as sorting looks at it twice."""
+    more = storage.saved(more, "more")
     return df.unionByName(ranking.ordinal(more, order).withColumn("stage", F.lit(stage)))
 
 
@@ -412,8 +422,12 @@ def precision_budget(df: DataFrame, policies: dict[str, tuple[int, float, int]]
     rows = [(k, *v) for k, v in (S.POLICIES | (policies or {})).items()]
     known = F.broadcast(df.sparkSession.createDataFrame(rows, "rule string, __most int, __floor double, __cap int"))
     out = df.join(known, "rule", "left").withColumn("__low", F.coalesce((F.col("confidence") < F.col("__floor")) & ~F.col("suppressed"), F.lit(False)))
-    counted = (F.col("__most") > 0) & ~F.col("__low")
-    out = ranking.running_budget(out, ["rule"], [F.col("stage"), F.col("ord")], F.col("__most"), "__run", "__over", F.coalesce(counted, F.lit(False)))
+    counted = F.coalesce((F.col("__most") > 0) & ~F.col("__low"), F.lit(False))
+    # the last finding of a rule within its budget: only places are sorted
+    places = out.where(counted).select("rule", "stage", "ord", "__most")
+    last = ranking.running_budget(places, ["rule"], [F.col("stage"), F.col("ord")], F.col("__most"), "__run", "__demoted").where(F.col("__run") == F.col("__most"))
+    last = storage.saved(last.select("rule", F.struct("stage", "ord").alias("__last")), "budgets")  # one row a rule
+    out = out.join(storage.small(last), "rule", "left").withColumn("__over", counted & F.coalesce(F.struct("stage", "ord") > F.col("__last"), F.lit(False)))
     high = ~F.col("__low") & F.coalesce(F.col("severity") > F.col("__cap"), F.lit(False))
     empty = F.array().cast("array<string>")
     notes = F.concat(F.when(F.col("__low"), F.array(F.lit("budget: confidence below the floor"))).otherwise(empty), F.when(high, F.array(F.concat(F.lit("budget: severity capped to "), S.name_of(S.SEVERITIES, F.col("__cap"))))).otherwise(empty), F.when(F.col("__over"), F.array(F.lit("budget: emission limit exceeded"))).otherwise(empty))
