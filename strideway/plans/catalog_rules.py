@@ -192,12 +192,11 @@ def rule_FL040(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
 
 
 @query(f"""WITH {_SITES}, d AS (SELECT k, 'f' || (u % 50) AS fn, 'a' || (u % 40) AS file, h, CAST(k % 100 AS INTEGER) AS line, k // 12 % 3 = 0 AS sw, k // 12 % 8 AS depth, k // 12 % 11 AS cases, k // 12 % 13 = 0 AS const FROM s WHERE h > 0),
-  n AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY fn, file ORDER BY line, depth DESC) AS rn FROM d WHERE NOT sw AND depth >= 4) WHERE rn = 1),
+  n AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY fn, file ORDER BY line, depth DESC, h DESC) AS rn FROM d WHERE NOT sw AND depth >= 4) WHERE rn = 1),
   x AS (SELECT fn, file, max(depth) AS top FROM d GROUP BY 1, 2), b AS (SELECT line, fn, file, h, sw, depth FROM n UNION ALL SELECT line, fn, file, h, sw, depth FROM d WHERE sw AND cases >= 8 AND NOT const),
   g AS (SELECT b.*, top, CASE WHEN NOT sw AND depth >= 6 THEN 2 ELSE 1 END AS sev FROM b JOIN x USING (fn, file))
   SELECT file, fn, line, sev AS severity, CAST(0.50 AS DOUBLE) AS confidence, 2 AS tier, {gate('sev', 'least(1, CASE WHEN sw OR depth >= 6 THEN 2 ELSE 1 END)')}, CAST(top AS VARCHAR) AS max_depth FROM g""")
 def rule_FL050(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    # of nests on one line all are as hot, or the line's own heat would have to be ranked too
     b = F.floor(F.col("event_id") / 12)
     s = sites(spark, sf_dir, file=tagged("a", F.col("user_id") % 40), kind=F.when(b % 3 == 0, "switch").otherwise("if"), depth=(b % 8).cast("int"), cases=(b % 11).cast("int"), const_lookup=b % 13 == 0)
     return graded(rules.deep_branches(s), "fn", "line", reduce.ev("max_depth").alias("max_depth"))

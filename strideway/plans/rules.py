@@ -293,7 +293,7 @@ def deep_branches(sites: DataFrame, **_) -> DataFrame:
     from strideway.operators import ranking
 
     d = hot(sites)
-    nests = ranking.survivors(d.where("kind = 'if' AND depth >= 4"), ["fn", "file"], [F.col("line"), F.col("col"), F.col("depth").desc()])
+    nests = ranking.survivors(d.where("kind = 'if' AND depth >= 4"), ["fn", "file"], [F.col("line"), F.col("col"), F.col("depth").desc(), F.col("hotness").desc()])
     switches = d.where("kind = 'switch' AND cases >= 8 AND NOT const_lookup")
     deepest = d.groupBy("fn", "file").agg(F.max("depth").alias("max_depth"))
     both = nests.unionByName(switches).join(deepest, ["fn", "file"])
