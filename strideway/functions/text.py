@@ -52,7 +52,8 @@ def leading_number(value: Column) -> Column:
 
 def evidence_text(evidence: Column) -> Column:
     """A map as ``k=v; k=v`` in order of its keys."""
-    return F.array_join(F.transform(F.array_sort(F.map_entries(evidence)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), "; ")
+    return F.array_join(F.transform(F.array_sort(F.map_entries(evidence)),
+            lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), "; ")
 
 
 def base_name(path: Column) -> Column:
@@ -62,12 +63,14 @@ def base_name(path: Column) -> Column:
 
 def absolute(path: Column, base: Column) -> Column:
     """``path`` below ``base`` unless it is absolute already."""
-    return F.when(path.startswith("/") | (F.coalesce(base, F.lit("")) == ""), path).otherwise(F.concat(F.rtrim(base, F.lit("/")), F.lit("/"), path))
+    return F.when(path.startswith("/") | (F.coalesce(base, F.lit("")) == ""),
+        path).otherwise(F.concat(F.rtrim(base, F.lit("/")), F.lit("/"), path))
 
 
 def absolute_arguments(arguments: Column, base: Column) -> Column:
     """Include paths among compiler arguments made absolute: ``-Ix``, and the argument after ``-I``, ``-isystem``, ``-iquote`` or ``-idirafter``; ``-include`` stays."""
     alone = ["-I", "-isystem", "-iquote", "-idirafter", "-isysroot"]
     before = F.concat(F.array(F.lit("")), F.slice(arguments, F.lit(1), F.greatest(F.size(arguments) - 1, F.lit(0))))
-    fixed = lambda a, p: F.when(p.isin(alone), absolute(a, base)).when(a.startswith("-I") & (F.length(a) > 2), F.concat(F.lit("-I"), absolute(F.substring(a, 3, 1 << 30), base))).otherwise(a)
+    fixed = lambda a, p: F.when(p.isin(alone), absolute(a, base)).when(a.startswith("-I") & (F.length(a) > 2),
+        F.concat(F.lit("-I"), absolute(F.substring(a, 3, 1 << 30), base))).otherwise(a)
     return F.zip_with(arguments, before, fixed)

@@ -20,12 +20,15 @@ THREAD_NAMES = "tid thread_id thread_index thread_idx thread_num thd_id cur_tid
 THREAD_SUFFIXES = ("_tid", "_thread_id", "_thread_index")
 #: Calls whose memory comes from a pool; further ones are given.
 POOLS = [f"{kind}_{verb}" for kind in ("arena", "slab", "pool") for verb in ("alloc", "allocate")] + [
-    f"std::pmr::{x}" for x in ("polymorphic_allocator", "monotonic_buffer_resource", "unsynchronized_pool_resource", "synchronized_pool_resource")
+    f"std::pmr::{x}" for x in ("polymorphic_allocator", "monotonic_buffer_resource", "unsynchronized_pool_resource",
+        "synchronized_pool_resource")
 ] + [f"boost::{x}" for x in ("pool_allocator", "fast_pool_allocator", "object_pool", "singleton_pool")]
 SYSTEM_CALLS = ("mmap", "mmap64", "munmap", "brk", "sbrk")
 #: Calls that go to the linked allocator, and the containers whose names begin so.
-STANDARD = "malloc calloc realloc free aligned_alloc posix_memalign".split() + ["operator new", "operator delete"] + [f"std::make_{x}{y}" for x in ("shared", "unique") for y in ("", "_for_overwrite")]
-CONTAINERS = [f"std::{x}" for x in ("vector", "map", "unordered_map", "list", "deque", "set", "unordered_set", "basic_string", "__cxx11::basic_string", "shared_ptr", "function")]
+STANDARD = "malloc calloc realloc free aligned_alloc posix_memalign".split() + ["operator new",
+    "operator delete"] + [f"std::make_{x}{y}" for x in ("shared", "unique") for y in ("", "_for_overwrite")]
+CONTAINERS = [f"std::{x}" for x in ("vector", "map", "unordered_map", "list", "deque", "set", "unordered_set", "basic_string",
+        "__cxx11::basic_string", "shared_ptr", "function")]
 #: Linked allocators that serve small requests from a cache of the thread.
 CACHING = ("tcmalloc", "jemalloc", "mimalloc")
 
@@ -37,7 +40,8 @@ def call_edges(sites: DataFrame) -> DataFrame:
 
 def node_name(qualified: Column, enclosing: Column, line: Column, col: Column) -> Column:
     """A function's qualified name; a lambda is named by where it stands."""
-    return F.when(F.coalesce(qualified, F.lit("")) != "", qualified).otherwise(F.concat_ws(":", F.concat(enclosing, F.lit("::lambda")), line, col))
+    return F.when(F.coalesce(qualified, F.lit("")) != "",
+        qualified).otherwise(F.concat_ws(":", F.concat(enclosing, F.lit("::lambda")), line, col))
 
 
 def thread_entries(arguments: DataFrame) -> DataFrame:
@@ -69,7 +73,8 @@ def strongest(*sources: DataFrame) -> DataFrame:
 
 def declared_hot(functions: DataFrame, profile: DataFrame | None = None, names: Sequence[str] = (), files: Sequence[str] = ()) -> DataFrame:
     """(fn, hotness) by profile (qualified or bare name), attribute, or globs of the qualified name or the file."""
-    out = functions.select("fn", F.when(F.coalesce("hot_attr", F.lit(False)) | text.matches_glob(F.col("fn"), list(names)) | text.matches_glob(F.col("file"), list(files)), S.DECLARED).otherwise(S.COLD).alias("hotness"))
+    out = functions.select("fn", F.when(F.coalesce("hot_attr", F.lit(False)) | text.matches_glob(F.col("fn"), list(names))
+            | text.matches_glob(F.col("file"), list(files)), S.DECLARED).otherwise(S.COLD).alias("hotness"))
     if profile is not None:
         seen = profile.select(F.col("name").alias("p")).distinct()
         whole = functions.join(seen, F.col("fn") == F.col("p"), "left_semi").select("fn")
@@ -80,19 +85,49 @@ def declared_hot(functions: DataFrame, profile: DataFrame | None = None, names:
 
 def candidates(functions: DataFrame, hot: DataFrame) -> DataFrame:
     """(fn, hotness) of what is visible outside and not hot yet: only the whole program can tell."""
-    return functions.where("externally_visible").select("fn").join(hot.where(F.col("hotness") > S.COLD), "fn", "left_anti").withColumn("hotness", F.lit(S.CANDIDATE))
+    return functions.where("externally_visible").select("fn").join(hot.where(F.col("hotness") > S.COLD), "fn",
+        "left_anti").withColumn("hotness", F.lit(S.CANDIDATE))
+
+
+def hotness(edges: DataFrame, seeds: DataFrame, own_depth: DataFrame | None = None) -> DataFrame:
+    """(fn, hotness) from loop depths summed along calls (src, dst, loop_depth) from seeds (fn), at most 4; what is in no loop is not hot, and beyond 8 calls heat is shallow."""
+    held = storage.saved(seeds.select(F.col("fn").alias("node")).distinct().withColumn("depth", F.lit(0)), "seeds")
+    depth = graph.max_relax(edges.select("src", "dst", F.coalesce("loop_depth", F.lit(0)).alias("weight")), held, 4)
+    out = depth.where("depth > 0").join(graph.within(edges, held, 8), "node", "left")
+    if own_depth is not None:
+        out = out.join(own_depth.groupBy(F.col("fn").alias("node")).agg(F.max("depth").alias("own")), "node", "left")
+    else:
+        out = out.withColumn("own", F.lit(0))
+    graded = F.col("depth") + F.when(F.col("own") >= 2, 1).otherwise(0)
+    return out.select(F.col("node").alias("fn"),
+        F.when((graded >= 2) & F.col("hops").isNotNull(), S.DEEP).otherwise(S.SHALLOW).alias("hotness"))
+
+
+def unit_hotness(edges: DataFrame, entries: DataFrame, own_depth: DataFrame | None = None) -> DataFrame:
+    """(unit, fn, hotness) in each unit by itself, from its ``main`` and its thread entries; all tables carry ``unit``."""
+    name = lambda c: F.concat("unit", F.lit("\x1f"), c)
+    own = edges.select(name("src").alias("src"), name("dst").alias("dst"), "loop_depth")
+    seeds = entries.select(name("fn").alias("fn")).union(edges.where("src = 'main'").select(name("src")))
+    depth = None if own_depth is None else own_depth.select(name("fn").alias("fn"), "depth")
+    cut = F.instr("fn", "\x1f")
+    return hotness(own, seeds, depth).select(F.substring("fn", F.lit(1), cut - 1).alias("unit"),
+        F.expr("substring(fn, instr(fn, '\x1f') + 1)").alias("fn"), "hotness")
 
 
 def taint(bindings: DataFrame, uses: DataFrame) -> DataFrame:
     """(fn, kind, var, loop_lines, branches, passed, stored, returned) of names bound to allocations or atomic reads, by name and regardless of flow."""
     j = bindings.select("fn", "var", "kind").distinct().join(uses, ["fn", "var"])
     is_ = lambda c: F.bool_or(F.col("context") == c)
-    return j.groupBy("fn", "kind", "var").agg(F.max("depth").alias("depth"), F.count_distinct(F.when(F.col("depth") > 0, F.col("line"))).alias("loop_lines"), is_("condition").alias("branches"), is_("argument").alias("passed"), is_("member").alias("stored"), is_("return").alias("returned"))
+    return j.groupBy("fn", "kind", "var").agg(F.max("depth").alias("depth"),
+        F.count_distinct(F.when(F.col("depth") > 0, F.col("line"))).alias("loop_lines"), is_("condition").alias("branches"),
+        is_("argument").alias("passed"), is_("member").alias("stored"), is_("return").alias("returned"))
 
 
 def write_facts(sites: DataFrame, key: list[str]) -> DataFrame:
     """(key, sites, loop_sites, standing, handed, writers) of write sites."""
-    return sites.groupBy(*key).agg(F.count("*").alias("sites"), F.count(F.when(F.col("in_loop"), 1)).alias("loop_sites"), F.count(F.when(F.col("standing"), 1)).alias("standing"), F.count(F.when(~F.col("standing"), 1)).alias("handed"), F.array_sort(F.collect_set("fn")).alias("writers"))
+    return sites.groupBy(*key).agg(F.count("*").alias("sites"), F.count(F.when(F.col("in_loop"), 1)).alias("loop_sites"),
+        F.count(F.when(F.col("standing"), 1)).alias("standing"), F.count(F.when(~F.col("standing"), 1)).alias("handed"),
+        F.array_sort(F.collect_set("fn")).alias("writers"))
 
 
 def opaque_callers(sites: DataFrame, functions: DataFrame) -> DataFrame:
@@ -114,7 +149,9 @@ def striped_catalogue(arrays: DataFrame, line: int = 64) -> DataFrame:
     out = out.where(~F.coalesce("const", F.lit(False))).drop("const") if "const" in arrays.columns else out
     if "record_align" in arrays.columns:
         inside = effective_align(F.col("record_align"), F.col("offset"), F.col("type_align"), line)
-        out = out.withColumn("decl_align", F.when(F.col("record_align").isNull(), F.col("type_align").cast("bigint")).otherwise(inside)).drop("record_align", "offset", "type_align")
+        out = out.withColumn("decl_align",
+            F.when(F.col("record_align").isNull(), F.col("type_align").cast("bigint")).otherwise(inside)).drop("record_align", "offset",
+            "type_align")
     return out
 
 
@@ -137,13 +174,15 @@ def through_aliases(writes: DataFrame, aliases: DataFrame) -> DataFrame:
     """Writes (target, ...) moved to the array that a pointer (alias, target, origin) stands for, one hop; with a non-zero origin marked."""
     a = aliases.select(F.col("alias").alias("__a"), F.col("target").alias("__t"), "origin")
     out = writes.join(a, F.col("target") == F.col("__a"), "left")
-    return out.withColumn("target", F.coalesce("__t", "target")).withColumn("shifted", F.coalesce(F.col("origin") != 0, F.lit(False))).drop("__a", "__t", "origin")
+    return out.withColumn("target", F.coalesce("__t", "target")).withColumn("shifted",
+        F.coalesce(F.col("origin") != 0, F.lit(False))).drop("__a", "__t", "origin")
 
 
 def head_padded(arrays: DataFrame, aliases: DataFrame, line: int = 64) -> DataFrame:
     """``arrays`` (key, decl_align ...) with ``head_pad``: a pointer to an element beyond the first of an array that begins on a line."""
     shifted = aliases.where("origin > 0").select(F.col("target").alias("key"), F.lit(True).alias("__h")).distinct()
-    return arrays.join(shifted, "key", "left").withColumn("head_pad", F.coalesce("__h", F.lit(False)) & (F.col("decl_align") >= line)).drop("__h")
+    return arrays.join(shifted, "key", "left").withColumn("head_pad",
+        F.coalesce("__h", F.lit(False)) & (F.col("decl_align") >= line)).drop("__h")
 
 
 def placements(instances: DataFrame) -> DataFrame:
@@ -154,12 +193,14 @@ def placements(instances: DataFrame) -> DataFrame:
 
 def allocator_class(callee: Column, bytes_: Column, linked: str = "", pools: Sequence[str] = ()) -> Column:
     """The kind of allocator behind a call; ``linked`` names the program's allocator, ``pools`` further calls to pools."""
-    pool = callee.isin(*POOLS, *pools) | callee.startswith("std::pmr::") | F.contains(callee, F.lit("boost::pool")) | F.contains(callee, F.lit("boost::object_pool"))
+    pool = callee.isin(*POOLS, *pools) | callee.startswith("std::pmr::") | F.contains(callee, F.lit("boost::pool")) | F.contains(callee,
+        F.lit("boost::object_pool"))
     system = (F.coalesce(bytes_, F.lit(0)) >= 128 * 1024) | callee.isin(*SYSTEM_CALLS)
     std = callee.isin(*STANDARD)
     for c in CONTAINERS:
         std = std | callee.startswith(c)
-    return F.when(pool, "pool-slab").when(system, "syscall-mmap").when(std, "thread-local-cache" if linked in CACHING else "arena-lock").otherwise("unknown")
+    return F.when(pool, "pool-slab").when(system, "syscall-mmap").when(std,
+        "thread-local-cache" if linked in CACHING else "arena-lock").otherwise("unknown")
 
 
 def configured_atomics(spellings: Column, names: Sequence[str]) -> Column:
@@ -186,8 +227,11 @@ def ir_profiles(instructions: DataFrame) -> DataFrame:
     lock = (F.col("kind") == "cmpxchg") | F.coalesce((F.col("kind") == "call") & F.col("callee").isin(*LOCK_CALLS), F.lit(False))
     lines = lambda cond: F.array_sort(F.collect_set(F.when(cond & (F.col("line") > 0), F.col("line"))))
     return d.groupBy("fn").agg(
-        F.max("block").alias("blocks"), F.sum(F.when(F.col("kind") == "alloca", F.col("bytes")).otherwise(0)).alias("frame"), k("heap_call"), k("call"), k("indirect_call"), count(atomic).alias("atomics"), F.bool_or(strong).alias("seq_cst"),
-        count(strong).alias("seq_csts"), count(write).alias("atomic_writes"), count(write & (F.col("line") > 0)).alias("located_writes"), k("fence"), count(lock).alias("locks"), lines(strong).alias("site_lines"), lines(F.col("kind") == "cmpxchg").alias("lock_lines"),
+        F.max("block").alias("blocks"), F.sum(F.when(F.col("kind") == "alloca", F.col("bytes")).otherwise(0)).alias("frame"),
+            k("heap_call"), k("call"), k("indirect_call"), count(atomic).alias("atomics"), F.bool_or(strong).alias("seq_cst"),
+        count(strong).alias("seq_csts"), count(write).alias("atomic_writes"), count(write & (F.col("line") > 0)).alias("located_writes"),
+            k("fence"), count(lock).alias("locks"), lines(strong).alias("site_lines"),
+            lines(F.col("kind") == "cmpxchg").alias("lock_lines"),
     )
 
 
@@ -199,8 +243,10 @@ ANONYMOUS = "(anonymous namespace)::"
 def _pieces(demangled: Column) -> Column:
     """What the last component of a name that matches ``demangled`` can be: its components up to each ``(`` or ``<``, and the last as a whole."""
     parts = F.filter(F.split(demangled, "::"), lambda c: c != "")
-    cut = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.when(c.substr(i, F.lit(1)).isin("(", "<"), c.substr(F.lit(1), i - 1)))
-    return F.array_distinct(F.filter(F.concat(F.flatten(F.transform(parts, cut)), F.array(F.substring_index(demangled, "::", -1))), lambda c: c.isNotNull() & (c != "")))
+    cut = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)),
+        lambda i: F.when(c.substr(i, F.lit(1)).isin("(", "<"), c.substr(F.lit(1), i - 1)))
+    return F.array_distinct(F.filter(F.concat(F.flatten(F.transform(parts, cut)), F.array(F.substring_index(demangled, "::", -1))),
+            lambda c: c.isNotNull() & (c != "")))
 
 
 def _within(demangled: Column, name: Column) -> Column:
@@ -216,7 +262,8 @@ def resolved_profiles(wanted: DataFrame, profiles: DataFrame) -> DataFrame:
     """
     bare = F.replace("name", F.lit(ANONYMOUS), F.lit(""))
     last = lambda c: F.substring_index(c, "::", -1)
-    own = storage.saved(wanted.withColumn("bare", bare).withColumns({"piece": last("name"), "bare_piece": last("bare"), "base": text.base_name(F.col("file"))}), "wanted")
+    own = storage.saved(wanted.withColumn("bare", bare)
+        .withColumns({"piece": last("name"), "bare_piece": last("bare"), "base": text.base_name(F.col("file"))}), "wanted")
     p = storage.saved(profiles.withColumn("base", text.base_name(F.col("file"))), "profiles")
     pieces = storage.saved(p.withColumn("piece", F.explode(_pieces(F.col("demangled")))), "pieces")
     left, right = (lambda c, side=side: F.col(f"{side}.{c}") for side in "lr")
@@ -228,7 +275,8 @@ def resolved_profiles(wanted: DataFrame, profiles: DataFrame) -> DataFrame:
         (1, p, named & (left("name") == right("demangled"))),
         (2, pieces, (left("piece") == right("piece")) & _within(right("demangled"), left("name"))),
         (3, pieces, (left("bare") != left("name")) & (left("bare_piece") == right("piece")) & _within(right("demangled"), left("bare"))),
-        (4, p, (left("base") == right("base")) & (left("line") == right("line")) & (left("line") > 0) & (left("file") != "") & (right("file") != "") & same_file),
+        (4, p, (left("base") == right("base")) & (left("line") == right("line")) & (left("line") > 0) & (left("file") != "")
+            & (right("file") != "") & same_file),
     ]
     measures = [c for c in profiles.columns if c not in ("demangled", "file", "line")]
     out = joins.ranked_lookup(own, ["name", "file", "line"], candidates, [F.col("mangled")], measures)
@@ -243,12 +291,16 @@ def refined(findings: DataFrame, profiles: DataFrame) -> DataFrame:
     """
     from strideway.plans import reduce as R
 
-    known = {"mangled": F.col("fn") if "fn" in profiles.columns else None, "atomic_writes": F.col("atomics"), "located_writes": F.size("site_lines").cast("bigint")}
-    fill = {f.name: known.get(f.name, F.lit(None).cast(f.dataType)) for f in T._parse_datatype_string(S.PROFILE) if f.name not in profiles.columns}
+    known = {"mangled": F.col("fn") if "fn" in profiles.columns else None, "atomic_writes": F.col("atomics"),
+        "located_writes": F.size("site_lines").cast("bigint")}
+    fill = {f.name: known.get(f.name, F.lit(None).cast(f.dataType)) for f in T._parse_datatype_string(S.PROFILE)
+        if f.name not in profiles.columns}
     p = profiles.withColumns(fill).select(*(f.name for f in T._parse_datatype_string(S.PROFILE)))
     name = F.coalesce(F.nullif("fn", F.lit("")), F.nullif(R.ev("function"), F.lit("")), F.nullif(R.ev("caller"), F.lit("")), F.lit(""))
-    mine = findings.where(F.col("rule").isin(*REFINED)).withColumns({"__name": name, "__file": F.coalesce("file", F.lit("")), "__line": F.coalesce("line", F.lit(0))})
-    found = resolved_profiles(mine.select(F.col("__name").alias("name"), F.col("__file").alias("file"), F.col("__line").alias("line")).distinct(), p)
+    mine = findings.where(F.col("rule").isin(*REFINED)).withColumns({"__name": name, "__file": F.coalesce("file", F.lit("")),
+            "__line": F.coalesce("line", F.lit(0))})
+    found = resolved_profiles(mine.select(F.col("__name").alias("name"), F.col("__file").alias("file"), F.col("__line").alias("line"))
+        .distinct(), p)
     found = found.select(*(F.col(c).alias(f"__{c}") for c in found.columns))
     m = lambda k: F.coalesce(f"__{k}", F.lit(0))
     out = mine.join(storage.small(storage.saved(found, "refining")), ["__name", "__file", "__line"], "left")
@@ -261,7 +313,8 @@ def refined(findings: DataFrame, profiles: DataFrame) -> DataFrame:
     # rule, condition, confidence, note, proven; the first that holds counts
     steps = [
         ("FL010", at("site_lines"), moved(0.10, 0.10, 0.98), F.lit("lowered code: sequentially consistent at this line"), F.lit(True)),
-        ("FL010", m("seq_csts") > 0, moved(0.05, 0.10, 0.92), say(m("seq_csts"), "sequentially consistent, none at this line"), F.lit(False)),
+        ("FL010", m("seq_csts") > 0, moved(0.05, 0.10, 0.92), say(m("seq_csts"), "sequentially consistent, none at this line"),
+            F.lit(False)),
         ("FL010", m("atomics") > 0, moved(-0.20, 0.30, 0.98), F.lit("lowered code: nothing sequentially consistent is left"), F.lit(False)),
         ("FL011", m("atomic_writes") > 0, moved(0.10, 0.10, 0.95), say(m("atomic_writes"), "atomic writes"), m("located_writes") > 0),
         ("FL012", m("locks") > 0, moved(0.05, 0.10, 0.95), say(m("locks"), "locks"), at("lock_lines")),
@@ -277,7 +330,8 @@ def refined(findings: DataFrame, profiles: DataFrame) -> DataFrame:
     ]
     did = F.lit(None).cast("struct<confidence:double,note:string,proven:boolean>")
     for rule, cond, new, note, proven in reversed(steps):
-        did = F.when(there & (r == rule) & cond, F.struct(new.alias("confidence"), note.alias("note"), proven.alias("proven"))).otherwise(did)
+        did = F.when(there & (r == rule) & cond,
+            F.struct(new.alias("confidence"), note.alias("note"), proven.alias("proven"))).otherwise(did)
     out = out.withColumn("__did", did)
     hit, framed = F.col("__did").isNotNull(), (r == "FL021") & (frame > 0)
     out = out.withColumns(
@@ -286,36 +340,46 @@ def refined(findings: DataFrame, profiles: DataFrame) -> DataFrame:
             "tier": F.when(F.coalesce("__did.proven", F.lit(False)), S.PROVEN).otherwise(F.col("tier")),
             "escalations": R.noted(hit, F.col("__did.note")),
             "suppressed": F.col("suppressed") | (hit & (r == "FL021") & small),
-            "evidence": F.when(hit & framed & ~small, R.put(F.col("evidence"), ir_frame=F.concat(frame.cast("string"), F.lit("B")))).otherwise(F.col("evidence")),
+            "evidence": F.when(hit & framed & ~small, R.put(F.col("evidence"), ir_frame=F.concat(frame.cast("string"), F.lit("B"))))
+                .otherwise(F.col("evidence")),
         }
     ).select(findings.columns)
     # compound findings of records only note what the whole program keeps
     whole = p.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(f"__{k}") for k in ("atomic_writes", "fences", "indirect_calls")))
     rest = findings.where(~F.col("rule").isin(*REFINED)).crossJoin(F.broadcast(whole))  # one row
     told = ~F.col("suppressed") & F.col("rule").isin("FL090", "FL091") & ((F.col("__atomic_writes") > 0) | (F.col("__fences") > 0))
-    note = F.concat(F.lit("lowered code: "), "__atomic_writes", F.lit(" atomic writes, "), "__fences", F.lit(" fences, "), "__indirect_calls", F.lit(" indirect calls in all"))
+    note = F.concat(F.lit("lowered code: "), "__atomic_writes", F.lit(" atomic writes, "), "__fences", F.lit(" fences, "),
+        "__indirect_calls", F.lit(" indirect calls in all"))
     return out.unionByName(rest.withColumn("escalations", R.noted(told, note)).select(findings.columns))
 
 
 #: What an experiment on a class measures.
 EXPERIMENTS = {
-    "CacheGeometry": ("L1D misses", False, True, False), "FalseSharing": ("HITM loads", True, True, False), "StripedArray": ("HITM loads", True, False, False), "AtomicOrdering": ("locked loads", False, False, False),
-    "AtomicContention": ("HITM loads", True, True, False), "LockContention": ("locked loads", True, False, False), "HeapAllocation": ("DTLB walks", False, False, False), "StackPressure": ("DTLB walks", False, False, False),
-    "VirtualDispatch": ("mispredicted calls", False, False, True), "StdFunction": ("mispredicted calls", False, False, True), "DeepConditional": ("mispredicted branches", False, False, True), "NUMALocality": ("remote loads", False, True, False),
-    "GlobalState": ("HITM loads", True, True, False), "ContendedQueue": ("HITM loads", True, False, False), "CentralizedDispatch": ("front-end misses", False, False, True), "HazardAmplification": ("HITM loads", True, True, False),
+    "CacheGeometry": ("L1D misses", False, True, False), "FalseSharing": ("HITM loads", True, True, False),
+        "StripedArray": ("HITM loads", True, False, False), "AtomicOrdering": ("locked loads", False, False, False),
+    "AtomicContention": ("HITM loads", True, True, False), "LockContention": ("locked loads", True, False, False),
+        "HeapAllocation": ("DTLB walks", False, False, False), "StackPressure": ("DTLB walks", False, False, False),
+    "VirtualDispatch": ("mispredicted calls", False, False, True), "StdFunction": ("mispredicted calls", False, False, True),
+        "DeepConditional": ("mispredicted branches", False, False, True), "NUMALocality": ("remote loads", False, True, False),
+    "GlobalState": ("HITM loads", True, True, False), "ContendedQueue": ("HITM loads", True, False, False),
+        "CentralizedDispatch": ("front-end misses", False, False, True), "HazardAmplification": ("HITM loads", True, True, False),
 }
 
 
-def hypotheses(findings: DataFrame, rule: str | None = None, least: float = 0.0, alpha: float = 0.01, power: float = 0.90, effect: float = 0.05) -> DataFrame:
+def hypotheses(findings: DataFrame, rule: str | None = None, least: float = 0.0, alpha: float = 0.01, power: float = 0.90,
+    effect: float = 0.05) -> DataFrame:
     """What to measure for findings of a class with an experiment; those without have a null metric."""
     from strideway.plans import reduce as R
 
-    dim = F.broadcast(findings.sparkSession.createDataFrame([(k, *v) for k, v in EXPERIMENTS.items()], "cls string, metric string, needs_c2c boolean, needs_numa boolean, needs_lbr boolean"))
+    dim = F.broadcast(findings.sparkSession
+        .createDataFrame([(k, *v) for k, v in EXPERIMENTS.items()],
+            "cls string, metric string, needs_c2c boolean, needs_numa boolean, needs_lbr boolean"))
     d = findings.where(F.col("confidence") >= least)
     d = d if rule is None else d.where(F.col("rule") == rule)
     d = d.withColumn("cls", R.hazard_class()).withColumn("features", R.features()).join(dim, "cls", "left")
     ident = F.concat(F.lit("H-"), "rule", F.lit("-"), F.hex(F.xxhash64("rule", "file", "line", "fn")))
-    return d.select(ident.alias("id"), F.concat("file", F.lit(":"), "line").alias("site"), "cls", "metric", "needs_c2c", "needs_numa", "needs_lbr", "confidence", "features", F.lit(alpha).alias("alpha"), F.lit(power).alias("power"), F.lit(effect).alias("effect"))
+    return d.select(ident.alias("id"), F.concat("file", F.lit(":"), "line").alias("site"), "cls", "metric", "needs_c2c", "needs_numa",
+        "needs_lbr", "confidence", "features", F.lit(alpha).alias("alpha"), F.lit(power).alias("power"), F.lit(effect).alias("effect"))
 
 
 def hypothesis_pairs(h: DataFrame) -> DataFrame:
@@ -323,7 +387,8 @@ def hypothesis_pairs(h: DataFrame) -> DataFrame:
     from strideway.operators import joins
 
     scoped = h.withColumn("scope", F.regexp_extract("site", r"^(.*):[^:]*$", 1)).where("cls IS NOT NULL")
-    known = F.broadcast(h.sparkSession.createDataFrame([(i, *sorted(c)) for i, c in S.INTERACTIONS if len(c) == 2], "template string, a_cls string, b_cls string"))
+    known = F.broadcast(h.sparkSession.createDataFrame([(i, *sorted(c)) for i, c in S.INTERACTIONS if len(c) == 2],
+            "template string, a_cls string, b_cls string"))
     a, b = (scoped.select("scope", F.col("id").alias(n), F.col("cls").alias(f"{n}_cls")) for n in ("a", "b"))
     return a.join(b, "scope").where("a_cls < b_cls").join(known, ["a_cls", "b_cls"]).select("template", "a", "b").distinct()
 

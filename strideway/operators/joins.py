@@ -21,7 +21,9 @@ def glob_join(df: DataFrame, column: str, patterns: Sequence[tuple[str, str]], n
     return df.withColumn(name, F.explode(hits))
 
 
-def source_filter(df: DataFrame, path: str, order: str, include: Sequence[str] = (), exclude: Sequence[str] = (), vendored: Sequence[str] = (), changed: DataFrame | None = None, header_suffixes: Sequence[str] = (".h", ".hh", ".hpp", ".hxx"), most: int | None = None) -> DataFrame:
+def source_filter(df: DataFrame, path: str, order: str, include: Sequence[str] = (), exclude: Sequence[str] = (),
+    vendored: Sequence[str] = (), changed: DataFrame | None = None, header_suffixes: Sequence[str] = (".h", ".hh", ".hpp", ".hxx"),
+    most: int | None = None) -> DataFrame:
     """Paths left by the changed, include, exclude and vendored filters, in that order, and of these the first ``most`` by ``order``.
 
     ``changed`` (column ``changed``): a changed header keeps all; otherwise a path stays if it ends with a changed one. The vendored
@@ -39,7 +41,8 @@ def source_filter(df: DataFrame, path: str, order: str, include: Sequence[str] =
             long = side.where(F.contains("changed", F.lit("/")))
             short = side.where(~F.contains("changed", F.lit("/"))).select("changed")
             own = out.withColumn("__base", text.base_name(F.col(path)))
-            hit = own.join(long, "__base").where(F.endswith(path, "changed")).select(path).unionByName(own.join(storage.small(storage.saved(short, "short")), F.endswith("__base", "changed")).select(path))
+            hit = own.join(long, "__base").where(F.endswith(path, "changed")).select(path).unionByName(own
+                .join(storage.small(storage.saved(short, "short")), F.endswith("__base", "changed")).select(path))
             out = out.join(hit.distinct(), path, "left_semi").select(df.columns)
     if include:
         out = out.where(text.matches_glob(F.col(path), list(include)))
@@ -60,24 +63,28 @@ def suffix_join(df: DataFrame, path: str, suffixes: DataFrame, suffix: str) -> D
     return a.join(b, "__base").where(ends).drop("__base")
 
 
-def interval_join(a: DataFrame, a_start: Column, a_end: Column, b: DataFrame, b_start: Column, b_end: Column, width: Column | float) -> DataFrame:
+def interval_join(a: DataFrame, a_start: Column, a_end: Column, b: DataFrame, b_start: Column, b_end: Column,
+    width: Column | float) -> DataFrame:
     """Pairs of half-open intervals that overlap, by equality on buckets of ``width``; a pair is given in its first common bucket only."""
     w = width if isinstance(width, Column) else F.lit(width)
     span = lambda s, e: F.sequence(F.floor(s / w), F.greatest(F.floor(s / w), F.ceil(e / w) - 1))
     left = a.withColumns({"__as": a_start, "__ae": a_end}).withColumn("__bucket", F.explode(span(F.col("__as"), F.col("__ae"))))
     right = b.withColumns({"__bs": b_start, "__be": b_end}).withColumn("__bucket", F.explode(span(F.col("__bs"), F.col("__be"))))
     first = F.floor(F.greatest("__as", "__bs") / w) == F.col("__bucket")
-    return left.join(right, "__bucket").where((F.col("__as") < F.col("__be")) & (F.col("__bs") < F.col("__ae")) & first).drop("__bucket", "__as", "__ae", "__bs", "__be")
+    return left.join(right, "__bucket").where((F.col("__as") < F.col("__be")) & (F.col("__bs") < F.col("__ae")) & first).drop("__bucket",
+        "__as", "__ae", "__bs", "__be")
 
 
-def asof_bounded(a: DataFrame, b: DataFrame, key: list[str], time: str, payload: list[str], within: Column, strict: bool = True, tie: list[str] | None = None) -> DataFrame:
+def asof_bounded(a: DataFrame, b: DataFrame, key: list[str], time: str, payload: list[str], within: Column, strict: bool = True,
+    tie: list[str] | None = None) -> DataFrame:
     """Each row of ``a`` with the payload of the latest earlier row of ``b`` of its key, if it is at most ``within`` before; else nulls.
 
     One sort of the union replaces a range join. ``tie``: columns of b that order rows of one time before the payload does.
     """
     found = F.struct(time, *(F.col(c).alias(f"__tie_{c}") for c in tie or []), *payload)
     left = a.select("*", F.lit(1 if not strict else 0).alias("__side"), F.lit(None).cast(b.select(found).schema[0].dataType).alias("__b"))
-    right = b.select(*(F.col(c) if c in [*key, time] else F.lit(None).cast(a.schema[c].dataType).alias(c) for c in a.columns), F.lit(0 if not strict else 1).alias("__side"), found.alias("__b"))
+    right = b.select(*(F.col(c) if c in [*key, time] else F.lit(None).cast(a.schema[c].dataType).alias(c) for c in a.columns),
+        F.lit(0 if not strict else 1).alias("__side"), found.alias("__b"))
     w = W.partitionBy(*key).orderBy(F.col(time), F.col("__side"), F.col("__b")).rowsBetween(W.unboundedPreceding, 0)
     both = left.withColumn("__own", F.lit(True)).unionByName(right.withColumn("__own", F.lit(False)))
     out = both.withColumn("__last", F.last("__b", ignorenulls=True).over(w)).where("__own")
@@ -90,7 +97,8 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def radius_join(a: DataFrame, b: DataFrame, key: list[str], left: str, right: str, radius: float, how: str = "inner", axes: int = 2) -> DataFrame:
+def radius_join(a: DataFrame, b: DataFrame, key: list[str], left: str, right: str, radius: float, how: str = "inner",
+    axes: int = 2) -> DataFrame:
     """Pairs of one class whose vectors are at most ``radius`` apart; ``how`` may be ``left_anti`` to drop what has a neighbour.
 
     Vectors meet in the cells of a grid as wide as the radius: near vectors have near lengths, and near coordinates on the first ``axes``
@@ -101,7 +109,8 @@ def radius_join(a: DataFrame, b: DataFrame, key: list[str], left: str, right: st
     wide = max(float(radius), 1e-12)
     step = lambda v: F.floor(v / F.lit(wide)).cast("bigint")
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    at = lambda c: [step(norm(F.col(c))), *(step(F.coalesce(F.get(F.col(c), F.lit(k)), F.lit(0.0)).cast("double")) for k in range(axes))]
+    at = lambda c: [step(norm(F.col(c))),
+        *(step(F.coalesce(F.get(F.col(c), F.lit(k)), F.lit(0.0)).cast("double")) for k in range(axes))]
     cells = [f"__g{k}" for k in range(axes + 1)]
     l_side, r_side = a, b
     for c, v in zip(cells, at(left)):
@@ -114,26 +123,30 @@ def radius_join(a: DataFrame, b: DataFrame, key: list[str], left: str, right: st
     return l_side.alias("l").join(r_side.alias("r"), cond, how)
 
 
-def ranked_lookup(df: DataFrame, key: list[str], candidates: Sequence[tuple[int, DataFrame, Column]], tie: list[Column], columns: list[str]) -> DataFrame:
+def ranked_lookup(df: DataFrame, key: list[str], candidates: Sequence[tuple[int, DataFrame, Column]], tie: list[Column],
+    columns: list[str]) -> DataFrame:
     """Each row with the columns of its best candidate: least rank, then ``tie``; nulls without one.
 
     A candidate is (rank, table, condition between ``l`` and ``r``).
     """
     found = None
     for rank, table, cond in candidates:
-        part = df.alias("l").join(table.alias("r"), cond).select(*(F.col(f"l.{k}").alias(k) for k in key), F.lit(rank).alias("rank"), *(F.col(f"r.{c}").alias(c) for c in columns))
+        part = df.alias("l").join(table.alias("r"), cond).select(*(F.col(f"l.{k}").alias(k) for k in key), F.lit(rank).alias("rank"),
+            *(F.col(f"r.{c}").alias(c) for c in columns))
         found = part if found is None else found.unionByName(part)
     best = found.withColumn("__rn", F.row_number().over(W.partitionBy(*key).orderBy(F.col("rank"), *tie))).where("__rn = 1").drop("__rn")
     return df.join(best, key, "left")
 
 
-def class_pairs(df: DataFrame, key: list[str], kind: str, order: list[Column], templates: Sequence[tuple[str, str, str]], keep: list[str]) -> DataFrame:
+def class_pairs(df: DataFrame, key: list[str], kind: str, order: list[Column], templates: Sequence[tuple[str, str, str]],
+    keep: list[str]) -> DataFrame:
     """Pairs of rows of different classes that share a key, for the class pairs that a template names.
 
     Before the self-join each (key, class) keeps its first row by ``order``, so that a hot key costs a row a class.
     """
     best = df.withColumn("__rn", F.row_number().over(W.partitionBy(*key, kind).orderBy(*order))).where("__rn = 1").select(*key, kind, *keep)
-    known = F.broadcast(df.sparkSession.createDataFrame([(n, *sorted((a, b))) for n, a, b in templates], "template string, a_kind string, b_kind string"))
+    known = F.broadcast(df.sparkSession.createDataFrame([(n, *sorted((a, b))) for n, a, b in templates],
+            "template string, a_kind string, b_kind string"))
     a = best.select(*key, F.col(kind).alias("a_kind"), *(F.col(c).alias(f"a_{c}") for c in keep))
     b = best.select(*key, F.col(kind).alias("b_kind"), *(F.col(c).alias(f"b_{c}") for c in keep))
     return a.join(b, key).where("a_kind < b_kind").join(known, ["a_kind", "b_kind"])
@@ -154,7 +167,8 @@ def verdicts(predicted: DataFrame, observed: DataFrame, key: list[str]) -> DataF
     p = predicted.where(~keyless).select(*key).distinct().withColumn("__p", F.lit(True))
     o = seen.where(~keyless).groupBy(*key).agg(F.bool_or("hit").alias("__hit"))
     both = p.join(o, key, "full_outer")
-    said = F.when(F.col("__p") & F.col("__hit"), "CONFIRMED").when(F.col("__p") & ~F.col("__hit"), "REFUTED").when(F.col("__p"), "UNOBSERVED").when(F.col("__hit"), "MISSED")
+    said = F.when(F.col("__p") & F.col("__hit"), "CONFIRMED").when(F.col("__p") & ~F.col("__hit"), "REFUTED").when(F.col("__p"),
+        "UNOBSERVED").when(F.col("__hit"), "MISSED")
     return both.select(*key, said.alias("verdict")).where("verdict IS NOT NULL").unionByName(unknown)
 
 
@@ -167,14 +181,16 @@ def symbol_recall(hot: DataFrame, findings: DataFrame, most: int | None = 40) ->
     by = hot.groupBy("symbol").agg(F.sum("weight").alias("weight"))
     by = by if most is None else by.orderBy(F.col("weight").desc(), "symbol").limit(most)  # the feature: the first N
     names = F.concat(F.array(F.col("fn")), F.map_values("evidence"))
-    flagged = findings.select(F.explode(F.transform(names, lambda n: F.substring_index(n, "::", -1))).alias("__name")).where("__name <> ''").distinct().withColumn("__f", F.lit(True))
+    flagged = findings.select(F.explode(F.transform(names, lambda n: F.substring_index(n, "::", -1)))
+        .alias("__name")).where("__name <> ''").distinct().withColumn("__f", F.lit(True))
     out = by.withColumn("symbol", bare).join(flagged, F.col("symbol") == F.col("__name"), "left")
     return out.select("symbol", "weight", F.coalesce("__f", F.lit(False)).alias("found"))
 
 
 def recall_summary(recall: DataFrame) -> DataFrame:
     """One row: symbols found and in all, and the share of weight found (null without weight)."""
-    found = recall.agg(F.count(F.when(F.col("found"), 1)).alias("hits"), F.count("*").alias("symbols"), F.coalesce(F.sum(F.when(F.col("found"), F.col("weight"))), F.lit(0)).alias("__w"), F.sum("weight").alias("__t"))
+    found = recall.agg(F.count(F.when(F.col("found"), 1)).alias("hits"), F.count("*").alias("symbols"),
+        F.coalesce(F.sum(F.when(F.col("found"), F.col("weight"))), F.lit(0)).alias("__w"), F.sum("weight").alias("__t"))
     return found.select("hits", "symbols", F.try_divide(F.col("__w").cast("double"), F.col("__t").cast("double")).alias("by_weight"))
 
 

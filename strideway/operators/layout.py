@@ -17,12 +17,14 @@ def lines_worst(size: Column, align: Column, line: int) -> Column:
 
 
 def _shifts(align: Column, line: int) -> Column:
-    return F.when(align >= line, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(line - 1), F.greatest(align, F.lit(1)).cast("int")))
+    return F.when(align >= line, F.array(F.lit(0))).otherwise(F
+        .sequence(F.lit(0), F.lit(line - 1), F.greatest(align, F.lit(1)).cast("int")))
 
 
 def straddles(offset: Column, size: Column, align: Column, line: int) -> Column:
     """Whether some start puts the field across a border of lines."""
-    return F.exists(_shifts(align, line), lambda s: F.floor((offset + s) / line) != F.floor((offset + s + F.greatest(size, F.lit(1)) - 1) / line))
+    return F.exists(_shifts(align, line),
+        lambda s: F.floor((offset + s) / line) != F.floor((offset + s + F.greatest(size, F.lit(1)) - 1) / line))
 
 
 def splits(offset: Column, size: Column, granule: Column, align: Column, line: int) -> Column:
@@ -46,7 +48,8 @@ def last_line(offset: Column, size: Column, align: Column, line: int) -> Column:
 
 def buckets(fields: DataFrame, key: list[str], line: int, most: str | None = None) -> DataFrame:
     """A row for each field and line it may lie on, with ``line_index``; below the column ``most`` of lines if given."""
-    out = fields.withColumn("line_index", F.explode(F.sequence(first_line(F.col("offset"), line), last_line(F.col("offset"), F.col("size"), F.col("align"), line))))
+    out = fields.withColumn("line_index",
+        F.explode(F.sequence(first_line(F.col("offset"), line), last_line(F.col("offset"), F.col("size"), F.col("align"), line))))
     return out if most is None else out.where(F.col("line_index") < F.col(most))
 
 
@@ -54,24 +57,30 @@ def share_a_line(a_offset: Column, a_size: Column, b_offset: Column, b_size: Col
     """Whether one start exists at which both byte ranges touch a common line."""
     lo = lambda o, s: F.floor((o + s) / line)
     hi = lambda o, n, s: F.floor((o + s + F.greatest(n, F.lit(1)) - 1) / line)
-    return F.exists(_shifts(align, line), lambda s: (lo(a_offset, s) <= hi(b_offset, b_size, s)) & (lo(b_offset, s) <= hi(a_offset, a_size, s)))
+    return F.exists(_shifts(align, line),
+        lambda s: (lo(a_offset, s) <= hi(b_offset, b_size, s)) & (lo(b_offset, s) <= hi(a_offset, a_size, s)))
 
 
 def line_pairs(fields: DataFrame, key: list[str], order: str, line: int) -> DataFrame:
     """(key, a, b, line_index): unordered pairs of a record's fields that can share a line, with the lowest; an array of at least two
     elements also pairs with itself. Fields need ``field``, ``offset``, ``size``, ``align`` and ``n_elements``."""
-    side = lambda p: fields.select(*key, *(F.col(c).alias(f"{p}_{c}") for c in (order, "field", "offset", "size")), *([F.col("align")] if p == "a" else []))
+    side = lambda p: fields.select(*key, *(F.col(c).alias(f"{p}_{c}") for c in (order, "field", "offset", "size")),
+        *([F.col("align")] if p == "a" else []))
     pairs = side("a").join(side("b"), key).where(F.col(f"a_{order}") < F.col(f"b_{order}"))
     pairs = pairs.where(share_a_line(F.col("a_offset"), F.col("a_size"), F.col("b_offset"), F.col("b_size"), F.col("align"), line))
-    own = fields.where("n_elements >= 2").select(*key, F.col("field").alias("a"), F.col("field").alias("b"), first_line(F.col("offset"), line).alias("line_index"))
+    own = fields.where("n_elements >= 2").select(*key, F.col("field").alias("a"), F.col("field").alias("b"),
+        first_line(F.col("offset"), line).alias("line_index"))
     at = first_line(F.greatest("a_offset", "b_offset"), line)
-    return pairs.select(*key, F.col("a_field").alias("a"), F.col("b_field").alias("b"), at.alias("line_index")).unionByName(own).groupBy(*key, "a", "b").agg(F.min("line_index").alias("line_index"))
+    return pairs.select(*key, F.col("a_field").alias("a"), F.col("b_field").alias("b"),
+        at.alias("line_index")).unionByName(own).groupBy(*key, "a", "b").agg(F.min("line_index").alias("line_index"))
 
 
-def escape_score(atomics: Column, volatiles: Column, sync: Column, shared: Column, published: Column, thread_writers: Column, accessors: Column, escapes: Column) -> Column:
+def escape_score(atomics: Column, volatiles: Column, sync: Column, shared: Column, published: Column, thread_writers: Column,
+    accessors: Column, escapes: Column) -> Column:
     """How much evidence there is that a record is shared between threads, from 0 to 1."""
     w = lambda c, x: F.when(c, x).otherwise(0.0)
-    raw = w(atomics, 0.40) + w(volatiles, 0.25) + w(sync, 0.15) + w(shared, 0.10) + w(published, 0.10) + w(thread_writers, 0.20) + w(atomics & sync, 0.15)
+    raw = w(atomics, 0.40) + w(volatiles, 0.25) + w(sync, 0.15) + w(shared, 0.10) + w(published, 0.10) + w(thread_writers,
+        0.20) + w(atomics & sync, 0.15)
     capped = F.least(F.lit(1.0), raw)
     scaled = F.when(accessors <= 1, capped * 0.5).when(accessors >= 6, F.least(F.lit(1.0), capped * 1.2)).otherwise(capped)
     return F.when(escapes, scaled).otherwise(0.0)
@@ -82,5 +91,6 @@ def writer_facts(writers: DataFrame, key: list[str], writer: str, is_entry: str,
 
     A field that nothing writes has no row: it is unknown, not sparse.
     """
-    out = writers.groupBy(*key).agg(F.count_distinct(writer).alias("n_writers"), F.bool_or(is_entry).alias("entry_writer"), F.bool_or(is_pool).alias("pool_writer"), F.bool_and(opaque).alias("all_opaque"))
+    out = writers.groupBy(*key).agg(F.count_distinct(writer).alias("n_writers"), F.bool_or(is_entry).alias("entry_writer"),
+        F.bool_or(is_pool).alias("pool_writer"), F.bool_and(opaque).alias("all_opaque"))
     return out.withColumn("thread_writers", (F.col("n_writers") >= 2) & F.col("entry_writer"))

@@ -19,7 +19,8 @@ def survivors(df: DataFrame, key: list[str], order: list[Column], count: str | N
     return out.withColumn("__rn", F.row_number().over(w.orderBy(*order))).where("__rn = 1").drop("__rn")
 
 
-def running_budget(df: DataFrame, key: list[str], order: list[Column], limit: Column | int, running: str = "running", demoted: str = "demoted", counted: Column | None = None) -> DataFrame:
+def running_budget(df: DataFrame, key: list[str], order: list[Column], limit: Column | int, running: str = "running",
+    demoted: str = "demoted", counted: Column | None = None) -> DataFrame:
     """Counts the rows of a key in order; those beyond the limit are marked. Rows not ``counted`` take no part.
 
     All rows are sorted by key and order into ranges and written; each range counts its own rows of a key and adds those of the ranges before,
@@ -27,9 +28,11 @@ def running_budget(df: DataFrame, key: list[str], order: list[Column], limit: Co
     """
     one = F.lit(1) if counted is None else F.when(counted, 1).otherwise(0)
     part = F.shiftright("__id", 33)
-    sorted_ = storage.saved(df.withColumn("__one", one).orderBy(*key, *order).withColumn("__id", F.monotonically_increasing_id()), "ordered").withColumn("__part", part)
+    sorted_ = storage.saved(df.withColumn("__one", one).orderBy(*key, *order).withColumn("__id", F.monotonically_increasing_id()),
+        "ordered").withColumn("__part", part)
     before = W.partitionBy(*key).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    sums = sorted_.groupBy("__part", *key).agg(F.sum("__one").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    sums = sorted_.groupBy("__part", *key).agg(F.sum("__one").alias("__n")).withColumn("__before",
+        F.coalesce(F.sum("__n").over(before), F.lit(0)))
     sums = sums.select(F.col("__part").alias("__p"), *(F.col(k).alias(f"__k_{k}") for k in key), "__before")
     same = F.col("__part") == F.col("__p")
     for k in key:
@@ -48,7 +51,8 @@ def islands(df: DataFrame, key: list[str], order: list[Column], same: list[str],
     begins = F.lag(F.lit(1)).over(w).isNull()
     for c in same:
         begins = begins | ~F.lag(c).over(w).eqNullSafe(F.col(c))
-    return df.withColumn("__new", begins.cast("int")).withColumn(run, F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("bigint")).drop("__new")
+    return df.withColumn("__new", begins.cast("int")).withColumn(run,
+        F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("bigint")).drop("__new")
 
 
 def stratified_sample(df: DataFrame, strata: list[str], key: str, n: int, seed: str) -> DataFrame:

@@ -29,7 +29,8 @@ def floor_percentiles(df: DataFrame, key: list[str], value: str, ps: Sequence[fl
     """
     n = df.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("__c"))
     w = W.partitionBy(*key)
-    upto = n.withColumn("__upto", F.sum("__c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("__n", F.sum("__c").over(w))
+    upto = n.withColumn("__upto", F.sum("__c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("__n",
+        F.sum("__c").over(w))
     at = F.explode(F.array(*(F.struct(F.lit(_F(p)).alias("p"), F.floor(F.lit(_F(p)) * (F.col("__n") - 1)).alias("i")) for p in ps)))
     hit = upto.select(*key, value, "__c", "__upto", at.alias("__at")).where("__at.i < __upto AND __at.i >= __upto - __c")
     return hit.select(*key, F.col("__at.p").alias("p"), F.col(value).alias("value"))
@@ -44,13 +45,15 @@ def p_step(t: Column) -> Column:
 def welch(df: DataFrame, group: str, control: str, treated: str, value: str, least: int = 30) -> DataFrame:
     """One row (n, mean and population deviation of both, t, d, p): Welch's t and Cohen's d of treated against control."""
     own = lambda g: F.when(F.col(group) == g, F.col(value))
-    aggs = [f(own(g)).alias(f"{n}_{k}") for g, k in ((control, "c"), (treated, "t")) for n, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_pop))]
+    aggs = [f(own(g)).alias(f"{n}_{k}") for g, k in ((control, "c"), (treated, "t")) for n,
+        f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_pop))]
     one = df.where(F.col(group).isin(control, treated)).agg(*aggs)
     se = F.sqrt(F.try_divide(F.col("sd_c") ** 2, F.col("n_c")) + F.try_divide(F.col("sd_t") ** 2, F.col("n_t")))
     pooled = F.sqrt((F.col("sd_c") ** 2 + F.col("sd_t") ** 2) / 2)
     enough = (F.col("n_c") >= least) & (F.col("n_t") >= least)
     diff = F.col("mean_t") - F.col("mean_c")
-    one = one.withColumn("t", F.when(enough & (se > 0), diff / se).otherwise(0.0)).withColumn("d", F.when(enough & (pooled > 0), diff / pooled).otherwise(0.0))
+    one = one.withColumn("t", F.when(enough & (se > 0), diff / se).otherwise(0.0)).withColumn("d",
+        F.when(enough & (pooled > 0), diff / pooled).otherwise(0.0))
     return one.withColumn("p", F.when(enough, p_step(F.col("t"))).otherwise(1.0))
 
 
@@ -83,7 +86,8 @@ def normal_cdf(x: np.ndarray) -> np.ndarray:
     return np.where(x >= 0, 1 - upper, upper)
 
 
-def achieved_power(df: DataFrame, mean_c: str, sd_c: str, n_c: str, sd_t: str, n_t: str, effect: float, alpha: float, name: str = "power") -> DataFrame:
+def achieved_power(df: DataFrame, mean_c: str, sd_c: str, n_c: str, sd_t: str, n_t: str, effect: float, alpha: float,
+    name: str = "power") -> DataFrame:
     """The power to see a relative effect: 0 without data, 1 if the standard error is about 0."""
     z = normal_quantile(1 - alpha)
 
@@ -92,7 +96,8 @@ def achieved_power(df: DataFrame, mean_c: str, sd_c: str, n_c: str, sd_t: str, n
         return pd.Series(normal_cdf(x.to_numpy(float)))
 
     se = F.sqrt(F.try_divide(F.col(sd_c) ** 2, F.col(n_c)) + F.try_divide(F.col(sd_t) ** 2, F.col(n_t)))
-    df = df.withColumn("__se", se).withColumn("__x", F.coalesce(F.when(F.col("__se") > 1e-12, effect * F.abs(mean_c) / F.col("__se") - z), F.lit(0.0)))
+    df = df.withColumn("__se", se).withColumn("__x",
+        F.coalesce(F.when(F.col("__se") > 1e-12, effect * F.abs(mean_c) / F.col("__se") - z), F.lit(0.0)))
     none = (F.coalesce(F.col(n_c), F.lit(0)) == 0) | (F.coalesce(F.col(n_t), F.lit(0)) == 0)
     out = F.when(none, 0.0).when(F.col("__se") <= 1e-12, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), phi("__x"))))
     return df.withColumn(name, out).drop("__se", "__x")
@@ -114,13 +119,17 @@ def label(verdict: Column, quality: Column, power: Column, excluded: Column) ->
     return F.when(excluded, "Excluded").when((quality < 0.60) | ((power < 0.80) & (said == "Negative")), "Unlabeled").otherwise(said)
 
 
-def counter_votes(df: DataFrame, key: list[str], counter: str, value: Column, seconds: Column, thresholds: Sequence[tuple[str, float, float]]) -> DataFrame:
+def counter_votes(df: DataFrame, key: list[str], counter: str, value: Column, seconds: Column,
+    thresholds: Sequence[tuple[str, float, float]]) -> DataFrame:
     """(key, confirm, refute, verdict): a sample votes by its rate (its value without a duration) against its counter's thresholds."""
-    dim = F.broadcast(df.sparkSession.createDataFrame([(c, _F(a), _F(b)) for c, a, b in thresholds], f"{counter} string, __yes double, __no double"))
+    dim = F.broadcast(df.sparkSession.createDataFrame([(c, _F(a), _F(b)) for c, a, b in thresholds],
+            f"{counter} string, __yes double, __no double"))
     rate = F.when(seconds > 0, value / seconds).otherwise(value)
     voted = df.join(dim, counter).withColumn("__r", rate)
-    out = voted.groupBy(*key).agg(F.count(F.when(F.col("__r") >= F.col("__yes"), 1)).alias("confirm"), F.count(F.when(F.col("__r") <= F.col("__no"), 1)).alias("refute"))
-    return out.withColumn("verdict", F.when(F.col("confirm") > F.col("refute"), "Positive").when(F.col("refute") > F.col("confirm"), "Negative").otherwise("Unlabeled"))
+    out = voted.groupBy(*key).agg(F.count(F.when(F.col("__r") >= F.col("__yes"), 1)).alias("confirm"),
+        F.count(F.when(F.col("__r") <= F.col("__no"), 1)).alias("refute"))
+    return out.withColumn("verdict", F.when(F.col("confirm") > F.col("refute"), "Positive")
+        .when(F.col("refute") > F.col("confirm"), "Negative").otherwise("Unlabeled"))
 
 
 def smoothed_priors(df: DataFrame, key: list[str], confirmed: Column) -> DataFrame:
@@ -132,7 +141,8 @@ def smoothed_priors(df: DataFrame, key: list[str], confirmed: Column) -> DataFra
 def blended(confidence: Column, prior: Column, n: Column) -> Column:
     """Confidence moved to the prior by how much evidence that has; untouched without any."""
     w = F.least(F.lit(1.0), n / 50.0)
-    return F.when(F.coalesce(n, F.lit(0)) == 0, confidence).otherwise(F.greatest(F.lit(0.05), F.least(F.lit(0.99), confidence * (1 - w) + prior * w)))
+    return F.when(F.coalesce(n, F.lit(0)) == 0,
+        confidence).otherwise(F.greatest(F.lit(0.05), F.least(F.lit(0.99), confidence * (1 - w) + prior * w)))
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
@@ -146,7 +156,8 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 def precision_by(df: DataFrame, rule: str, mark: str) -> DataFrame:
     """(rule, tp, scored, precision, low, high) by rule and pooled (rule null): marks TP and TP-NWF are right, FP is wrong."""
-    counts = df.where(F.col(mark).isin("TP", "TP-NWF", "FP")).rollup(rule).agg(F.count(F.when(F.col(mark) != "FP", 1)).alias("tp"), F.count("*").alias("scored"))
+    counts = df.where(F.col(mark).isin("TP", "TP-NWF", "FP")).rollup(rule).agg(F.count(F.when(F.col(mark) != "FP", 1)).alias("tp"),
+        F.count("*").alias("scored"))
     low, high = wilson(F.col("tp"), F.col("scored"))
     return counts.withColumns({"precision": F.col("tp") / F.col("scored"), "low": low, "high": high})
 
@@ -160,8 +171,10 @@ def mask_verdicts(df: DataFrame, line: list[str], granule: str, mask: str, write
     by_granule = df.groupBy(*line, granule).agg(F.bit_or(mask).alias("__m"), F.sum(writes).alias("__w"))
     by_mask = by_granule.groupBy(*line, "__m").agg(F.sum("__w").alias("__w"))
     ranked = F.sort_array(F.collect_list("__w"), asc=False)
-    out = by_mask.groupBy(*line).agg(F.bit_or("__m").alias("mask"), F.count("*").alias("__masks"), F.coalesce(F.try_element_at(ranked, F.lit(2)), F.lit(0)).cast("bigint").alias("pressure"))
-    verdict = F.when(F.bit_count("mask") <= 1, "PRIVATE").when(F.col("__masks") == 1, "TRUE").when(F.col("pressure") >= hot, "FALSE").otherwise("COLD")
+    out = by_mask.groupBy(*line).agg(F.bit_or("__m").alias("mask"), F.count("*").alias("__masks"),
+        F.coalesce(F.try_element_at(ranked, F.lit(2)), F.lit(0)).cast("bigint").alias("pressure"))
+    verdict = F.when(F.bit_count("mask") <= 1, "PRIVATE").when(F.col("__masks") == 1, "TRUE").when(F.col("pressure") >= hot,
+        "FALSE").otherwise("COLD")
     return out.select(*line, "mask", F.bit_count("mask").alias("writers"), "pressure", verdict.alias("verdict"))
 
 
@@ -172,7 +185,8 @@ def cliffs(df: DataFrame, key: list[str], step: str, value: str, least: int = 10
     later = F.max(value).over(w.orderBy(step).rowsBetween(0, W.unboundedFollowing))
     low = lambda c, k: c <= F.floor(top / k)
     is_cliff = (F.col(step) >= 1) & (top >= least) & low(later, 100) & (F.lag(value).over(w.orderBy(step)) >= F.floor(top / 4))
-    return df.withColumn("__c", is_cliff).groupBy(*key).agg(F.coalesce(F.min(F.when(F.col("__c"), F.col(step))), F.lit(0)).cast("int").alias("cliff"))
+    return df.withColumn("__c", is_cliff).groupBy(*key).agg(F.coalesce(F.min(F.when(F.col("__c"), F.col(step))), F.lit(0)).cast("int")
+        .alias("cliff"))
 
 
 def ratio_lower_bound(t: Column, c: Column) -> Column:
@@ -184,11 +198,13 @@ def elected(scores: Column, margin: float = 0.10) -> Column:
     """The index of the elected entry of an array of scores: a later one must beat the best so far by more than the margin; -1 if empty."""
     start = F.struct(F.lit(-1).alias("i"), F.lit(0.0).alias("best"), F.lit(0).alias("at"))
     beats = lambda a, x: (a["i"] < 0) | (x > a["best"] * (1 + margin))
-    step = lambda a, x: F.struct(F.when(beats(a, x), a["at"]).otherwise(a["i"]).alias("i"), F.when(beats(a, x), x.cast("double")).otherwise(a["best"]).alias("best"), (a["at"] + 1).alias("at"))
+    step = lambda a, x: F.struct(F.when(beats(a, x), a["at"]).otherwise(a["i"]).alias("i"),
+        F.when(beats(a, x), x.cast("double")).otherwise(a["best"]).alias("best"), (a["at"] + 1).alias("at"))
     return F.aggregate(scores, start, step, lambda a: a["i"])
 
 
-def bootstrap_ci(df: DataFrame, key: list[str], order: list[str], group: str, value: str, control: str, treated: str, effect: float, q: float = 0.999, alpha: float = 0.01, reps: int = 2000, seed: int = 7) -> DataFrame:
+def bootstrap_ci(df: DataFrame, key: list[str], order: list[str], group: str, value: str, control: str, treated: str, effect: float,
+    q: float = 0.999, alpha: float = 0.01, reps: int = 2000, seed: int = 7) -> DataFrame:
     """(key, effect, low, high, drift, drift_low, drift_high, verdict): the relative change of the q-quantile of treated over control, with its
     percentile interval at ``1 - alpha``.
 

@@ -35,7 +35,9 @@ def running_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT user_id, bool_or(event_type = 'purchase') AS buys, bool_or(event_type = 'error') AS errs, CAST(count(*) AS BIGINT) AS n,
   max(value) AS top, max(event_id) AS last_id FROM events GROUP BY user_id""")
 def signal_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("user_id", (F.col("event_type") == "purchase").alias("buys"), (F.col("event_type") == "error").alias("errs"), F.lit(1).alias("n"), F.col("value").alias("top"), F.col("event_id").alias("last_id"))
+    e = table(spark, sf_dir, "events").select("user_id", (F.col("event_type") == "purchase").alias("buys"),
+        (F.col("event_type") == "error").alias("errs"), F.lit(1).alias("n"), F.col("value").alias("top"),
+        F.col("event_id").alias("last_id"))
     return merge.merge_facts(e, ["user_id"], any_of=["buys", "errs"], sums=["n"], maxes=["top", "last_id"])
 
 
@@ -84,7 +86,8 @@ def exploded_any_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 def glob_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", "url").where("url IS NOT NULL")
     p = joins.source_filter(p, "url", "page_id", exclude=["*cheap*"])
-    return joins.glob_join(p, "url", [("secure", "https://*"), ("english", "*/en/*"), ("blog", "http://blog.*"), ("blog", "https://blog.*")]).select("page_id", "pattern")
+    return joins.glob_join(p, "url", [("secure", "https://*"), ("english", "*/en/*"), ("blog", "http://blog.*"),
+            ("blog", "https://blog.*")]).select("page_id", "pattern")
 
 
 @query("""WITH s(suffix) AS (VALUES ('en/25#top'), ('en/685'), ('825?page=2&ref=x'), ('fr/825?page=2&ref=x'), ('85'))
@@ -98,13 +101,15 @@ def suffix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
   coalesce(try_cast(regexp_extract(event_type, '^\\s*([+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?)', 1) AS DOUBLE), 0) AS none FROM events""")
 def evidence_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select("event_id", text.leading_number(F.replace("props", F.lit('{"k": '), F.lit(""))).alias("k"), text.leading_number(F.col("event_type")).alias("none"))
+    return e.select("event_id", text.leading_number(F.replace("props", F.lit('{"k": '), F.lit(""))).alias("k"),
+        text.leading_number(F.col("event_type")).alias("none"))
 
 
 @query("""SELECT event_id, 'k=' || json_extract_string(props, '$.k') || '; type=' || event_type || '; user=' || user_id AS evidence FROM events""")
 def evidence_serialise(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    m = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("type"), F.col("event_type"), F.lit("k"), F.get_json_object("props", "$.k"))
+    m = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("type"), F.col("event_type"), F.lit("k"),
+        F.get_json_object("props", "$.k"))
     return e.select("event_id", text.evidence_text(m).alias("evidence"))
 
 
@@ -115,7 +120,8 @@ def evidence_serialise(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM b x JOIN b y ON x.l_partkey = y.l_partkey AND x.kind < y.kind JOIN t ON t.a_kind = x.kind AND t.b_kind = y.kind""")
 def entity_pair_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_partkey", F.concat("l_returnflag", "l_linestatus").alias("kind"), "l_quantity")
-    out = joins.class_pairs(li, ["l_partkey"], "kind", [F.col("l_quantity").desc()], [("mixed", "AF", "RF"), ("open", "RO", "AO"), ("none", "NF", "NO")], ["l_quantity"])
+    out = joins.class_pairs(li, ["l_partkey"], "kind", [F.col("l_quantity").desc()],
+        [("mixed", "AF", "RF"), ("open", "RO", "AO"), ("none", "NF", "NO")], ["l_quantity"])
     return out.withColumn("joint", F.least("a_l_quantity", "b_l_quantity"))
 
 
@@ -124,12 +130,16 @@ def entity_pair_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT o_orderkey, 1, n_name FROM l JOIN nation ON 'Nation#' || n_nationkey = name)
   SELECT o_orderkey, rank, found FROM l LEFT JOIN (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY rank, found) AS rn FROM c) WHERE rn = 1) b USING (o_orderkey)""")
 def rank_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))).otherwise(F.concat(F.lit("Nation#"), (F.col("o_custkey") % 40).cast("string")))
+    key = F.when(F.col("o_orderkey") % 3 == 0,
+        F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))).otherwise(F
+        .concat(F.lit("Nation#"), (F.col("o_custkey") % 40).cast("string")))
     o = table(spark, sf_dir, "orders").select("o_orderkey", key.alias("name"))
     exact = table(spark, sf_dir, "customer").select(F.col("c_name").alias("found"), F.col("c_name").alias("name"))
-    near = table(spark, sf_dir, "nation").select(F.col("n_name").alias("found"), F.concat(F.lit("Nation#"), F.col("n_nationkey").cast("string")).alias("name"))
+    near = table(spark, sf_dir, "nation").select(F.col("n_name").alias("found"),
+        F.concat(F.lit("Nation#"), F.col("n_nationkey").cast("string")).alias("name"))
     same = F.col("l.name") == F.col("r.name")
-    return joins.ranked_lookup(o, ["o_orderkey"], [(0, exact, same), (1, F.broadcast(near), same)], [F.col("found")], ["found"]).select("o_orderkey", "rank", "found")
+    return joins.ranked_lookup(o, ["o_orderkey"], [(0, exact, same), (1, F.broadcast(near), same)], [F.col("found")],
+        ["found"]).select("o_orderkey", "rank", "found")
 
 
 @query("""WITH a AS (SELECT l_partkey, l_returnflag FROM lineitem WHERE year(l_shipdate) = 1997), b AS (SELECT l_partkey, l_returnflag FROM lineitem WHERE year(l_shipdate) = 1998)
@@ -170,7 +180,8 @@ _PART_EDGES = "e AS (SELECT p_partkey AS src, (7 * p_partkey + 3) % (SELECT coun
   SELECT node, CAST(bit_or(bit) AS INTEGER) AS mask FROM r GROUP BY node""")
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey")
-    roots = p.where("p_partkey < 5").select(F.col("p_partkey").alias("node"), F.lit(1).alias("mask")).union(p.where("p_partkey BETWEEN 100 AND 104").select("p_partkey", F.lit(2)))
+    roots = p.where("p_partkey < 5").select(F.col("p_partkey").alias("node"),
+        F.lit(1).alias("mask")).union(p.where("p_partkey BETWEEN 100 AND 104").select("p_partkey", F.lit(2)))
     return graph.reachable(part_edges(p), roots)
 
 
@@ -188,7 +199,9 @@ def bounded_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
 def max_relax(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     total = F.broadcast(p.agg(F.count("*").alias("total")))
-    edges = p.select(F.col("p_partkey").alias("src"), F.explode(F.array(2 * F.col("p_partkey") + 1, 2 * F.col("p_partkey") + 2)).alias("dst"), (F.col("p_size") % 10 == 0).cast("int").alias("weight"))
+    edges = p.select(F.col("p_partkey").alias("src"),
+        F.explode(F.array(2 * F.col("p_partkey") + 1, 2 * F.col("p_partkey") + 2)).alias("dst"),
+        (F.col("p_size") % 10 == 0).cast("int").alias("weight"))
     edges = edges.crossJoin(total).where("dst < total").drop("total")
     return graph.max_relax(edges, p.where("p_partkey = 0").select(F.col("p_partkey").alias("node"), F.lit(0).alias("depth")), 4)
 
@@ -196,7 +209,8 @@ def max_relax(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS run FROM (
   SELECT *, CAST(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS DISTINCT FROM event_type AS INTEGER) AS fresh FROM events)""")
 def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.islands(table(spark, sf_dir, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], ["event_type"]).select("event_id", "run")
+    return ranking.islands(table(spark, sf_dir, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], ["event_type"]).select("event_id",
+        "run")
 
 
 @query("""WITH t AS (SELECT ts AS a, ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT)) AS z FROM events), r AS (SELECT date_trunc('hour', min(a)) AS lo, max(z) AS hi FROM t), b AS (SELECT lo + INTERVAL (h) HOUR AS s FROM r, range(0, 1000000) x(h) WHERE h <= date_diff('hour', lo, hi))
@@ -204,10 +218,13 @@ def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by the hours that they touch, all hours from the first start to the last end."""
     hour = 3_600_000_000
-    e = table(spark, sf_dir, "events").select("event_id", time.epoch_micros(F.col("ts")).alias("t0"), F.round(F.col("value") * 1000000).cast("bigint").alias("d"))
-    span = e.agg(F.floor(F.min("t0") / hour).alias("lo"), F.floor(F.max(F.col("t0") + F.col("d")) / hour).alias("hi")).where("lo IS NOT NULL")
+    e = table(spark, sf_dir, "events").select("event_id", time.epoch_micros(F.col("ts")).alias("t0"),
+        F.round(F.col("value") * 1000000).cast("bigint").alias("d"))
+    span = e.agg(F.floor(F.min("t0") / hour).alias("lo"),
+        F.floor(F.max(F.col("t0") + F.col("d")) / hour).alias("hi")).where("lo IS NOT NULL")
     bins = span.select(F.explode(F.sequence("lo", "hi")).alias("h")).select((F.col("h") * 3600).alias("bin"))
-    out = joins.interval_join(e, F.col("t0"), F.col("t0") + F.col("d"), bins, F.col("bin") * 1_000_000, (F.col("bin") + 3600) * 1_000_000, hour)
+    out = joins.interval_join(e, F.col("t0"), F.col("t0") + F.col("d"), bins, F.col("bin") * 1_000_000, (F.col("bin") + 3600) * 1_000_000,
+        hour)
     return out.groupBy("bin").agg(F.count("*").alias("n"))
 
 
@@ -223,7 +240,8 @@ def asof_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_sum(list_transform(list_zip(a.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) <= 1.69""")
 def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    return joins.radius_join(e, e, ["label"], "v", "v", 1.3).where("l.vec_id < r.vec_id").select(F.col("l.vec_id").alias("a"), F.col("r.vec_id").alias("b"))
+    return joins.radius_join(e, e, ["label"], "v", "v", 1.3).where("l.vec_id < r.vec_id").select(F.col("l.vec_id").alias("a"),
+        F.col("r.vec_id").alias("b"))
 
 
 @query("""WITH s AS (SELECT count(l_extendedprice) FILTER (WHERE l_returnflag = 'A') AS n_c, avg(l_extendedprice) FILTER (WHERE l_returnflag = 'A') AS mean_c, stddev_pop(l_extendedprice) FILTER (WHERE l_returnflag = 'A') AS sd_c,
@@ -233,7 +251,8 @@ def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     CAST(CASE WHEN abs(t) > 5 THEN 0.0001 WHEN abs(t) > 3.3 THEN 0.001 WHEN abs(t) > 2.58 THEN 0.01 WHEN abs(t) > 1.96 THEN 0.05 WHEN abs(t) > 1.64 THEN 0.1 ELSE 0.5 END AS DOUBLE) AS p FROM w""")
 def welch(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = stats.welch(table(spark, sf_dir, "lineitem"), "l_returnflag", "A", "R", "l_extendedprice")
-    return out.select("n_c", "n_t", F.round("mean_c", 4).alias("mean_c"), F.round("mean_t", 4).alias("mean_t"), F.round("t", 6).alias("t"), F.round("d", 6).alias("d"), "p")
+    return out.select("n_c", "n_t", F.round("mean_c", 4).alias("mean_c"), F.round("mean_t", 4).alias("mean_t"), F.round("t", 6).alias("t"),
+        F.round("d", 6).alias("d"), "p")
 
 
 @query("""WITH r AS (SELECT l_returnflag, l_quantity, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) - 1 AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem)
@@ -256,7 +275,8 @@ def wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH m AS (SELECT quality, CASE WHEN toxic = 1 THEN 'FP' WHEN doc_id % 3 = 0 THEN 'TP-NWF' ELSE 'TP' END AS mark FROM labels)
   SELECT quality, CAST(count(*) FILTER (WHERE mark <> 'FP') AS BIGINT) AS tp, CAST(count(*) AS BIGINT) AS scored, round(count(*) FILTER (WHERE mark <> 'FP') / count(*), 6) AS precision FROM m GROUP BY ROLLUP (quality)""")
 def precision_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "labels").select("quality", F.when(F.col("toxic") == 1, "FP").when(F.col("doc_id") % 3 == 0, "TP-NWF").otherwise("TP").alias("mark"))
+    m = table(spark, sf_dir, "labels").select("quality",
+        F.when(F.col("toxic") == 1, "FP").when(F.col("doc_id") % 3 == 0, "TP-NWF").otherwise("TP").alias("mark"))
     return stats.precision_by(m, "quality", "mark").select("quality", "tp", "scored", F.round("precision", 6).alias("precision"))
 
 
@@ -265,14 +285,16 @@ def precision_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     round(greatest(0.05, least(0.99, 0.7 * (1 - least(1.0, n / 50)) + (confirmed + 1) / (n + 2) * least(1.0, n / 50))), 6) AS blended FROM c""")
 def prior_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = stats.smoothed_priors(table(spark, sf_dir, "events"), ["event_type"], F.col("value") >= 50)
-    return p.withColumn("blended", F.round(stats.blended(F.lit(0.7), F.col("prior"), F.col("n")), 6)).withColumn("prior", F.round("prior", 6))
+    return p.withColumn("blended", F.round(stats.blended(F.lit(0.7), F.col("prior"), F.col("n")), 6)).withColumn("prior",
+        F.round("prior", 6))
 
 
 @query("""WITH t(event_type, yes, no) AS (VALUES ('view', 60.0, 10.0), ('click', 80.0, 20.0), ('error', 40.0, 5.0)),
   v AS (SELECT user_id, count(*) FILTER (WHERE value >= yes) AS c, count(*) FILTER (WHERE value <= no) AS r FROM events JOIN t USING (event_type) GROUP BY 1)
   SELECT user_id, CAST(c AS BIGINT) AS confirm, CAST(r AS BIGINT) AS refute, CASE WHEN c > r THEN 'Positive' WHEN r > c THEN 'Negative' ELSE 'Unlabeled' END AS verdict FROM v""")
 def counter_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.counter_votes(table(spark, sf_dir, "events"), ["user_id"], "event_type", F.col("value"), F.lit(0), [("view", 60, 10), ("click", 80, 20), ("error", 40, 5)])
+    return stats.counter_votes(table(spark, sf_dir, "events"), ["user_id"], "event_type", F.col("value"), F.lit(0),
+        [("view", 60, 10), ("click", 80, 20), ("error", 40, 5)])
 
 
 @query("""WITH g AS (SELECT user_id % 97 AS line, event_type, bit_or(CAST(1 AS BIGINT) << (event_id % 8)::INTEGER) AS m, count(*) AS w FROM events GROUP BY 1, 2),
@@ -281,7 +303,8 @@ def counter_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT line, CAST(mask AS BIGINT) AS mask, CAST(bit_count(mask) AS INTEGER) AS writers, CAST(pressure AS BIGINT) AS pressure,
     CASE WHEN bit_count(mask) <= 1 THEN 'PRIVATE' WHEN masks = 1 THEN 'TRUE' WHEN pressure >= 100 THEN 'FALSE' ELSE 'COLD' END AS verdict FROM l""")
 def mask_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 97).alias("line"), "event_type", F.expr("shiftleft(1L, cast(event_id % 8 as int))").alias("mask"), F.lit(1).alias("writes"))
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 97).alias("line"), "event_type",
+        F.expr("shiftleft(1L, cast(event_id % 8 as int))").alias("mask"), F.lit(1).alias("writes"))
     return stats.mask_verdicts(e, ["line"], "event_type", "mask", "writes")
 
 
@@ -306,16 +329,20 @@ def divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT doc_id, quality, toxic FROM (SELECT *, row_number() OVER (PARTITION BY quality, toxic ORDER BY md5('s1|' || quality || '|' || toxic || '|' || doc_id), doc_id) AS rn FROM labels) WHERE rn <= 8""")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.stratified_sample(table(spark, sf_dir, "labels"), ["quality", "toxic"], "doc_id", 8, "s1").select("doc_id", "quality", "toxic")
+    return ranking.stratified_sample(table(spark, sf_dir, "labels"), ["quality", "toxic"], "doc_id", 8, "s1").select("doc_id", "quality",
+        "toxic")
 
 
 @query("""WITH f AS (SELECT p_partkey, p_brand, p_partkey * p_size % 512 AS o, p_size AS n FROM part)
   SELECT p_partkey, CAST(ceil(n / 64) AS INTEGER) AS best, CAST(ceil((64 - 8 + n) / 64) AS INTEGER) AS worst, CAST(o // 64 AS INTEGER) AS first_line, CAST((o + 56 + n - 1) // 64 AS INTEGER) AS last_line,
     list_bool_or(list_transform(range(0, 64, 8), lambda s: (o + s) // 64 <> (o + s + n - 1) // 64)) AS straddles FROM f""")
 def line_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * F.col("p_size") % 512).alias("o"), F.col("p_size").alias("n"))
+    f = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * F.col("p_size") % 512).alias("o"),
+        F.col("p_size").alias("n"))
     al = F.lit(8)
-    return f.select("p_partkey", layout.lines_best(F.col("n"), 64).alias("best"), layout.lines_worst(F.col("n"), al, 64).alias("worst"), layout.first_line(F.col("o"), 64).alias("first_line"), layout.last_line(F.col("o"), F.col("n"), al, 64).alias("last_line"), layout.straddles(F.col("o"), F.col("n"), al, 64).alias("straddles"))
+    return f.select("p_partkey", layout.lines_best(F.col("n"), 64).alias("best"), layout.lines_worst(F.col("n"), al, 64).alias("worst"),
+        layout.first_line(F.col("o"), 64).alias("first_line"), layout.last_line(F.col("o"), F.col("n"), al, 64).alias("last_line"),
+        layout.straddles(F.col("o"), F.col("n"), al, 64).alias("straddles"))
 
 
 @query("""WITH f AS (SELECT p_partkey, p_brand, p_type, p_partkey * p_size % 4096 AS o, p_size AS n FROM part),
@@ -324,7 +351,9 @@ def line_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT p_brand, p_type, p_partkey, p_partkey, o // 64 FROM f WHERE n >= 40)
   SELECT p_brand, p_type, a, b, CAST(line_index AS INTEGER) AS line_index FROM p""")
 def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = table(spark, sf_dir, "part").select("p_brand", "p_type", F.col("p_partkey").alias("field"), F.col("p_partkey").alias("ord"), (F.col("p_partkey") * F.col("p_size") % 4096).alias("offset"), F.col("p_size").alias("size"), F.lit(8).alias("align"), F.when(F.col("p_size") >= 40, 2).otherwise(1).alias("n_elements"))
+    f = table(spark, sf_dir, "part").select("p_brand", "p_type", F.col("p_partkey").alias("field"), F.col("p_partkey").alias("ord"),
+        (F.col("p_partkey") * F.col("p_size") % 4096).alias("offset"), F.col("p_size").alias("size"), F.lit(8).alias("align"),
+        F.when(F.col("p_size") >= 40, 2).otherwise(1).alias("n_elements"))
     return layout.line_pairs(f, ["p_brand", "p_type"], "ord", 64)
 
 
@@ -333,19 +362,22 @@ def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT p_partkey, round(CAST(CASE WHEN NOT (x OR y) THEN 0 WHEN n <= 1 THEN c * 0.5 WHEN n >= 6 THEN least(1.0, c * 1.2) ELSE c END AS DOUBLE), 6) AS score FROM s""")
 def escape_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y, z = (F.col("p_partkey") % k == 0 for k in (3, 5, 7))
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(layout.escape_score(x, y, z, y, z, x, F.col("p_size") % 8, x | y), 6).alias("score"))
+    return table(spark, sf_dir, "part").select("p_partkey",
+        F.round(layout.escape_score(x, y, z, y, z, x, F.col("p_size") % 8, x | y), 6).alias("score"))
 
 
 @query("""SELECT l_suppkey, CAST(count(DISTINCT l_partkey) AS BIGINT) AS n_writers, bool_or(l_quantity > 49) AS entry_writer, bool_or(l_discount > 0.09) AS pool_writer, bool_and(l_tax < 0.07) AS all_opaque,
   count(DISTINCT l_partkey) >= 2 AND bool_or(l_quantity > 49) AS thread_writers FROM lineitem GROUP BY 1""")
 def writer_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", (F.col("l_quantity") > 49).alias("e"), (F.col("l_discount") > 0.09).alias("p"), (F.col("l_tax") < 0.07).alias("o"))
+    w = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", (F.col("l_quantity") > 49).alias("e"),
+        (F.col("l_discount") > 0.09).alias("p"), (F.col("l_tax") < 0.07).alias("o"))
     return layout.writer_facts(w, ["l_suppkey"], "l_partkey", "e", "p", "o")
 
 
 @query("""SELECT event_id, round(greatest(0, value - 2 * sqrt(value)) / (user_id + 2 * sqrt(user_id) + 1), 6) AS bound FROM events""")
 def ratio_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.round(stats.ratio_lower_bound(F.col("value"), F.col("user_id")), 6).alias("bound"))
+    return table(spark, sf_dir, "events").select("event_id",
+        F.round(stats.ratio_lower_bound(F.col("value"), F.col("user_id")), 6).alias("bound"))
 
 
 @query("""WITH m AS (SELECT doc_id, doc_id % 100 / 100.0 AS power, doc_id % 2 = 0 AS turbo, doc_id % 3 = 0 AS gov, doc_id % 5 = 0 AS cores, CASE doc_id % 3 WHEN 0 THEN 'Confirmed' WHEN 1 THEN 'Refuted' ELSE 'Inconclusive' END AS v, toxic = 1 AS ex FROM labels),
@@ -353,9 +385,11 @@ def ratio_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT doc_id, round(CAST(quality AS DOUBLE), 6) AS quality, CASE WHEN ex THEN 'Excluded' WHEN round(CAST(quality AS DOUBLE), 9) < 0.6 OR (power < 0.8 AND v = 'Refuted') THEN 'Unlabeled' WHEN v = 'Confirmed' THEN 'Positive' WHEN v = 'Refuted' THEN 'Negative' ELSE 'Unlabeled' END AS label FROM q""")
 def label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
-    m = table(spark, sf_dir, "labels").select("doc_id", (d % 100 / 100.0).alias("power"), F.when(d % 3 == 0, "Confirmed").when(d % 3 == 1, "Refuted").otherwise("Inconclusive").alias("v"), (F.col("toxic") == 1).alias("ex"))
+    m = table(spark, sf_dir, "labels").select("doc_id", (d % 100 / 100.0).alias("power"),
+        F.when(d % 3 == 0, "Confirmed").when(d % 3 == 1, "Refuted").otherwise("Inconclusive").alias("v"), (F.col("toxic") == 1).alias("ex"))
     m = m.withColumn("quality", F.round(stats.label_quality(F.col("power"), d % 2 == 0, d % 3 == 0, d % 5 == 0), 9))
-    return m.select("doc_id", F.round("quality", 6).alias("quality"), stats.label(F.col("v"), F.col("quality"), F.col("power"), F.col("ex")).alias("label"))
+    return m.select("doc_id", F.round("quality", 6).alias("quality"),
+        stats.label(F.col("v"), F.col("quality"), F.col("power"), F.col("ex")).alias("label"))
 
 
 @query("""SELECT user_id, event_type, CAST(count(*) AS BIGINT) AS n, round(avg(value), 3) AS mean_d, bool_or(value > 200) AS super_additive FROM events GROUP BY 1, 2""")
@@ -367,14 +401,22 @@ def interaction_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT c_custkey, o_orderkey FROM (SELECT c_custkey, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM customer LEFT JOIN orders ON o_custkey = c_custkey) WHERE rn <= 3""")
 def first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left")
-    return ranking.survivors_n(j.select("c_custkey", "o_orderkey", "o_orderdate"), ["c_custkey"], [F.col("o_orderdate").asc_nulls_last(), F.col("o_orderkey").asc_nulls_last()], 3).select("c_custkey", "o_orderkey")
+    return ranking.survivors_n(j.select("c_custkey", "o_orderkey", "o_orderdate"), ["c_custkey"],
+        [F.col("o_orderdate").asc_nulls_last(), F.col("o_orderkey").asc_nulls_last()], 3).select("c_custkey", "o_orderkey")
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT count(l_extendedprice) FILTER (WHERE l_returnflag = 'A') AS n_c, avg(l_extendedprice) FILTER (WHERE l_returnflag = 'A') AS mean_c, stddev_pop(l_extendedprice) FILTER (WHERE l_returnflag = 'A') AS sd_c,
+    count(l_extendedprice) FILTER (WHERE l_returnflag = 'R') AS n_t, avg(l_extendedprice) FILTER (WHERE l_returnflag = 'R') AS mean_t, stddev_pop(l_extendedprice) FILTER (WHERE l_returnflag = 'R') AS sd_t FROM lineitem),
+  w AS (SELECT *, sqrt(sd_c * sd_c / n_c + sd_t * sd_t / n_t) AS se, (mean_t - mean_c) / sqrt(sd_c * sd_c / n_c + sd_t * sd_t / n_t) AS t, (mean_t - mean_c) / sqrt((sd_c * sd_c + sd_t * sd_t) / 2) AS d FROM s),
+  x AS (SELECT *, 0.05 * abs(mean_c) / se - 2.3263478740408408 AS x, CASE WHEN abs(t) > 5 THEN 0.0001 WHEN abs(t) > 3.3 THEN 0.001 WHEN abs(t) > 2.58 THEN 0.01 WHEN abs(t) > 1.96 THEN 0.05 WHEN abs(t) > 1.64 THEN 0.1 ELSE 0.5 END AS p FROM w),
+  f(k, term, total) AS (SELECT 0, x, x FROM x UNION ALL SELECT k + 1, term * x * x / (2 * k + 3), total + term * x * x / (2 * k + 3) FROM f, x WHERE k < 400),
+  y AS (SELECT t, d, p, greatest(0, least(1, 0.5 + (SELECT max_by(total, k) FROM f) * exp(-x * x / 2) / sqrt(2 * pi()))) AS power FROM x)
+  SELECT round(t, 6) AS t, round(d, 6) AS d, CAST(p AS DOUBLE) AS p, round(power, 6) AS power, CASE WHEN p <= 0.01 AND d >= 0.05 THEN 'Confirmed' WHEN p > 0.10 AND power >= 0.80 THEN 'Refuted' ELSE 'Inconclusive' END AS verdict FROM y""")
 def achieved_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = stats.welch(table(spark, sf_dir, "lineitem"), "l_returnflag", "A", "R", "l_extendedprice")
     out = stats.achieved_power(one, "mean_c", "sd_c", "n_c", "sd_t", "n_t", effect=0.05, alpha=0.01)
-    return out.withColumn("verdict", stats.experiment_verdict(F.col("p"), F.col("d"), F.col("power"), 0.01, 0.05)).select("t", "d", "p", "power", "verdict")
+    verdict = stats.experiment_verdict(F.col("p"), F.col("d"), F.col("power"), 0.01, 0.05)
+    return out.select(F.round("t", 6).alias("t"), F.round("d", 6).alias("d"), "p", F.round("power", 6).alias("power"), verdict.alias("verdict"))
 
 
 @query()
@@ -383,17 +425,25 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.bootstrap_ci(e, ["half"], ["ts", "event_id"], "event_type", "value", "view", "click", 0.05)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+  f(label, i, cs, ns) AS (SELECT label, i, [v], [1] FROM e WHERE i = 1 UNION ALL
+    SELECT label, i, CASE WHEN hit IS NULL THEN list_append(cs, v) ELSE cs END, CASE WHEN hit IS NULL THEN list_append(ns, 1) ELSE list_concat(list_concat(ns[:hit - 1], [ns[hit] + 1]), ns[hit + 1:]) END FROM (
+      SELECT e.label, e.i, cs, ns, v, nullif(coalesce(list_position(list_transform(cs, lambda c: list_sum(list_transform(list_zip(c, v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) <= 1.3 * 1.3), true), 0), 0) AS hit FROM f JOIN e ON e.label = f.label AND e.i = f.i + 1)),
+  z AS (SELECT label, max_by(cs, i) AS cs, max_by(ns, i) AS ns FROM f GROUP BY 1)
+  SELECT label, round(cs[k][1], 6) AS first, CAST(ns[k] AS BIGINT) AS refutations FROM z, range(1, 100000) t(k) WHERE k <= len(cs)""")
 def fp_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8, over classes by label; a cluster is shown by its first number."""
     e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("features"))
-    return stats.fp_clusters(e, "label", ["vec_id"], "features", radius=1.3)
+    out = stats.fp_clusters(e, "label", ["vec_id"], "features", radius=1.3)
+    return out.select("label", F.round(F.col("features")[0], 6).alias("first"), "refutations")
 
 
 @query()
 def reduce_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All reduce steps over findings made of ``lineitem``, with facts of every kind."""
     out = reduce.run(catalog_facts.pipeline_findings(spark, sf_dir), **catalog_facts.pipeline_facts(spark, sf_dir))
-    return out.select("rule", "severity", F.round("confidence", 6).alias("confidence"), "tier", "file", "line", F.size("escalations").alias("notes"))
+    return out.select("rule", "severity", F.round("confidence", 6).alias("confidence"), "tier", "file", "line",
+        F.size("escalations").alias("notes"))
 
 
 _CLAIMED = """SELECT {key}, l_linenumber % 4 AS severity, CASE WHEN l_discount > 0.02 THEN l_linenumber % 4 ELSE 0 END AS own, CAST(l_quantity AS INTEGER) % 3 + 1 AS cap FROM lineitem"""
@@ -401,8 +451,10 @@ _CLAIMED = """SELECT {key}, l_linenumber % 4 AS severity, CASE WHEN l_discount >
 
 @query(f"""SELECT l_suppkey, CAST(count(*) FILTER (WHERE severity > least(own, cap)) AS BIGINT) AS bound, CAST(max(least(severity, own, cap)) AS INTEGER) AS top FROM ({_CLAIMED.format(key='l_suppkey')}) GROUP BY 1""")
 def claim_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = catalog_facts.lineitem_findings(spark, sf_dir).select(F.substring(reduce.ev("type_name"), 2, 99).cast("bigint").alias("l_suppkey"), "severity", S.supported_severity(F.col("claims")).alias("most"))
-    return f.groupBy("l_suppkey").agg(F.count(F.when(F.col("severity") > F.col("most"), 1)).alias("bound"), F.max(F.least("severity", "most")).alias("top"))
+    f = catalog_facts.lineitem_findings(spark, sf_dir).select(F.substring(reduce.ev("type_name"), 2, 99).cast("bigint").alias("l_suppkey"),
+        "severity", S.supported_severity(F.col("claims")).alias("most"))
+    return f.groupBy("l_suppkey").agg(F.count(F.when(F.col("severity") > F.col("most"), 1)).alias("bound"),
+        F.max(F.least("severity", "most")).alias("top"))
 
 
 @query()

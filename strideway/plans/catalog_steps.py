@@ -44,17 +44,21 @@ def grouped_reclassify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2."""
     k = F.col("o_orderkey")
     yes = lambda c: F.when(c, "yes").otherwise("no")
-    ev = evidence(var=tagged("g", "o_custkey"), type=tagged("T", k % 2), tu_write_count=F.floor(k / 7) % 3, tu_loop_writes=F.when(k % 11 == 0, 1).otherwise(0), has_init=yes(k % 3 == 0), atomics=yes(k % 4 == 1))
+    ev = evidence(var=tagged("g", "o_custkey"), type=tagged("T", k % 2), tu_write_count=F.floor(k / 7) % 3,
+        tu_loop_writes=F.when(k % 11 == 0, 1).otherwise(0), has_init=yes(k % 3 == 0), atomics=yes(k % 4 == 1))
     rows = finding_rows(orders(spark, sf_dir), k, rule=F.when(k % 5 < 4, "FL040").otherwise("FL001"), severity=grade(), evidence=ev)
     out = reduce.global_writes(rows)
-    return out.select("ord", "severity", "confidence", "tier", F.size("escalations").alias("notes"), reduce.ev("global_write_count").alias("writes"), reduce.ev("write_once").alias("once"))
+    return out.select("ord", "severity", "confidence", "tier", F.size("escalations").alias("notes"),
+        reduce.ev("global_write_count").alias("writes"), reduce.ev("write_once").alias("once"))
 
 
 def signals(spark: SparkSession, sf_dir: str, base: int = 2) -> DataFrame:
     """Signals of customers as types ``C<key>``: flag i where the key is a multiple of ``base + i``; a second unit says who has debts."""
     c = table(spark, sf_dir, "customer")
-    first = c.select(tagged("C", "c_custkey").alias("type"), *((F.col("c_custkey") % (base + i) == 0).alias(f) for i, f in enumerate(S.SIGNAL_FLAGS)), F.lit(1).alias("accessors"))
-    debts = c.where("c_acctbal < -900").select(tagged("C", "c_custkey").alias("type"), *(F.lit(f == "shared_owner").alias(f) for f in S.SIGNAL_FLAGS), F.lit(2).alias("accessors"))
+    first = c.select(tagged("C", "c_custkey").alias("type"),
+        *((F.col("c_custkey") % (base + i) == 0).alias(f) for i, f in enumerate(S.SIGNAL_FLAGS)), F.lit(1).alias("accessors"))
+    debts = c.where("c_acctbal < -900").select(tagged("C", "c_custkey").alias("type"),
+        *(F.lit(f == "shared_owner").alias(f) for f in S.SIGNAL_FLAGS), F.lit(2).alias("accessors"))
     return first.unionByName(debts)
 
 
@@ -65,7 +69,8 @@ def escape_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R4."""
     k = F.col("o_orderkey")
     said = F.when(k % 3 == 0, "false").when(k % 2 == 0, "true").otherwise("yes")
-    rows = finding_rows(orders(spark, sf_dir), k, tier=F.when(k % 5 == 0, S.PROVEN).otherwise(S.LIKELY), suppressed=k % 7 == 0, evidence=evidence(type_name=tagged("C", "o_custkey"), thread_escape=said))
+    rows = finding_rows(orders(spark, sf_dir), k, tier=F.when(k % 5 == 0, S.PROVEN).otherwise(S.LIKELY), suppressed=k % 7 == 0,
+        evidence=evidence(type_name=tagged("C", "o_custkey"), thread_escape=said))
     out = reduce.escape_suppression(rows, reduce.Facts(signals=signals(spark, sf_dir, 30), units=2))
     return out.select("ord", "suppressed", F.size("escalations").alias("notes"))
 
@@ -79,7 +84,8 @@ def sharing_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     types = F.concat(tagged("C", "o_custkey"), F.lit(";"), tagged("C", F.col("o_custkey") + 700), F.lit(";other"))
     own = F.array(S.claim("m", "p", True, S.CRITICAL))
-    rows = finding_rows(orders(spark, sf_dir), k, rule=pick(("FL001", "FL002", "FL041"), k), suppressed=k % 7 == 0, evidence=evidence(type_name=types), claims=own)
+    rows = finding_rows(orders(spark, sf_dir), k, rule=pick(("FL001", "FL002", "FL041"), k), suppressed=k % 7 == 0,
+        evidence=evidence(type_name=types), claims=own)
     out = reduce.sharing_verdict(rows, reduce.Facts(signals=signals(spark, sf_dir)))
     return out.select("ord", (F.size("claims") - 1).alias("gates"), supported())
 
@@ -88,7 +94,8 @@ def part_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, loop_depth): function ``f<p>`` calls ``f<(7 p + 3) mod N>`` and ``f<p // 2>``, N being the number of parts."""
     p = table(spark, sf_dir, "part").select("p_partkey")
     total = F.broadcast(p.agg(F.count("*").alias("n")))  # one row
-    jump = p.crossJoin(total).select(tagged("f", "p_partkey").alias("src"), tagged("f", (7 * F.col("p_partkey") + 3) % F.col("n")).alias("dst"))
+    jump = p.crossJoin(total).select(tagged("f", "p_partkey").alias("src"),
+        tagged("f", (7 * F.col("p_partkey") + 3) % F.col("n")).alias("dst"))
     return jump.union(p.select(tagged("f", "p_partkey"), tagged("f", F.floor(F.col("p_partkey") / 2)))).withColumn("loop_depth", F.lit(0))
 
 
@@ -98,18 +105,21 @@ def part_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def thread_role_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R6."""
     entries = table(spark, sf_dir, "part").where("p_partkey IN (3, 4, 5)").select(tagged("f", "p_partkey").alias("fn"))
-    return reduce.thread_roles(reduce.Facts(edges=part_calls(spark, sf_dir), entries=entries, main_patterns=["f19?"], entry_patterns=["f1?0"]))
+    return reduce.thread_roles(reduce.Facts(edges=part_calls(spark, sf_dir), entries=entries, main_patterns=["f19?"],
+            entry_patterns=["f1?0"]))
 
 
 def order_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(field, writer): fields f0 to f2 of a type an order, written by the functions of its lines' parts."""
     li = table(spark, sf_dir, "lineitem")
-    return li.select(F.concat(tagged("ns::O", "l_orderkey"), tagged("::f", F.col("l_linenumber") % 3)).alias("field"), tagged("w", F.col("l_partkey") % 12).alias("writer"))
+    return li.select(F.concat(tagged("ns::O", "l_orderkey"), tagged("::f", F.col("l_linenumber") % 3)).alias("field"),
+        tagged("w", F.col("l_partkey") % 12).alias("writer"))
 
 
 def part_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fn, mask) of ten of the twelve writers."""
-    return table(spark, sf_dir, "part").where("p_partkey < 10").select(tagged("w", "p_partkey").alias("fn"), (F.col("p_partkey") % 3 + 1).cast("int").alias("mask"))
+    return table(spark, sf_dir, "part").where("p_partkey < 10").select(tagged("w", "p_partkey").alias("fn"),
+        (F.col("p_partkey") % 3 + 1).cast("int").alias("mask"))
 
 
 _FIELD_MASKS = """SELECT l_orderkey AS o, l_linenumber % 3 AS f, CAST(CASE WHEN bool_or(l_partkey % 12 >= 10) THEN 0 ELSE bit_or(l_partkey % 12 % 3 + 1) END AS INTEGER) AS mask FROM lineitem GROUP BY 1, 2"""
@@ -142,7 +152,9 @@ def role_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tree_facts(spark: SparkSession, sf_dir: str) -> reduce.Facts:
     """Function ``f<p>`` calls ``f<2 p + 1>`` and ``f<2 p + 2>``, in a loop where the part's size is a multiple of 10."""
     p = table(spark, sf_dir, "part")
-    edges = p.select(tagged("f", "p_partkey").alias("src"), F.explode(F.array(2 * F.col("p_partkey") + 1, 2 * F.col("p_partkey") + 2)).alias("d"), (F.col("p_size") % 10 == 0).cast("int").alias("loop_depth"))
+    edges = p.select(tagged("f", "p_partkey").alias("src"),
+        F.explode(F.array(2 * F.col("p_partkey") + 1, 2 * F.col("p_partkey") + 2)).alias("d"),
+        (F.col("p_size") % 10 == 0).cast("int").alias("loop_depth"))
     edges = edges.select("src", tagged("f", "d").alias("dst"), "loop_depth")
     own = p.select(tagged("f", "p_partkey").alias("fn"), (F.col("p_size") % 4).cast("int").alias("depth"))
     entries = p.where("p_partkey = 2").select(tagged("f", "p_partkey").alias("fn"))
@@ -167,8 +179,10 @@ def global_hotness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resolve_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R9."""
     k = F.col("o_orderkey")
-    claims = F.array(S.claim("m", "p", True, S.CRITICAL), S.claim(f"{reduce.HOT_EFFECT} (cross-tu-candidate)", "p", False, S.HIGH, gating=True))
-    rows = finding_rows(orders(spark, sf_dir), k, rule=pick(("FL012", "FL001"), k), severity=grade(), fn=tagged("f", "o_custkey"), hotness=F.when(k % 3 == 0, S.DECLARED).otherwise(S.CANDIDATE), claims=claims)
+    claims = F.array(S.claim("m", "p", True, S.CRITICAL),
+        S.claim(f"{reduce.HOT_EFFECT} (cross-tu-candidate)", "p", False, S.HIGH, gating=True))
+    rows = finding_rows(orders(spark, sf_dir), k, rule=pick(("FL012", "FL001"), k), severity=grade(), fn=tagged("f", "o_custkey"),
+        hotness=F.when(k % 3 == 0, S.DECLARED).otherwise(S.CANDIDATE), claims=claims)
     return reduce.resolve_candidates(rows, tree_facts(spark, sf_dir)).select("ord", "suppressed", "hotness", supported())
 
 
@@ -177,9 +191,11 @@ def resolve_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def devirtualise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R9b."""
     k = F.col("o_orderkey")
-    claims = F.array(S.claim("m", "p", True, S.CRITICAL), S.claim(f"{reduce.RECEIVER_EFFECT} beyond prediction", "p", False, S.CRITICAL, gating=True))
+    claims = F.array(S.claim("m", "p", True, S.CRITICAL),
+        S.claim(f"{reduce.RECEIVER_EFFECT} beyond prediction", "p", False, S.CRITICAL, gating=True))
     call = F.when(k % 5 != 0, tagged("V::m", F.col("o_custkey") % 90))
-    rows = finding_rows(orders(spark, sf_dir), k, rule=pick(("FL030", "FL031", "FL012"), k), suppressed=k % 7 == 0, evidence=evidence(virtual_call=call), claims=claims)
+    rows = finding_rows(orders(spark, sf_dir), k, rule=pick(("FL030", "FL031", "FL012"), k), suppressed=k % 7 == 0,
+        evidence=evidence(virtual_call=call), claims=claims)
     over = table(spark, sf_dir, "customer").where("c_custkey % 61 < 40").select(tagged("V::m", F.col("c_custkey") % 61).alias("fn"))
     return reduce.devirtualise(rows, reduce.Facts(overridden=over)).select("ord", note().alias("note"), supported())
 
@@ -197,15 +213,20 @@ def striped_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
     flag = lambda n: k % n == 0
     columns = {
-        "key": tagged("a", k), "name": tagged("a", k), "type": F.lit(""), "file": F.lit("s.cpp"), "line": k.cast("int"), "elem_size": (4 * (1 + F.col("p_size") % 17)).cast("bigint"), "elem_count": (2 + k % 200).cast("bigint"), "decl_align": F.lit(8).cast("bigint"),
-        "atomic": flag(5), "volatile": F.lit(False), "static": F.lit(True), "tls": flag(3), "head_pad": flag(7), "writer_tier": (k % 4).cast("int"), "writers": F.array(tagged("w", k % 13)), "aggregators": F.array(F.lit("sweep")),
+        "key": tagged("a", k), "name": tagged("a", k), "type": F.lit(""), "file": F.lit("s.cpp"), "line": k.cast("int"),
+            "elem_size": (4 * (1 + F.col("p_size") % 17)).cast("bigint"), "elem_count": (2 + k % 200).cast("bigint"),
+            "decl_align": F.lit(8).cast("bigint"),
+        "atomic": flag(5), "volatile": F.lit(False), "static": F.lit(True), "tls": flag(3), "head_pad": flag(7),
+            "writer_tier": (k % 4).cast("int"), "writers": F.array(tagged("w", k % 13)), "aggregators": F.array(F.lit("sweep")),
     }
-    more = columns | {"tls": F.lit(False), "writer_tier": F.lit(0), "writers": F.array(tagged("w", (k * 3) % 11)), "aggregators": F.array().cast("array<string>")}
+    more = columns | {"tls": F.lit(False), "writer_tier": F.lit(0), "writers": F.array(tagged("w", (k * 3) % 11)),
+        "aggregators": F.array().cast("array<string>")}
     one, two = p.select(*(v.alias(n) for n, v in columns.items())), p.where(k % 2 == 0).select(*(v.alias(n) for n, v in more.items()))
     roles = p.where("p_partkey < 9").select(tagged("w", "p_partkey").alias("fn"), (k % 3 + 1).cast("int").alias("mask"))
     f = reduce.Facts(striped=one.unionByName(two), signals=signals(spark, sf_dir))
     out = reduce.stripe_findings(f, roles)
-    return out.select(reduce.ev("symbol").alias("symbol"), reduce.ev("fix_shape").alias("fix"), "severity", "confidence", "tier", supported(), reduce.ev("contended_lines").alias("lines"), F.size("escalations").alias("notes"))
+    return out.select(reduce.ev("symbol").alias("symbol"), reduce.ev("fix_shape").alias("fix"), "severity", "confidence", "tier",
+        supported(), reduce.ev("contended_lines").alias("lines"), F.size("escalations").alias("notes"))
 
 
 @query("""SELECT o_orderkey AS ord, CAST(CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey % 4 WHEN o_orderkey % 3 = 0 THEN greatest(o_orderkey % 4 - 1, 0) WHEN o_orderkey % 3 = 1 THEN 0 ELSE o_orderkey % 4 END AS INTEGER) AS severity,
@@ -214,7 +235,8 @@ def policy_respect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R11."""
     k = F.col("o_orderkey")
     n = F.col("n_nationkey")
-    edges = table(spark, sf_dir, "nation").select(F.lit("main").alias("src"), F.when(n == 3, "mbind").when(n == 5, "madvise").otherwise(F.col("n_name")).alias("dst"), F.lit(0).alias("loop_depth"))
+    edges = table(spark, sf_dir, "nation").select(F.lit("main").alias("src"),
+        F.when(n == 3, "mbind").when(n == 5, "madvise").otherwise(F.col("n_name")).alias("dst"), F.lit(0).alias("loop_depth"))
     rows = finding_rows(orders(spark, sf_dir), k, rule=pick(("FL060", "FL070", "FL001"), k), severity=grade(), suppressed=k % 7 == 0)
     return reduce.policy_respect(rows, reduce.Facts(edges=edges)).select("ord", "severity", confidence(), note().alias("note"))
 
@@ -229,10 +251,13 @@ def deduplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R12, with evidence and notes alike within what ties on all before."""
     e, k = table(spark, sf_dir, "events"), F.col("event_id")
     kind, u = k % 4, F.col("user_id") % 20
-    ev = evidence(type_name=F.when(kind == 0, tagged("T", u)), var=F.when(kind == 1, tagged("g", u)), type=F.when(kind == 1, tagged("T", u)))
+    ev = evidence(type_name=F.when(kind == 0, tagged("T", u)), var=F.when(kind == 1, tagged("g", u)),
+        type=F.when(kind == 1, tagged("T", u)))
     rows = finding_rows(
-        e, k, rule=pick(("FL001", "FL040", "FL012", "FL020"), k), file=F.concat(tagged("p", F.floor(k / 4) % 40), F.lit(".h")), line=k % 3, col=k % 5, fn=F.when(kind == 2, tagged("f", F.col("user_id") % 30)).otherwise(""),
-        confidence=F.round("value", 0) / 1000, tier=k % 3, severity=k % 4, evidence=ev, title=F.lpad(text_of(k), 12, "0"), escalations=F.array(F.col("event_type")),
+        e, k, rule=pick(("FL001", "FL040", "FL012", "FL020"), k), file=F.concat(tagged("p", F.floor(k / 4) % 40), F.lit(".h")), line=k % 3,
+            col=k % 5, fn=F.when(kind == 2, tagged("f", F.col("user_id") % 30)).otherwise(""),
+        confidence=F.round("value", 0) / 1000, tier=k % 3, severity=k % 4, evidence=ev, title=F.lpad(text_of(k), 12, "0"),
+            escalations=F.array(F.col("event_type")),
     )
     return reduce.deduplicate(rows).select("ord", "confidence", "tier", "severity", "file", F.array_join("escalations", "|").alias("notes"))
 
@@ -248,10 +273,12 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R13."""
     e, k = table(spark, sf_dir, "events"), F.col("event_id")
     rows = finding_rows(
-        e, k, rule=pick(("FL001", "FL011", "FL002", "FL010", "FL060", "FL012", "FL020"), k), file=tagged("p", F.col("user_id") % 150), line=1 + F.floor(k / 7) % 3, confidence=F.round("value", 0) / 1000, severity=k % 4, tier=k % 3, suppressed=k % 11 == 0,
+        e, k, rule=pick(("FL001", "FL011", "FL002", "FL010", "FL060", "FL012", "FL020"), k), file=tagged("p", F.col("user_id") % 150),
+            line=1 + F.floor(k / 7) % 3, confidence=F.round("value", 0) / 1000, severity=k % 4, tier=k % 3, suppressed=k % 11 == 0,
     )
     out = reduce.interactions(rows)
-    return out.select(reduce.ev("interaction").alias("template"), reduce.ev("components").alias("components"), reduce.ev("site").alias("site"), "severity", confidence(), "tier")
+    return out.select(reduce.ev("interaction").alias("template"), reduce.ev("components").alias("components"),
+        reduce.ev("site").alias("site"), "severity", confidence(), "tier")
 
 
 @query("""WITH l AS (SELECT 'C' || c_custkey AS type FROM customer WHERE c_custkey % 11 = 0),
@@ -261,10 +288,13 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def precedent_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R14."""
     k = F.col("o_orderkey")
-    told = F.when(k % 5 == 0, F.array(F.lit("other"), F.lit(f"{reduce.ROLES_NOTE}: a by main, b by worker"))).otherwise(F.array(F.lit("other")))
-    rows = finding_rows(orders(spark, sf_dir), k, rule=pick(("FL001", "FL002", "FL090"), k), severity=grade(), suppressed=k % 7 == 0, evidence=evidence(type_name=tagged("C", "o_custkey")), escalations=told)
+    told = F.when(k % 5 == 0, F.array(F.lit("other"), F.lit(f"{reduce.ROLES_NOTE}: a by main, b by worker"))).otherwise(F
+        .array(F.lit("other")))
+    rows = finding_rows(orders(spark, sf_dir), k, rule=pick(("FL001", "FL002", "FL090"), k), severity=grade(), suppressed=k % 7 == 0,
+        evidence=evidence(type_name=tagged("C", "o_custkey")), escalations=told)
     out = reduce.precedents(rows, reduce.Facts(signals=signals(spark, sf_dir)))
-    return out.select(reduce.ev("type_name").alias("type"), "severity", reduce.ev("mitigated_exemplar").alias("exemplar"), reduce.ev("mitigated_type_count").alias("n"))
+    return out.select(reduce.ev("type_name").alias("type"), "severity", reduce.ev("mitigated_exemplar").alias("exemplar"),
+        reduce.ev("mitigated_type_count").alias("n"))
 
 
 @query("""WITH p(rule, most, lo, cap) AS (VALUES ('FL001', 0, 0.40, 3), ('FL002', 0, 0.50, 3), ('FL011', 50, 0.45, 3), ('FL020', 100, 0.40, 3), ('FL021', 30, 0.35, 2), ('FL050', 20, 0.30, 2), ('FL061', 20, 0.40, 2)),
@@ -276,7 +306,8 @@ def precedent_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def precision_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R15."""
     e, k = table(spark, sf_dir, "events"), F.col("event_id")
-    rows = finding_rows(e, k, rule=pick(("FL001", "FL002", "FL011", "FL020", "FL021", "FL050", "FL061", "FL999"), k), confidence=F.round("value", 0) / 100, severity=F.floor(k / 8) % 4, suppressed=k % 13 == 0)
+    rows = finding_rows(e, k, rule=pick(("FL001", "FL002", "FL011", "FL020", "FL021", "FL050", "FL061", "FL999"), k),
+        confidence=F.round("value", 0) / 100, severity=F.floor(k / 8) % 4, suppressed=k % 13 == 0)
     return reduce.precision_budget(rows).select("ord", "severity", "suppressed", F.size("escalations").alias("notes"))
 
 
@@ -286,9 +317,12 @@ def precision_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 def calibration_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R16."""
     k, p = F.col("o_orderkey"), F.col("p_partkey")
-    rows = finding_rows(orders(spark, sf_dir), k, rule=pick(("FL001", "FL002", "FL012"), k), severity=grade(), tier=F.when(k % 5 == 0, S.PROVEN).otherwise(S.LIKELY), confidence=k % 10 / 10.0, evidence=evidence(sizeof=F.concat(text_of("o_custkey"), F.lit("B"))))
+    rows = finding_rows(orders(spark, sf_dir), k, rule=pick(("FL001", "FL002", "FL012"), k), severity=grade(),
+        tier=F.when(k % 5 == 0, S.PROVEN).otherwise(S.LIKELY), confidence=k % 10 / 10.0,
+        evidence=evidence(sizeof=F.concat(text_of("o_custkey"), F.lit("B"))))
     zero = [F.lit(0.0)] * 6
-    registry = table(spark, sf_dir, "part").select(F.when(p % 2 == 0, "CacheGeometry").otherwise("FalseSharing").alias("cls"), F.array((p % 4).cast("double"), p % 7 / 10.0, F.lit(0.0), p.cast("double"), *zero).alias("features"), (p % 6).alias("refutations"))
+    registry = table(spark, sf_dir, "part").select(F.when(p % 2 == 0, "CacheGeometry").otherwise("FalseSharing").alias("cls"),
+        F.array((p % 4).cast("double"), p % 7 / 10.0, F.lit(0.0), p.cast("double"), *zero).alias("features"), (p % 6).alias("refutations"))
     return reduce.calibration_suppression(rows, registry).select("ord")
 
 
@@ -298,7 +332,8 @@ def calibration_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blended_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R17."""
     k = F.col("o_orderkey")
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3 AND l_orderkey % 997 = 0").withColumn("cls", F.when(F.col("l_linenumber") == 1, "CacheGeometry").when(F.col("l_linenumber") == 2, "FalseSharing").otherwise("LockContention"))
+    li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3 AND l_orderkey % 997 = 0").withColumn("cls",
+        F.when(F.col("l_linenumber") == 1, "CacheGeometry").when(F.col("l_linenumber") == 2, "FalseSharing").otherwise("LockContention"))
     priors = feedback.updated_priors(li.select("cls", F.when(F.col("l_quantity") > 20, "Positive").otherwise("Negative").alias("verdict")))
     rows = finding_rows(orders(spark, sf_dir), k, rule=pick(("FL001", "FL002", "FL012", "FL020"), k), confidence=k % 10 / 10.0)
     return reduce.blended_confidence(rows, priors).select("ord", confidence())
@@ -311,8 +346,10 @@ def blended_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of traces to the classes of findings."""
     k, e = F.col("o_orderkey"), F.col("event_id")
-    rows = finding_rows(orders(spark, sf_dir), k, rule=pick(("FL001", "FL002", "FL012"), k), fn=F.when(k % 4 == 0, tagged("f", "o_custkey")).otherwise(""), file=F.concat(tagged("p", "o_custkey"), F.lit(".c")), line=k % 3)
-    traces = table(spark, sf_dir, "events").select(e.alias("id"), tagged("f", "user_id").alias("fn"), F.when(e % 2 == 0, F.concat(tagged("p", e % 900), F.lit(".c"))).otherwise("").alias("file"), (e % 3).cast("int").alias("line"))
+    rows = finding_rows(orders(spark, sf_dir), k, rule=pick(("FL001", "FL002", "FL012"), k),
+        fn=F.when(k % 4 == 0, tagged("f", "o_custkey")).otherwise(""), file=F.concat(tagged("p", "o_custkey"), F.lit(".c")), line=k % 3)
+    traces = table(spark, sf_dir, "events").select(e.alias("id"), tagged("f", "user_id").alias("fn"),
+        F.when(e % 2 == 0, F.concat(tagged("p", e % 900), F.lit(".c"))).otherwise("").alias("file"), (e % 3).cast("int").alias("line"))
     return reduce.match_traces(rows, traces).select("id", "cls")
 
 
@@ -323,9 +360,12 @@ def match_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trace_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of trace records vote, verdicts move priors."""
     e = F.col("event_id")
-    rules, counters = ("FL001", "FL010", "FL012"), ("MEM_LOAD_RETIRED.L3_MISS", "MEM_INST_RETIRED.LOCK_LOADS", "MEM_INST_RETIRED.LOCK_LOADS")
+    rules, counters = ("FL001", "FL010", "FL012"), ("MEM_LOAD_RETIRED.L3_MISS", "MEM_INST_RETIRED.LOCK_LOADS",
+        "MEM_INST_RETIRED.LOCK_LOADS")
     rows = finding_rows(spark.range(3), F.col("id"), rule=pick(rules, F.col("id")), fn=pick(("f0", "f1", "f2"), F.col("id")))
-    trace = table(spark, sf_dir, "events").select(text_of(e).alias("record"), tagged("f", e % 3).alias("fn"), F.lit("").alias("file"), F.lit(0).alias("line"), pick(counters, e).alias("counter"), (F.col("value") * 400).alias("value"), F.lit(2_000_000_000).alias("duration_ns"))
+    trace = table(spark, sf_dir, "events").select(text_of(e).alias("record"), tagged("f", e % 3).alias("fn"), F.lit("").alias("file"),
+        F.lit(0).alias("line"), pick(counters, e).alias("counter"), (F.col("value") * 400).alias("value"),
+        F.lit(2_000_000_000).alias("duration_ns"))
     out = feedback.updated_priors(feedback.trace_verdicts(rows, trace))
     return out.select("cls", "n", "confirmed", "refuted", *(F.round(c, 6).alias(c) for c in ("prior", "tpr", "fpr")))
 
@@ -335,7 +375,8 @@ def trace_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT l_orderkey, CAST(CASE WHEN n = 0 THEN cap ELSE least(coalesce(own, 0), coalesce(cap, 3)) END AS INTEGER) AS ceiling FROM g""")
 def claim_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an order's claims, one a line, justify."""
-    claim = F.struct(F.lit("e").alias("effect"), F.lit("p").alias("precondition"), (F.col("l_discount") > 0.04).alias("established"), (F.col("l_quantity").cast("int") % 4).alias("supports"), (F.col("l_returnflag") == "R").alias("gating"))
+    claim = F.struct(F.lit("e").alias("effect"), F.lit("p").alias("precondition"), (F.col("l_discount") > 0.04).alias("established"),
+        (F.col("l_quantity").cast("int") % 4).alias("supports"), (F.col("l_returnflag") == "R").alias("gating"))
     c = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(claim).alias("claims"))
     return c.select("l_orderkey", S.supported_severity(F.col("claims")).alias("ceiling"))
 
@@ -359,9 +400,11 @@ def output_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT regexp_extract(html, 'lang="([^"]*)"', 1) || '.h' AS fingerprint, CAST(count(*) AS BIGINT) AS n FROM pages WHERE regexp_matches(html, 'lang="([^"]+)"') GROUP BY 1 HAVING count(*) >= 3""")
 def header_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages stand for units that miss a header each."""
-    failures = table(spark, sf_dir, "pages").select(text_of("page_id").alias("file"), F.concat(F.lit("x.c:1: fatal error: '"), F.regexp_extract("html", 'lang="([^"]*)"', 1), F.lit(".h' file not found")).alias("error"))
+    failures = table(spark, sf_dir, "pages").select(text_of("page_id").alias("file"),
+        F.concat(F.lit("x.c:1: fatal error: '"), F.regexp_extract("html", 'lang="([^"]*)"', 1), F.lit(".h' file not found")).alias("error"))
     failures = failures.where("error NOT LIKE '%''.h''%'")
-    return reduce.missing_headers(failures).select(reduce.ev("missing_header").alias("fingerprint"), reduce.ev("tu_count").cast("bigint").alias("n"))
+    return reduce.missing_headers(failures).select(reduce.ev("missing_header").alias("fingerprint"),
+        reduce.ev("tu_count").cast("bigint").alias("n"))
 
 
 @query("""SELECT CAST(CASE WHEN count(*) FILTER (WHERE o_orderkey % 9 > 5) > 0 THEN 1 ELSE 2 END AS INTEGER) AS status, CAST(count(*) FILTER (WHERE o_orderkey % 9 > 5) AS BIGINT) AS findings FROM orders""")
@@ -376,7 +419,8 @@ def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def final_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P4 and P5."""
     k = F.col("o_orderkey")
-    rows = finding_rows(orders(spark, sf_dir), k, rule=pick(("FL001", "FL002", "FL050", "FL010", "FL011", "FL012"), k), severity=grade(), tier=k % 3, suppressed=k % 5 == 0)
+    rows = finding_rows(orders(spark, sf_dir), k, rule=pick(("FL001", "FL002", "FL050", "FL010", "FL011", "FL012"), k), severity=grade(),
+        tier=k % 3, suppressed=k % 5 == 0)
     return reduce.final_filter(rows, S.HIGH, S.LIKELY, ["FL050"]).select("ord")
 
 
@@ -387,9 +431,12 @@ def final_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inline_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P6."""
     k, li = F.col("o_orderkey"), table(spark, sf_dir, "lineitem")
-    mark = F.when(F.col("l_orderkey") % 3 == 0, "x; // hazard-suppress").when(F.col("l_orderkey") % 3 == 1, "/* hazard-suppress FL001 */").otherwise("// hazard-suppress FL002, FL012")
-    lines = li.select(tagged("s", "l_suppkey").alias("file"), F.col("l_linenumber").alias("line"), F.when(F.col("l_partkey") % 50 == 0, mark).otherwise("code();").alias("text"))
-    rows = finding_rows(orders(spark, sf_dir), k, rule=pick(("FL001", "FL002", "FL012", "FL020"), k), file=tagged("s", F.col("o_custkey") % 100), line=1 + k % 8)
+    mark = F.when(F.col("l_orderkey") % 3 == 0, "x; // hazard-suppress").when(F.col("l_orderkey") % 3 == 1,
+        "/* hazard-suppress FL001 */").otherwise("// hazard-suppress FL002, FL012")
+    lines = li.select(tagged("s", "l_suppkey").alias("file"), F.col("l_linenumber").alias("line"),
+        F.when(F.col("l_partkey") % 50 == 0, mark).otherwise("code();").alias("text"))
+    rows = finding_rows(orders(spark, sf_dir), k, rule=pick(("FL001", "FL002", "FL012", "FL020"), k),
+        file=tagged("s", F.col("o_custkey") % 100), line=1 + k % 8)
     return reduce.inline_suppression(rows, lines).select("ord", "suppressed")
 
 
@@ -397,7 +444,8 @@ def inline_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def out_of_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files inside, outside, and beside the root."""
     k = F.col("o_orderkey")
-    rows = finding_rows(orders(spark, sf_dir), k, file=F.concat(pick(("/src/app/", "/usr/include/", "/src/apple/"), k), text_of(k)), suppressed=k % 7 == 0)
+    rows = finding_rows(orders(spark, sf_dir), k, file=F.concat(pick(("/src/app/", "/usr/include/", "/src/apple/"), k), text_of(k)),
+        suppressed=k % 7 == 0)
     return reduce.out_of_tree(rows, "/src/app/").select("ord", "suppressed")
 
 
@@ -405,7 +453,8 @@ def out_of_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incremental_restriction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units whose path ends with a changed one."""
     changed = spark.createDataFrame([("5?page=2&ref=x",), ("en/25#top",), ("/en/685",), ("",)], "changed string")
-    return joins.source_filter(table(spark, sf_dir, "pages").where("url IS NOT NULL").select("page_id", "url"), "url", "page_id", changed=changed)
+    return joins.source_filter(table(spark, sf_dir, "pages").where("url IS NOT NULL").select("page_id", "url"), "url", "page_id",
+        changed=changed)
 
 
 @query("""SELECT event_id, CAST(event_id % 4 AS DOUBLE) AS severity, round(value / 1000, 6) AS confidence, CAST(event_id % 3 AS DOUBLE) AS notes, round(value, 2) AS size, CAST(user_id AS DOUBLE) AS depth, CAST(0 AS DOUBLE) AS callees,
@@ -413,14 +462,18 @@ def incremental_restriction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def finding_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P9, P10 and P11."""
     e, k = table(spark, sf_dir, "events"), F.col("event_id")
-    ev = evidence(sizeof=F.when(k % 5 < 3, F.concat(text_of(F.round("value", 2)), F.lit("B"))), ordering=F.when(k % 5 == 3, "seq_cst"), thread_escape=F.when(k % 2 == 0, "true"), depth=F.col("user_id"), callees=F.lit("n/a"))
+    ev = evidence(sizeof=F.when(k % 5 < 3, F.concat(text_of(F.round("value", 2)), F.lit("B"))), ordering=F.when(k % 5 == 3, "seq_cst"),
+        thread_escape=F.when(k % 2 == 0, "true"), depth=F.col("user_id"), callees=F.lit("n/a"))
     notes = F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), (k % 3).cast("int"))
-    rows = finding_rows(e, k, rule=pick(("FL001", "FL012", "FL070", "FL091"), k), severity=k % 4, confidence=F.col("value") / 1000, escalations=notes, evidence=ev)
+    rows = finding_rows(e, k, rule=pick(("FL001", "FL012", "FL070", "FL091"), k), severity=k % 4, confidence=F.col("value") / 1000,
+        escalations=notes, evidence=ev)
     f = rows.withColumn("f", reduce.features())
     x = lambda i: F.get("f", F.lit(i))
     size = F.when(k % 5 < 3, x(3)).otherwise(F.round("value", 2))  # no size: as in the table
     out = f.withColumnRenamed("ord", "event_id").join(e.select("event_id", "value"), "event_id")
-    return out.select("event_id", x(0).alias("severity"), F.round(x(1), 6).alias("confidence"), x(2).alias("notes"), F.round(size, 2).alias("size"), x(8).alias("depth"), x(9).alias("callees"), reduce.hazard_class().alias("cls"), reduce.inferred_tier().alias("tier"))
+    return out.select("event_id", x(0).alias("severity"), F.round(x(1), 6).alias("confidence"), x(2).alias("notes"),
+        F.round(size, 2).alias("size"), x(8).alias("depth"), x(9).alias("callees"), reduce.hazard_class().alias("cls"),
+        reduce.inferred_tier().alias("tier"))
 
 
 _KEYED = """SELECT 'FL001' AS rule, p, e, CASE WHEN e = '' THEN line END AS line FROM (SELECT url AS p, CASE page_id % 3 WHEN 0 THEN 'T' || page_id % 10 WHEN 1 THEN 'fn' ELSE '' END AS e, CAST(page_id % 7 AS INTEGER) AS line FROM pages WHERE url IS NOT NULL AND {keep})"""
@@ -432,7 +485,8 @@ def finding_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The diff of two results; paths would lose the folders that all share, here none."""
     k = F.col("page_id")
     p = table(spark, sf_dir, "pages").where("url IS NOT NULL")
-    rows = lambda d: finding_rows(d, k, file=F.col("url"), line=k % 7, fn=F.when(k % 3 == 1, "fn").otherwise(""), evidence=evidence(type_name=F.when(k % 3 == 0, tagged("T", k % 10))))
+    rows = lambda d: finding_rows(d, k, file=F.col("url"), line=k % 7, fn=F.when(k % 3 == 1, "fn").otherwise(""),
+        evidence=evidence(type_name=F.when(k % 3 == 0, tagged("T", k % 10))))
     return feedback.diff(rows(p.where("page_id % 5 <> 0")), rows(p.where("page_id % 7 <> 0"))).select("path", "entity", "at", "change")
 
 
@@ -441,7 +495,8 @@ def finding_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT page_id, substr(path, CAST((SELECT k FROM n) + 1 AS INTEGER)) AS rest FROM u""")
 def path_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of all pages without the folders that all share."""
-    p = table(spark, sf_dir, "pages").where("url IS NOT NULL").select("page_id", F.concat(F.lit("lib/"), F.get(F.split("url", "://"), F.lit(1))).alias("path"))
+    p = table(spark, sf_dir, "pages").where("url IS NOT NULL").select("page_id",
+        F.concat(F.lit("lib/"), F.get(F.split("url", "://"), F.lit(1))).alias("path"))
     return setdiff.without_common_prefix(p, "path", "rest").select("page_id", "rest")
 
 
@@ -451,11 +506,13 @@ def json_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strideway import storage
 
     e, k = table(spark, sf_dir, "events"), F.col("event_id")
-    rows = finding_rows(e, k, severity=k % 4, title=text_of(k), line=F.get_json_object("props", "$.k").cast("int"), evidence=evidence(type_name=F.col("event_type"))).withColumn("src", tagged("u", F.col("ord") % 50))
+    rows = finding_rows(e, k, severity=k % 4, title=text_of(k), line=F.get_json_object("props", "$.k").cast("int"),
+        evidence=evidence(type_name=F.col("event_type"))).withColumn("src", tagged("u", F.col("ord") % 50))
     path = f"{storage.shared_dir(spark)}/records-{spark.sparkContext.applicationId}"
     readers.write_shards(readers.records_of(rows, {}), path)
     records, _ = readers.shards(spark, path)
-    return readers.findings_of(records).select(F.col("title").cast("bigint").alias("event_id"), F.col("line").alias("k"), "rule", "severity", reduce.ev("type_name").alias("type_name"))
+    return readers.findings_of(records).select(F.col("title").cast("bigint").alias("event_id"), F.col("line").alias("k"), "rule",
+        "severity", reduce.ev("type_name").alias("type_name"))
 
 
 @query("""WITH s AS (SELECT 's' || user_id AS symbol, sum(CAST(round(value * 100) AS BIGINT)) AS w FROM events GROUP BY 1), top AS (SELECT symbol, w, row_number() OVER (ORDER BY w DESC, symbol || '+0x1@x') AS rn FROM s), f AS (SELECT DISTINCT 's' || o_custkey AS symbol FROM orders WHERE o_orderkey % 40 = 0 UNION SELECT 's' || (o_custkey + 3) FROM orders WHERE o_orderkey % 60 = 0)
@@ -463,8 +520,10 @@ def json_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def symbol_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measured symbols that findings name, the 40 heaviest."""
     k = F.col("o_orderkey")
-    hot = table(spark, sf_dir, "events").select(F.concat(tagged("s", "user_id"), F.lit("+0x1@x")).alias("symbol"), F.round(F.col("value") * 100).cast("bigint").alias("weight"))
-    rows = finding_rows(orders(spark, sf_dir), k, fn=F.when(k % 40 == 0, F.concat(F.lit("ns::"), tagged("s", "o_custkey"))).otherwise(""), evidence=evidence(var=F.when(k % 60 == 0, tagged("a::s", F.col("o_custkey") + 3))))
+    hot = table(spark, sf_dir, "events").select(F.concat(tagged("s", "user_id"), F.lit("+0x1@x")).alias("symbol"),
+        F.round(F.col("value") * 100).cast("bigint").alias("weight"))
+    rows = finding_rows(orders(spark, sf_dir), k, fn=F.when(k % 40 == 0, F.concat(F.lit("ns::"), tagged("s", "o_custkey"))).otherwise(""),
+        evidence=evidence(var=F.when(k % 60 == 0, tagged("a::s", F.col("o_custkey") + 3))))
     return joins.symbol_recall(hot, rows)
 
 
@@ -476,13 +535,15 @@ def instance_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions against observations, some of them without an instance that could be seen."""
     k = F.col("o_orderkey")
     p = orders(spark, sf_dir).where("o_orderpriority = '1-URGENT'").select(F.when(k % 9 != 0, F.col("o_custkey")).alias("key"))
-    return joins.verdicts(p, table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), (F.col("l_quantity") >= 49).alias("hit")), ["key"])
+    return joins.verdicts(p, table(spark, sf_dir, "lineitem")
+        .select(F.col("l_partkey").alias("key"), (F.col("l_quantity") >= 49).alias("hit")), ["key"])
 
 
 @query("""SELECT p_partkey, CAST(k AS INTEGER) AS line_index FROM (SELECT p_partkey, o // 64 AS first, (o + CASE WHEN al >= 64 THEN 0 ELSE 64 - al END + p_size * 8 - 1) // 64 AS last FROM (SELECT p_partkey, p_size, p_partkey * p_size % 512 AS o, 1 << CAST(p_partkey % 8 AS INTEGER) AS al FROM part)), range(0, 60) t(k) WHERE k BETWEEN first AND last AND k < 9""")
 def line_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G6."""
-    f = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * F.col("p_size") % 512).alias("offset"), (F.col("p_size") * 8).alias("size"), F.expr("shiftleft(1, cast(p_partkey % 8 as int))").alias("align"), F.lit(9).alias("most"))
+    f = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * F.col("p_size") % 512).alias("offset"),
+        (F.col("p_size") * 8).alias("size"), F.expr("shiftleft(1, cast(p_partkey % 8 as int))").alias("align"), F.lit(9).alias("most"))
     return layout.buckets(f, ["p_partkey"], 64, "most").select("p_partkey", "line_index")
 
 
@@ -491,5 +552,33 @@ def line_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT p_partkey, g > 1 AND g <= 64 AND list_bool_or(list_transform(shifts, lambda s: list_bool_or(list_transform(es, lambda e: (o + s + e * g) % 64 + g > 64)))) AS split FROM s""")
 def split_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G5."""
-    f = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * F.col("p_size") % 512).alias("o"), F.expr("shiftleft(1, p_size % 8)").alias("g"), F.expr("shiftleft(1, cast(p_partkey % 8 as int))").alias("al"), (F.col("p_size") * 4).alias("n"))
+    f = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * F.col("p_size") % 512).alias("o"),
+        F.expr("shiftleft(1, p_size % 8)").alias("g"), F.expr("shiftleft(1, cast(p_partkey % 8 as int))").alias("al"),
+        (F.col("p_size") * 4).alias("n"))
     return f.select("p_partkey", layout.splits(F.col("o"), F.col("n"), F.col("g"), F.col("al"), 64).alias("split"))
+
+
+@query("""SELECT page_id, url FROM (SELECT *, row_number() OVER (ORDER BY page_id) AS rn FROM pages WHERE url IS NOT NULL AND (regexp_matches(url, '/en/') OR regexp_matches(url, '/de/')) AND NOT regexp_matches(url, '[?]page=2')) WHERE rn <= 20""")
+def source_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Include and exclude globs, vendored folders left alone as something is included, and the first N."""
+    p = table(spark, sf_dir, "pages").where("url IS NOT NULL").select("page_id", "url")
+    return joins.source_filter(p, "url", "page_id", include=["*/en/*", "*/de/*"], exclude=["*[?]page=2*"], vendored=["*/en/*"], most=20)
+
+
+@query("""SELECT page_id, url FROM pages WHERE url IS NOT NULL AND NOT regexp_matches(url, '/en/') AND NOT regexp_matches(url, '^https://')""")
+def vendored_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vendored folders are left out where nothing is included by name."""
+    p = table(spark, sf_dir, "pages").where("url IS NOT NULL").select("page_id", "url")
+    return joins.source_filter(p, "url", "page_id", vendored=["*/en/*", "https://*"])
+
+
+@query("""WITH s AS (SELECT l_orderkey, list({'i': l_linenumber, 'x': l_quantity} ORDER BY l_linenumber, l_quantity, l_partkey) AS v FROM lineitem GROUP BY 1),
+  e AS (SELECT l_orderkey, list_transform(range(1, len(v) + 1), lambda k: {'at': k - 1, 'x': v[k].x}) AS v FROM s)
+  SELECT l_orderkey, CAST(list_reduce(v, lambda a, b: CASE WHEN b.x > a.x * 1.1 THEN b ELSE a END).at AS INTEGER) AS elected FROM e""")
+def election(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of an order's lines the one that is elected by quantity."""
+    from strideway.operators import stats
+
+    line = F.struct("l_linenumber", "l_quantity", "l_partkey")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("v"))
+    return lines.select("l_orderkey", stats.elected(F.transform("v", lambda x: x["l_quantity"])).alias("elected"))

@@ -33,24 +33,32 @@ PROFILE = (
 
 #: Hazard class by rule; rules without one take no part in interactions.
 CLASSES = {
-    "FL001": "CacheGeometry", "FL002": "FalseSharing", "FL003": "StripedArray", "FL010": "AtomicOrdering", "FL011": "AtomicContention", "FL012": "LockContention",
-    "FL020": "HeapAllocation", "FL021": "StackPressure", "FL030": "VirtualDispatch", "FL031": "StdFunction", "FL040": "GlobalState", "FL041": "ContendedQueue",
-    "FL050": "DeepConditional", "FL060": "NUMALocality", "FL061": "CentralizedDispatch", "FL090": "HazardAmplification", "FL091": "SynthesizedInteraction",
+    "FL001": "CacheGeometry", "FL002": "FalseSharing", "FL003": "StripedArray", "FL010": "AtomicOrdering", "FL011": "AtomicContention",
+        "FL012": "LockContention",
+    "FL020": "HeapAllocation", "FL021": "StackPressure", "FL030": "VirtualDispatch", "FL031": "StdFunction", "FL040": "GlobalState",
+        "FL041": "ContendedQueue",
+    "FL050": "DeepConditional", "FL060": "NUMALocality", "FL061": "CentralizedDispatch", "FL090": "HazardAmplification",
+        "FL091": "SynthesizedInteraction",
 }
 #: Rules whose findings identify a record or a variable, by place and type.
 STRUCT_RULES = ("FL001", "FL002", "FL040", "FL041", "FL060", "FL061", "FL070", "FL090", "FL091")
 WITHDRAWN_WHEN_COLD = ("FL010", "FL011", "FL012", "FL013", "FL020", "FL030", "FL031", "FL050", "FL061")
 #: rule: (emissions, 0 for any number; least confidence; highest severity)
 POLICIES = {
-    "FL001": (0, 0.40, CRITICAL), "FL002": (0, 0.50, CRITICAL), "FL010": (50, 0.45, CRITICAL), "FL011": (50, 0.45, CRITICAL), "FL012": (50, 0.45, CRITICAL),
-    "FL020": (100, 0.40, CRITICAL), "FL021": (30, 0.35, HIGH), "FL030": (30, 0.45, CRITICAL), "FL031": (30, 0.45, HIGH), "FL040": (0, 0.50, CRITICAL),
-    "FL041": (0, 0.50, CRITICAL), "FL050": (20, 0.30, HIGH), "FL060": (20, 0.35, HIGH), "FL061": (20, 0.40, HIGH), "FL090": (0, 0.55, CRITICAL),
+    "FL001": (0, 0.40, CRITICAL), "FL002": (0, 0.50, CRITICAL), "FL010": (50, 0.45, CRITICAL), "FL011": (50, 0.45, CRITICAL),
+        "FL012": (50, 0.45, CRITICAL),
+    "FL020": (100, 0.40, CRITICAL), "FL021": (30, 0.35, HIGH), "FL030": (30, 0.45, CRITICAL), "FL031": (30, 0.45, HIGH),
+        "FL040": (0, 0.50, CRITICAL),
+    "FL041": (0, 0.50, CRITICAL), "FL050": (20, 0.30, HIGH), "FL060": (20, 0.35, HIGH), "FL061": (20, 0.40, HIGH),
+        "FL090": (0, 0.55, CRITICAL),
     "FL091": (0, 0.60, CRITICAL), "FL092": (0, 0.60, CRITICAL),
 }
 #: (id, classes) of hazards that amplify each other, by a fifth each.
 INTERACTIONS = [
-    ("IX-001", ("CacheGeometry", "AtomicContention")), ("IX-002", ("FalseSharing", "AtomicContention")), ("IX-003", ("AtomicOrdering", "AtomicContention")),
-    ("IX-004", ("AtomicContention", "NUMALocality")), ("IX-005", ("LockContention", "HeapAllocation")), ("IX-006", ("VirtualDispatch", "DeepConditional")),
+    ("IX-001", ("CacheGeometry", "AtomicContention")), ("IX-002", ("FalseSharing", "AtomicContention")),
+        ("IX-003", ("AtomicOrdering", "AtomicContention")),
+    ("IX-004", ("AtomicContention", "NUMALocality")), ("IX-005", ("LockContention", "HeapAllocation")),
+        ("IX-006", ("VirtualDispatch", "DeepConditional")),
     ("IX-007", ("CacheGeometry", "AtomicContention", "NUMALocality")),
 ]
 AMPLIFIED = 1.2
@@ -71,7 +79,8 @@ def ordinal_of(names: list[str], value: Column) -> Column:
 
 def claim(effect: str | Column, precondition: str, established: bool | Column, supports: int | Column, gating: bool = False) -> Column:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.struct(lit(effect).alias("effect"), F.lit(precondition).alias("precondition"), lit(established).alias("established"), lit(supports).cast("int").alias("supports"), F.lit(gating).alias("gating"))
+    return F.struct(lit(effect).alias("effect"), F.lit(precondition).alias("precondition"), lit(established).alias("established"),
+        lit(supports).cast("int").alias("supports"), F.lit(gating).alias("gating"))
 
 
 def supported_severity(claims: Column) -> Column:
@@ -83,10 +92,12 @@ def supported_severity(claims: Column) -> Column:
     cap = F.coalesce(F.array_min(gates), F.lit(CRITICAL))
     plain = F.filter(claims, lambda c: ~c["gating"])
     best = F.coalesce(F.array_max(F.transform(F.filter(plain, lambda c: c["established"]), lambda c: c["supports"])), F.lit(INFO))
-    return F.when(F.coalesce(F.size(claims), F.lit(0)) <= 0, CRITICAL).when(F.size(plain) == 0, cap).otherwise(F.least(best, cap)).cast("int")
+    return F.when(F.coalesce(F.size(claims), F.lit(0)) <= 0, CRITICAL).when(F.size(plain) == 0,
+        cap).otherwise(F.least(best, cap)).cast("int")
 
 
 def hot_severity(hotness: Column, base: Column) -> Column:
     """The severity that a grade of hotness supports for a finding of severity ``base``."""
     down = lambda n: F.greatest(base - n, F.lit(INFO))
-    return F.when(hotness >= DECLARED, CRITICAL).when(hotness == DEEP, down(1)).when(hotness.isin(SHALLOW, CANDIDATE), down(2)).otherwise(INFO).cast("int")
+    return F.when(hotness >= DECLARED, CRITICAL).when(hotness == DEEP, down(1)).when(hotness.isin(SHALLOW, CANDIDATE),
+        down(2)).otherwise(INFO).cast("int")

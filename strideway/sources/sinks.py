@@ -22,8 +22,10 @@ def as_diagnostic() -> Column:
     """A finding as the structure that the JSON sink writes."""
     entries = F.map_from_entries(F.array_sort(F.map_entries("evidence")))
     return F.struct(
-        F.col("rule").alias("ruleID"), "title", S.name_of(S.SEVERITIES, F.col("severity")).alias("severity"), finite(F.col("confidence")).alias("confidence"), S.name_of(S.TIERS, F.col("tier")).alias("evidenceTier"),
-        F.struct("file", "line", F.col("col").alias("column")).alias("location"), F.col("fn").alias("functionName"), F.col("reasoning").alias("hardwareReasoning"), entries.alias("structuralEvidence"), "mitigation", "escalations",
+        F.col("rule").alias("ruleID"), "title", S.name_of(S.SEVERITIES, F.col("severity")).alias("severity"),
+            finite(F.col("confidence")).alias("confidence"), S.name_of(S.TIERS, F.col("tier")).alias("evidenceTier"),
+        F.struct("file", "line", F.col("col").alias("column")).alias("location"), F.col("fn").alias("functionName"),
+            F.col("reasoning").alias("hardwareReasoning"), entries.alias("structuralEvidence"), "mitigation", "escalations",
     )
 
 
@@ -43,7 +45,8 @@ def _document(head: str, rows: DataFrame, tail: str) -> DataFrame:
 def json_rows(findings: DataFrame, metadata: dict | None = None) -> DataFrame:
     """K1: (ord, value) the lines of one document of all findings in output order."""
     rows = ranking.ordinal(findings, R.output_order()).select("ord", F.to_json(as_diagnostic()).alias("value"))
-    return _document('{"version": "1.0", "schemaVersion": 1, "metadata": ' + json.dumps(metadata or {}, sort_keys=True) + ', "diagnostics": [', rows, "]}")
+    return _document('{"version": "1.0", "schemaVersion": 1, "metadata": ' + json.dumps(metadata or {}, sort_keys=True)
+        + ', "diagnostics": [', rows, "]}")
 
 
 def sarif_rows(findings: DataFrame, tool: str = "strideway") -> DataFrame:
@@ -53,12 +56,17 @@ def sarif_rows(findings: DataFrame, tool: str = "strideway") -> DataFrame:
     index = first.withColumn("ruleIndex", F.row_number().over(W.orderBy("first")) - 1)  # one row a rule
     level = F.when(F.col("severity") == S.CRITICAL, "error").when(F.col("severity") == S.HIGH, "warning").otherwise("note")
     region = F.struct(F.greatest("line", F.lit(1)).alias("startLine"), F.greatest("col", F.lit(1)).alias("startColumn"))
-    place = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
-    result = F.struct(F.col("rule").alias("ruleId"), "ruleIndex", level.alias("level"), F.struct(F.concat(ordered["title"], F.lit(": "), F.col("reasoning")).alias("text")).alias("message"), F.array(place).alias("locations"), F.struct(finite(F.col("confidence")).alias("confidence"), S.name_of(S.TIERS, F.col("tier")).alias("evidenceTier")).alias("properties"))
+    place = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), region.alias("region"))
+        .alias("physicalLocation"))
+    result = F.struct(F.col("rule").alias("ruleId"), "ruleIndex", level.alias("level"),
+        F.struct(F.concat(ordered["title"], F.lit(": "), F.col("reasoning")).alias("text")).alias("message"),
+        F.array(place).alias("locations"), F.struct(finite(F.col("confidence")).alias("confidence"),
+            S.name_of(S.TIERS, F.col("tier")).alias("evidenceTier")).alias("properties"))
     rows = ordered.join(F.broadcast(index.select("rule", "ruleIndex")), "rule").select("ord", F.to_json(result).alias("value"))
     rules = [{"id": r.rule, "shortDescription": {"text": r.title}} for r in index.orderBy("ruleIndex").collect()]
     head = {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0"}
-    return _document(json.dumps(head)[:-1] + ', "runs": [{"tool": {"driver": ' + json.dumps({"name": tool, "rules": rules}) + '}, "results": [', rows, "]}]}")
+    return _document(json.dumps(head)[:-1] + ', "runs": [{"tool": {"driver": ' + json.dumps({"name": tool, "rules": rules})
+        + '}, "results": [', rows, "]}]}")
 
 
 def write_rows(rows: DataFrame, path: str) -> None:
@@ -85,7 +93,8 @@ def hypothesis_rows(hypotheses: DataFrame, total: int) -> DataFrame:
     known = hypotheses.where("metric IS NOT NULL")
     made = ranking.ordinal(known, [F.col("site"), F.col("id")])
     n = known.count()
-    return _document('{"hypotheses": [', made.select("ord", F.to_json(F.struct(*known.columns)).alias("value")), f'], "totalDiagnostics": {total}, "hypothesesGenerated": {n}}}')
+    return _document('{"hypotheses": [', made.select("ord", F.to_json(F.struct(*known.columns)).alias("value")),
+        f'], "totalDiagnostics": {total}, "hypothesesGenerated": {n}}}')
 
 
 def experiment_rows(hypotheses: DataFrame) -> DataFrame:
@@ -93,15 +102,18 @@ def experiment_rows(hypotheses: DataFrame) -> DataFrame:
     flag = lambda c, t: F.when(F.col(c), t)
     needs = F.array_join(F.array_compact(F.array(flag("needs_c2c", "c2c"), flag("needs_numa", "numa"), flag("needs_lbr", "lbr"))), ", ")
     number = lambda c: F.col(c).cast("string")
-    plan = F.concat(F.lit("site: "), "site", F.lit("\nclass: "), "cls", F.lit("\nmetric: "), "metric", F.lit("\nneeds: "), needs, F.lit("\nalpha: "), number("alpha"), F.lit("\npower: "), number("power"), F.lit("\neffect: "), number("effect"), F.lit("\n"))
+    plan = F.concat(F.lit("site: "), "site", F.lit("\nclass: "), "cls", F.lit("\nmetric: "), "metric", F.lit("\nneeds: "), needs,
+        F.lit("\nalpha: "), number("alpha"), F.lit("\npower: "), number("power"), F.lit("\neffect: "), number("effect"), F.lit("\n"))
     record = F.to_json(F.struct(*hypotheses.columns))
-    files = F.array(F.struct(F.lit("plan.txt").alias("file"), plan.alias("value")), F.struct(F.lit("hypothesis.json").alias("file"), record.alias("value")))
+    files = F.array(F.struct(F.lit("plan.txt").alias("file"), plan.alias("value")),
+        F.struct(F.lit("hypothesis.json").alias("file"), record.alias("value")))
     return hypotheses.where("metric IS NOT NULL").select("id", F.inline(files))
 
 
 def plain(findings: DataFrame) -> DataFrame:
     """K3: (ord, value) a line of text a finding, the confidence in whole percent."""
-    said = F.format_string("[%s] %s %s:%d:%d %s (%d%%, %s)", S.name_of(S.SEVERITIES, F.col("severity")), "rule", "file", "line", "col", "title", F.floor(F.col("confidence") * 100 + 1e-9), S.name_of(S.TIERS, F.col("tier")))
+    said = F.format_string("[%s] %s %s:%d:%d %s (%d%%, %s)", S.name_of(S.SEVERITIES, F.col("severity")), "rule", "file", "line", "col",
+        "title", F.floor(F.col("confidence") * 100 + 1e-9), S.name_of(S.TIERS, F.col("tier")))
     return ranking.ordinal(findings.withColumn("value", said), R.output_order()).select("ord", "value")
 
 
@@ -113,7 +125,8 @@ def compiler_like(findings: DataFrame) -> DataFrame:
     place = F.concat_ws(":", "file", F.greatest("line", F.lit(1)), F.greatest("col", F.lit(1)))
     own = F.array(F.concat(place, F.lit(": "), level, F.lit(": "), first, F.lit(" ["), "rule", F.lit("]")))
     notes = F.transform("escalations", lambda e: F.concat(place, F.lit(": note: "), e))
-    placed = ranking.ordinal(findings, R.output_order()).select(F.col("ord").alias("__o"), F.posexplode(F.concat(own, notes)).alias("k", "value"))
+    placed = ranking.ordinal(findings, R.output_order()).select(F.col("ord").alias("__o"),
+        F.posexplode(F.concat(own, notes)).alias("k", "value"))
     return ranking.ordinal(placed, [F.col("__o"), F.col("k")]).select("ord", "value")
 
 

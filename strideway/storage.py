@@ -10,8 +10,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Tables up to this size on disk are broadcast to a join; larger ones are joined by shuffle.
-BROADCAST_BYTES = 32 << 20
+#: Tables up to this size on disk are broadcast to a join if they are no larger than ``SENT_BYTES`` when read; larger ones are joined by shuffle.
+BROADCAST_BYTES, SENT_BYTES = 32 << 20, 128 << 20
+#: A table of no more than this on disk is not measured before it is sent.
+UNMEASURED_BYTES = 256 << 10
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,17 +32,33 @@ def shared_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table, which cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_clear)
+    _WRITTEN[path] = df.sparkSession
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(table: DataFrame) -> None:
     """Deletes the files of a table that ``saved`` returned, once nothing reads it any more."""
-    jvm = table.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(table._stored_at)
-    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(table.sparkSession, table._stored_at)
+    _WRITTEN.pop(table._stored_at, None)
+
+
+def _clear() -> None:
+    """Deletes what this program wrote and has not discarded, when it ends: results may read it until then."""
+    for path, spark in list(_WRITTEN.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # the session has ended before
+            return
 
 
 def stored_bytes(df: DataFrame) -> int:
@@ -47,6 +66,19 @@ def stored_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def sent_bytes(df: DataFrame) -> int:
+    """About how large a table is in memory: its texts, arrays and the like by their length, 8 bytes for anything else."""
+    plain = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp")
+    size = F.lit(8 * len(df.columns)).cast("bigint")
+    for name, kind in df.dtypes:
+        if kind not in plain:
+            c = F.col(f"`{name}`")
+            size = size + F.coalesce(F.octet_length(c if kind in ("string", "binary") else c.cast("string")), F.lit(0))
+    return df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+
+
 def small(df: DataFrame) -> DataFrame:
-    """A table just read from files, to be broadcast if its size allows."""
-    return F.broadcast(df) if stored_bytes(df) <= BROADCAST_BYTES else df
+    """A table just read from files, to be broadcast if its size on disk and in memory allows."""
+    stored = stored_bytes(df)
+    fits = stored <= UNMEASURED_BYTES or (stored <= BROADCAST_BYTES and sent_bytes(df) <= SENT_BYTES)
+    return F.broadcast(df) if fits else df

@@ -19,7 +19,8 @@ def arrivals(spark: SparkSession, path: str, files_a_batch: int | None = None) -
     return reader.load(path)
 
 
-def watch(spark: SparkSession, path: str, checkpoint: str, rescan: Callable[[DataFrame, int], None], every: str | None = None, files_a_batch: int | None = None) -> StreamingQuery:
+def watch(spark: SparkSession, path: str, checkpoint: str, rescan: Callable[[DataFrame, int], None], every: str | None = None,
+    files_a_batch: int | None = None) -> StreamingQuery:
     """Calls ``rescan(records, batch)`` with all records so far whenever new files have come; without ``every``, for what is there now."""
 
     def on_batch(batch: DataFrame, number: int) -> None:
@@ -33,9 +34,11 @@ def watch(spark: SparkSession, path: str, checkpoint: str, rescan: Callable[[Dat
 def rule_rates(events: DataFrame, key: str, time: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, key, n) by tumbling windows of a stream or table of timed rows; later rows than ``late`` are left out of a stream."""
     timed = events.withColumn("__t", F.col(time).cast("timestamp"))
-    return timed.withWatermark("__t", late).groupBy(F.window("__t", window), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), key, "n")
+    return timed.withWatermark("__t", late).groupBy(F.window("__t", window),
+        key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), key, "n")
 
 
 def merged_signals_stream(signals: DataFrame, flags: list[str]) -> DataFrame:
     """Running merge of type signals in update mode: flags are OR-ed, accessors added."""
-    return signals.groupBy("type").agg(*(F.max(F.col(f).cast("int")).cast("boolean").alias(f) for f in flags), F.sum("accessors").alias("accessors"))
+    return signals.groupBy("type").agg(*(F.max(F.col(f).cast("int")).cast("boolean").alias(f) for f in flags),
+        F.sum("accessors").alias("accessors"))

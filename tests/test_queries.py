@@ -23,7 +23,8 @@ def duck(data):
 
 def canonical(columns, rows):
     order = sorted(range(len(columns)), key=columns.__getitem__)
-    clean = lambda v: None if v is None or (isinstance(v, float) and math.isnan(v)) else round(v, 6) if isinstance(v, float) else v
+    clean = lambda v: None if v is None or (isinstance(v, float) and math.isnan(v)) else round(v, 6) if isinstance(v,
+        float) else v
     return sorted((tuple(clean(r[i]) for i in order) for r in rows), key=str)
 
 
