@@ -132,3 +132,19 @@ def test_wrappers(spark):
     assert got[4].text is None and got[5].text == "" and got[6].text.count("<") == 5000
     assert got[7].text.count("item") == 20_000
     assert wrappers.extract(empty(df)).count() == 0
+
+
+def test_ties(spark):
+    """Rows that tie get results that do not follow their order or partitions."""
+    words = [f"w{i}" for i in range(60)]
+    variants = [" ".join([*words[:k], "x", *words[k + 1 :]]) for k in (10, 30, 50)]
+    rows = [(i, t, "en", "ab"[i % 2]) for i, t in enumerate([*variants, *variants, "a text alone in the whole table"])]
+    pages = [(i, "http://h/", f"<p>{i}</p><b>{'x' * (i % 2)}</b>" if i % 3 else f"<i>{i}</i>") for i in range(6)]
+    seen = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id bigint, text string, lang string, source string").repartition(3 if order is rows else 1)
+        web = spark.createDataFrame(pages if order is rows else pages[::-1], "page_id bigint, url string, html string").repartition(2)
+        rates = [(r.doc_id, round(r.rate, 9), r.copies) for r in entropy_balance.rates(docs).collect()]
+        seen.append((sorted(rates), by_id(minmax_dedup.groups(docs)), by_id(wrappers.extract(web)), by_id(toxicity.scores(docs))))
+    assert seen[0] == seen[1]
+    assert {tuple(r) for r in minmax_dedup.groups(docs).collect()} == {(i, 0) for i in range(6)}

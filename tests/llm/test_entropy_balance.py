@@ -42,6 +42,31 @@ def test_no_rates_are_nearer(rated):
             assert (x > 0).all() and cost(x) >= cost(rate) - 1e-6
 
 
+def test_against_a_second_solver(rated):
+    """Multipliers found one at a time, each by its own constraint, give the same rates."""
+    _, r = rated
+    n = r.tokens.to_numpy(float)
+    there = n > 0
+    r, n = r[there], n[there]
+    z = np.log(n)
+    z = z - (n * z).sum() / n.sum()
+    kinds = [r[k].astype(object).where(r[k].notna(), "none").to_numpy() for k in ("source", "lang")]
+    places = [np.unique(k, return_inverse=True)[1] for k in kinds]
+    goals = [entropy_balance.targets(np.bincount(p, n)) for p in places]
+    theta, c = [np.zeros(len(g)) for g in goals], 0.0
+    for _ in range(400):
+        for k, p in enumerate(places):
+            rate = np.exp(theta[0][places[0]] + theta[1][places[1]] + c * z)
+            theta[k] += np.log(goals[k] / np.bincount(p, n * rate))
+        base = n * np.exp(theta[0][places[0]] + theta[1][places[1]])
+        low, high = c - 2, c + 2
+        for _ in range(60):  # the mean of z rises with c
+            c = (low + high) / 2
+            low, high = (c, high) if (base * np.exp(c * z) * z).sum() < 0 else (low, c)
+    rate = np.exp(theta[0][places[0]] + theta[1][places[1]] + c * z)
+    assert rate == pytest.approx(r.rate.to_numpy(), rel=1e-4)
+
+
 def test_copies(rated):
     docs, r = rated
     assert ((r.copies == np.floor(r.rate)) | (r.copies == np.floor(r.rate) + 1)).all()
