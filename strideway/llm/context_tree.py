@@ -232,27 +232,37 @@ def prices(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return split.mapInArrow(_price(depth, roots), "run bigint, bits0 float, bits1 float")
 
 
+_ODD = _U(0x9E3779B97F4A7C15)
+
+
 class Lookup:
-    """Sorted runs with an index of their highest bits, searched for whole arrays at once: little more than the runs themselves."""
+    """Places in a table of runs sorted by their hashes, an odd multiple, found for whole arrays at once.
+
+    The highest bits of a hash say where to begin; with two such places a run the next one or two are looked at. That takes little more
+    memory than the hashes themselves.
+    """
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = hashes
+        size = max(8, len(hashes).bit_length() + 1)
+        self.shift = _U(64 - size)
+        self.begin = np.zeros(1 << size, np.int32)
+        counts = np.bincount((hashes >> self.shift).astype(np.int64), minlength=1 << size)
+        np.cumsum(counts[:-1], out=self.begin[1:])
 
-    def __init__(self, keys: np.ndarray) -> None:
-        self.keys = keys
-        top = int(keys[-1]).bit_length() if len(keys) else 1
-        self.shift = _U(max(0, top - max(8, len(keys).bit_length() + 1)))
-        self.begin = np.searchsorted(keys >> self.shift, np.arange((1 << max(0, top - int(self.shift))) + 1, dtype=_U)).astype(np.int32)
-        self.rounds = int(np.diff(self.begin).max(initial=0)).bit_length()
+    @staticmethod
+    def hashed(keys: np.ndarray) -> np.ndarray:
+        return keys * _ODD
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """The row of each key; every key is in the table."""
-        at = (keys >> self.shift).astype(np.int64)
-        low, high = self.begin[at], self.begin[at + 1]
-        for _ in range(self.rounds):
-            if (high - low).max(initial=0) <= 1:
-                break
-            middle = (low + high) >> 1
-            right = self.keys[middle] <= keys
-            low, high = np.where(right, middle, low), np.where(right, high, middle)
-        return low
+        """The place of each run; every one is in the table."""
+        h = self.hashed(keys)
+        at = self.begin[(h >> self.shift).astype(np.int64)]
+        miss = np.flatnonzero(self.hashes[at] != h)
+        while len(miss):
+            at[miss] += 1
+            miss = miss[self.hashes[at[miss]] != h[miss]]
+        return at
 
 
 def _score(table, depth: int):
@@ -297,6 +307,7 @@ def code_lengths(docs: DataFrame, depth: int = DEPTH, send_limit: int = SEND_LIM
     if found.count() <= send_limit:
         t = found.toArrow()
         keys = t["run"].to_numpy().view(_U)
+        keys = Lookup.hashed(keys)
         order = np.argsort(keys)
         keys, bits = keys[order], np.stack([t["bits0"].to_numpy(), t["bits1"].to_numpy()], axis=1)[order]
         out = own.mapInArrow(_score(spark.sparkContext.broadcast((keys, bits)), depth), "doc_id bigint, n_bytes bigint, bits double")
