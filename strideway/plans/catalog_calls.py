@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ from strideway.sources import facts, sinks
 
 def written(lines: DataFrame, name: str) -> str:
     """The folder of a table of lines written as text, for readers."""
-    path = f"{storage.shared_dir(lines.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = storage.place(lines.sparkSession, name)
     lines.write.text(path)
     return path
 
@@ -368,7 +366,7 @@ def latency_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from pyspark import TaskContext
 
-    base = f"{storage.shared_dir(spark)}/ticks-{uuid.uuid4().hex}".removeprefix("file:")
+    base = storage.place(spark, "ticks").removeprefix("file:")
 
     def write(batches):
         import numpy as np
@@ -394,7 +392,7 @@ def content_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strideway.sources import cache
 
     e = table(spark, sf_dir, "events").select(cache.content_key(F.col("event_type"), text_of("user_id")).alias("key"), "user_id")
-    path = f"{storage.shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    path = storage.place(spark, "cache")
     count = lambda d: d.groupBy("key").agg(F.count("*").alias("n"))
     cache.cached(e.where("user_id % 2 = 0"), path, count)
     return cache.cached(e, path, count)
@@ -463,7 +461,7 @@ def priors_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     said = F.when(F.col("event_type") == "click", "Positive").when(F.col("event_type") == "view", "Negative").otherwise("Unlabeled")
     priors = feedback.updated_priors(table(spark, sf_dir, "events").select(tagged("C", "user_id").alias("cls"), said.alias("verdict")))
-    path = f"{storage.shared_dir(spark)}/priors-{uuid.uuid4().hex}"
+    path = storage.place(spark, "priors")
     facts.write_priors(priors, path)
     return facts.priors(spark, path).select("cls", "n", "confirmed", F.round("prior", 6).alias("prior"))
 
@@ -511,7 +509,7 @@ def record_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "coverage": li.select("src", F.col("l_linenumber").alias("functions"), F.lit(0).alias("hot"), F.lit(0).alias("records")),
     }
     none = finding_rows(spark.range(0), F.col("id")).withColumn("src", F.lit(""))
-    path = f"{storage.shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    path = storage.place(spark, "records")
     facts.write_shards(facts.records_of(none, tables), path)
     got = facts.facts_of(facts.shards(spark, path)[0])
     n = lambda c: F.col(c).cast("bigint").alias("n")

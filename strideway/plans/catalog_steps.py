@@ -508,7 +508,7 @@ def json_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, k = table(spark, sf_dir, "events"), F.col("event_id")
     rows = finding_rows(e, k, severity=k % 4, title=text_of(k), line=F.get_json_object("props", "$.k").cast("int"),
         evidence=evidence(type_name=F.col("event_type"))).withColumn("src", tagged("u", F.col("ord") % 50))
-    path = f"{storage.shared_dir(spark)}/records-{spark.sparkContext.applicationId}"
+    path = storage.place(spark, "records")
     readers.write_shards(readers.records_of(rows, {}), path)
     records, _ = readers.shards(spark, path)
     return readers.findings_of(records).select(F.col("title").cast("bigint").alias("event_id"), F.col("line").alias("k"), "rule",

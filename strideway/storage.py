@@ -29,12 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written table, which cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def place(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses, deleted when the program ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if not _WRITTEN:
         atexit.register(_clear)
-    _WRITTEN[path] = df.sparkSession
+    _WRITTEN[path] = spark
+    return path
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table, which cuts the lineage and survives lost executors."""
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
