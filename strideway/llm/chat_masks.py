@@ -75,8 +75,10 @@ def _format(path: str, trained: tuple[str, ...]):
             if ids:
                 n = np.array([len(x) for x in ids])
                 at = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
-                cols = [batch.column(0), pa.array(turns, pa.int32()), pa.array(n, pa.int32()), pa.array([int(m.sum()) for m in masks], pa.int32())]
-                cols += [pa.ListArray.from_arrays(at, pa.array(np.concatenate(ids))), pa.ListArray.from_arrays(at, pa.array(np.concatenate(masks)))]
+                cols = [batch.column(0), pa.array(turns, pa.int32()), pa.array(n, pa.int32()),
+                    pa.array([int(m.sum()) for m in masks], pa.int32())]
+                cols += [pa.ListArray.from_arrays(at, pa.array(np.concatenate(ids))),
+                    pa.ListArray.from_arrays(at, pa.array(np.concatenate(masks)))]
                 yield pa.RecordBatch.from_arrays(cols, ["conv_id", "n_turns", "n_tokens", "n_trained", "token_ids", "loss_mask"])
 
     return run
@@ -84,6 +86,8 @@ def _format(path: str, trained: tuple[str, ...]):
 
 def format_chats(turns: DataFrame, path: str = token_store.VOCAB, trained: tuple[str, ...] = TRAINED) -> DataFrame:
     """(conv_id, n_turns, n_tokens, n_trained, token_ids, loss_mask) of every conversation."""
-    own = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.struct(F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).alias("t"))
+    own = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"),
+        F.struct(F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"),
+            F.col("text").cast("string").alias("text")).alias("t"))
     whole = own.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     return whole.mapInArrow(_format(path, trained), SCHEMA)

@@ -85,7 +85,8 @@ def _gather(depth: int):
         if keys:
             k, n = merged()
             for i in range(0, len(k), 1 << 20):
-                yield pa.RecordBatch.from_arrays([pa.array((k[i : i + (1 << 20)] >> _U(1)).view(np.int64)), pa.array((k[i : i + (1 << 20)] & _U(1)).astype(np.int32)), pa.array(n[i : i + (1 << 20)])], ["run", "half", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array((k[i : i + (1 << 20)] >> _U(1)).view(np.int64)),
+                        pa.array((k[i : i + (1 << 20)] & _U(1)).astype(np.int32)), pa.array(n[i : i + (1 << 20)])], ["run", "half", "n"])
 
     return run
 
@@ -98,7 +99,8 @@ def gather(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 def half(docs: DataFrame):
-    return F.when(F.col("doc_id").isNull(), 0).otherwise(F.xxhash64(F.col("doc_id").cast("bigint")).bitwiseAND(F.lit(1).cast("bigint"))).cast("int").alias("half")
+    return F.when(F.col("doc_id").isNull(),
+        0).otherwise(F.xxhash64(F.col("doc_id").cast("bigint")).bitwiseAND(F.lit(1).cast("bigint"))).cast("int").alias("half")
 
 
 class Trees:
@@ -183,7 +185,9 @@ def _near_roots(depth: int):
         for run_, counts in _by_pair(batches):
             for h, n in enumerate(counts):
                 t = Trees(run_, n, depth, 2)
-                yield pa.RecordBatch.from_arrays([pa.array((t.keys[2] >> _U(16) << _U(8) | t.keys[2] & _U(255)).view(np.int64)), pa.array(np.full(len(t.log[2]), h, np.int32)), pa.array(t.zeros[2]), pa.array(t.ones[2]), pa.array(t.log[2])], ["node", "half", "zeros", "ones", "log"])
+                yield pa.RecordBatch.from_arrays([pa.array((t.keys[2] >> _U(16) << _U(8) | t.keys[2] & _U(255)).view(np.int64)),
+                        pa.array(np.full(len(t.log[2]), h, np.int32)), pa.array(t.zeros[2]), pa.array(t.ones[2]), pa.array(t.log[2])],
+                    ["node", "half", "zeros", "ones", "log"])
 
     return run
 
@@ -215,7 +219,8 @@ def _price(depth: int, roots):
                 bits.append(Trees(run_, n, depth, 2).lengths(place).astype(np.float32))
             # a document of the first half is scored by the counts of the second, and the other way round
             for i in range(0, len(run_), 1 << 20):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 20)]) for x in (run_.view(np.int64), bits[1], bits[0])], ["run", "bits0", "bits1"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 20)]) for x in (run_.view(np.int64), bits[1], bits[0])],
+                    ["run", "bits0", "bits1"])
 
     return run
 
@@ -278,7 +283,8 @@ def _score(table, depth: int):
                 total = np.zeros(len(each) + 1)
                 np.cumsum(each, out=total[1:])
                 null = np.array([t is None for t in texts[i:j]])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, mask=null), pa.array(np.diff(total[starts]), mask=null)], ["doc_id", "n_bytes", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, mask=null),
+                        pa.array(np.diff(total[starts]), mask=null)], ["doc_id", "n_bytes", "bits"])
 
     return run
 
@@ -314,6 +320,9 @@ def code_lengths(docs: DataFrame, depth: int = DEPTH, send_limit: int = SEND_LIM
     else:
         rows = common.saved(own.withColumn("row", F.monotonically_increasing_id()), "numbered")
         each = rows.where("text IS NOT NULL").select("row", "text").mapInArrow(_own_runs(depth), "row bigint, run bigint, n bigint")
-        sums = each.join(rows.select("row", "half"), "row").join(found, "run").groupBy("row").agg(F.sum(F.col("n") * F.when(F.col("half") == 0, F.col("bits0")).otherwise(F.col("bits1")).cast("double")).alias("bits"))
-        out = rows.join(sums, "row", "left").select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.when(F.col("text").isNotNull(), F.coalesce("bits", F.lit(0.0))).alias("bits"))
+        sums = each.join(rows.select("row", "half"), "row").join(found,
+            "run").groupBy("row").agg(F.sum(F.col("n") * F.when(F.col("half") == 0, F.col("bits0")).otherwise(F.col("bits1"))
+                .cast("double")).alias("bits"))
+        out = rows.join(sums, "row", "left").select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"),
+            F.when(F.col("text").isNotNull(), F.coalesce("bits", F.lit(0.0))).alias("bits"))
     return out.withColumn("bits_per_byte", F.when(F.col("n_bytes") > 0, F.col("bits") / F.col("n_bytes")))

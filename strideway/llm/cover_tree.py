@@ -66,9 +66,11 @@ def clean(df: DataFrame) -> DataFrame:
                     ids.append(i)
                     dims.append(len(x))
                     vecs.append((x + 0).tobytes())  # one zero
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(vecs, pa.binary())], ["id", "dim", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(vecs, pa.binary())],
+                ["id", "dim", "vec"])
 
-    own = df.select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast(f"array<{name}>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    own = df.select(F.col("vec_id").cast("bigint").alias("id"),
+        F.col("embedding").cast(f"array<{name}>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     return own.mapInArrow(run, "id bigint, dim int, vec binary")
 
 
@@ -103,7 +105,8 @@ def _assign(centres: dict[tuple[int, int], tuple[list[int], np.ndarray]], kind:
                     best = cos.argmax(axis=1)
                     gaps[part] = np.sqrt(np.maximum(2 - 2 * cos[np.arange(len(part)), best], 0))
                     cells[part] = np.array(below, np.int32)[best]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "dim", "vec", "many")] + [pa.array(cells, pa.int32()), pa.array(gaps, pa.float64())], ["id", "dim", "vec", "many", "cell", "gap"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "dim", "vec", "many")]
+                + [pa.array(cells, pa.int32()), pa.array(gaps, pa.float64())], ["id", "dim", "vec", "many", "cell", "gap"])
 
     return run
 
@@ -179,7 +182,8 @@ def _near_cells(centre: dict, stats: dict, reach: float):
                 near = ~known | (gap <= room + room[0] + reach)
                 full = known & plain & plain[0] & (gap + room + room[0] + 2 * _SLACK <= reach)
                 pick = np.flatnonzero(near)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pick), d), pa.int32()), pa.array(np.full(len(pick), c), pa.int32()), pa.array(np.array(cells)[pick], pa.int32()), pa.array(full[pick])], ["dim", "cell", "other", "whole"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pick), d), pa.int32()), pa.array(np.full(len(pick), c), pa.int32()),
+                        pa.array(np.array(cells)[pick], pa.int32()), pa.array(full[pick])], ["dim", "cell", "other", "whole"])
 
     return run
 
@@ -263,7 +267,8 @@ class Tree:
         return (self.lo[k][nodes], self.hi[k][nodes]) if k < len(self.sizes) else (nodes, nodes + 1)
 
 
-def dual(a: Tree, b: Tree, reach: float, many_a: np.ndarray | None = None, many_b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def dual(a: Tree, b: Tree, reach: float, many_a: np.ndarray | None = None, many_b: np.ndarray | None = None) -> tuple[np.ndarray,
+    np.ndarray, np.ndarray]:
     """Points of a and of b no further apart than ``reach``, as places; and (lo, hi, lo, hi) of nodes all of whose points are that near.
 
     No whole nodes hold points marked in ``many_a`` or ``many_b``.
@@ -337,9 +342,11 @@ def _build(kind: type):
         by = by[t.by]
         root = t.x[t.order[0]]
         r = float(apart(t.x, root[None]).max()) + _SLACK
-        cols = [[d], [cell], [piece], [root.tolist()], [r], [ids[by].tobytes()], [raw[by].tobytes()], [many[by].astype(bool).tobytes()], [t.stored()]]
+        cols = [[d], [cell], [piece], [root.tolist()], [r], [ids[by].tobytes()], [raw[by].tobytes()], [many[by].astype(bool).tobytes()],
+            [t.stored()]]
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float32()), pa.float64(), *[pa.binary()] * 4]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], ["dim", "cell", "piece", "root", "radius", "ids", "vecs", "many", "tree"])
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)],
+            ["dim", "cell", "piece", "root", "radius", "ids", "vecs", "many", "tree"])
 
     return run
 
@@ -357,7 +364,8 @@ def _compare(threshold: float, kind: type):
         for side in sorted({*places}):
             r = table.slice(places.index(side), 1)
             raw = np.frombuffer(r["vecs"][0].as_py(), kind).reshape(-1, r["dim"][0].as_py())
-            sides.append((np.frombuffer(r["ids"][0].as_py(), np.int64), raw, np.frombuffer(r["many"][0].as_py(), bool), Tree.read(r["tree"][0].as_py(), unit(raw))))
+            sides.append((np.frombuffer(r["ids"][0].as_py(), np.int64), raw, np.frombuffer(r["many"][0].as_py(), bool),
+                    Tree.read(r["tree"][0].as_py(), unit(raw))))
         (ia, ra, ma, ta), (ib, rb, mb, tb) = sides[0], sides[-1]
         same = len(sides) == 1
         i, j, whole = dual(ta, tb, reach, ma, mb)
@@ -384,7 +392,8 @@ def _compare(threshold: float, kind: type):
             if same:  # a node with itself links no point with itself
                 for lo, hi in whole[whole[:, 0] == whole[:, 2], :2]:
                     links_a[lo:hi] -= 1
-            spans = {(lo, hi) for lo, hi in whole[:, :2].tolist()} | {(lo + na * (not same), hi + na * (not same)) for lo, hi in whole[:, 2:].tolist()}
+            spans = {(lo, hi) for lo, hi in whole[:, :2].tolist()} | {(lo + na * (not same), hi + na * (not same)) for lo,
+                hi in whole[:, 2:].tolist()}
             for lo, hi in spans:
                 edge_i.append(np.full(hi - lo - 1, lo))
                 edge_j.append(np.arange(lo + 1, hi))
@@ -397,7 +406,9 @@ def _compare(threshold: float, kind: type):
         np.minimum.at(first, label, ids)
         linked = np.flatnonzero(links > 0)
         cols = [np.concatenate([ids[linked], lone[:, 0]]), np.concatenate([first[label[linked]], lone[:, 1]])]
-        return pa.table([pa.array(cols[0]), pa.array(cols[1]), pa.array(np.concatenate([links[linked], np.zeros(len(lone), np.int64)]), mask=np.repeat([False, True], [len(linked), len(lone)]))], ["a", "b", "n"])
+        return pa.table([pa.array(cols[0]), pa.array(cols[1]),
+                pa.array(np.concatenate([links[linked], np.zeros(len(lone), np.int64)]),
+                    mask=np.repeat([False, True], [len(linked), len(lone)]))], ["a", "b", "n"])
 
     return run
 
@@ -415,45 +426,62 @@ def classes(df: DataFrame, threshold: float = THRESHOLD, block: int | None = Non
         block = min(max(-(-n // parts), LEAST_BLOCK), MOST_BLOCK)
     marked = rows.join(common.small(several), "id", "left").select("id", "dim", "vec", F.coalesce("many", F.lit(False)).alias("many"))
     placed, centre, stats = parted(marked, kind, block)
-    cells = spark.createDataFrame([(*c, *x) for c, x in stats.items()], "dim int, cell int, held bigint, many boolean, gap double, first bigint")
-    near = common.saved(cells.select("dim", "cell").repartition(min(len(stats), 64) or 1).mapInArrow(_near_cells(centre, stats, reach), "dim int, cell int, other int, whole boolean"), "cells")
+    cells = spark.createDataFrame([(*c, *x) for c, x in stats.items()],
+        "dim int, cell int, held bigint, many boolean, gap double, first bigint")
+    near = common.saved(cells.select("dim", "cell").repartition(min(len(stats), 64) or 1)
+        .mapInArrow(_near_cells(centre, stats, reach), "dim int, cell int, other int, whole boolean"), "cells")
 
     # cells all of whose vectors are linked are counted by their sizes
     full = near.where("whole")
-    mine, theirs = (cells.select("dim", F.col("cell").alias(c), F.col("held").alias(f"{c}_held"), F.col("first").alias(f"{c}_first")) for c in ("cell", "other"))
-    sized = full.join(F.broadcast(mine), ["dim", "cell"]).join(F.broadcast(theirs), ["dim", "other"])  # a row a cell, of which there are LEVELS * MOST_CENTRES at most
-    by_cell = sized.select("dim", "cell", F.when(F.col("cell") == F.col("other"), F.col("other_held") - 1).otherwise(F.col("other_held")).alias("n"))
-    by_cell = by_cell.unionByName(sized.where("cell <> other").select("dim", F.col("other").alias("cell"), F.col("cell_held").alias("n"))).groupBy("dim", "cell").agg(F.sum("n").alias("n")).where("n > 0")
+    mine, theirs = (cells.select("dim", F.col("cell").alias(c), F.col("held").alias(f"{c}_held"), F.col("first").alias(f"{c}_first"))
+        for c in ("cell", "other"))
+    sized = full.join(F.broadcast(mine), ["dim", "cell"]).join(F.broadcast(theirs),
+        ["dim", "other"])  # a row a cell, of which there are LEVELS * MOST_CENTRES at most
+    by_cell = sized.select("dim", "cell",
+        F.when(F.col("cell") == F.col("other"), F.col("other_held") - 1).otherwise(F.col("other_held")).alias("n"))
+    by_cell = by_cell.unionByName(sized.where("cell <> other")
+        .select("dim", F.col("other").alias("cell"), F.col("cell_held").alias("n"))).groupBy("dim",
+        "cell").agg(F.sum("n").alias("n")).where("n > 0")
     by_cell = by_cell.join(cells.select("dim", "cell", "first"), ["dim", "cell"])
     in_cells = placed.join(F.broadcast(by_cell), ["dim", "cell"]).select(F.col("id").alias("a"), F.col("first").alias("b"), "n")
-    across = sized.where("cell <> other").select(F.col("cell_first").alias("a"), F.col("other_first").alias("b"), F.lit(0).cast("bigint").alias("n"))
+    across = sized.where("cell <> other").select(F.col("cell_first").alias("a"), F.col("other_first").alias("b"),
+        F.lit(0).cast("bigint").alias("n"))
 
     # others block by block
     open_ = near.where("NOT whole").drop("whole")
     cut = {c: -(-x[0] // block) for c, x in stats.items()}
     pieces = spark.createDataFrame([(*c, k) for c, k in cut.items()], "dim int, cell int, pieces int")
     used = open_.select("dim", "cell").union(open_.select("dim", "other")).distinct().join(pieces, ["dim", "cell"])
-    whole = placed.join(F.broadcast(used), ["dim", "cell"]).withColumn("piece", F.pmod(F.xxhash64("id", "vec"), F.col("pieces")).cast("int"))
-    blocks = common.saved(whole.select("id", "dim", "vec", "many", "cell", "piece").groupBy("dim", "cell", "piece").applyInArrow(_build(kind), BLOCKS), "blocks")
+    whole = placed.join(F.broadcast(used), ["dim", "cell"]).withColumn("piece",
+        F.pmod(F.xxhash64("id", "vec"), F.col("pieces")).cast("int"))
+    blocks = common.saved(whole.select("id", "dim", "vec", "many", "cell", "piece").groupBy("dim", "cell", "piece")
+        .applyInArrow(_build(kind), BLOCKS), "blocks")
     heads = blocks.select("dim", "cell", "piece", "root", "radius")
     others = heads.toDF("dim", "other", "other_piece", "other_root", "other_radius")
     gap = F.sqrt(F.aggregate(F.zip_with("root", "other_root", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    pairs = open_.join(heads, ["dim", "cell"]).join(others, ["dim", "other"]).where("cell <> other OR piece <= other_piece").where(gap <= F.col("radius") + F.col("other_radius") + F.lit(reach + _SLACK))
+    pairs = open_.join(heads, ["dim", "cell"]).join(others,
+        ["dim", "other"]).where("cell <> other OR piece <= other_piece").where(gap <= F.col("radius") + F.col("other_radius")
+        + F.lit(reach + _SLACK))
     key = ["dim", "cell", "piece", "other", "other_piece"]
     itself = (F.col("cell") == F.col("other")) & (F.col("piece") == F.col("other_piece"))  # shipped once
     a_side = F.struct(F.lit(0).alias("side"), F.col("cell").alias("c"), F.col("piece").alias("p"))
     b_side = F.struct(F.lit(1).alias("side"), F.col("other").alias("c"), F.col("other_piece").alias("p"))
-    sides = pairs.select(*key, F.explode(F.when(itself, F.array(a_side)).otherwise(F.array(a_side, b_side))).alias("s")).select(*key, "s.side", "s.c", "s.p")
+    sides = pairs.select(*key, F.explode(F.when(itself, F.array(a_side)).otherwise(F.array(a_side, b_side))).alias("s")).select(*key,
+        "s.side", "s.c", "s.p")
     held = blocks.select(F.col("dim").alias("d"), F.col("cell").alias("c"), F.col("piece").alias("p"), "ids", "vecs", "many", "tree")
-    shipped = sides.join(held, (F.col("dim") == F.col("d")) & (sides["c"] == held["c"]) & (sides["p"] == held["p"])).select(*key, "side", "ids", "vecs", "many", "tree")
+    shipped = sides.join(held, (F.col("dim") == F.col("d")) & (sides["c"] == held["c"]) & (sides["p"] == held["p"])).select(*key, "side",
+        "ids", "vecs", "many", "tree")
     found = shipped.groupBy(*key).applyInArrow(_compare(threshold, kind), LINKS)
     found = common.saved(found.unionByName(in_cells).unionByName(across), "links")
 
     lone = found.where("n IS NULL").select("a", "b").distinct()
-    counts = found.where("n > 0").select("a", "n").unionByName(lone.union(lone.select("b", "a")).select("a", F.lit(1).cast("bigint").alias("n"))).groupBy("a").agg(F.sum("n").alias("n"))
+    counts = found.where("n > 0").select("a",
+        "n").unionByName(lone.union(lone.select("b", "a")).select("a", F.lit(1).cast("bigint").alias("n"))).groupBy("a").agg(F.sum("n")
+        .alias("n"))
     edges = common.saved(found.where("a <> b").select("a", "b").distinct(), "edges")
     ids = df.select(F.col("vec_id").cast("bigint").alias("vec_id")).where("vec_id IS NOT NULL").distinct()
     if edges.isEmpty():
         return ids.select("vec_id", F.col("vec_id").alias("class_id"), F.lit(0).cast("bigint").alias("links"))
-    out = ids.join(minmax_dedup.components(edges), F.col("vec_id") == F.col("node"), "left").join(counts, F.col("vec_id") == F.col("a"), "left")
+    out = ids.join(minmax_dedup.components(edges), F.col("vec_id") == F.col("node"), "left").join(counts, F.col("vec_id") == F.col("a"),
+        "left")
     return out.select("vec_id", F.coalesce("label", "vec_id").alias("class_id"), F.coalesce("n", F.lit(0)).alias("links"))

@@ -39,7 +39,8 @@ def words(text):
 
 def features(docs: DataFrame) -> DataFrame:
     """(doc_id, source, lang, n, z): words, and log length (both about 0 for none)."""
-    out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), words(F.col("text")).alias("n"))
+    out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        F.col("lang").cast("string").alias("lang"), words(F.col("text")).alias("n"))
     return out.withColumn("z", F.when(F.col("n") > 0, F.log("n")).otherwise(0.0))
 
 
@@ -49,7 +50,8 @@ def targets(tokens: np.ndarray, temperature: float = TEMPERATURE) -> np.ndarray:
     return w / w.sum() * tokens.sum()
 
 
-def solve(cells, sums, temperature: float = TEMPERATURE, source_weights: dict | None = None, lang_weights: dict | None = None) -> tuple[dict, dict, float, float, float]:
+def solve(cells, sums, temperature: float = TEMPERATURE, source_weights: dict | None = None,
+    lang_weights: dict | None = None) -> tuple[dict, dict, float, float, float]:
     """Multipliers by source and by language, that of z, the mean of z that z is taken from, and how far towards the targets it went (1: all the way).
 
     ``cells``: rows (source, lang, tokens, tokens * z); ``sums(c, mean)``: for each cell its sums of ``n e^(c (z - mean))`` times
@@ -172,7 +174,8 @@ def rates(docs: DataFrame, **how) -> DataFrame:
     table = common.saved(features(docs), "features")
     found = fit(table, **how)
     out = _priced(table, {c: c for c in ("doc_id", "source", "lang", "n", "rate", "copies")}, found)
-    return out.select("doc_id", "source", "lang", F.col("n").cast("bigint").alias("tokens"), "rate", "copies", F.lit(found[-1]).alias("reached"))
+    return out.select("doc_id", "source", "lang", F.col("n").cast("bigint").alias("tokens"), "rate", "copies",
+        F.lit(found[-1]).alias("reached"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
@@ -180,6 +183,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     found = fit(common.saved(features(docs).drop("doc_id"), "features"), **how)
     mark = common.fresh(docs.columns)
     name = {c: mark + c for c in ("doc_id", "source", "lang", "n", "rate", "copies")}
-    own = docs.withColumns({name["doc_id"]: F.col("doc_id").cast("bigint"), name["source"]: F.col("source").cast("string"), name["lang"]: F.col("lang").cast("string"), name["n"]: words(F.col("text"))})
+    own = docs.withColumns({name["doc_id"]: F.col("doc_id").cast("bigint"), name["source"]: F.col("source").cast("string"),
+            name["lang"]: F.col("lang").cast("string"), name["n"]: words(F.col("text"))})
     out = _priced(own, name, found).where(F.col(name["copies"]) > 0)
     return out.withColumn(mark, F.explode(F.sequence(F.lit(1), F.col(name["copies"])))).select(*common.quoted(docs.columns))

@@ -42,7 +42,8 @@ HINT = f"(?i){_KEY}{_SIGN}"
 _BARE = rf"(?:(?![\"'<>,;&][^\s\"'<>,;&]*?{_KEY}{_SIGN}|</[a-z][a-z0-9]*>|<br */?>)\S)+"
 #: A value that is itself a key and a sign, with a value after them; it is passed over before it is read.
 _ITSELF = rf"[\"'(\[{{<]*[\w.-]*?{_KEY}{_SIGN}[ \t]*+\S"
-CONTEXT = re.compile(rf"({_KEY}){_SIGN}[ \t]*+(?:(?:bearer|basic)[ \t]+)?+(?!{_ITSELF})(?:\"([^\"\n]+)\"|'([^'\n]+)'|[\"']?({_BARE}))", re.I)
+CONTEXT = re.compile(rf"({_KEY}){_SIGN}[ \t]*+(?:(?:bearer|basic)[ \t]+)?+(?!{_ITSELF})(?:\"([^\"\n]+)\"|'([^'\n]+)'|[\"']?({_BARE}))",
+    re.I)
 _OPEN = {'"': re.compile('"'), "'": re.compile(r"(?<!\w)'|'(?!\w)")}
 #: What is not a bare value's own at its end.
 _TRAILING = ",;\"'<>"
@@ -128,7 +129,9 @@ def words(value: str, auto: ahocorasick.Automaton) -> list[tuple[int, int, float
             cost = math.log10(rank)
             upper = sum(c.isupper() for c in own)
             if upper:
-                cost += math.log10(2) if upper == n or (upper == 1 and (own[0].isupper() or own[-1].isupper())) else math.log10(sum(math.comb(n, k) for k in range(1, min(upper, n - upper) + 1)) or 2)
+                cost += math.log10(2) if upper == n or (upper == 1
+                    and (own[0].isupper() or own[-1].isupper())) else math.log10(sum(math.comb(n, k)
+                        for k in range(1, min(upper, n - upper) + 1)) or 2)
             if text[s:e] != low[s:e]:
                 cost += math.log10(2) * sum(a != b for a, b in zip(text[s:e], low[s:e]))
             if cost < best.get((s, e), math.inf):
@@ -164,7 +167,8 @@ def repeats(value: str, cost_of) -> list[tuple[int, int, float]]:
     return out
 
 
-def cheapest(value: str, auto: ahocorasick.Automaton, units: dict[str, float] | None = None, char: float | None = None) -> tuple[float, list[tuple[str, int, int]]]:
+def cheapest(value: str, auto: ahocorasick.Automaton, units: dict[str, float] | None = None, char: float | None = None) -> tuple[float,
+    list[tuple[str, int, int]]]:
     """The decimal logarithm of guesses of the cheapest segmentation, and its (kind, start, end) segments."""
     n = len(value)
     char = math.log10(alphabet(value)) if char is None else char
@@ -239,14 +243,17 @@ def _scan(path: str, threshold: float):
             for doc_id, text in zip(hit.column(0).to_pylist(), hit.column(1).to_pylist()):
                 for place, key, value in values(text):
                     cost, parts = cheapest(value, auto)
-                    rows.append((doc_id, place, key, len(value), round(cost, 6), " ".join(f"{k}:{e - s}" for k, s, e in parts), cost >= threshold))
+                    rows.append((doc_id, place, key, len(value), round(cost, 6), " ".join(f"{k}:{e - s}" for k, s, e in parts),
+                            cost >= threshold))
             cols = list(zip(*rows)) or [()] * 7
             kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "place", "context", "n_chars", "log10_guesses", "segments", "secret"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
+                ["doc_id", "place", "context", "n_chars", "log10_guesses", "segments", "secret"])
 
     return run
 
 
 def scan(docs: DataFrame, path: str = token_store.VOCAB, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, place, context, n_chars, log10_guesses, segments, secret) of every credential value."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan(path, threshold), SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.col("text").cast("string").alias("text")).mapInArrow(_scan(path, threshold), SCHEMA)

@@ -138,7 +138,8 @@ def components(edges: DataFrame) -> DataFrame:
         seen = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("n")).agg(F.min("label").alias("near"))
         step = labels.join(seen, F.col("node") == F.col("n")).select("node", "label", F.least("label", "near").alias("new"))
         up = step.select(F.col("node").alias("p"), F.col("new").alias("of_p"))
-        after = common.saved(step.join(up, F.col("new") == F.col("p")).select("node", "label", F.least("new", "of_p").alias("new")), "labels")
+        after = common.saved(step.join(up, F.col("new") == F.col("p")).select("node", "label", F.least("new", "of_p").alias("new")),
+            "labels")
         common.discard(held)
         held, labels = after, after.select("node", F.col("new").alias("label"))
         if after.where("new <> label").isEmpty():
@@ -149,13 +150,17 @@ def components(edges: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, group_id) of every document that has a near duplicate; group_id is the smallest id of its group."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    signed = own.mapInArrow(_sign, "doc_id bigint, sig binary").withColumns({"k1": F.xxhash64("sig"), "k2": F.xxhash64(F.reverse(F.hex("sig")))})
+    signed = own.mapInArrow(_sign, "doc_id bigint, sig binary").withColumns({"k1": F.xxhash64("sig"),
+            "k2": F.xxhash64(F.reverse(F.hex("sig")))})
     signed = common.saved(signed, "signed")
-    unique = common.saved(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("n"), F.first("sig").alias("sig")), "unique")
+    unique = common.saved(signed.groupBy("k1", "k2")
+        .agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("n"), F.first("sig").alias("sig")), "unique")
     # one id may stand for several signatures if rows repeat it with other texts; its first is kept
-    buckets = unique.select("rep", "sig").mapInArrow(_band, "key bigint, rep bigint").groupBy("key").agg(F.array_sort(F.collect_set("rep")).alias("reps")).where(F.size("reps") > 1)
+    buckets = unique.select("rep", "sig").mapInArrow(_band,
+        "key bigint, rep bigint").groupBy("key").agg(F.array_sort(F.collect_set("rep")).alias("reps")).where(F.size("reps") > 1)
     buckets = buckets.select("reps").distinct().select(F.xxhash64("reps").alias("bucket"), F.explode("reps").alias("rep"))
-    members = buckets.join(unique.select("rep", "sig"), "rep").groupBy("bucket").agg(F.collect_list(F.struct("rep", "sig")).alias("members"))
+    members = buckets.join(unique.select("rep", "sig"),
+        "rep").groupBy("bucket").agg(F.collect_list(F.struct("rep", "sig")).alias("members"))
     edges = common.saved(members.select("members").mapInArrow(_link(threshold), "a bigint, b bigint").distinct(), "pairs")
     joined = unique.select("k1", "k2", "rep", "n").join(components(edges), F.col("rep") == F.col("node"), "left")
     labelled = joined.where("label IS NOT NULL OR n > 1").select("k1", "k2", F.coalesce("label", "rep").alias("group_id"))
@@ -176,6 +181,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return kept
     again = kept.join(twice, "doc_id", "left_semi").select(*own)
     n = common.fresh(docs.columns)
-    order = [F.col("text").desc_nulls_last(), *(F.col(q).asc_nulls_last() for q, (c, kind) in zip(own, docs.dtypes) if c not in ("doc_id", "text") and not re.search("map<|variant|interval", kind))]
+    order = [F.col("text").desc_nulls_last(),
+        *(F.col(q).asc_nulls_last() for q, (c, kind) in zip(own, docs.dtypes) if c not in ("doc_id", "text")
+            and not re.search("map<|variant|interval", kind))]
     again = again.withColumn(n, F.row_number().over(W.partitionBy("doc_id").orderBy(*order))).where(F.col(n) == 1).drop(n)
     return kept.join(twice, "doc_id", "left_anti").select(*own).unionByName(again)

@@ -175,7 +175,8 @@ def decode_block(payload: bytes, n: int, vocab: int, crc: int) -> np.ndarray:
     """The ids of one block, without any other. Raises ValueError where the checksum differs."""
     sizes = np.frombuffer(payload[: 2 * LANES], ">u2").astype(int)
     cuts = np.concatenate([[2 * LANES], 2 * LANES + np.cumsum(sizes)])
-    lanes = [[payload[cuts[i] : cuts[i + 1]], 6, int.from_bytes(payload[cuts[i] : cuts[i] + 6].ljust(6, b"\0"), "big"), 1 << 48] for i in range(LANES)]
+    lanes = [[payload[cuts[i] : cuts[i + 1]], 6, int.from_bytes(payload[cuts[i] : cuts[i] + 6].ljust(6, b"\0"), "big"), 1 << 48]
+        for i in range(LANES)]
     ids: list[int] = []
     counts, stats = _prior(vocab), np.zeros((2 * STATES * STATES, 3), np.int64)
     seen: list[dict] = [{}, {}]  # context -> (id, hit, hit before)
@@ -270,7 +271,8 @@ def _write(path: str):
             crc = [zlib.crc32(r[3].astype("<u2").tobytes()) for r in ready]
             keys = list(range(block_id, block_id + len(ready)))
             block_id += len(ready)
-            cols = [pa.array(keys), pa.array([r[0] for r in ready], pa.list_(pa.int64())), pa.array([r[1] for r in ready], pa.list_(pa.int32())), pa.array([r[2] for r in ready])]
+            cols = [pa.array(keys), pa.array([r[0] for r in ready], pa.list_(pa.int64())),
+                pa.array([r[1] for r in ready], pa.list_(pa.int32())), pa.array([r[2] for r in ready])]
             cols += [pa.array([len(r[3]) for r in ready], pa.int32()), pa.array(coded, pa.binary()), pa.array(crc, pa.int64())]
             ready.clear()
             return pa.RecordBatch.from_arrays(cols, ["block_id", "doc_ids", "lengths", "continued", "n_tokens", "payload", "crc32"])
@@ -341,7 +343,8 @@ def _read(path: str):
                     at += max(n, 0)
             cols = list(zip(*out)) or [()] * 5
             kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["block_id", "place", "continued", "doc_id", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
+                ["block_id", "place", "continued", "doc_id", "part"])
 
     return run
 
@@ -357,10 +360,13 @@ def read_table(blocks: DataFrame, path: str = VOCAB) -> DataFrame:
     chained = ends.where("goes_on OR cut").withColumn("partition", F.shiftright("block_id", 33))
     w = W.partitionBy("partition").orderBy("block_id")
     begins = F.when(~F.col("goes_on") | (F.col("last") > 0), F.col("block_id"))
-    chained = chained.withColumn("first", F.when(F.col("cut"), F.last(begins, ignorenulls=True).over(w))).withColumn("head", F.lag("first").over(w))
+    chained = chained.withColumn("first", F.when(F.col("cut"), F.last(begins, ignorenulls=True).over(w))).withColumn("head",
+        F.lag("first").over(w))
     marked = parts.join(chained.select("block_id", "last", "goes_on", "cut", "first", "head"), "block_id", "left")
     at_end, at_start = (F.col("place") == F.col("last")) & F.coalesce("cut", F.lit(False)), F.col("continued")
     text = F.when(at_start, F.col("head")).when(at_end, F.col("first"))
     whole = marked.where(text.isNull()).select("doc_id", F.col("part").cast("string").alias("text"))
-    joined = marked.where(text.isNotNull()).withColumn("text_of", text).groupBy("text_of").agg(F.array_sort(F.collect_list(F.struct("block_id", "doc_id", F.hex("part").alias("part")))).alias("p"))
-    return whole.unionByName(joined.select(F.col("p")[0]["doc_id"].alias("doc_id"), F.unhex(F.array_join(F.transform("p", lambda x: x["part"]), "")).cast("string").alias("text")))
+    joined = marked.where(text.isNotNull()).withColumn("text_of",
+        text).groupBy("text_of").agg(F.array_sort(F.collect_list(F.struct("block_id", "doc_id", F.hex("part").alias("part")))).alias("p"))
+    return whole.unionByName(joined.select(F.col("p")[0]["doc_id"].alias("doc_id"),
+            F.unhex(F.array_join(F.transform("p", lambda x: x["part"]), "")).cast("string").alias("text")))

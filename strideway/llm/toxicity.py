@@ -36,15 +36,22 @@ PREFIXES = range(4, 10)
 
 #: Insults by weight.
 LEXICON = {
-    "idiot": 3.0, "idiots": 3.0, "idiotic": 2.5, "moron": 3.0, "morons": 3.0, "moronic": 2.5, "stupid": 2.5, "stupidity": 2.0, "imbecile": 3.0, "dumb": 1.5, "dumbass": 4.0,
-    "loser": 2.5, "losers": 2.5, "scum": 3.0, "scumbag": 4.0, "trash": 2.0, "garbage": 1.0, "clown": 2.0, "clowns": 1.5, "pathetic": 2.5, "worthless": 2.5, "disgusting": 2.0,
-    "vermin": 3.0, "filth": 2.0, "parasite": 1.5, "degenerate": 2.5, "subhuman": 5.0, "freak": 2.0, "pig": 1.0, "cretin": 3.0, "retard": 4.0, "retarded": 4.0, "jerk": 2.0,
-    "bastard": 3.5, "bitch": 4.0, "slut": 4.5, "whore": 4.5, "asshole": 4.0, "shit": 3.0, "bullshit": 2.5, "fuck": 4.0, "fucking": 3.5, "crap": 1.5, "damn": 0.5, "hate you": 3.0,
-    "kill yourself": 6.0, "shut up": 2.0, "drop dead": 4.0, "go to hell": 3.0, "piece of shit": 4.0, "waste of space": 3.0, "nobody likes you": 3.0,
-    "idiota": 3.0, "imbecil": 3.0, "estupido": 3.0, "estupida": 3.0, "basura": 2.0, "mierda": 3.0, "puta": 4.0, "idioten": 3.0, "dummkopf": 3.0, "arschloch": 4.0, "scheisse": 3.0,
+    "idiot": 3.0, "idiots": 3.0, "idiotic": 2.5, "moron": 3.0, "morons": 3.0, "moronic": 2.5, "stupid": 2.5, "stupidity": 2.0,
+        "imbecile": 3.0, "dumb": 1.5, "dumbass": 4.0,
+    "loser": 2.5, "losers": 2.5, "scum": 3.0, "scumbag": 4.0, "trash": 2.0, "garbage": 1.0, "clown": 2.0, "clowns": 1.5, "pathetic": 2.5,
+        "worthless": 2.5, "disgusting": 2.0,
+    "vermin": 3.0, "filth": 2.0, "parasite": 1.5, "degenerate": 2.5, "subhuman": 5.0, "freak": 2.0, "pig": 1.0, "cretin": 3.0,
+        "retard": 4.0, "retarded": 4.0, "jerk": 2.0,
+    "bastard": 3.5, "bitch": 4.0, "slut": 4.5, "whore": 4.5, "asshole": 4.0, "shit": 3.0, "bullshit": 2.5, "fuck": 4.0, "fucking": 3.5,
+        "crap": 1.5, "damn": 0.5, "hate you": 3.0,
+    "kill yourself": 6.0, "shut up": 2.0, "drop dead": 4.0, "go to hell": 3.0, "piece of shit": 4.0, "waste of space": 3.0,
+        "nobody likes you": 3.0,
+    "idiota": 3.0, "imbecil": 3.0, "estupido": 3.0, "estupida": 3.0, "basura": 2.0, "mierda": 3.0, "puta": 4.0, "idioten": 3.0,
+        "dummkopf": 3.0, "arschloch": 4.0, "scheisse": 3.0,
     "abschaum": 3.0, "salaud": 3.5, "connard": 4.0, "merde": 3.0, "debile": 2.5, "cretino": 3.0,
 }
-EXCEPTIONS = ["trash can", "trash cans", "trash bin", "garbage collection", "garbage collector", "clown fish", "class clown", "idiot proof", "sore loser award", "guinea pig", "pig iron", "knee jerk", "jerk chicken", "dumb terminal", "dumb bell", "white trash cinema"]
+EXCEPTIONS = ["trash can", "trash cans", "trash bin", "garbage collection", "garbage collector", "clown fish", "class clown", "idiot proof",
+    "sore loser award", "guinea pig", "pig iron", "knee jerk", "jerk chicken", "dumb terminal", "dumb bell", "white trash cinema"]
 
 _GONE, _GAP, _SYMBOL = 0, 32, 128
 
@@ -52,9 +59,11 @@ _GONE, _GAP, _SYMBOL = 0, 32, 128
 def _table() -> np.ndarray:
     """By code point: 0 goes, a space parts words, a letter or digit stands for what it looks like; symbols have 128 added."""
     t = np.full(0x20000, _GAP, np.uint8)
-    like = {"l": "i", "1": "i", "0": "o", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "ß": "s", "æ": "a", "œ": "o", "ø": "o", "đ": "d", "ı": "i", "ł": "i"}
+    like = {"l": "i", "1": "i", "0": "o", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "ß": "s", "æ": "a", "œ": "o",
+        "ø": "o", "đ": "d", "ı": "i", "ł": "i"}
     cyrillic = dict(zip("абвгеёзикмнорстухцьіјѕһԁԛԝ", "abbreevukmhopcтyxubijshdqw".replace("т", "t")))
-    cyrillic |= {"и": "u", "к": "k", "м": "m", "н": "h", "з": "e", "в": "b", "г": "r", "п": "n", "т": "t", "с": "c", "у": "y", "ѵ": "v", "ո": "n", "ս": "u"}
+    cyrillic |= {"и": "u", "к": "k", "м": "m", "н": "h", "з": "e", "в": "b", "г": "r", "п": "n", "т": "t", "с": "c", "у": "y", "ѵ": "v",
+        "ո": "n", "ս": "u"}
     greek = dict(zip("αβγδεζηικλνορστυχω", "abydeznikivopotuxw")) | {"μ": "u", "ς": "s", "σ": "o"}
     for cp in range(len(t)):
         c = chr(cp)
@@ -170,19 +179,23 @@ def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x[1] += n
         if count:
             keys, n = list(count), list(count.values())
-            cols = [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int32()), pa.array([x[0] for x in n], pa.int64()), pa.array([x[1] for x in n], pa.int64())]
+            cols = [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int32()), pa.array([x[0] for x in n], pa.int64()),
+                pa.array([x[1] for x in n], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["term", "toxic", "docs", "n"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS) -> dict[str, float]:
     """Word beginnings far more frequent in toxic documents, without those that a shorter one covers. No labels: none."""
-    own = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
+    own = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = own.where("toxic = 1").orderBy(*order).limit(rows).unionByName(own.where("toxic = 0").orderBy(*order).limit(rows))
-    joined = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(sample), "doc_id").select("text", "toxic").distinct()
+    joined = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(sample),
+        "doc_id").select("text", "toxic").distinct()
     of = lambda k, c: F.coalesce(F.sum(F.when(F.col("toxic") == k, F.col(c))), F.lit(0)).cast("double")
     seen = joined.mapInArrow(_beginnings, "term string, toxic int, docs bigint, n bigint").groupBy("term")
-    seen = common.saved(seen.agg(of(1, "docs").alias("d"), of(0, "docs").alias("e"), of(1, "n").alias("a"), of(0, "n").alias("b")).where(f"term = '' OR d >= {LEAST_DOCS}"), "terms")
+    seen = common.saved(seen.agg(of(1, "docs").alias("d"), of(0, "docs").alias("e"), of(1, "n").alias("a"), of(0, "n").alias("b"))
+        .where(f"term = '' OR d >= {LEAST_DOCS}"), "terms")
     whole = seen.where("term = ''").first()
     if whole is None or not whole.a or not whole.b:
         return {}
@@ -211,7 +224,8 @@ def _score(learned: dict[str, float]):
             for i, j in common.chunks(texts):
                 words, hits, weight = match(texts[i:j])
                 score = 100 * weight / np.maximum(words, 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(score), pa.array(hits), pa.array(words)], ["doc_id", "score", "hits", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(score), pa.array(hits), pa.array(words)],
+                    ["doc_id", "score", "hits", "words"])
 
     return run
 
@@ -220,7 +234,8 @@ def scores(docs: DataFrame, labels: DataFrame | None = None, learned: dict[str,
     """(doc_id, score, hits, words) of every row."""
     if learned is None:
         learned = learn(docs, labels) if labels is not None else {}
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_score(learned), "doc_id bigint, score double, hits bigint, words bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_score(learned),
+        "doc_id bigint, score double, hits bigint, words bigint")
 
 
 def toxic(docs: DataFrame, labels: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:

@@ -61,7 +61,8 @@ def _fingerprints(sent):
                     spot = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
                     hit = known[spot] == h if len(known) else np.zeros(len(h), bool)
                     text, at, h = text[hit], at[hit], h[hit]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][text], pa.int64()), pa.array(at, pa.int32()), pa.array(h.view(np.int64))], ["id", "at", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][text], pa.int64()), pa.array(at, pa.int32()),
+                        pa.array(h.view(np.int64))], ["id", "at", "h"])
 
     return run
 
@@ -84,7 +85,8 @@ def longest_run(a: np.ndarray, b: np.ndarray, least: int) -> tuple[int, int, int
     power, inverse = common.powers(len(both) + 1)
     upto = np.zeros(len(both) + 1, np.uint64)
     np.cumsum(common.mix(both) * power[: len(both)], out=upto[1:])
-    of = lambda begin, n, size: (upto[begin + size : begin + n + 1] - upto[begin : begin + n - size + 1]) * inverse[begin : begin + n - size + 1]
+    of = lambda begin, n, size: (upto[begin + size : begin + n + 1] - upto[begin : begin + n - size + 1]) * inverse[begin : begin
+        + n - size + 1]
 
     def shared(size: int) -> np.ndarray:
         return np.flatnonzero(np.isin(of(0, len(a), size), of(len(a), len(b), size)))
@@ -112,14 +114,16 @@ def _extend(least: int):
                     rows.append((doc_id, item_id, i, j, n, len(b)))
             cols = list(zip(*rows)) or [()] * 6
             kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "item_id", "doc_word", "item_word", "span_words", "item_words"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
+                ["doc_id", "item_id", "doc_word", "item_word", "span_words", "item_words"])
 
     return run
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, send_limit: int = SEND_LIMIT) -> DataFrame:
     """The longest shared span of each contaminated document and item: (doc_id, item_id, doc_word, item_word, span_words, item_words)."""
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("item_text")).where("item_id IS NOT NULL AND item_text IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"),
+        F.col("text").alias("item_text")).where("item_id IS NOT NULL AND item_text IS NOT NULL")
     test = common.saved(fingerprints(benchmark, "item_id"), "items")
     known = None
     if test.count() <= send_limit:
@@ -128,12 +132,16 @@ def hits(docs: DataFrame, benchmark: DataFrame, send_limit: int = SEND_LIMIT) ->
     # a pair of texts is compared once, however many fingerprints they share
     train = fingerprints(docs, "doc_id", known).select(F.col("id").alias("doc_id"), "h").distinct()
     train = common.saved(train, "seeds") if known is not None else train
-    pairs = common.saved(train.join(common.small(test.select("h", F.col("id").alias("item_id")).distinct()), "h").select("doc_id", "item_id").distinct(), "pairs")
+    pairs = common.saved(train.join(common.small(test.select("h", F.col("id").alias("item_id")).distinct()), "h")
+        .select("doc_id", "item_id").distinct(), "pairs")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text IS NOT NULL")
-    full = texts.join(common.small(pairs), "doc_id").join(common.small(common.saved(items, "item_texts")), "item_id").select("doc_id", "text", "item_id", "item_text")
-    spans = full.mapInArrow(_extend(GRAM + WINDOW - 1), "doc_id bigint, item_id bigint, doc_word int, item_word int, span_words int, item_words int")
+    full = texts.join(common.small(pairs), "doc_id").join(common.small(common.saved(items, "item_texts")), "item_id").select("doc_id",
+        "text", "item_id", "item_text")
+    spans = full.mapInArrow(_extend(GRAM + WINDOW - 1),
+        "doc_id bigint, item_id bigint, doc_word int, item_word int, span_words int, item_words int")
     best = F.max(F.struct("span_words", (-F.col("doc_word")).alias("d"), (-F.col("item_word")).alias("i"), "item_words")).alias("m")
-    return spans.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("m.d")).alias("doc_word"), (-F.col("m.i")).alias("item_word"), "m.span_words", "m.item_words")
+    return spans.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("m.d")).alias("doc_word"),
+        (-F.col("m.i")).alias("item_word"), "m.span_words", "m.item_words")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -31,13 +31,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>?|<(/?[a-z][a-z0-9:-]*)([^>]*)>|([^<]+|<)", re.I | re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>?|<(/?[a-z][a-z0-9:-]*)([^>]*)>|([^<]+|<)",
+    re.I | re.S)
 _CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _MARKS = re.compile(r"[#~()<>+]")
 _SPACE = re.compile(r"\s+")
 #: Elements whose texts are not content.
 CHROME = frozenset("nav header footer aside title noscript button select form menu template".split())
-CHROME_CLASSES = frozenset("ad ads advert advertisement banner sidebar breadcrumb breadcrumbs nav navbar menu footer header cookie share social".split())
+CHROME_CLASSES = frozenset("ad ads advert advertisement banner sidebar breadcrumb breadcrumbs nav navbar menu footer header cookie share social"
+    .split())
 #: Of these, elements that may also enclose a page's content.
 WRAPS = frozenset("form header aside menu template".split())
 NEVER_WRAPS = frozenset("nav navbar footer breadcrumb breadcrumbs".split())
@@ -403,7 +405,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finish()
         cols = list(zip(*rows)) or [()] * 7
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), _KIND]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["page_id", "url", "host", "layout", "skeleton", "page", "texts"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
+            ["page_id", "url", "host", "layout", "skeleton", "page", "texts"])
 
 
 WRAPPERS = "host string, layout bigint, wrapper string, slots array<int>, chrome array<boolean>"
@@ -415,13 +418,15 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             layouts.sort(key=lambda x: (-x["n"], x["skeleton"]))
             wrapper, slots = infer([x["skeleton"] for x in layouts])
             chrome = [[m == "~#" for m in re.findall(r"~?#", x["skeleton"])] for x in layouts]
-            cols = [pa.array([host] * len(layouts)), pa.array([x["layout"] for x in layouts], pa.int64()), pa.array([wrapper] * len(layouts)), pa.array(slots, pa.list_(pa.int32())), pa.array(chrome, pa.list_(pa.bool_()))]
+            cols = [pa.array([host] * len(layouts)), pa.array([x["layout"] for x in layouts], pa.int64()),
+                pa.array([wrapper] * len(layouts)), pa.array(slots, pa.list_(pa.int32())), pa.array(chrome, pa.list_(pa.bool_()))]
             yield pa.RecordBatch.from_arrays(cols, ["host", "layout", "wrapper", "slots", "chrome"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, host, n_slots, n_template, text) of every page: slots of its wrapper that it fills, those of template, its content."""
-    own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
+        F.col("html").cast("string").alias("html"))
     cut = common.saved(own.mapInArrow(_cut, PARTS), "cut")
     full = cut.where("layout IS NOT NULL")
     layouts = full.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min("skeleton").alias("skeleton"))
@@ -431,13 +436,18 @@ def extract(pages: DataFrame) -> DataFrame:
 
     seen = full.select("host", "layout", "page", F.inline("texts")).groupBy("host", "layout", "place")
     span = lambda d: d.agg(*(f(c).alias(f"{c}_{k}") for c in ("h", "page") for k, f in (("lo", F.min), ("hi", F.max))))
-    again = lambda d: d.agg(*(f(f"{c}_{k}").alias(f"{c}_{k}") for c in ("h", "page") for k, f in (("lo", F.min), ("hi", F.max))))
+    again = lambda d: d.agg(*(f(f"{c}_{k}").alias(f"{c}_{k}") for c in ("h", "page") for k,
+            f in (("lo", F.min), ("hi", F.max))))
     placed = span(seen).join(side, ["host", "layout"]).withColumn("slot", F.element_at("slots", F.col("place") + 1))
-    fixed = again(placed.groupBy("host", "slot")).where("h_lo = h_hi AND page_lo <> page_hi").groupBy("host").agg(F.collect_set("slot").alias("fixed"))
-    plan = wrappers.join(fixed, "host", "left").select("host", "layout", F.size("slots").alias("n_slots"), F.zip_with("slots", "chrome", lambda s, c: F.named_struct(F.lit("fixed"), F.coalesce(F.array_contains("fixed", s), F.lit(False)), F.lit("chrome"), c)).alias("flags"))
+    fixed = again(placed.groupBy("host", "slot")).where("h_lo = h_hi AND page_lo <> page_hi").groupBy("host").agg(F.collect_set("slot")
+        .alias("fixed"))
+    plan = wrappers.join(fixed, "host", "left").select("host", "layout", F.size("slots").alias("n_slots"),
+        F.zip_with("slots", "chrome", lambda s, c: F
+            .named_struct(F.lit("fixed"), F.coalesce(F.array_contains("fixed", s), F.lit(False)), F.lit("chrome"), c)).alias("flags"))
     plan = common.saved(plan, "flags")
     out = cut.join(common.small(plan), ["host", "layout"], "left")
     flag = lambda x: F.element_at("flags", x["place"] + 1)
     kept = F.filter("texts", lambda x: ~flag(x)["fixed"] & ~flag(x)["chrome"])
     text = F.array_join(F.transform(kept, lambda x: x["text"]), "\n")
-    return out.select("page_id", "url", "host", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce(F.size(F.filter("flags", lambda f: f["fixed"])), F.lit(0)).alias("n_template"), text.alias("text"))
+    return out.select("page_id", "url", "host", F.coalesce("n_slots", F.lit(0)).alias("n_slots"),
+        F.coalesce(F.size(F.filter("flags", lambda f: f["fixed"])), F.lit(0)).alias("n_template"), text.alias("text"))

@@ -62,7 +62,8 @@ def brute(train: list[str], text: str) -> float:
 
 @pytest.mark.parametrize("limit", [10**6, 0])
 def test_against_the_definition(spark, limit):
-    texts = ["abracadabra", "abracadabra abracadabra", "the cat sat on the mat", "the dog sat on the log", "é à é à", "aaaaaaaaaaaaaaaa", "", "cadabra"]
+    texts = ["abracadabra", "abracadabra abracadabra", "the cat sat on the mat", "the dog sat on the log", "é à é à", "aaaaaaaaaaaaaaaa",
+        "", "cadabra"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     side = {r.doc_id: r.half for r in df.select("doc_id", context_tree.half(df)).collect()}
     assert set(side.values()) == {0, 1}

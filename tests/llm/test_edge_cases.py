@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from strideway.llm import chat_masks, context_tree, cover_tree, entropy_balance, guess_cost, minmax_dedup, token_store, toxicity, winnowing, wrappers
 
-CLASHING = ["key", "rep", "sig", "label", "node", "h", "at", "id", "n", "z", "rate", "copies", "half", "score", "word", "group_id", "count", "__n", "run", "tokens", "text_"]
+CLASHING = ["key", "rep", "sig", "label", "node", "h", "at", "id", "n", "z", "rate", "copies", "half", "score", "word", "group_id", "count",
+    "__n", "run", "tokens", "text_"]
 LONG = "alpha beta gamma delta " * 12_000 + "password=Zx81qqTv9"
 
 
@@ -74,7 +75,8 @@ def test_toxicity(spark, docs):
 
 def test_winnowing(spark, docs):
     words = " ".join(f"item{i}" for i in range(30))
-    bench = spark.createDataFrame([(1, words, 1), (1, words, 1), (2, None, 1), (None, words, 1), (3, "", 1), (4, "too short", 1)], "item_id bigint, text string, doc_id int")
+    bench = spark.createDataFrame([(1, words, 1), (1, words, 1), (2, None, 1), (None, words, 1), (3, "", 1), (4, "too short", 1)],
+        "item_id bigint, text string, doc_id int")
     more = spark.createDataFrame([(20, "before " + words.upper() + " after"), (21, words[: len(words) // 3])], "doc_id bigint, text string")
     full = docs.select("doc_id", "text").unionByName(more).withColumns({c: F.lit(7) for c in CLASHING})
     assert [tuple(r) for r in winnowing.hits(full, bench).collect()] == [(20, 1, 1, 0, 30, 30)]
@@ -102,8 +104,10 @@ def test_token_store(docs):
 
 
 def test_chat_masks(spark):
-    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 1, "assistant", "yes"), (1, 1, "assistant", "yes"), (1, None, None, "?"), (None, 0, "user", "lost"), (2, 0, "ASSISTANT ", ""), (3, 0, "user", LONG)]
-    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumns({c: F.lit(1) for c in ("turns", "t", "token_ids", "loss_mask")})
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 1, "assistant", "yes"), (1, 1, "assistant", "yes"), (1, None, None, "?"),
+        (None, 0, "user", "lost"), (2, 0, "ASSISTANT ", ""), (3, 0, "user", LONG)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumns({c: F.lit(1)
+            for c in ("turns", "t", "token_ids", "loss_mask")})
     out = {r.conv_id: r for r in chat_masks.format_chats(turns).collect()}
     assert {k: r.n_turns for k, r in out.items()} == {1: 5, 2: 1, 3: 1}
     assert out[3].n_trained == 0 and out[2].n_trained > 0
@@ -113,8 +117,10 @@ def test_chat_masks(spark):
 
 
 def test_cover_tree(spark):
-    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (None, [1.0, 0.0]), (8, [1.0, 0.0, 0.0]), (2, [0.0, 1.0]), (9, [0.0, 3.0])]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumns({c: F.lit(1) for c in ("id", "dim", "vec", "block", "node")})
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]),
+        (7, [None, 1.0]), (None, [1.0, 0.0]), (8, [1.0, 0.0, 0.0]), (2, [0.0, 1.0]), (9, [0.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumns({c: F.lit(1)
+            for c in ("id", "dim", "vec", "block", "node")})
     alone = {(i, i, 0) for i in (3, 4, 5, 6, 7, 8)}
     assert {tuple(r) for r in cover_tree.classes(df).collect()} == {(1, 1, 1), (2, 1, 2), (9, 1, 1)} | alone
     assert cover_tree.classes(empty(df)).count() == 0
@@ -122,8 +128,11 @@ def test_cover_tree(spark):
 
 def test_wrappers(spark):
     page = "<html><body><h1>{}</h1><p>same</p></body></html>"
-    rows = [(1, "http://a.b/1", page.format("one")), (2, "http://a.b/2", page.format("two")), (2, "http://a.b/2", page.format("two")), (3, None, page.format("x")), (4, "http://a.b/3", None), (5, "http://a.b/4", ""), (None, "http://c.d/", page.format("z")), (6, "nonsense", "<p" * 5000), (7, "http://e.f/", "<li>item " * 20_000)]
-    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({c: F.lit(1) for c in ("host", "layout", "texts", "slot", "flags", "n_slots")})
+    rows = [(1, "http://a.b/1", page.format("one")), (2, "http://a.b/2", page.format("two")), (2, "http://a.b/2", page.format("two")),
+        (3, None, page.format("x")), (4, "http://a.b/3", None), (5, "http://a.b/4", ""), (None, "http://c.d/", page.format("z")),
+        (6, "nonsense", "<p" * 5000), (7, "http://e.f/", "<li>item " * 20_000)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({c: F.lit(1)
+            for c in ("host", "layout", "texts", "slot", "flags", "n_slots")})
     out = wrappers.extract(df).collect()
     assert len(out) == len(rows)
     got = {r.page_id: r for r in out}

@@ -38,5 +38,6 @@ def test_long_texts_end():
 
 
 def test_hint_lets_wide_columns_through(spark):
-    docs = spark.createDataFrame([(1, "password" + " " * 20 + "=" + " " * 20 + "Zq8vRt2LmX91kd"), (2, "password: Xk9,mQ2vR7tLp0")], "doc_id bigint, text string")
+    docs = spark.createDataFrame([(1, "password" + " " * 20 + "=" + " " * 20 + "Zq8vRt2LmX91kd"), (2, "password: Xk9,mQ2vR7tLp0")],
+        "doc_id bigint, text string")
     assert sorted((r.doc_id, r.n_chars, r.secret) for r in guess_cost.scan(docs).collect()) == [(1, 14, True), (2, 14, True)]

@@ -41,7 +41,8 @@ def test_against_all_segmentations(value):
 
 @pytest.mark.parametrize(
     ("value", "kinds"),
-    [("password", ["word"]), ("P@ssw0rd", ["word"]), ("qwertyuiop", ["walk"]), ("19840512", ["date"]), ("zkzkzkzk", ["repeat"]), ("8f3a9c", ["guess"])],
+    [("password", ["word"]), ("P@ssw0rd", ["word"]), ("qwertyuiop", ["walk"]), ("19840512", ["date"]), ("zkzkzkzk", ["repeat"]),
+        ("8f3a9c", ["guess"])],
 )
 def test_kinds(value, kinds):
     assert [p[0] for p in guess_cost.cheapest(value, guess_cost.dictionary())[1]] == kinds
@@ -49,7 +50,8 @@ def test_kinds(value, kinds):
 
 def test_contexts():
     text = 'my password=abc, "api_key": "x y" token := \'q\' Authorization: Bearer zzz pass: compass north'
-    assert [(k, v) for _, k, v in guess_cost.values(text)] == [("password", "abc"), ("api_key", "x y"), ("token", "q"), ("authorization", "zzz"), ("pass", "compass")]
+    assert [(k, v) for _, k, v in guess_cost.values(text)] == [("password", "abc"), ("api_key", "x y"), ("token", "q"),
+        ("authorization", "zzz"), ("pass", "compass")]
     assert all(text[p : p + len(v)] == v for p, _, v in guess_cost.values(text))
 
 

@@ -65,9 +65,12 @@ def odd(spark, tmp_path_factory):
     for rows in (ROWS, []):
         d = str(tmp_path_factory.mktemp("odd"))
         docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
-        docs.selectExpr("*", "length(text) AS n_chars", "1 AS rate", "2 AS `__n`", "3 AS `a.b`", "array(map('k', 1)) AS extra").write.parquet(f"{d}/documents.parquet")
-        spark.createDataFrame([(6, 0, 1), (None, 1, 1)] if rows else [], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
-        spark.createDataFrame([(1, ITEM), (None, ITEM), (2, None)] if rows else [], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
+        docs.selectExpr("*", "length(text) AS n_chars", "1 AS rate", "2 AS `__n`", "3 AS `a.b`",
+            "array(map('k', 1)) AS extra").write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(6, 0, 1), (None, 1, 1)] if rows else [],
+            "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([(1, ITEM), (None, ITEM), (2, None)] if rows else [],
+            "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
         out.append(d)
     return out
 

@@ -17,7 +17,8 @@ def test_disguises(match, text):
     assert match([text])[1][0] == 1
 
 
-@pytest.mark.parametrize("text", ["idiot-proof and idiot proof", "the trash can", "guinea pig", "a clown fish", "assess the classic", "piglet", ""])
+@pytest.mark.parametrize("text", ["idiot-proof and idiot proof", "the trash can", "guinea pig", "a clown fish", "assess the classic",
+        "piglet", ""])
 def test_what_is_left_alone(match, text):
     hits = match([text])[1][0]
     assert hits == (1 if text.startswith("idiot-proof") and toxicity.folded("idiot-proof") != toxicity.folded("idiot proof") else 0)

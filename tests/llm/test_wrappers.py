@@ -26,7 +26,8 @@ def test_wrapper_of_a_template():
 
 
 def test_extraction(spark):
-    rows = [(1, "http://h/1", page("one", "abc")), (2, "http://h/2", page("two", "xy", "<div class='note'>hi</div>")), (3, "http://h/3", page("three", "kk"))]
+    rows = [(1, "http://h/1", page("one", "abc")), (2, "http://h/2", page("two", "xy", "<div class='note'>hi</div>")),
+        (3, "http://h/3", page("three", "kk"))]
     out = {r.page_id: r for r in w.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert out[1].text == "one\na\nb\nc" and out[2].text == "two\nhi\nx\ny" and out[3].text == "three\nk\nk"
 
@@ -35,9 +36,12 @@ def test_extraction(spark):
 def test_content_inside_chrome_names(spark, around):
     """An element of a chrome name that encloses the page is none; one beside the content is."""
     wrap = lambda t: f"<html><{around}>{t}</{around.split()[0]}></html>"
-    rows = [(1, "http://h/1", wrap("<h1>a title</h1><p>the first body of some length</p><nav>home</nav>")), (2, "http://h/2", wrap("<h1>other</h1><p>a second body of some length</p><nav>home</nav>")), (3, "http://g/1", "<p>body text that is long enough</p>" + f"<{around}>beside</{around.split()[0]}>")]
+    rows = [(1, "http://h/1", wrap("<h1>a title</h1><p>the first body of some length</p><nav>home</nav>")),
+        (2, "http://h/2", wrap("<h1>other</h1><p>a second body of some length</p><nav>home</nav>")),
+        (3, "http://g/1", "<p>body text that is long enough</p>" + f"<{around}>beside</{around.split()[0]}>")]
     out = {r.page_id: r.text for r in w.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
-    assert out == {1: "a title\nthe first body of some length", 2: "other\na second body of some length", 3: "body text that is long enough"}
+    assert out == {1: "a title\nthe first body of some length", 2: "other\na second body of some length",
+        3: "body text that is long enough"}
 
 
 def brute_content(pages):
