@@ -61,18 +61,36 @@ def share_a_line(a_offset: Column, a_size: Column, b_offset: Column, b_size: Col
         lambda s: (lo(a_offset, s) <= hi(b_offset, b_size, s)) & (lo(b_offset, s) <= hi(a_offset, a_size, s)))
 
 
+def line_limit(offset: Column, size: Column, align: Column, line: int) -> Column:
+    """The offset from which on no later field can share a line with this one, whatever the start: of two fields, the later shares one
+    if it begins below the limit of the earlier."""
+    end = offset + F.greatest(size, F.lit(1)) - 1
+    return end + line - F.array_min(F.transform(_shifts(align, line), lambda s: F.pmod(end + s, F.lit(line))))
+
+
 def line_pairs(fields: DataFrame, key: list[str], order: str, line: int) -> DataFrame:
     """(key, a, b, line_index): unordered pairs of a record's fields that can share a line, with the lowest; an array of at least two
-    elements also pairs with itself. Fields need ``field``, ``offset``, ``size``, ``align`` and ``n_elements``."""
-    side = lambda p: fields.select(*key, *(F.col(c).alias(f"{p}_{c}") for c in (order, "field", "offset", "size")),
-        *([F.col("align")] if p == "a" else []))
-    pairs = side("a").join(side("b"), key).where(F.col(f"a_{order}") < F.col(f"b_{order}"))
-    pairs = pairs.where(share_a_line(F.col("a_offset"), F.col("a_size"), F.col("b_offset"), F.col("b_size"), F.col("align"), line))
-    own = fields.where("n_elements >= 2").select(*key, F.col("field").alias("a"), F.col("field").alias("b"),
-        first_line(F.col("offset"), line).alias("line_index"))
-    at = first_line(F.greatest("a_offset", "b_offset"), line)
-    return pairs.select(*key, F.col("a_field").alias("a"), F.col("b_field").alias("b"),
-        at.alias("line_index")).unionByName(own).groupBy(*key, "a", "b").agg(F.min("line_index").alias("line_index"))
+    elements also pairs with itself. Fields need ``field``, ``offset``, ``size``, ``n_elements`` and ``align``, which is their record's.
+
+    The later field of a pair meets the earlier on the line it begins on: work follows the pairs of near fields, not those of a record.
+    """
+    lo = first_line(F.col("offset"), line)
+    early = fields.select(*key, *(F.col(c).alias(f"a_{c}") for c in (order, "field", "offset")),
+        line_limit(F.col("offset"), F.col("size"), F.col("align"), line).alias("limit"), lo.alias("__lo"))
+    early = early.withColumn("line_index", F.explode(F.sequence(F.col("__lo"), F.floor((F.col("limit") - 1) / line).cast("int")))).drop("__lo")
+    late = fields.select(*key, *(F.col(c).alias(f"b_{c}") for c in (order, "field", "offset")), lo.alias("line_index"))
+    first = F.col(f"a_{order}") < F.col(f"b_{order}")
+    met = early.join(late.hint("merge"), [*key, "line_index"]).where((F.col("b_offset") < F.col("limit"))
+        & ((F.col("a_offset") < F.col("b_offset")) | ((F.col("a_offset") == F.col("b_offset")) & first))
+        & (F.col(f"a_{order}") != F.col(f"b_{order}")))
+    side = lambda p, q: F.when(first, F.col(f"{p}_field")).otherwise(F.col(f"{q}_field"))
+    pairs = met.select(*key, side("a", "b").alias("a"), side("b", "a").alias("b"), "line_index")
+    own = fields.where("n_elements >= 2").select(*key, F.col("field").alias("a"), F.col("field").alias("b"), lo.alias("line_index"))
+    pairs = pairs.unionByName(own)
+    # only names that a record repeats can repeat a pair
+    if fields.groupBy(*key, "field").count().where("count > 1").isEmpty():
+        return pairs
+    return pairs.groupBy(*key, "a", "b").agg(F.min("line_index").alias("line_index"))
 
 
 def escape_score(atomics: Column, volatiles: Column, sync: Column, shared: Column, published: Column, thread_writers: Column,

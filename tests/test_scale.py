@@ -39,3 +39,17 @@ def test_fixpoints_send_no_large_edges(spark, monkeypatch):
             if p in want:
                 want[d] = want.get(d, 0) | want[p]
     assert {r.node: r["mask"] for r in graph.reachable(edges, roots).collect()} == want
+
+
+@pytest.mark.parametrize("align", [1, 8, 24, 64])
+def test_line_pairs_against_all_pairs(spark, align):
+    rng = random.Random(align)
+    rows = [("ab"[k % 2], k // 2 % 37, k, rng.randrange(700), rng.choice((0, 1, 8, 200))) for k in range(90)]
+    df = spark.createDataFrame(rows, "t string, ord int, field int, offset int, size int").withColumns({"align": F.lit(align), "n_elements": F.lit(1)})
+    shifts = [0] if align >= 64 else range(0, 64, align)
+
+    def share(a, b):
+        return any((a[3] + s) // 64 <= (b[3] + s + max(b[4], 1) - 1) // 64 and (b[3] + s) // 64 <= (a[3] + s + max(a[4], 1) - 1) // 64 for s in shifts)
+
+    want = sorted((a[0], a[2], b[2], max(a[3], b[3]) // 64) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and share(a, b))
+    assert sorted(map(tuple, layout.line_pairs(df, ["t"], "ord", 64).collect())) == want
