@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +96,66 @@ def line_pairs(fields: DataFrame, key: list[str], order: str, line: int) -> Data
     return pairs.groupBy(*key, "a", "b").agg(F.min("line_index").alias("line_index"))
 
 
+#: What ``pair_counts`` gives of a record.
+PAIR_COUNTS = "pairs bigint, own_pairs bigint, pair_writers boolean, atomic_pairs bigint, queue_pair boolean, pair_fields string"
+
+
+def pair_counts(fields: DataFrame, key: str, most: int = 64) -> DataFrame:
+    """(key, ``PAIR_COUNTS``): how many pairs of a record's fields can share a line, without the pairs themselves, and the first ``most``.
+
+    ``fields``: key, ord, field, offset, limit (``line_limit``), own (pairs with itself), atomic, known (something writes it), strong (by
+    itself written by several), writer (the only one), head, tail. Names and ``ord`` are unique in a record, and no other value than
+    ``writer`` is null. The fields are sorted by offset, so that those an earlier one can share a line with are a run, of which sums tell all.
+    """
+
+    def count(table: pa.Table) -> pa.Table:
+        col = lambda c: table[c].to_numpy()
+        at = np.lexsort((col("ord"), col("offset")))
+        offset, limit, order = (col(c)[at] for c in ("offset", "limit", "ord"))
+        own, atomic, known, strong, head, tail = (col(c).astype(bool)[at] for c in ("own", "atomic", "known", "strong", "head", "tail"))
+        writer = pc.fill_null(table["writer"].combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)[at]
+        n = len(at)
+        after, end = np.arange(n) + 1, np.searchsorted(offset, limit, side="left")
+        end = np.maximum(end, after)
+
+        def within(x: np.ndarray) -> np.ndarray:
+            sums = np.concatenate([[0], np.cumsum(x.astype(np.int64))])
+            return sums[end] - sums[after]
+
+        # among fields of one known writer: whether it changes between a field and the end of its run
+        named = np.flatnonzero(known & (writer >= 0))
+        change = np.zeros(n, dtype=bool)
+        change[named[1:]] = writer[named[1:]] != writer[named[:-1]]
+        other = (within(change) > 0) & known & (writer >= 0)
+        apart = known & ((strong & (within(known) > 0)) | (within(strong & known) > 0) | other)
+        queue = (head & (within(tail) > 0)) | (tail & (within(head) > 0)) | (own & head & tail)
+        # the first pairs: fields by order, each with its partners of higher order
+        partners = end - after
+        into = np.cumsum(np.bincount(after, minlength=n + 1) - np.bincount(end, minlength=n + 1))[:n]
+        names, said = table["field"].to_pylist(), []
+        for i in np.argsort(order, kind="stable"):
+            if len(said) >= most:
+                break
+            if own[i]:
+                said.append(f"{names[at[i]]}|{names[at[i]]}")
+            if not partners[i] + into[i]:
+                continue
+            meets = np.concatenate([np.arange(after[i], end[i]), np.flatnonzero(end[:i] > i)])
+            meets = meets[order[meets] > order[i]]
+            said.extend(f"{names[at[i]]}|{names[at[j]]}" for j in meets[np.argsort(order[meets], kind="stable")][:most])
+        has = int(partners.sum()) + int(own.sum())
+        out = {
+            key: table[key].slice(0, 1), "pairs": [int(partners.sum())], "own_pairs": [int((own & known & strong).sum())],
+            "pair_writers": [bool(apart.any() or (own & known & strong).any())],
+            "atomic_pairs": [int((within(atomic) * atomic).sum() + (own & atomic).sum())], "queue_pair": [bool(queue.any())],
+            "pair_fields": [";".join(said[:most])],
+        }
+        found = pa.table({k: v if k == key else pa.array(v) for k, v in out.items()})
+        return found if has else found.slice(0, 0)
+
+    return fields.groupBy(key).applyInArrow(count, f"{key} {fields.schema[key].dataType.simpleString()}, {PAIR_COUNTS}")
+
+
 def escape_score(atomics: Column, volatiles: Column, sync: Column, shared: Column, published: Column, thread_writers: Column,
     accessors: Column, escapes: Column) -> Column:
     """How much evidence there is that a record is shared between threads, from 0 to 1."""

@@ -257,7 +257,7 @@ def record_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("l_suppkey") % 3
     writers = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_orderkey % 4 = 0").select(tagged("f", "l_partkey")
         .alias("field"), tagged("w", s).alias("writer"), ((F.col("l_quantity") > 49) & (s == 0)).alias("pool"))
-    writers = writers.join(fields.select("type", "field"), "field")
+    writers = writers.join(fields.select("type", "field").hint("merge"), "field")
     none = spark.createDataFrame([], "type string, escapes boolean, contention double, multi_writer boolean, sync boolean, writes int, beyond_atomics boolean, placement string")
     out = rules.record_summary(heads, fields, none, writers=writers)
     return out.select("type", "atomic_fields", "mutable_fields", "atomic_lines", "writer_lines", "pairs", "atomic_pairs", "own_pairs",

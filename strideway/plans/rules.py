@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideway import schemas as S
+from strideway import storage
 from strideway.functions import text
 from strideway.operators import layout
 from strideway.plans.reduce import HOT_EFFECT, RECEIVER_EFFECT
@@ -87,8 +88,7 @@ def distinct_writers(pairs: DataFrame, writers: DataFrame) -> DataFrame:
 
     ``writers``: type, field, writer, pool. A field that nothing writes tells nothing.
     """
-    w = writers.groupBy("type", "field").agg(F.count_distinct("writer").alias("n"), F.min("writer").alias("w"),
-        F.bool_or("pool").alias("pool"))
+    w = written_by(writers)
     a, b = (w.select("type", F.col("field").alias(c), F.col("n").alias(f"{c}_n"), F.col("w").alias(f"{c}_w"),
             F.col("pool").alias(f"{c}_pool")) for c in ("a", "b"))
     out = pairs.join(a, ["type", "a"], "left").join(b, ["type", "b"], "left")
@@ -104,6 +104,64 @@ def mixed_lines(fields: DataFrame, line: int = 64) -> DataFrame:
     return by.where("a > 0 AND m > a").select("type", "line_index")
 
 
+def written_by(writers: DataFrame) -> DataFrame:
+    """(type, field, n, w, pool): how many functions write a field, the first, and whether several threads run one."""
+    return writers.groupBy("type", "field").agg(F.count_distinct("writer").alias("n"), F.min("writer").alias("w"),
+        F.bool_or("pool").alias("pool"))
+
+
+def _looks(c: Column, names: tuple) -> Column:
+    return F.lower(c).rlike("|".join(names))
+
+
+def field_pairs(can: DataFrame, writers: DataFrame | None, line: int) -> DataFrame:
+    """(type, ``layout.PAIR_COUNTS``) of the fields that can be written, with their record's ``align``.
+
+    Pairs are counted without being listed; only records that repeat a name or a place, or leave one out, list them.
+    """
+    can = storage.saved(can.select("type", "field", "ord", "offset", "size", "align", "n_elements", "atomic"), "fields")
+    missing = F.lit(False)
+    for c in ("field", "ord", "offset", "size", "align"):
+        missing = missing | F.col(c).isNull()
+    n = F.count("*")
+    odd = can.groupBy("type").agg((F.bool_or(missing) | (F.count_distinct("field") < n) | (F.count_distinct("ord") < n)).alias("odd"))
+    odd = storage.saved(odd.where("odd").select("type"), "odd")
+    some = not odd.isEmpty()
+    plain = can.join(storage.small(odd), "type", "left_anti") if some else can
+    if writers is None:
+        plain = plain.withColumns({"known": F.lit(True), "strong": F.lit(True), "writer": F.lit(None).cast("string")})
+    else:
+        by = written_by(writers).withColumnRenamed("w", "writer")
+        plain = plain.join(by.hint("merge"), ["type", "field"], "left").withColumns({"known": F.col("n").isNotNull(),
+                "strong": F.coalesce((F.col("n") > 1) | F.col("pool"), F.lit(False))})
+    counted = layout.pair_counts(plain.select("type", "field", "ord", F.col("offset").cast("bigint").alias("offset"),
+            layout.line_limit(F.col("offset"), F.col("size"), F.col("align"), line).cast("bigint").alias("limit"),
+            (F.col("n_elements") >= 2).alias("own"), F.coalesce("atomic", F.lit(False)).alias("atomic"), "known", "strong",
+            F.col("writer").cast("string").alias("writer"), _looks(F.col("field"), HEAD).alias("head"),
+            _looks(F.col("field"), TAIL).alias("tail")), "type")
+    if not some:
+        return counted
+    return counted.unionByName(_listed_pairs(can.join(storage.small(odd), "type", "left_semi"), writers, line))
+
+
+def _listed_pairs(can: DataFrame, writers: DataFrame | None, line: int) -> DataFrame:
+    """``field_pairs`` by the pairs themselves."""
+    flag = can.select("type", F.col("field").alias("name"), F.col("atomic").alias("is_atomic"), F.col("ord").alias("place"))
+    pairs = layout.line_pairs(can, ["type"], "ord", line)
+    a, b = (flag.select("type", F.col("name").alias(n), F.col("is_atomic").alias(f"{n}_atomic"), F.col("place").alias(f"{n}_ord"))
+        for n in ("a", "b"))
+    pairs = pairs.join(a, ["type", "a"]).join(b, ["type", "b"])
+    pairs = distinct_writers(pairs, writers) if writers is not None else pairs.withColumn("apart", F.lit(True))
+    queue = (_looks(F.col("a"), HEAD) & _looks(F.col("b"), TAIL)) | (_looks(F.col("a"), TAIL) & _looks(F.col("b"), HEAD))
+    return pairs.groupBy("type").agg(
+        F.count(F.when(F.col("a") != F.col("b"), 1)).alias("pairs"),
+            F.count(F.when((F.col("a") == F.col("b")) & F.col("apart"), 1)).alias("own_pairs"), F.bool_or("apart").alias("pair_writers"),
+            F.count(F.when(F.col("a_atomic") & F.col("b_atomic"), 1)).alias("atomic_pairs"), F.bool_or(queue).alias("queue_pair"),
+        F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("a_ord", "b_ord", "a", "b"))),
+                    lambda p: F.concat(p["a"], F.lit("|"), p["b"])), 1, 64), ";").alias("pair_fields"),
+    )
+
+
 def record_summary(records: DataFrame, fields: DataFrame, escapes: DataFrame, line: int = 64,
     writers: DataFrame | None = None) -> DataFrame:
     """One row a record: geometry, field pairs and sharing evidence.
@@ -129,21 +187,7 @@ def record_summary(records: DataFrame, fields: DataFrame, escapes: DataFrame, li
     )
     can = f.where(F.col("mutable") | F.col("atomic"))
     mixed = mixed_lines(f, line).groupBy("type").agg(F.count("*").alias("mixed_lines"))
-    flag = can.select("type", F.col("field").alias("name"), F.col("atomic").alias("is_atomic"), F.col("ord").alias("place"))
-    pairs = layout.line_pairs(can.withColumn("n_elements", F.coalesce("n_elements", F.lit(1))), ["type"], "ord", line)
-    a, b = (flag.select("type", F.col("name").alias(n), F.col("is_atomic").alias(f"{n}_atomic"), F.col("place").alias(f"{n}_ord"))
-        for n in ("a", "b"))
-    pairs = pairs.join(a, ["type", "a"]).join(b, ["type", "b"])
-    pairs = distinct_writers(pairs, writers) if writers is not None else pairs.withColumn("apart", F.lit(True))
-    looks = lambda c, names: F.lower(c).rlike("|".join(names))
-    queue = (looks(F.col("a"), HEAD) & looks(F.col("b"), TAIL)) | (looks(F.col("a"), TAIL) & looks(F.col("b"), HEAD))
-    paired = pairs.groupBy("type").agg(
-        F.count(F.when(F.col("a") != F.col("b"), 1)).alias("pairs"),
-            F.count(F.when((F.col("a") == F.col("b")) & F.col("apart"), 1)).alias("own_pairs"), F.bool_or("apart").alias("pair_writers"),
-            F.count(F.when(F.col("a_atomic") & F.col("b_atomic"), 1)).alias("atomic_pairs"), F.bool_or(queue).alias("queue_pair"),
-        F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("a_ord", "b_ord", "a", "b"))),
-                    lambda p: F.concat(p["a"], F.lit("|"), p["b"])), 1, 64), ";").alias("pair_fields"),
-    )
+    paired = field_pairs(can.withColumn("n_elements", F.coalesce("n_elements", F.lit(1))), writers, line)
     out = records.join(per, "type").join(paired, "type", "left").join(mixed, "type", "left").join(escapes, "type", "left")
     if writers is not None:
         out = out.withColumn("multi_writer", F.coalesce("pair_writers", F.lit(False)))

@@ -41,6 +41,31 @@ def test_fixpoints_send_no_large_edges(spark, monkeypatch):
     assert {r.node: r["mask"] for r in graph.reachable(edges, roots).collect()} == want
 
 
+@pytest.mark.parametrize("line", [64, 128])
+def test_pairs_of_a_record_are_counted_as_listed(spark, line):
+    rng = random.Random(line)
+    names = ("head", "tail", "x", "pushed", "front")
+    rows, writers = [], []
+    for t in range(12):
+        for k in range(rng.randrange(1, 25)):
+            field = f"{rng.choice(names)}{k}"
+            rows.append((f"t{t}", field, rng.randrange(10**6) * 100 + k, rng.randrange(400), rng.choice((0, 1, 8, 24, 90)), (1, 4, 8, 64, 24)[t % 5], rng.choice((1, 1, 3)),
+                    rng.choice((True, False, None))))
+            writers += [(f"t{t}", field, rng.choice(("w", "v", None)), rng.random() < 0.1) for _ in range(rng.choice((0, 0, 1, 1, 2)))]
+    rows.append(("twice", "a", 1, 0, 8, 8, 1, True))
+    rows.append(("twice", "a", 2, 8, 8, 8, 1, True))
+    rows.append(("twice", "b", 2, 8, 8, 8, 2, True))
+    rows.append(("none", None, None, 0, 8, 8, 2, True))
+    can = spark.createDataFrame(rows, "type string, field string, ord int, offset int, size int, align int, n_elements int, atomic boolean")
+    by = spark.createDataFrame(writers, "type string, field string, writer string, pool boolean")
+    for w in (by, None):
+        want = {r.type: r for r in rules._listed_pairs(can, w, line).collect()}
+        got = {r.type: r for r in rules.field_pairs(can, w, line).collect()}
+        assert got.keys() == want.keys() and len(got) > 8
+        for t, r in want.items():
+            assert tuple(got[t][c] for c in want[t].__fields__) == tuple(r), t
+
+
 @pytest.mark.parametrize("align", [1, 8, 24, 64])
 def test_line_pairs_against_all_pairs(spark, align):
     rng = random.Random(align)
