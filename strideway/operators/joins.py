@@ -7,6 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +17,9 @@ from pyspark.sql import functions as F
 from strideway import storage
 from strideway.functions import text
 
+#: Rows of a block of vectors, of which a task takes two.
+BLOCK = 2048
+
 
 def glob_join(df: DataFrame, column: str, patterns: Sequence[tuple[str, str]], name: str = "pattern") -> DataFrame:
     """A row for each (row, pattern) that matches; patterns are (name, glob) and few, so that each is a literal of the plan."""
@@ -123,6 +129,64 @@ def radius_join(a: DataFrame, b: DataFrame, key: list[str], left: str, right: st
     return l_side.alias("l").join(r_side.alias("r"), cond, how)
 
 
+def radius_pairs(df: DataFrame, key: list[str], ident: str, vector: str, radius: float) -> DataFrame:
+    """(a, b): all pairs of one class, a < b, whose vectors are of one size and at most ``radius`` apart, for vectors that no grid parts.
+
+    A class is dealt to blocks of about ``BLOCK`` rows, and a task takes the rows of two: memory is bounded, and the products of blocks
+    are matrix products. What lies at the border within their error is worked out again, term by term.
+    """
+    kind = df.schema[ident].dataType.simpleString()
+    rows = df.where(~F.exists(vector, lambda x: x.isNull()) & F.col(ident).isNotNull())
+    rows = rows.select(*(F.col(k).alias(f"__k{n}") for n, k in enumerate(key)), F.size(vector).alias("__d"), F.col(ident).alias("id"),
+        F.col(vector).cast("array<double>").alias("v"))
+    by = [f"__k{n}" for n in range(len(key))]
+    for k in by:
+        rows = rows.where(F.col(k).isNotNull())
+    rows, by = storage.saved(rows, "vectors"), [*by, "__d"]
+    count = rows.groupBy(*by).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("__n"))
+    dealt = rows.join(storage.small(storage.saved(count, "blocks")), by).withColumn("__b", F.pmod(F.xxhash64("id"), F.col("__n")).cast("int"))
+    # a row goes to each task that takes its block and another
+    tasks = F.transform(F.sequence(F.lit(0), F.col("__n") - 1),
+        lambda o: F.struct(F.least(o, F.col("__b")).alias("i"), F.greatest(o, F.col("__b")).alias("j")))
+    dealt = dealt.withColumn("__t", F.explode(tasks)).select(*by, "__t.i", "__t.j", "__b", "id", "v")
+    limit = radius * radius if radius > 0 else 0.0
+
+    def near(table: pa.Table) -> pa.Table:
+        ids, block = table["id"].combine_chunks(), table["__b"].to_numpy()
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        flat = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        v = flat.reshape(len(table), -1) if len(flat) else np.zeros((len(table), 0))
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        found_a, found_b = [], []
+        with np.errstate(all="ignore"):
+            long = np.einsum("ij,ij->i", v, v)
+            for start in range(0, len(left), 512):
+                part = left[start : start + 512]
+                scale = long[part][:, None] + long[right][None, :]
+                d = scale - 2.0 * (v[part] @ v[right].T)
+                hit = d <= limit
+                x, y = np.nonzero(~(np.abs(d - limit) > 1e-9 * (scale + limit)) | ~np.isfinite(d))
+                for at in range(0, len(x), 65536):
+                    p, q = x[at : at + 65536], y[at : at + 65536]
+                    s = np.zeros(len(p))
+                    for k in range(v.shape[1]):
+                        s += (v[part[p], k] - v[right[q], k]) ** 2
+                    hit[p, q] = s <= limit
+                p, q = np.nonzero(hit)
+                found_a.append(part[p])
+                found_b.append(right[q])
+        a, b = (np.concatenate(f) if f else np.zeros(0, dtype=np.int64) for f in (found_a, found_b))
+        if i == j:  # each pair was met from both ends
+            once = pc.less(ids.take(pa.array(a)), ids.take(pa.array(b))).to_numpy(zero_copy_only=False)
+            a, b = a[once], b[once]
+        x, y = ids.take(pa.array(a)), ids.take(pa.array(b))
+        swap, same = pc.greater(x, y), pc.equal(x, y)
+        out = pa.table({"a": pc.if_else(swap, y, x), "b": pc.if_else(swap, x, y)})
+        return out.filter(pc.invert(same))
+
+    return dealt.groupBy(*by, "i", "j").applyInArrow(near, f"a {kind}, b {kind}")
+
+
 def ranked_lookup(df: DataFrame, key: list[str], candidates: Sequence[tuple[int, DataFrame, Column]], tie: list[Column],
     columns: list[str]) -> DataFrame:
     """Each row with the columns of its best candidate: least rank, then ``tie``; nulls without one.

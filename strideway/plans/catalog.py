@@ -240,8 +240,7 @@ def asof_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_sum(list_transform(list_zip(a.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) <= 1.69""")
 def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    return joins.radius_join(e, e, ["label"], "v", "v", 1.3).where("l.vec_id < r.vec_id").select(F.col("l.vec_id").alias("a"),
-        F.col("r.vec_id").alias("b"))
+    return joins.radius_pairs(e, ["label"], "vec_id", "v", 1.3)
 
 
 @query("""WITH s AS (SELECT count(l_extendedprice) FILTER (WHERE l_returnflag = 'A') AS n_c, avg(l_extendedprice) FILTER (WHERE l_returnflag = 'A') AS mean_c, stddev_pop(l_extendedprice) FILTER (WHERE l_returnflag = 'A') AS sd_c,

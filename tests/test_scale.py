@@ -78,3 +78,16 @@ def test_line_pairs_against_all_pairs(spark, align):
 
     want = sorted((a[0], a[2], b[2], max(a[3], b[3]) // 64) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and share(a, b))
     assert sorted(map(tuple, layout.line_pairs(df, ["t"], "ord", 64).collect())) == want
+
+
+@pytest.mark.parametrize("block", [7, 2048])
+def test_radius_pairs_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(joins, "BLOCK", block)
+    rng = random.Random(4)
+    rows = [(i, "ab"[i % 2], [rng.choice((-1.0, -0.5, 0.0, 0.5)) for _ in range(rng.choice((2, 3)))]) for i in range(120)]
+    rows += [(200, "a", None), (201, "a", [0.0, None]), (202, None, [0.0, 0.0]), (203, "b", [float("nan"), 0.0]), (204, "a", []), (205, "a", [])]
+    df = spark.createDataFrame(rows, "id int, cls string, v array<double>")
+    for radius in (0.0, 0.5, 5.0):
+        near = lambda x, y: x is not None and y is not None and None not in x + y and len(x) == len(y) and sum((a - b) ** 2 for a, b in zip(x, y)) <= radius * radius  # noqa: E731, B023
+        want = sorted((a, b) for a, c, v in rows for b, d, w in rows if a < b and c == d and c and near(v, w))
+        assert sorted(map(tuple, joins.radius_pairs(df, ["cls"], "id", "v", radius).collect())) == want
