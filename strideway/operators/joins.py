@@ -107,26 +107,43 @@ def radius_join(a: DataFrame, b: DataFrame, key: list[str], left: str, right: st
     axes: int = 2) -> DataFrame:
     """Pairs of one class whose vectors are at most ``radius`` apart; ``how`` may be ``left_anti`` to drop what has a neighbour.
 
-    Vectors meet in the cells of a grid as wide as the radius: near vectors have near lengths, and near coordinates on the first ``axes``
-    axes. The right side is listed in the cells next to its own too, so that the join is an equality, and each pair meets once.
+    Vectors meet in the cells of a grid twice as wide as the radius: near vectors have near lengths, and near coordinates on the first
+    ``axes`` axes. The right side is listed in every cell that its radius touches, so that the join is an equality, and each pair meets
+    once. To drop rows only different vectors count: those of the right are sent if all their cells are small, else those of the left meet
+    them by shuffle, and the rows are dropped by their vectors.
     """
     if radius <= 0:
         radius = 0.0
-    wide = max(float(radius), 1e-12)
+    reach = float(radius) * (1 + 1e-6)
+    wide = 2 * max(float(radius), 1e-12)
     step = lambda v: F.floor(v / F.lit(wide)).cast("bigint")
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    at = lambda c: [step(norm(F.col(c))),
-        *(step(F.coalesce(F.get(F.col(c), F.lit(k)), F.lit(0.0)).cast("double")) for k in range(axes))]
+    at = lambda c: [norm(F.col(c)), *(F.coalesce(F.get(F.col(c), F.lit(k)), F.lit(0.0)).cast("double") for k in range(axes))]
     cells = [f"__g{k}" for k in range(axes + 1)]
-    l_side, r_side = a, b
-    for c, v in zip(cells, at(left)):
-        l_side = l_side.withColumn(c, v)
-    for c, v in zip(cells, at(right)):
-        r_side = r_side.withColumn(c, F.explode(F.array(v - 1, v, v + 1)))
+
+    def sides(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+        for c, v in zip(cells, at(left)):
+            a = a.withColumn(c, step(v))
+        for c, v in zip(cells, at(right)):
+            b = b.withColumn(c, F.explode(F.sequence(step(v - reach), step(v + reach))))
+        return a.alias("l"), b.alias("r")
+
     cond = squared_distance(F.col(f"l.{left}"), F.col(f"r.{right}")) <= radius * radius
     for k in [*key, *cells]:
         cond = cond & (F.col(f"l.{k}") == F.col(f"r.{k}"))
-    return l_side.alias("l").join(r_side.alias("r"), cond, how)
+    if how != "left_anti":
+        l_side, r_side = sides(a, b)
+        return l_side.join(r_side.hint("merge"), cond, how)
+    b = storage.saved(b.select(*key, right).distinct(), "points")
+    if storage.sent_bytes(b) << (axes + 1) <= storage.SENT_BYTES:
+        l_side, r_side = sides(a, b)
+        return l_side.join(F.broadcast(r_side), cond, how)
+    l_side, r_side = sides(a.where(F.col(left).isNotNull()).select(*key, left).distinct(), b)
+    near = l_side.join(r_side.hint("merge"), cond, "left_semi").select(*(F.col(c).alias(f"__near_{c}") for c in [*key, left]))
+    same = F.lit(True)
+    for c in [*key, left]:
+        same = same & (F.col(c) == F.col(f"__near_{c}"))
+    return a.join(storage.small(storage.saved(near, "near")), same, how)
 
 
 def radius_pairs(df: DataFrame, key: list[str], ident: str, vector: str, radius: float) -> DataFrame:

@@ -529,8 +529,7 @@ def calibration_suppression(df: DataFrame, registry: DataFrame, radius: float =
     safe = (F.col("severity") >= S.HIGH) & (F.col("tier") == S.PROVEN)
     a = df.withColumn("__f", F.when(~safe, features())).withColumn("__cls", hazard_class(False))
     r = registry.where(F.col("refutations") >= least).select(F.col("cls").alias("__cls"), "features")
-    return joins.radius_join(a, storage.small(storage.saved(r, "registry")), ["__cls"], "__f", "features", radius,
-        "left_anti").select(df.columns)
+    return joins.radius_join(a, r, ["__cls"], "__f", "features", radius, "left_anti").select(df.columns)
 
 
 def blended_confidence(df: DataFrame, priors: DataFrame) -> DataFrame:

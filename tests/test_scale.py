@@ -91,3 +91,17 @@ def test_radius_pairs_against_all_pairs(spark, monkeypatch, block):
         near = lambda x, y: x is not None and y is not None and None not in x + y and len(x) == len(y) and sum((a - b) ** 2 for a, b in zip(x, y)) <= radius * radius  # noqa: E731, B023
         want = sorted((a, b) for a, c, v in rows for b, d, w in rows if a < b and c == d and c and near(v, w))
         assert sorted(map(tuple, joins.radius_pairs(df, ["cls"], "id", "v", radius).collect())) == want
+
+
+def test_points_by_shuffle_drop_the_same_rows(spark, monkeypatch):
+    rng = random.Random(5)
+    point = lambda: [rng.uniform(-1, 1) for _ in range(3)]
+    rows = [(i, "ab"[i % 2], point() if i % 9 else None) for i in range(200)]
+    points = [("ab"[i % 2], point()) for i in range(30)] * 3
+    a = spark.createDataFrame(rows, "id int, cls string, v array<double>")
+    b = spark.createDataFrame(points, "cls string, w array<double>")
+    want = sorted(i for i, c, v in rows if v is None or not any(c == d and sum((x - y) ** 2 for x, y in zip(v, w)) <= 0.16 for d, w in points))
+    for most in (storage.SENT_BYTES, 0):
+        monkeypatch.setattr(storage, "SENT_BYTES", most)
+        out = joins.radius_join(a, b, ["cls"], "v", "w", 0.4, "left_anti")
+        assert sorted(r.id for r in out.collect()) == want and 0 < len(want) < 200
