@@ -261,27 +261,38 @@ def resolved_profiles(wanted: DataFrame, profiles: DataFrame) -> DataFrame:
     By mangled name, else exact demangled name, else component match, else that of the name without anonymous namespaces, else a line in
     a file of which one path ends with the other; of equals the lowest mangled name. Only the last component of names is joined on.
     """
-    bare = F.replace("name", F.lit(ANONYMOUS), F.lit(""))
     last = lambda c: F.substring_index(c, "::", -1)
-    own = storage.saved(wanted.withColumn("bare", bare)
-        .withColumns({"piece": last("name"), "bare_piece": last("bare"), "base": text.base_name(F.col("file"))}), "wanted")
+    measures = [c for c in profiles.columns if c not in ("demangled", "file", "line")]
+    own = storage.saved(wanted, "wanted")
     p = storage.saved(profiles.withColumn("base", text.base_name(F.col("file"))), "profiles")
+    best = lambda df, of, rank: df.groupBy(*of).agg(F.min_by(F.struct(*measures), F.struct(F.col(rank), F.col("mangled"))).alias("__found"))
+    # a name alone decides all ranks but the last, a file and line alone the last: neither is repeated for each wanted row
+    names = own.where("name <> ''").select("name").distinct().withColumn("bare", F.replace("name", F.lit(ANONYMOUS), F.lit("")))
+    names = storage.saved(names.withColumns({"piece": last("name"), "bare_piece": last("bare")}), "names")
     pieces = storage.saved(p.withColumn("piece", F.explode(_pieces(F.col("demangled")))), "pieces")
     left, right = (lambda c, side=side: F.col(f"{side}.{c}") for side in "lr")
-    named = left("name") != ""
-    ends = lambda a, b: F.endswith(a, F.concat(F.lit("/"), b))
-    same_file = (left("file") == right("file")) | ends(left("file"), right("file")) | ends(right("file"), left("file"))
     candidates = [
-        (0, p, named & (left("name") == right("mangled"))),
-        (1, p, named & (left("name") == right("demangled"))),
+        (0, p, left("name") == right("mangled")),
+        (1, p, left("name") == right("demangled")),
         (2, pieces, (left("piece") == right("piece")) & _within(right("demangled"), left("name"))),
         (3, pieces, (left("bare") != left("name")) & (left("bare_piece") == right("piece")) & _within(right("demangled"), left("bare"))),
-        (4, p, (left("base") == right("base")) & (left("line") == right("line")) & (left("line") > 0) & (left("file") != "")
-            & (right("file") != "") & same_file),
     ]
-    measures = [c for c in profiles.columns if c not in ("demangled", "file", "line")]
-    out = joins.ranked_lookup(own, ["name", "file", "line"], candidates, [F.col("mangled")], measures)
-    return out.select("name", "file", "line", *measures)
+    found = None
+    for rank, table, cond in candidates:
+        part = names.alias("l").join(table.alias("r").hint("merge"), cond).select(left("name"), F.lit(rank).alias("rank"),
+            *(right(c) for c in measures))
+        found = part if found is None else found.unionByName(part)
+    by_name = storage.saved(best(found, ["name"], "rank"), "by_name")
+    # of the profiles of one place the lowest name stands for all
+    spots = storage.saved(best(p.where("line > 0 AND file <> ''").withColumn("rank", F.lit(4)), ["base", "file", "line"], "rank"), "spots")
+    places = own.where("line > 0 AND file <> ''").select("file", "line").distinct().withColumn("base", text.base_name(F.col("file")))
+    ends = lambda a, b: F.endswith(a, F.concat(F.lit("/"), b))
+    same_file = (left("file") == right("file")) | ends(left("file"), right("file")) | ends(right("file"), left("file"))
+    met = places.alias("l").join(spots.alias("r"), (left("base") == right("base")) & (left("line") == right("line")) & same_file)
+    by_place = met.groupBy(left("file"), left("line")).agg(F.min_by("__found", "__found.mangled").alias("__at"))
+    out = own.join(storage.small(by_name), "name", "left").join(storage.small(storage.saved(by_place, "by_place")), ["file", "line"], "left")
+    one = F.coalesce("__found", "__at")
+    return out.select("name", "file", "line", *(one[c].alias(c) for c in measures))
 
 
 def refined(findings: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -105,3 +105,10 @@ def test_points_by_shuffle_drop_the_same_rows(spark, monkeypatch):
         monkeypatch.setattr(storage, "SENT_BYTES", most)
         out = joins.radius_join(a, b, ["cls"], "v", "w", 0.4, "left_anti")
         assert sorted(r.id for r in out.collect()) == want and 0 < len(want) < 200
+
+
+def test_profiles_of_one_place_are_met_once(spark):
+    wanted = spark.range(4000).selectExpr("concat('n', id) AS name", "'/r/src/a.cpp' AS file", "3 AS line")
+    profiles = spark.range(4000).selectExpr("lpad(id + 5, 6, '0') AS mangled", "concat('d', id) AS demangled", "'src/a.cpp' AS file", "3 AS line", "id AS calls")
+    out = calls.resolved_profiles(wanted, profiles)
+    assert out.where("mangled = '000005' AND calls = 0").count() == 4000
