@@ -45,6 +45,10 @@ def running_budget(df: DataFrame, key: list[str], order: list[Column], limit: Co
     return out.withColumn(demoted, over & (F.col("__one") == 1)).select(*df.columns, running, demoted)
 
 
+#: Bits of the rows of a chunk whose runs are numbered together.
+CHUNK = 18
+
+
 def islands(df: DataFrame, key: list[str], order: list[Column], same: list[str], run: str = "run") -> DataFrame:
     """Numbers the runs of rows, in order within a key, that agree in the columns ``same``."""
     w = W.partitionBy(*key).orderBy(*order)
@@ -55,6 +59,26 @@ def islands(df: DataFrame, key: list[str], order: list[Column], same: list[str],
         F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("bigint")).drop("__new")
 
 
+def split_islands(df: DataFrame, key: list[str], seq: str, same: list[str], run: str = "run") -> DataFrame:
+    """``islands`` of rows in the order of ``seq``, a ``monotonically_increasing_id``, however many rows a key has.
+
+    Chunks of rows number their own runs; a row a chunk then says how many runs there were before it, and whether its
+    first goes on with the last of the one before.
+    """
+    held = storage.saved(df.withColumn("__part", F.shiftright(seq, CHUNK)), "rows")
+    at = ["__part", *key]
+    parts = islands(held, at, [F.col(seq)], same, "__own")
+    ends = held.groupBy(*at).agg(F.min_by(F.struct(*same), seq).alias("__first"), F.max_by(F.struct(*same), seq).alias("__last"))
+    runs = storage.saved(parts, "runs")
+    ends = ends.join(runs.groupBy(*at).agg(F.max("__own").alias("__n")), at)
+    before = W.partitionBy(*key).orderBy("__part")
+    goes_on = F.coalesce(F.lag("__last").over(before).eqNullSafe(F.col("__first")) & F.lag(F.lit(True)).over(before), F.lit(False))
+    ends = ends.withColumn("__joined", goes_on.cast("bigint"))
+    ends = ends.withColumn("__before", F.sum(F.col("__n") - F.col("__joined")).over(before.rowsBetween(W.unboundedPreceding, 0)) - F.col("__n"))
+    ends = storage.saved(ends.select(*at, "__before"), "ends")
+    return runs.join(storage.small(ends), at).withColumn(run, F.col("__own") + F.col("__before")).select(*df.columns, run)
+
+
 def stratified_sample(df: DataFrame, strata: list[str], key: str, n: int, seed: str) -> DataFrame:
     """``n`` rows of each stratum, those with the least digest of seed, stratum and key, whatever the partitions are."""
     digest = F.md5(F.concat_ws("|", F.lit(seed), *(F.col(c).cast("string") for c in [*strata, key])))

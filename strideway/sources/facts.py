@@ -221,7 +221,7 @@ def pmu_trace(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.select("f", "seq", F.col("c")[0].alias("fn"), F.col("c")[1].alias("file"), F.col("c")[2].try_cast("int").alias("line"),
         F.col("c")[3].alias("counter"), F.col("c")[4].try_cast("bigint").alias("value"),
         F.coalesce(F.get("c", F.lit(5)).try_cast("bigint"), F.lit(0)).alias("duration_ns"))
-    out = ranking.islands(rows.where("value IS NOT NULL"), ["f"], [F.col("seq")], ["fn", "line"], "record")
+    out = ranking.split_islands(rows.where("value IS NOT NULL"), ["f"], "seq", ["fn", "line"], "record")
     return out.select(F.concat_ws("#", "f", "record").alias("record"), "fn", "file", "line", "counter", "value", "duration_ns")
 
 

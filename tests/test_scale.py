@@ -112,3 +112,12 @@ def test_profiles_of_one_place_are_met_once(spark):
     profiles = spark.range(4000).selectExpr("lpad(id + 5, 6, '0') AS mangled", "concat('d', id) AS demangled", "'src/a.cpp' AS file", "3 AS line", "id AS calls")
     out = calls.resolved_profiles(wanted, profiles)
     assert out.where("mangled = '000005' AND calls = 0").count() == 4000
+
+
+@pytest.mark.parametrize("parts", [1, 5, 40])
+def test_runs_over_partitions(spark, parts):
+    rng = random.Random(parts)
+    rows = [(f"k{rng.randrange(2)}", i, rng.choice((None, "a", "a", "b")), rng.randrange(2)) for i in range(160)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "k string, i int, a string, b int").withColumn("seq", F.monotonically_increasing_id())
+    want = sorted(map(tuple, ranking.islands(df, ["k"], [F.col("i")], ["a", "b"]).collect()), key=str)
+    assert sorted(map(tuple, ranking.split_islands(df, ["k"], "seq", ["a", "b"]).collect()), key=str) == want
