@@ -161,10 +161,18 @@ def facts_of(records: DataFrame) -> dict[str, DataFrame]:
     flags = dict(zip(S.SIGNAL_FLAGS, ["a", "s", "o", "v", "p", "tw", "gi", "tb", "sw", "l"]))
     signals = records.select(F.explode("escapeSummary").alias("type", "x")).select("type",
         *(is_(f"x.{k}").alias(f) for f, k in flags.items()), F.col("x.n").alias("accessors"))
-    edges = records.select("threadRoles", F.explode("threadRoles.edges").alias("src", "dsts")).select("threadRoles", "src",
-        F.explode("dsts").alias("dst"))
-    edges = edges.select("src", "dst", F
-        .coalesce(F.try_element_at(F.try_element_at("threadRoles.edgeDepth", F.col("src")), F.col("dst")), F.lit(0)).alias("loop_depth"))
+    # callees and depths of a record are laid side by side: no row carries its record, and none looks through it
+    callers = F.concat(
+        F.transform(F.coalesce(F.map_entries("threadRoles.edges"), F.array()),
+            lambda e: F.struct(e["key"].alias("src"), e["value"].alias("dsts"), F.lit(None).cast("map<string,int>").alias("deep"))),
+        F.transform(F.coalesce(F.map_entries("threadRoles.edgeDepth"), F.array()),
+            lambda e: F.struct(e["key"].alias("src"), F.lit(None).cast("array<string>").alias("dsts"), e["value"].alias("deep"))))
+    edges = records.withColumn("__unit", F.monotonically_increasing_id()).select("__unit", F.inline(callers))
+    callees = F.concat(
+        F.transform(F.coalesce("dsts", F.array()), lambda d: F.struct(d.alias("dst"), F.lit(None).cast("int").alias("depth"))),
+        F.transform(F.coalesce(F.map_entries("deep"), F.array()), lambda e: F.struct(e["key"].alias("dst"), e["value"].alias("depth"))))
+    edges = edges.select("__unit", "src", F.col("dsts").isNotNull().alias("called"), F.inline(callees))
+    edges = edges.groupBy("__unit", "src", "dst").agg(F.bool_or("called").alias("called"), F.coalesce(F.max("depth"), F.lit(0)).alias("loop_depth")).where("called")
     striped = records.select(F.explode("striped").alias("key", "x")).select(
         "key", F.col("x.n").alias("name"), F.col("x.t").alias("type"), F.col("x.f").alias("file"), F.col("x.l").alias("line"),
             F.col("x.es").alias("elem_size"), F.col("x.ec").alias("elem_count"), F.col("x.al").alias("decl_align"),

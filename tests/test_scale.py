@@ -114,6 +114,15 @@ def test_profiles_of_one_place_are_met_once(spark):
     assert out.where("mangled = '000005' AND calls = 0").count() == 4000
 
 
+def test_depths_count_in_their_own_unit(spark):
+    one = '{"src": "%s", "threadRoles": {"edges": {"f": ["g", "h"], "k": []}, "edgeDepth": {%s}}}'
+    lines = [one % ("a", '"f": {"g": 2, "lost": 4}, "z": {"g": 1}'), one % ("b", '"f": {"g": 3}'), '{"src": "c", "threadRoles": {"edges": {"f": ["lost"]}}}', '{"src": "d"}']
+    path = storage.place(spark, "units")
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(path)
+    got = facts.facts_of(facts.shards(spark, path)[0])["edges"]
+    assert sorted(map(tuple, got.collect())) == [("f", "g", 3), ("f", "h", 0), ("f", "lost", 0)]
+
+
 @pytest.mark.parametrize("parts", [1, 5, 40])
 def test_runs_over_partitions(spark, parts):
     rng = random.Random(parts)
