@@ -52,7 +52,7 @@ def leading_number(value: Column) -> Column:
 
 def evidence_text(evidence: Column) -> Column:
     """A map as ``k=v; k=v`` in order of its keys."""
-    return F.array_join(F.transform(F.array_sort(F.map_entries(evidence)),
+    return F.array_join(F.transform(F.sort_array(F.map_entries(evidence)),
             lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), "; ")
 
 

@@ -90,18 +90,30 @@ def survivors_n(df: DataFrame, key: list[str], order: list[Column], n: int) -> D
     return df.withColumn("__rn", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where(F.col("__rn") <= n).drop("__rn")
 
 
-def ordinal(df: DataFrame, order: list[Column], name: str = "ord") -> DataFrame:
-    """Numbers all rows from 1 by a global order without bringing them to one place.
+def _worked_out(c: Column) -> bool:
+    """Whether a part of an order is an expression, neither a column of the table nor one with a direction."""
+    return c._jc.node().getClass().getSimpleName() not in ("UnresolvedAttribute", "SortOrder")
+
+
+def keyed(df: DataFrame, order: list[Column]) -> tuple[DataFrame, list[Column]]:
+    """``df`` with a column for each expression of the order, and the order by these: a sort works an expression out again for every two rows that it compares."""
+    made = {f"__by{i}": c for i, c in enumerate(order) if _worked_out(c)}
+    return df.withColumns(made) if made else df, [F.col(k) if (k := f"__by{i}") in made else c for i, c in enumerate(order)]
+
+
+def ordinal(df: DataFrame, order: list[Column], name: str = "ord", columns: list[str] | None = None) -> DataFrame:
+    """Numbers all rows, or ``columns`` of them, from 1 by a global order without bringing them to one place.
 
     The rows are range-partitioned and sorted once and written; the partitions' sizes then give each its offset.
     """
+    rows, by = keyed(df, order)
+    sorted_ = rows.orderBy(*by).select(*(columns or df.columns), F.monotonically_increasing_id().alias("__id"))
+    sorted_ = storage.saved(sorted_, "ordered")
     part = F.shiftright("__id", 33)
-    sorted_ = storage.saved(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()), "ordered")
-    sizes = sorted_.groupBy(part.alias("__part")).count().orderBy("__part").collect()
+    sizes = {r["part"]: r["count"] for r in sorted_.groupBy(part.alias("part")).count().collect()}
     offsets, total = [], 0
-    for r in sizes:
-        offsets.append((r["__part"], total))
-        total += r["count"]
-    side = F.broadcast(df.sparkSession.createDataFrame(offsets, "__part bigint, __offset bigint"))
-    place = F.col("__id") - F.shiftleft(part, 33) + F.col("__offset") + 1
-    return sorted_.withColumn("__part", part).join(side, "__part").withColumn(name, place).drop("__id", "__part", "__offset")
+    for p in range(max(sizes, default=0) + 1):
+        offsets.append(F.lit(total).cast("bigint"))
+        total += sizes.get(p, 0)
+    place = F.col("__id") - F.shiftleft(part, 33) + F.get(F.array(*offsets), part.cast("int")) + 1
+    return sorted_.withColumn(name, place).drop("__id")

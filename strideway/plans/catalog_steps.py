@@ -394,7 +394,7 @@ def canonical_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT rule, file, line, severity, CAST(row_number() OVER (ORDER BY severity DESC, file, line, rule, confidence, tier, ev, esc) AS BIGINT) AS ord FROM ({_LINES})""")
 def output_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R19."""
-    return ranking.ordinal(lineitem_findings(spark, sf_dir), reduce.output_order()).select("rule", "file", "line", "severity", "ord")
+    return ranking.ordinal(lineitem_findings(spark, sf_dir), reduce.output_order(), columns=["rule", "file", "line", "severity"])
 
 
 @query("""SELECT regexp_extract(html, 'lang="([^"]*)"', 1) || '.h' AS fingerprint, CAST(count(*) AS BIGINT) AS n FROM pages WHERE regexp_matches(html, 'lang="([^"]+)"') GROUP BY 1 HAVING count(*) >= 3""")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strideway import storage
+from strideway.functions import text
 from strideway.operators import calls, graph, joins, layout, ranking
 from strideway.plans import rules
 from strideway.sources import facts
@@ -130,3 +131,21 @@ def test_runs_over_partitions(spark, parts):
     df = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "k string, i int, a string, b int").withColumn("seq", F.monotonically_increasing_id())
     want = sorted(map(tuple, ranking.islands(df, ["k"], [F.col("i")], ["a", "b"]).collect()), key=str)
     assert sorted(map(tuple, ranking.split_islands(df, ["k"], "seq", ["a", "b"]).collect()), key=str) == want
+
+
+def test_a_sort_compares_columns_only(spark, monkeypatch):
+    plans = []
+    keep = storage.saved
+    monkeypatch.setattr(storage, "saved", lambda df, name: plans.append(plan(df)) or keep(df, name))
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(3), {k: rng.choice("ab") for k in rng.sample(["x", "y", "xy", "z"], rng.randrange(4))}) for i in range(90)]
+    df = spark.createDataFrame(rows, "i int, n int, evidence map<string,string>").repartition(5)
+    said = lambda e: "; ".join(f"{k}={e[k]}" for k in sorted(e))
+    for columns in (None, ["i"]):
+        out = ranking.ordinal(df, [F.col("n").desc(), text.evidence_text(F.col("evidence")), F.col("i")], columns=columns)
+        assert out.columns == [*(columns or df.columns), "ord"]
+        assert [r.i for r in out.orderBy("ord").collect()] == [r[0] for r in sorted(rows, key=lambda r: (-r[1], said(r[2]), r[0]))]
+        assert sorted(r.ord for r in out.collect()) == list(range(1, 91))
+    sorts = [line for p in plans for line in p.splitlines() if "Sort [" in line]
+    assert sorts and not any("array_join" in line or "transform" in line for line in sorts)
+    assert ranking.ordinal(df.where("n > 9"), [F.col("i")]).collect() == []
