@@ -259,3 +259,15 @@ def test_every_rule_fires(spark):
 def test_clean_records_stay_clean(spark):
     raw, _ = C.canary(spark)
     assert raw.where(R.ev("type_name") == "CompactOrder").count() == 0
+
+
+def test_few_marks_do_not_shuffle_findings(spark, make):
+    lines = spark.createDataFrame([("a.cpp", 1, "x // hazard-suppress FL001")], "file string, line int, text string")
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = R.inline_suppression(make({}, {"line": 9}), lines)
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().toString()
+        assert sorted(got(out, "line", "suppressed")) == [(1, True), (9, False)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
