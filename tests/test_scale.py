@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strideway import storage
 from strideway.functions import text
 from strideway.operators import calls, graph, joins, layout, ranking
-from strideway.plans import rules
+from strideway.plans import catalog, rules
 from strideway.sources import facts
 
 
@@ -42,6 +42,19 @@ def test_fixpoints_send_no_large_edges(spark, monkeypatch):
     assert {r.node: r["mask"] for r in graph.reachable(edges, roots).collect()} == want
 
 
+@pytest.mark.parametrize("name", ["unit_hotness", "resolve_candidates", "global_hotness", "pool_closure"])
+def test_no_round_of_a_query_sends_what_is_too_large(spark, data, monkeypatch, name):
+    plans = []
+    keep = storage.saved
+    want = catalog.QUERIES[name](spark, data).collect()
+    monkeypatch.setattr(storage, "saved", lambda df, at: plans.append(plan(df)) or keep(df, at))
+    for limit in ("UNMEASURED_BYTES", "ROUND_BYTES", "SENT_BYTES"):
+        monkeypatch.setattr(storage, limit, 0, raising=False)
+    out = catalog.QUERIES[name](spark, data)
+    assert len(plans) > 3 and not any("Broadcast" in p for p in [*plans, plan(out)])
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want)) and want
+
+
 @pytest.mark.parametrize("line", [64, 128])
 def test_pairs_of_a_record_are_counted_as_listed(spark, line):
     rng = random.Random(line)
